@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -105,12 +105,13 @@ def flight(size: np.ndarray, p: np.ndarray, draws: np.ndarray, land: bool) -> np
 
 
 def _fly(land: bool):
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["size", "luck", "doc_id"], ascending=[False, True, True], kind="stable")
-        seed = int(np.bitwise_xor.reduce(group["luck"].to_numpy(np.int64)).astype(np.uint64)) if len(group) else 0
-        draws = np.random.default_rng(seed).random(len(group) + 4)
-        group["p"] = flight(group["size"].to_numpy(), group["p"].to_numpy(), draws, land)
-        return group
+    def run(group: pa.Table) -> pa.Table:
+        size, luck = group.column("size").to_numpy(), group.column("luck").to_numpy()
+        order = np.lexsort((luck, -size))
+        draws = np.random.default_rng(int(np.bitwise_xor.reduce(luck).view(np.uint64))).random(len(size) + 4)
+        p = flight(size[order], group.column("p").to_numpy()[order], draws, land)
+        group = group.take(pa.array(order))
+        return group.set_column(group.column_names.index("p"), "p", pa.array(p))
 
     return run
 
@@ -133,7 +134,7 @@ def balanced_sample(units: DataFrame, stratum: str, counts: DataFrame, seed: int
     decided, level = None, 0
     while True:
         land = most == 1
-        flown = units.groupBy(stratum, "block").applyInPandas(_fly(land), units.schema).select(*columns)
+        flown = units.groupBy(stratum, "block").applyInArrow(_fly(land), units.schema).select(*columns)
         flown = stored(flown, f"mix-flight{level}")
         done = flown if land else flown.where((F.col("p") <= 0) | (F.col("p") >= 1))
         decided = done if decided is None else decided.unionByName(done)

@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from attesta.llm.mixing import op1_cube_mixing
+from attesta.llm.packing import op4_best_fit_packing
 from attesta.llm.sharding import op5_hash_tree_sharding
+from attesta.llm.simhash import op10_simhash
 
 QUERIES = {
     "op1_cube_mixing": op1_cube_mixing,
+    "op4_best_fit_packing": op4_best_fit_packing,
     "op5_hash_tree_sharding": op5_hash_tree_sharding,
+    "op10_simhash": op10_simhash,
 }
 
 ORACLES: dict[str, str] = {}

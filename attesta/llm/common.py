@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: White space of the contracts: space and the ASCII characters from tab to carriage return.
@@ -68,14 +68,8 @@ def numbered(df: DataFrame, order: list[Column], name: str, group: str | None =
     keys = [F.shiftright("_at", 33).alias("_part")] + ([F.col(group).alias("_group")] if group else [])
     # one row for each partition and group: at most partitions + groups rows, as partitions are ranges
     counts = stored(ranged.groupBy(*keys).agg(F.count("*").alias("_n"), F.min(_row_in_partition("_at")).alias("_least")), f"counts-{name}")
-    other = counts.select(*(F.col(c).alias(f"{c}2") for c in counts.columns if c != "_least"))
-    earlier = F.col("_part2") < F.col("_part")
-    if group:
-        pairs = counts.join(other, F.col("_group").eqNullSafe(F.col("_group2")), "left")
-    else:
-        pairs = counts.join(other.withColumn("_one", F.lit(1)), F.lit(1) == F.col("_one"), "left")
-    by = ["_part"] + (["_group"] if group else [])
-    offsets = pairs.groupBy(*by, "_least").agg(F.coalesce(F.sum(F.when(earlier, F.col("_n2"))), F.lit(0)).alias("_before"))
+    earlier = Window.partitionBy(*(["_group"] if group else [])).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*counts.columns, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before")).drop("_n")
     offsets = stored(offsets, f"offsets-{name}").withColumnRenamed("_part", "_p").withColumnRenamed("_group", "_g")
     on = F.shiftright("_at", 33) == F.col("_p")
     if group:

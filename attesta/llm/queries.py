@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+from attesta.llm.fingerprint import op3_weighted_sampling
+from attesta.llm.html import op6_html_blocks
 from attesta.llm.mixing import op1_cube_mixing
 from attesta.llm.packing import op4_best_fit_packing
+from attesta.llm.search import OP8_SQL, op8_maxscore
 from attesta.llm.sharding import op5_hash_tree_sharding
 from attesta.llm.simhash import op10_simhash
 
 QUERIES = {
     "op1_cube_mixing": op1_cube_mixing,
+    "op3_weighted_sampling": op3_weighted_sampling,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_hash_tree_sharding": op5_hash_tree_sharding,
+    "op6_html_blocks": op6_html_blocks,
+    "op8_maxscore": op8_maxscore,
     "op10_simhash": op10_simhash,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op8_maxscore": OP8_SQL}

@@ -41,13 +41,13 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def lookup_join(left: DataFrame, right: DataFrame, on: Column | list, how: str = "inner") -> DataFrame:
+def lookup_join(left: DataFrame, right: DataFrame, on: Column | list, how: str = "inner", rows: int = BROADCAST_ROWS) -> DataFrame:
     """Join a large left side with a lookup table (already stored, so that counting it is cheap).
 
-    The lookup is broadcast only if its row count is within BROADCAST_ROWS; beyond that it is a sort-merge
+    The lookup is broadcast only if its row count is within `rows`; beyond that it is a sort-merge
     join, whose skewed partitions AQE splits.
     """
-    small = right.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    small = right.count() <= rows
     return left.join(F.broadcast(right) if small else right.hint("merge"), on, how)
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from attesta.llm.fingerprint import op3_weighted_sampling
 from attesta.llm.html import op6_html_blocks
+from attesta.llm.lines import op9_fuzzy_lines
 from attesta.llm.mixing import op1_cube_mixing
 from attesta.llm.packing import op4_best_fit_packing
 from attesta.llm.search import OP8_SQL, op8_maxscore
@@ -17,6 +18,7 @@ QUERIES = {
     "op5_hash_tree_sharding": op5_hash_tree_sharding,
     "op6_html_blocks": op6_html_blocks,
     "op8_maxscore": op8_maxscore,
+    "op9_fuzzy_lines": op9_fuzzy_lines,
     "op10_simhash": op10_simhash,
 }
 

@@ -10,9 +10,11 @@ from attesta.llm.packing import op4_best_fit_packing
 from attesta.llm.search import OP8_SQL, op8_maxscore
 from attesta.llm.sharding import op5_hash_tree_sharding
 from attesta.llm.simhash import op10_simhash
+from attesta.llm.toxicity import op2_weak_supervision
 
 QUERIES = {
     "op1_cube_mixing": op1_cube_mixing,
+    "op2_weak_supervision": op2_weak_supervision,
     "op3_weighted_sampling": op3_weighted_sampling,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_hash_tree_sharding": op5_hash_tree_sharding,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from attesta.llm.fingerprint import op3_weighted_sampling
 from attesta.llm.html import op6_html_blocks
+from attesta.llm.language_model import op7_recurrent_lm
 from attesta.llm.lines import op9_fuzzy_lines
 from attesta.llm.mixing import op1_cube_mixing
 from attesta.llm.packing import op4_best_fit_packing
@@ -19,6 +20,7 @@ QUERIES = {
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_hash_tree_sharding": op5_hash_tree_sharding,
     "op6_html_blocks": op6_html_blocks,
+    "op7_recurrent_lm": op7_recurrent_lm,
     "op8_maxscore": op8_maxscore,
     "op9_fuzzy_lines": op9_fuzzy_lines,
     "op10_simhash": op10_simhash,

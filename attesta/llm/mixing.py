@@ -145,16 +145,16 @@ def balanced_sample(units: DataFrame, stratum: str, counts: DataFrame, seed: int
     return decided.withColumn("chosen", F.col("p").cast("int")).drop("p", "luck", "block")
 
 
-def mix(docs: DataFrame, seed: int = 0) -> DataFrame:
+def mix(docs: DataFrame, seed: int = 0, keep: list[str] | None = None) -> DataFrame:
     """How often each document is taken so that the sources' sizes come to their targets.
 
     A source with target t and size s is taken floor(t/s) times as a whole; the fraction left is the inclusion
     probability of a cube-method sample. Returns a row for each row of docs: doc_id, source, size (words),
-    source_size, weight, target, copies (0 to 3), taken (copies * size).
+    source_size, weight, target, copies (0 to 3), taken (copies * size), and the (small) columns to keep.
     Null texts and texts without words have size 0 and take 0 words; a null source is a source, the last one; equal rows are separate
     units; a null doc_id is allowed; an empty table gives no rows; other columns are not read.
     """
-    sized = stored(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "mix-sizes")
+    sized = stored(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), *(keep or [])), "mix-sizes")
     sources = stored(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs")), "mix-totals")
     targets = stored(target_sizes(sources), "mix-targets")
     rate = F.least(F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)), F.lit(float(MAX_REPEATS)))
@@ -164,7 +164,7 @@ def mix(docs: DataFrame, seed: int = 0) -> DataFrame:
     units = units.withColumn("whole", whole.cast("long")).withColumn("p", F.greatest(F.lit(0.0), F.col("rate") - whole)).drop("rate")
     sampled = balanced_sample(units, "place", targets.select("place", "docs"), seed)
     copies = F.col("whole") + F.col("chosen")
-    return sampled.select("doc_id", "source", "size", "source_size", "weight", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return sampled.select("doc_id", "source", "size", "source_size", "weight", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), *(keep or []))
 
 
 def op1_cube_mixing(spark, sf_dir: str) -> DataFrame:

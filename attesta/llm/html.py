@@ -179,6 +179,8 @@ def classify(blocks: list[Block], rules: Rules = Rules()) -> list[bool]:
         else:
             b.label = "near" if b.article else "bad"
     first = [b.label for b in blocks]
+    if "good" not in first:  # a page of middling paragraphs alone: the best there are decide
+        first = ["good" if label == "near" else label for label in first]
     keep = [label == "good" for label in first]
 
     def decided(step: int) -> list[tuple[str, bool]]:

@@ -177,10 +177,16 @@ def gray_candidate(title: Column, snippet: Column, url: Column) -> Column:
     return points >= 2
 
 
+#: Titles of embedded cards, and previews of social links that were cut.
+EMBED_TITLES = ("• Instagram", "Instagram 相片與影片", "• Threads", "• Facebook", "Facebook 貼文")
+CUT_PREVIEW = r"(?i)^(https?://|www\.)?(instagram\.com|facebook\.com|youtube\.com|youtu\.be|fb\.com|threads\.net|t\.co)[/\w@.\-]*[….]+$"
+
+
 def is_junk(content: Column) -> Column:
     """Blank, under six characters, digits only, a cut preview or an embed title, or without any letter."""
     text = F.trim(F.coalesce(content, F.lit("")))
-    return (F.length(text) < 6) | F.rlike(text, F.lit(r"^[\d,]+$")) | F.rlike(text, F.lit(r"^[^\p{L}\p{Nl}\p{No}_]+$"))
+    embedded = any_of(text, EMBED_TITLES) | F.rlike(text, F.lit(CUT_PREVIEW))
+    return (F.length(text) < 6) | embedded | F.rlike(text, F.lit(r"^[\d,]+$")) | F.rlike(text, F.lit(r"^[^\p{L}\p{Nl}\p{No}_]+$"))
 
 
 def origin_label(source_type: Column, first_hand: Column) -> Column:

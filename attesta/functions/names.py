@@ -12,9 +12,16 @@ from attesta.functions.text import strip
 #: Name endings that stand for each other, and what a name may be extended by.
 VARIANT_ENDINGS = {"狗園": ("", "寵物樂園", "樂園", "園區"), "樂園": ("", "狗園", "寵物樂園")}
 #: Legal and city beginnings, and endings, that an alias may lack; names too general for an alias.
-PREFIXES = ("社團法人", "財團法人", "台灣", "臺灣", "中華民國", "台北市", "臺北市", "新北市", "桃園市", "台中市", "臺中市", "台南市", "臺南市", "高雄市")
-TRAILING = ("流浪動物協會", "動物保護協會", "保護協會", "協會", "狗園", "園區", "基金會")
-TOO_GENERAL = ("流浪動物", "動物保護", "保護協會", "流浪狗園")
+PREFIXES = (
+    "社團法人", "財團法人", "中華民國", "國立", "私立",
+    "臺北市", "台北市", "新北市", "桃園市", "臺中市", "台中市", "臺南市", "台南市", "高雄市", "基隆市", "新竹市", "新竹縣",
+    "苗栗縣", "彰化縣", "南投縣", "雲林縣", "嘉義市", "嘉義縣", "屏東縣", "宜蘭縣", "花蓮縣", "臺東縣", "台東縣", "澎湖縣",
+    "金門縣", "連江縣",
+)
+TRAILING = ("推廣協會", "研究協會", "關懷協會", "動物保護協會", "流浪動物協會", "護生協會", "愛護協會", "福利基金會", "生命基金會", "協會", "基金會", "志工隊", "志工團")
+TOO_GENERAL = ("關懷", "保護", "動物", "流浪", "動保", "生命", "愛護", "護生", "基金會", "協會", "志工", "中心", "社團", "研究", "推廣", "照護", "臺灣", "台灣", "中華民國")
+#: Endings whose roots also count as naming the entity.
+ROOT_ENDINGS = ("狗園", "樂園", "園區", "協會", "流浪狗園", "流浪毛小孩生命照護協會")
 
 
 def ordered_unique(values: Column, least: int = 1) -> Column:
@@ -45,9 +52,9 @@ def expand_aliases(name: Column, prefixes=PREFIXES, trailing=TRAILING, blocked=T
     core = strip(F.regexp_replace(strip(name), f"^(?:{either})+", ""))
     ending = F.coalesce(*(F.when(F.endswith(core, F.lit(t)) & (F.length(core) - len(t) >= 2), F.lit(t)) for t in trailing), F.lit(""))
     short = F.substring(core, F.lit(1), F.length(core) - F.length(ending))
-    made = F.array(core, short)
+    made = F.array(strip(name), core, short)
     made = F.concat(made, F.transform(made, lambda v: F.replace(v, F.lit(swap[0]), F.lit(swap[1]))), F.transform(made, lambda v: F.replace(v, F.lit(swap[1]), F.lit(swap[0]))))
-    kept = ordered_unique(F.transform(made, lambda v: F.regexp_replace(v, r"^[\p{P}\s]+|[\p{P}\s]+$", "")), least)
+    kept = ordered_unique(F.transform(made, lambda v: F.regexp_replace(v, r"^[·、， 。．.]+|[·、， 。．.]+$", "")), least)
     return F.filter(kept, lambda v: (v != strip(name)) & ~v.isin(*blocked))
 
 
@@ -55,3 +62,28 @@ def cached_terms(name: Column, question: Column, queries: Column, most: int = 12
     """Search terms: the name, the question's words, the words of the first six queries without sites and quotes."""
     pieces = F.flatten(F.transform(F.slice(queries, 1, 6), lambda q: F.split(F.regexp_replace(F.regexp_replace(q, r"site:\S+", ""), '"', ""), r"\s+")))
     return F.slice(ordered_unique(F.concat(F.array(name), F.split(question, r"\s+"), pieces), 2), 1, most)
+
+
+def relaxed_tokens(name: Column, endings: tuple[str, ...] = ROOT_ENDINGS) -> Column:
+    """Variants in lower case, each also without an ending."""
+    variants = F.transform(search_variants(name), F.lower)
+    def rooted(ending: str) -> Column:
+        those = F.filter(variants, lambda v: F.endswith(v, F.lit(ending)))
+        return F.transform(those, lambda v: F.regexp_replace(v, re.escape(ending) + "$", ""))
+
+    roots = [rooted(e) for e in endings]
+    return ordered_unique(F.concat(variants, *roots), 2)
+
+
+def forum_keywords(name: Column, suffixes: tuple[str, ...], most: int = 6) -> Column:
+    """The name, its words of two characters or more, and the name with each suffix that it lacks."""
+    base = strip(name)
+    words = F.filter(F.split(base, r"[\s　]+"), lambda w: F.length(w) >= 2)
+    longer = F.filter(F.array(*(F.when(~F.contains(base, F.lit(s)), F.concat(base, F.lit(s))) for s in suffixes)).cast("array<string>"), lambda v: v.isNotNull())
+    return F.slice(ordered_unique(F.concat(F.array(base), words, longer)), 1, most)
+
+
+def strip_social_url(url: Column) -> Column:
+    """A page of one social site without the slash at its end; "" for any other url."""
+    tidy = F.trim(url)
+    return F.when(F.rlike(tidy, F.lit(r"(?i)^https?://[^/]*(facebook\.com|fb\.)")), F.regexp_replace(tidy, "/+$", "")).otherwise("")

@@ -95,7 +95,8 @@ def label_stats(reviews: DataFrame) -> DataFrame:
     return labelled.groupBy(relevance_tier(F.col("relevance_score")).alias("tier"), "stance", "content_type").agg(F.count("*").alias("n"))
 
 
-DIMENSIONS = ("environment", "care", "management", "finance", "staff", "experience")
+#: The dimensions of reviews.
+DIMENSIONS = ("staff_attitude", "transparency", "environment", "animal_care", "communication", "adoption_process")
 
 
 def dimension_overview(reviews: DataFrame, dimensions=DIMENSIONS, excerpts: int = 5) -> DataFrame:

@@ -159,3 +159,49 @@ def exact_cache_hit(requests: DataFrame, queries: DataFrame, as_of: str, ttl_hou
     newest = latest(fresh, ["entity_id", "question", "search_mode"], ["created_at", "query_id"])
     asked = requests.select("entity_id", norm("question").alias("question"), "search_mode").distinct()
     return asked.join(newest, ["entity_id", "question", "search_mode"], "left").select("entity_id", "question", "search_mode", "query_id")
+
+
+def list_media(media: DataFrame, limit: int = 20, offset: int = 0) -> DataFrame:
+    """A page of each entity's media, newest first, with how many there are."""
+    counted = media.withColumn("total", F.count("*").over(Window.partitionBy("entity_name")))
+    return page(counted, ["entity_name"], [F.desc("id")], limit, offset)
+
+
+def list_suggestions(suggestions: DataFrame, limit: int = 8) -> DataFrame:
+    return top(suggestions.where("is_active"), ["entity_id", "search_mode"], [F.desc("confidence"), F.col("id")], limit)
+
+
+#: Tabs of evidence: which cards each shows. The latest tab shows all, newest first.
+EVIDENCE_TABS = {
+    "all": lambda: F.lit(True),
+    "latest": lambda: F.lit(True),
+    "supporting": lambda: F.col("stance") == "supporting",
+    "opposing": lambda: F.col("stance") == "opposing",
+    "official": lambda: F.col("source_type") == "official",
+    "news": lambda: F.col("source_type") == "news",
+    "forum": lambda: F.col("source_type") == "forum",
+    "social": lambda: F.col("source_type") == "social",
+}
+
+
+def evidence_tab(cards: DataFrame, tab: str) -> DataFrame:
+    """The cards of a tab with their place in each query: by rank, or newest first in the latest tab."""
+    newest = [F.coalesce("published_at", "extracted_at", F.lit("")).desc(), F.col("rank")]
+    return ranked(cards.where(EVIDENCE_TABS[tab]()), ["query_key"], newest if tab == "latest" else [F.col("rank")], "tab_place")
+
+
+def by_dimension(reviews: DataFrame, dimension: str) -> DataFrame:
+    return reviews.where(F.exists("tags", lambda t: t["dim"] == dimension))
+
+
+def crawl_targets(results: DataFrame, hosts: list[str], limit: int) -> DataFrame:
+    """Results worth a full crawl: a supported host, and not an official or news text of 1,200 characters; the first of each query."""
+    long = (F.length("content") >= 1200) & F.col("source_type").isin("official", "news")
+    wanted = results.where(F.exists(F.array(*map(F.lit, hosts)), lambda h: F.contains(F.lower("url"), h)) & ~F.coalesce(long, F.lit(False)))
+    return top(wanted, ["query_key"], [F.col("ord")], limit)
+
+
+def needs_enrichment() -> Column:
+    """Short of text, title, source or date."""
+    there = lambda c: F.coalesce(F.trim(c), F.lit("")) != ""
+    return ~((F.length(F.coalesce("content", F.lit(""))) >= 140) & there("title") & there("source") & there("published_date"))

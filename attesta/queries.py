@@ -321,7 +321,7 @@ def suggest_entities(v, t):
     r""",,
 c AS (SELECT entity_id, name, regexp_replace(trim(name), '^(?:Customer#|000)+', '') AS core FROM v_watchlist),
 s AS (SELECT *, CASE WHEN core LIKE '%00' AND length(core) >= 4 THEN left(core, length(core) - 2) WHEN core LIKE '%1' AND length(core) >= 3 THEN left(core, length(core) - 1) ELSE core END AS short FROM c),
-m AS (SELECT entity_id, name, unnest([core, short, replace(core, '0', 'O'), replace(short, '0', 'O')]) AS alias FROM s)
+m AS (SELECT entity_id, name, unnest([core, short, replace(name, '0', 'O'), replace(core, '0', 'O'), replace(short, '0', 'O')]) AS alias FROM s)
 SELECT DISTINCT entity_id, alias FROM m WHERE length(alias) >= 3 AND alias <> name AND alias NOT IN ('100')""",
     "v_watchlist",
 )
@@ -569,9 +569,9 @@ def cleaned_cards(v, t):
     return cards.select("query_key", "ord", "title", "snippet", "excerpt", "stance", "relevance", "credibility", "platform")
 
 
-DIMS = ("environment", "care", "management", "finance", "staff", "experience")
+DIMS = metrics.DIMENSIONS
 _DIM_SQL = """,,
-d AS (SELECT i, dim FROM (SELECT unnest([0, 1, 2, 3, 4, 5]) AS i, unnest(['environment', 'care', 'management', 'finance', 'staff', 'experience']) AS dim)),
+d AS (SELECT i, dim FROM (SELECT unnest([0, 1, 2, 3, 4, 5]) AS i, unnest(['staff_attitude', 'transparency', 'environment', 'animal_care', 'communication', 'adoption_process']) AS dim)),
 g AS (SELECT r.entity, d.dim, r.stance FROM v_reviews r JOIN d ON d.i IN (r.review_id % 6, (r.review_id + 2) % 6) WHERE r.relevance_score >= 0.6 AND r.content_type = 'review'),
 e AS (SELECT DISTINCT entity FROM v_reviews)
 SELECT e.entity, d.dim, count(g.dim) AS mentions, count(*) FILTER (g.stance = 'supporting') AS supporting, count(*) FILTER (g.stance = 'opposing') AS opposing,

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from attesta.functions.lexicon import any_of
 from attesta.functions.text import host_of, normalize_html_text, normalized, strip
 from attesta.operators.rank import top
 
@@ -131,8 +132,7 @@ def thread_posts(pages: DataFrame) -> DataFrame:
 def forum_post_clean(text: Column, noise: tuple[str, ...] = ()) -> Column:
     """Posts without footer lines and quotation counts; null if under 15 characters are left."""
     lines = F.filter(F.transform(F.split(text, "\n"), strip), lambda x: (x != "") & ~F.rlike(x, F.lit(r"^\d+ 引言$")))
-    for mark in noise:
-        lines = F.filter(lines, lambda x, m=mark: ~F.contains(x, F.lit(m)))
+    lines = F.filter(lines, lambda x: ~any_of(x, noise))
     out = F.array_join(lines, "\n")
     return F.when(F.length(out) >= 15, out)
 

@@ -89,3 +89,8 @@ def test_running_ratings(spark, tmp_path):
     events = spark.readStream.schema("event_id long, review_id long, user_id long, score int, ts long").parquet(str(tmp_path / "ev"))
     streams.running_ratings(events).writeStream.format("memory").queryName("running").outputMode("complete").trigger(availableNow=True).start().awaitTermination()
     assert [(r.review_id, r.user_id, r.score) for r in spark.table("running").collect()] == [(1, 7, 5)]
+
+
+def test_forum_post_clean(spark):
+    df = spark.createDataFrame([("a line that is long enough\n12 引言\nfooter mark here",), ("short",)], "t string")
+    assert [r.c for r in df.select(P.forum_post_clean(F.col("t"), ("footer",)).alias("c")).collect()] == ["a line that is long enough", None]

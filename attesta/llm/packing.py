@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -12,50 +11,100 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attesta.llm.common import BLANKS, stored
+from attesta.llm.common import stored
 
 #: Tokens of a sequence; id after each document; tokens that one task packs at once; blocks that meet in the next round.
 SEQUENCE, END_ID, BLOCK_TOKENS, FAN = 4096, 1, 8_000_000, 64
-#: Words whose ids a Python worker keeps at most; characters encoded in one call.
-MEMO_WORDS, CALL_WORDS = 300_000, 2_000
+#: Words, and runs of letters or marks, whose ids a Python worker keeps at most; runs and texts of one call.
+MEMO_WORDS, MEMO_RUNS, CALL_WORDS, CALL_TEXTS = 800_000, 600_000, 2_000, 64
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+#: ASCII marks after a word that are no apostrophe: a run of them is a token run of its own.
+_MARKS = ".,;:!?%$&*#|()[]{}<>=+-_/\\\"@^~`"
+
+
+class WordIds:
+    """Ids of white-space-free words, as little-endian bytes, exactly as the tokenizer gives them in a text.
+
+    No token crosses ASCII white space, so that ids are kept by word. A word of letters, with or without
+    marks after it, is one run of letters and one of marks for the tokenizer; runs of letters are encoded many at once and
+    told apart by their last tokens, which end a word in the vocabulary. Everything else goes through the tokenizer word by word.
+    """
+
+    def __init__(self, tokenizer: str):
+        from tokenizers import Tokenizer
+
+        self.bpe = Tokenizer.from_file(tokenizer)
+        vocabulary = self.bpe.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.words: dict[bytes, bytes] = {}
+        self.runs: dict[str, bytes] = {}
+
+    def _encode(self, runs: list[str]) -> list[bytes]:
+        out = []
+        for i in range(0, len(runs), CALL_WORDS):
+            out += [np.array(e.ids, "<u4").tobytes() for e in self.bpe.encode_batch(runs[i : i + CALL_WORDS], add_special_tokens=False)]
+        return out
+
+    def _learn_runs(self, letters: list[str], others: list[str]) -> None:
+        for i in range(0, len(letters), CALL_WORDS):
+            part = letters[i : i + CALL_WORDS]
+            ids = np.array(self.bpe.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) == len(part) and cuts[-1] == len(ids):
+                data, at = ids.tobytes(), [0, *(4 * cuts).tolist()]
+                self.runs.update(zip(part, (data[x:y] for x, y in zip(at, at[1:]))))
+            else:
+                self.runs.update(zip(part, self._encode(part)))
+        self.runs.update(zip(others, self._encode(others)))
+
+    def learn(self, words: set[bytes]) -> None:
+        """Make the ids of words known."""
+        new = {w for w in words if w not in self.words}
+        if new and len(self.words) + len(new) > MEMO_WORDS:
+            self.words.clear()
+            new = words  # all of these texts' words must be there
+        parts = {}
+        for word in new:
+            w = word.decode("utf-8", "replace")
+            run = w.rstrip(_MARKS)
+            if not run.isalpha():
+                run = w if run else ""
+            marks = w[len(run) :]
+            if run and (run.isascii() or max(run) < "\u0250" and "\u0130" not in run):
+                run = run.lower()  # as the tokenizer does; fewer runs are left
+            parts[word] = (run, marks)
+        if len(self.runs) > MEMO_RUNS:
+            self.runs.clear()
+        runs = {r for pair in parts.values() for r in pair if r and r not in self.runs}
+        self._learn_runs([r for r in runs if r.isalpha()], [r for r in runs if not r.isalpha()])
+        known = self.runs
+        for word, (run, marks) in parts.items():
+            self.words[word] = (known[run] if run else b"") + (known[marks] if marks else b"")
+
+
 def _pieces(tokenizer: str, sequence: int, end_id: int):
-    """mapInArrow function: rows of (doc_id, text) to their pieces. No BPE merge crosses ASCII white space,
-    and none of it is a token, so that ids are kept by word."""
-    words = re.compile(rf"[^{BLANKS}]+".encode().decode("unicode_escape")).findall
+    """mapInArrow function: rows of (doc_id, text) to their pieces."""
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        bpe = Tokenizer.from_file(tokenizer)
-        memo: dict[str, bytes] = {}
-
-        def ids_of(text: str) -> bytes:
-            found = words(text)
-            new = [w for w in set(found) if w not in memo]
-            if new and len(memo) + len(new) > MEMO_WORDS:
-                memo.clear()
-                new = list(set(found))
-            for i in range(0, len(new), CALL_WORDS):
-                part = new[i : i + CALL_WORDS]
-                for w, e in zip(part, bpe.encode_batch(part, add_special_tokens=False)):
-                    memo[w] = np.array(e.ids, "<u4").tobytes()
-            return b"".join(map(memo.__getitem__, found)) + end
-
+        ids = WordIds(tokenizer)
         for batch in batches:
-            rows = []
-            for i, text in enumerate(batch.column("text").to_pylist()):
-                data = ids_of(text or "")
-                for k, at in enumerate(range(0, len(data), 4 * sequence)):
-                    part = data[at : at + 4 * sequence]
-                    rows.append((i, k, at // 4, len(part) // 4, zlib.crc32(part)))
+            texts, rows = batch.column("text"), []
+            for first in range(0, len(texts), CALL_TEXTS):
+                found = [(t.as_py() or "").encode("utf-8", "replace").split() for t in texts[first : first + CALL_TEXTS]]
+                ids.learn(set().union(*found))
+                for i, words in enumerate(found, first):
+                    data = b"".join(map(ids.words.__getitem__, words)) + end
+                    for k, at in enumerate(range(0, len(data), 4 * sequence)):
+                        part = data[at : at + 4 * sequence]
+                        rows.append((i, k, at // 4, len(part) // 4, zlib.crc32(part)))
             i, k, start, length, crc = (np.array(rows, dtype=np.int64).reshape(-1, 5)).T
             columns = [batch.column("doc_id").take(pa.array(i)), pa.array(k, pa.int32()), pa.array(start), pa.array(length), pa.array(crc)]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32"])

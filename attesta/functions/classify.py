@@ -199,3 +199,48 @@ def origin_label(source_type: Column, first_hand: Column) -> Column:
         .when(peer, "社群討論")
         .otherwise("整理資料")
     )
+
+
+def review_tone(supporting: Column, opposing: Column) -> Column:
+    """Of counts of supporting and opposing cards: which way they lean by more than one."""
+    return F.when(supporting > opposing + 1, "negative").when(opposing > supporting + 1, "positive").otherwise("mixed")
+
+
+#: Labels of platforms in order; the first whose mark the text has.
+PLATFORM_LABELS = {"dcard": ("dcard",), "ptt": ("ptt",), "threads": ("threads",), "instagram": ("instagram",), "facebook": ("facebook", "fb.com"), "google": ("google", "maps")}
+
+
+def platform_label(source: Column, url: Column) -> Column:
+    return _first(F.lower(F.concat_ws(" ", source, url)), PLATFORM_LABELS, "other")
+
+
+def question_focus(question: Column) -> Column:
+    """Struct of flags: is the question about money, about a controversy, about what is recent."""
+    low = F.lower(question)
+    return F.struct(any_of(low, L.FUNDRAISING).alias("fundraising"), any_of(low, L.CONTROVERSY).alias("controversy"), any_of(low, L.RECENCY).alias("recency"))
+
+
+def _label(of: Column, values: dict[str, str]) -> Column:
+    return F.create_map(*(F.lit(x) for pair in values.items() for x in pair))[of]
+
+
+# Phrases of the notes and summaries of cards.
+STANCE_NOTES = {"supporting": "這則來源內容較支持使用者提出的疑慮。", "opposing": "這則來源內容較偏向反駁疑慮，或提到改善與回應。", "neutral": "這則來源主要提供背景資訊，沒有明確站在某一邊。", "unclear": "這則來源立場不夠清楚，建議人工再讀原文確認。"}
+STANCE_SUMMARIES = {"supporting": "這則內容偏向支持疑慮", "opposing": "這則內容偏向反駁疑慮", "neutral": "這則內容主要提供背景資訊", "unclear": "這則內容的立場不明確"}
+SOURCE_LABELS = {"official": "官方說明", "news": "新聞整理", "forum": "論壇討論", "social": "社群貼文", "other": "公開來源"}
+STRENGTH_LABELS, RECENCY_LABELS = {"weak": "弱", "medium": "中", "strong": "強"}, {"recent": "近期", "dated": "較舊", "unknown": "時間未知"}
+RISK_LABELS = {"low": "低", "medium": "中", "high": "高"}
+
+
+def notes() -> Column:
+    """What a reader should know of a card, from its columns."""
+    return F.format_string(
+        "%s 此來源屬於%s，證據強度為%s，第一手程度為 %d/100，相關性 %d/100，可信度 %d/100，時間判讀為%s，重複轉載風險為%s。",
+        _label(F.col("stance"), STANCE_NOTES), origin_label(F.col("source_type"), F.col("first_hand")), _label(F.col("strength"), STRENGTH_LABELS), "first_hand", "relevance", "credibility",
+        _label(F.col("recency"), RECENCY_LABELS), _label(F.col("duplicate_risk"), RISK_LABELS),
+    )
+
+
+def card_summary(excerpt: Column) -> Column:
+    lead = F.concat(_label(F.col("source_type"), SOURCE_LABELS), F.lit("，"), _label(F.col("stance"), STANCE_SUMMARIES))
+    return F.when(excerpt == "", F.concat(lead, F.lit("。"))).otherwise(F.concat(lead, F.lit("："), excerpt))

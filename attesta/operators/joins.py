@@ -109,3 +109,22 @@ def unlabelled(reviews: DataFrame, limit: int | None = None) -> DataFrame:
     """Reviews that have no labels yet, by id, with what a labeller gets of them."""
     rows = reviews.where(F.col("content_type").isNull()).select("review_id", "entity", F.substring("content", 1, 600).alias("content"))
     return rows.orderBy("review_id").limit(limit) if limit else rows
+
+
+def entity_page(entities: DataFrame, profiles: DataFrame, comments: DataFrame, media: DataFrame, default_copy: dict[str, str], recent: int = 5) -> DataFrame:
+    """One row for each entity (entity_id, name, entity_type): profile with a default intro by type, gallery, comments, media.
+
+    The cover is the gallery's first item if there is none; a gallery of the cover alone is empty.
+    """
+    profile = profiles.select("entity_id", "headline", "intro", "cover", "gallery")
+    page = entities.join(profile, "entity_id", "left")
+    gallery = F.coalesce("gallery", F.array().cast("array<string>"))
+    cover = F.coalesce(F.nullif(F.col("cover"), F.lit("")), F.get(gallery, 0))
+    copy = F.coalesce(*(F.when(F.col("entity_type") == k, F.lit(text)) for k, text in default_copy.items()), F.lit(""))
+    page = page.withColumns({"intro": F.coalesce(F.nullif(F.trim("intro"), F.lit("")), copy), "gallery": F.when((F.size(gallery) == 1) & (F.get(gallery, 0) == cover), F.array().cast("array<string>")).otherwise(gallery), "cover": cover})
+    said = top(comments, ["entity_id"], [F.desc("comment_id")], recent, "_k")
+    newest = said.groupBy("entity_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("_k", "comment"))), lambda x: x["comment"]).alias("recent_comments"))
+    files = top(media, ["entity_name"], [F.desc("id")], recent, "_k").groupBy("entity_name").agg(F.transform(F.array_sort(F.collect_list(F.struct("_k", "url"))), lambda x: x["url"]).alias("recent_media"))
+    counts = comments.groupBy("entity_id").agg(F.count("*").alias("comment_count"))
+    page = page.join(counts, "entity_id", "left").join(newest, "entity_id", "left").join(files, page["name"] == files["entity_name"], "left").drop("entity_name")
+    return page.fillna(0, ["comment_count"])

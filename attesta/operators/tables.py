@@ -129,3 +129,35 @@ def apply_labels(reviews: DataFrame, labels: DataFrame) -> DataFrame:
     fields = [c for c in labels.columns if c != "review_id"]
     new = labels.select("review_id", *(F.col(c).alias(f"_{c}") for c in fields))
     return reviews.join(new, "review_id", "left").withColumns({c: F.coalesce(F.col(f"_{c}"), F.col(c)) for c in fields}).select(reviews.columns)
+
+
+def upsert_evidence_sources(table: DataFrame, cards: DataFrame) -> DataFrame:
+    """Sources by url from cards: site, type, title and content (the snippet, 700 characters) are overwritten, dates only
+    filled, the author stays. New urls are added."""
+    fields = ["site_name", "source_type", "title", "content"]
+    new = cards.groupBy("url").agg(F.max_by(F.struct("source", "source_type", "title", F.substring("snippet", 1, 700).alias("content"), "published_at"), "ord").alias("n"))
+    new = new.select("url", F.col("n.source").alias("_site_name"), *(F.col(f"n.{c}").alias(f"_{c}") for c in ("source_type", "title", "content", "published_at")))
+    joined = table.join(new, "url", "full")
+    return joined.select("url", *(F.coalesce(f"_{c}", c).alias(c) for c in fields), "author", F.coalesce("published_at", "_published_at").alias("published_at"))
+
+
+def create_entities(entities: DataFrame, names: DataFrame) -> DataFrame:
+    """Rows (name) that neither a name nor an alias of an entity equals."""
+    known = entities.select("name").unionByName(entities.select(F.explode("aliases").alias("name"))).distinct()
+    return names.select(F.trim("name").alias("name")).where("name <> ''").distinct().join(known, "name", "left_anti")
+
+
+def append_comments(comments: DataFrame, incoming: DataFrame, removals: DataFrame | None = None) -> DataFrame:
+    """Comments with new ones that aren't blank, trimmed; without those that their own writer removes (comment_id, user_id)."""
+    new = incoming.withColumn("comment", F.trim("comment")).where("comment <> ''")
+    out = comments.unionByName(new, allowMissingColumns=True)
+    return out.join(removals.select("comment_id", "user_id"), ["comment_id", "user_id"], "left_anti") if removals is not None else out
+
+
+def media_append(media: DataFrame, incoming: DataFrame, canonical: DataFrame, deleted: DataFrame | None = None) -> DataFrame:
+    """Media with new files under their entity's canonical name (name, canonical_name); the comment is the caption if there is one."""
+    named = incoming.join(canonical, incoming["entity_name"] == canonical["name"], "left").drop("name")
+    named = named.withColumn("entity_name", F.coalesce("canonical_name", "entity_name")).drop("canonical_name")
+    named = named.withColumn("caption", F.coalesce(F.nullif(F.trim("comment"), F.lit("")), F.col("caption"))).drop("comment")
+    out = media.unionByName(named, allowMissingColumns=True)
+    return out.join(deleted.select("id"), "id", "left_anti") if deleted is not None else out

@@ -110,3 +110,37 @@ def test_hydration_and_enrichment(spark):
     c = spark.createDataFrame([("http://a", "new title", "x" * 30)], "url string, title string, content string")
     out = joins.merge_enrichment(r, c).first()
     assert (out.title, out.snippet, out.enriched) == ("new title", "x" * 30, True)
+
+
+def test_entity_page(spark):
+    e = spark.createDataFrame([(1, "n", "zoo"), (2, "m", "odd")], "entity_id long, name string, entity_type string")
+    p = spark.createDataFrame([(1, "h", " ", None, ["u"])], "entity_id long, headline string, intro string, cover string, gallery array<string>")
+    c = spark.createDataFrame([(1, i, f"c{i}") for i in range(7)], "entity_id long, comment_id long, comment string")
+    m = spark.createDataFrame([("n", 1, "f1"), ("n", 2, "f2")], "entity_name string, id long, url string")
+    out = {r.entity_id: r for r in joins.entity_page(e, p, c, m, {"zoo": "a zoo"}).collect()}
+    assert (out[1].cover, out[1].gallery, out[1].intro, out[1].comment_count) == ("u", [], "a zoo", 7)
+    assert out[1].recent_comments == ["c6", "c5", "c4", "c3", "c2"] and out[1].recent_media == ["f2", "f1"] and out[2].comment_count == 0
+
+
+def test_card_texts(spark):
+    from attesta.functions import classify as C
+
+    card = spark.createDataFrame([("supporting", "news", "weak", 32, 50, 60, "recent", "low")], "stance string, source_type string, strength string, first_hand int, relevance int, credibility int, recency string, duplicate_risk string")
+    row = card.select(C.notes().alias("n"), C.card_summary(F.lit("")).alias("s"), C.question_focus(F.lit("最近的募資")).alias("q"), C.review_tone(F.lit(3), F.lit(1)).alias("t"), C.platform_label(F.lit("PTT"), F.lit("")).alias("p")).first()
+    assert "32/100" in row.n and "新聞轉述" in row.n and row.s == "新聞整理，這則內容偏向支持疑慮。" and tuple(row.q) == (True, False, True) and (row.t, row.p) == ("negative", "ptt")
+
+
+def test_maintained_tables(spark):
+    t = spark.createDataFrame([("u", "s", "news", "t", "long content", "a", None)], "url string, site_name string, source_type string, title string, content string, author string, published_at string")
+    c = spark.createDataFrame([("u", "S", "forum", "T", "snip", "2020", 1), ("w", "S", "forum", "T", "snip", None, 2)], "url string, source string, source_type string, title string, snippet string, published_at string, ord long")
+    out = {r.url: r for r in tables.upsert_evidence_sources(t, c).collect()}
+    assert tuple(out["u"]) == ("u", "S", "forum", "T", "snip", "a", "2020") and out["w"].author is None
+    e = spark.createDataFrame([("n", ["al"])], "name string, aliases array<string>")
+    assert [r.name for r in tables.create_entities(e, spark.createDataFrame([("n",), ("al",), (" new ",), ("",)], "name string")).collect()] == ["new"]
+    old = spark.createDataFrame([(1, 7, "x"), (2, 8, "y")], "comment_id long, user_id long, comment string")
+    gone = spark.createDataFrame([(1, 7), (2, 7)], "comment_id long, user_id long")
+    assert sorted(r.comment_id for r in tables.append_comments(old, spark.createDataFrame([(3, 7, " z "), (4, 7, " ")], old.schema), gone).collect()) == [2, 3]
+    m = spark.createDataFrame([(1, "n", "c")], "id long, entity_name string, caption string")
+    new = spark.createDataFrame([(2, "al", "c2", "said")], "id long, entity_name string, caption string, comment string")
+    names_ = spark.createDataFrame([("al", "n")], "name string, canonical_name string")
+    assert sorted(tuple(r) for r in tables.media_append(m, new, names_, spark.createDataFrame([(1,)], "id long")).collect()) == [(2, "n", "said")]

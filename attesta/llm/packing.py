@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -15,8 +16,8 @@ from attesta.llm.common import stored
 
 #: Tokens of a sequence; id after each document; tokens that one task packs at once; blocks that meet in the next round.
 SEQUENCE, END_ID, BLOCK_TOKENS, FAN = 4096, 1, 8_000_000, 64
-#: Words, and runs of letters or marks, whose ids a Python worker keeps at most; runs and texts of one call.
-MEMO_WORDS, MEMO_RUNS, CALL_WORDS, CALL_TEXTS = 800_000, 600_000, 2_000, 64
+#: Words whose ids a Python worker keeps at most; words and texts of one call.
+MEMO_WORDS, CALL_WORDS, CALL_TEXTS = 1_000_000, 2_000, 64
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -25,12 +26,16 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _MARKS = ".,;:!?%$&*#|()[]{}<>=+-_/\\\"@^~`"
 
 
+#: A single mark between a letter and white space or the end: it is a token run of its own.
+_MARK_APART = re.compile(r"([.,;:!?])(?<=[^\W\d_].)(?=[ \n]|\Z)")
+
+
 class WordIds:
     """Ids of white-space-free words, as little-endian bytes, exactly as the tokenizer gives them in a text.
 
-    No token crosses ASCII white space, so that ids are kept by word. A word of letters, with or without
-    marks after it, is one run of letters and one of marks for the tokenizer; runs of letters are encoded many at once and
-    told apart by their last tokens, which end a word in the vocabulary. Everything else goes through the tokenizer word by word.
+    No token crosses ASCII white space, so that ids are kept by word. For the tokenizer, letters and the marks after them are
+    runs of their own, so they are learnt apart. Runs of letters are encoded many at once and told apart by their last
+    tokens, which end a word in the vocabulary; all else goes through the tokenizer word by word.
     """
 
     def __init__(self, tokenizer: str):
@@ -41,49 +46,57 @@ class WordIds:
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.words: dict[bytes, bytes] = {}
-        self.runs: dict[str, bytes] = {}
 
-    def _encode(self, runs: list[str]) -> list[bytes]:
-        out = []
-        for i in range(0, len(runs), CALL_WORDS):
-            out += [np.array(e.ids, "<u4").tobytes() for e in self.bpe.encode_batch(runs[i : i + CALL_WORDS], add_special_tokens=False)]
-        return out
+    @staticmethod
+    def split(text: str) -> list[bytes]:
+        """Words, whose ids in order are the text's."""
+        return _MARK_APART.sub(r" \1", text).encode("utf-8", "replace").split()
 
-    def _learn_runs(self, letters: list[str], others: list[str]) -> None:
-        for i in range(0, len(letters), CALL_WORDS):
-            part = letters[i : i + CALL_WORDS]
-            ids = np.array(self.bpe.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+    def _encode(self, words: list[str]) -> None:
+        for i in range(0, len(words), CALL_WORDS):
+            part = words[i : i + CALL_WORDS]
+            for w, e in zip(part, self.bpe.encode_batch(part, add_special_tokens=False)):
+                self.words[w.encode("utf-8", "replace")] = np.array(e.ids, "<u4").tobytes()
+
+    def _encode_letters(self, runs: list[str]) -> None:
+        for i in range(0, len(runs), CALL_WORDS):
+            part = runs[i : i + CALL_WORDS]
+            joined = " ".join(part)
+            ids = np.array(self.bpe.encode(joined, add_special_tokens=False).ids, "<u4")
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) == len(part) and cuts[-1] == len(ids):
                 data, at = ids.tobytes(), [0, *(4 * cuts).tolist()]
-                self.runs.update(zip(part, (data[x:y] for x, y in zip(at, at[1:]))))
+                self.words.update(zip(joined.encode().split(b" "), (data[x:y] for x, y in zip(at, at[1:]))))
             else:
-                self.runs.update(zip(part, self._encode(part)))
-        self.runs.update(zip(others, self._encode(others)))
+                self._encode(part)
 
     def learn(self, words: set[bytes]) -> None:
         """Make the ids of words known."""
-        new = {w for w in words if w not in self.words}
-        if new and len(self.words) + len(new) > MEMO_WORDS:
-            self.words.clear()
-            new = words  # all of these texts' words must be there
-        parts = {}
+        known = self.words
+        new = [w for w in words if w not in known]
+        if len(known) + len(new) > MEMO_WORDS:
+            known.clear()
+            new = list(words)  # all words of these texts must be there
+        letters: set[str] = set()
+        others: set[str] = set()
+        parts = []
         for word in new:
             w = word.decode("utf-8", "replace")
+            if w.isalpha():
+                letters.add(w)
+                continue
             run = w.rstrip(_MARKS)
-            if not run.isalpha():
-                run = w if run else ""
-            marks = w[len(run) :]
-            if run and (run.isascii() or max(run) < "\u0250" and "\u0130" not in run):
-                run = run.lower()  # as the tokenizer does; fewer runs are left
-            parts[word] = (run, marks)
-        if len(self.runs) > MEMO_RUNS:
-            self.runs.clear()
-        runs = {r for pair in parts.values() for r in pair if r and r not in self.runs}
-        self._learn_runs([r for r in runs if r.isalpha()], [r for r in runs if not r.isalpha()])
-        known = self.runs
-        for word, (run, marks) in parts.items():
-            self.words[word] = (known[run] if run else b"") + (known[marks] if marks else b"")
+            if run != w and run.isalpha():
+                marks = w[len(run) :]
+                parts.append((word, run.encode(), marks.encode()))
+                letters.add(run)
+                others.add(marks)
+            else:
+                others.add(w)
+        self._encode_letters([w for w in letters if w.encode() not in known])
+        self._encode([w for w in others if w.encode("utf-8", "replace") not in known])
+        for word, run, marks in parts:
+            known[word] = known[run] + known[marks]
 
 
 def _pieces(tokenizer: str, sequence: int, end_id: int):
@@ -98,7 +111,7 @@ def _pieces(tokenizer: str, sequence: int, end_id: int):
         for batch in batches:
             texts, rows = batch.column("text"), []
             for first in range(0, len(texts), CALL_TEXTS):
-                found = [(t.as_py() or "").encode("utf-8", "replace").split() for t in texts[first : first + CALL_TEXTS]]
+                found = [ids.split(t.as_py() or "") for t in texts[first : first + CALL_TEXTS]]
                 ids.learn(set().union(*found))
                 for i, words in enumerate(found, first):
                     data = b"".join(map(ids.words.__getitem__, words)) + end

@@ -126,7 +126,7 @@ def exact_cache_hit(v, t):
 c AS (SELECT q.entity_id, count(DISTINCT c.source_id) AS n FROM v_queries q JOIN v_cards c ON c.query_id = q.query_id GROUP BY 1),
 s AS (SELECT * FROM (SELECT entity_id, search_mode, created_at, source_count, row_number() OVER (PARTITION BY entity_id, search_mode ORDER BY created_at DESC, query_id DESC) AS k
   FROM (SELECT q.*, (SELECT count(*) FROM v_cards x WHERE x.query_id = q.query_id) AS source_count FROM v_queries q)) WHERE k = 1),
-m AS (SELECT entity_id, search_mode FROM v_watchlist CROSS JOIN (SELECT DISTINCT search_mode FROM v_queries))
+m AS (SELECT entity_id, unnest(['F', 'O', 'P']) AS search_mode FROM v_watchlist)
 SELECT m.entity_id, m.search_mode, CASE WHEN coalesce(c.n, 0) < 4 THEN 'insufficient_cached_sources' WHEN s.source_count IS NULL THEN 'missing_snapshot'
   WHEN s.source_count < 4 THEN 'insufficient_snapshot_sources' WHEN s.created_at IS NULL THEN 'snapshot_age_unknown'
   WHEN date_diff('second', s.created_at, TIMESTAMP '{AS_OF}') / 3600.0 > 8760 THEN 'stale_snapshot' ELSE 'fresh_snapshot' END AS reason
@@ -139,7 +139,7 @@ def cache_decision(v, t):
     queries, cards = v("v_queries"), v("v_cards")
     cached = queries.join(cards, "query_id").groupBy("entity_id").agg(F.countDistinct("source_id").alias("cached_sources"))
     counted = queries.join(cards.groupBy("query_id").agg(F.count("*").alias("source_count")), "query_id", "left").fillna(0, ["source_count"])
-    requests = v("v_watchlist").select("entity_id").join(F.broadcast(queries.select("search_mode").distinct().limit(100)), how="cross")
+    requests = v("v_watchlist").select("entity_id", F.explode(F.array(*map(F.lit, "FOP"))).alias("search_mode"))
     return freshness.cache_decision(requests, cached, counted, AS_OF, max_age_hours=8760)
 
 

@@ -44,15 +44,15 @@ def weighted_sample(term: Column, log_weight: Column, j: int) -> Column:
 
 
 def signatures(terms: DataFrame, keys: list[str], samples: int = SAMPLES) -> DataFrame:
-    """(keys, signature): signature array<long> of the terms of each key.
+    """(keys, a_term, signature): one of the terms, and the signature, an array<long>, of each key.
 
     terms: (keys, term), a row for each occurrence, term a long hash. If the rows of a key are in one
     partition already, neither aggregation shuffles.
     """
     counted = terms.groupBy(*keys, "term").agg(F.count("*").alias("n"))
     counted = counted.select(*keys, "term", F.log(F.col("n").cast("double")).alias("log_n"))
-    drawn = counted.groupBy(*keys).agg(*(F.min(weighted_sample(F.col("term"), F.col("log_n"), j)).alias(f"s{j}") for j in range(samples)))
-    return drawn.select(*keys, F.array(*(f"s{j}" for j in range(samples))).alias("signature"))
+    drawn = counted.groupBy(*keys).agg(F.max("term").alias("a_term"), *(F.min(weighted_sample(F.col("term"), F.col("log_n"), j)).alias(f"s{j}") for j in range(samples)))
+    return drawn.select(*keys, "a_term", F.array(*(f"s{j}" for j in range(samples))).alias("signature"))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -90,24 +90,29 @@ def fingerprint_with_edits(docs: DataFrame, samples: int = SAMPLES) -> DataFrame
 
     # texts are shuffled once, by key; the donated parts go to the documents before them
     window = Window.partitionBy("id", "mark").orderBy("no_id")
-    texts = keyed.withColumn("_copy", F.row_number().over(window)).where("_copy = 1").drop("_copy")
-    gives = order.select(F.col("next_id").alias("id"), F.col("next_mark").alias("mark"), F.col("id").alias("to_id"), F.col("mark").alias("to_mark"), F.floor(F.col("n_chars") / 2).cast("int").alias("chars"), "n_chars", "no_id")
-    donated = texts.drop("no_id").join(gives.hint("merge"), ["id", "mark"])
+    texts = keyed.withColumn("_copy", F.row_number().over(window)).where("_copy = 1").drop("_copy", "no_id")
+    gives = order.select(F.col("next_id").alias("id"), F.col("next_mark").alias("mark"), F.col("id").alias("to_id"), F.col("mark").alias("to_mark"), F.floor(F.col("n_chars") / 2).cast("int").alias("chars"), "n_chars")
+    donated = texts.join(gives.hint("merge"), ["id", "mark"])
     donated = donated.select(F.col("to_id").alias("id"), F.col("to_mark").alias("mark"), F.expr("substring(text, 1, chars)").alias("donor"), "chars", "n_chars")
     both = texts.join(donated.hint("merge"), ["id", "mark"])
     edited = F.concat(F.expr("substring(text, 1, cast(n_chars as int) - chars)"), F.col("donor"))
     both = both.withColumn("edited", edited).withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256))
 
-    versions = F.explode(F.array(F.struct(F.lit(0).alias("version"), F.col("text").alias("text")), F.struct(F.lit(1).alias("version"), F.col("edited").alias("text"))))
-    keys = ["id", "mark", "no_id", "n_chars", "edited_sha256", "version"]
-    rows = both.select(*keys[:-1], versions.alias("v")).select(*keys[:-1], "v.version", F.explode(terms_of(F.col("v.text"))).alias("term"))
-    signed = signatures(rows.select(*keys, F.xxhash64("term").alias("term")), keys, samples)
-    own = F.max(F.when(F.col("version") == 0, F.col("signature"))).alias("signature")
-    other = F.max(F.when(F.col("version") == 1, F.col("signature"))).alias("edited_signature")
-    signed = stored(signed.groupBy(*keys[:-1]).agg(own, other), "signatures")
+    # version 0 is the text, 1 the edited one; 2 to 5 carry the digest through the aggregations as four longs,
+    # so that their keys are longs alone and many fit in memory
+    digest = [F.struct(F.lit(2 + i).alias("version"), F.substring("edited_sha256", 16 * i + 1, 16).alias("text")) for i in range(4)]
+    versions = F.array(F.struct(F.lit(0).alias("version"), F.col("text").alias("text")), F.struct(F.lit(1).alias("version"), F.col("edited").alias("text")), *digest)
+    keys = ["id", "mark", "version"]
+    rows = both.select("id", "mark", F.explode(versions).alias("v")).select("id", "mark", "v.version", F.explode(terms_of(F.col("v.text"))).alias("word"))
+    term = F.when(F.col("version") < 2, F.xxhash64("word")).otherwise(F.conv("word", 16, -10).cast("long"))
+    signed = signatures(rows.select(*keys, term.alias("term")), keys, samples)
+    of = lambda v, c: F.max(F.when(F.col("version") == v, F.col(c)))
+    pieces = F.concat(*(F.lpad(F.lower(F.hex(of(2 + i, "a_term"))), 16, "0") for i in range(4)))
+    signed = signed.groupBy("id", "mark").agg(of(0, "signature").alias("signature"), of(1, "signature").alias("edited_signature"), pieces.alias("edited_sha256"))
+    signed = stored(signed, "signatures")
 
     following = signed.select(F.col("id").alias("next_id"), F.col("mark").alias("next_mark"), F.col("signature").alias("next_signature"))
-    out = signed.join(order.select("id", "mark", "next_id", "next_mark").hint("merge"), ["id", "mark"]).join(following.hint("merge"), ["next_id", "next_mark"])
+    out = signed.join(order.select("id", "mark", "no_id", "n_chars", "next_id", "next_mark").hint("merge"), ["id", "mark"]).join(following.hint("merge"), ["next_id", "next_mark"])
     return out.select(
         F.when(~F.col("no_id"), F.col("id")).alias("doc_id"),
         "n_chars",

@@ -1,3 +1,4 @@
+import random
 import re
 from collections import defaultdict
 
@@ -123,3 +124,35 @@ def test_tiles_lose_no_link(spark):
             if ((a ^ b) & ((1 << 64) - 1)).bit_count() <= 2:
                 assert got.root(a) == got.root(b)
     assert df.select(F.count("*")).first()[0] == len(prints)
+
+
+def jaccard(a, b):
+    x, y = ({t[k : k + 5] for k in range(len(t) - 4)} or {t} for t in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def edited(draw, line, letters):
+    chars = list(line)
+    while jaccard("".join(chars), line) > 0.87:
+        chars[draw.randrange(len(chars))] = draw.choice(letters)
+    return "".join(chars)
+
+
+def test_recall_of_pairs_just_above_the_bound(spark):
+    draw = random.Random(11)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    kinds = [
+        lambda: " ".join("".join(draw.choice(letters) for _ in range(draw.randrange(2, 9))) for _ in range(25)),
+        lambda: "".join(draw.choice(letters) for _ in range(120)),
+        lambda: "".join(chr(0x4E00 + draw.randrange(5000)) for _ in range(90)),
+    ]
+    pairs = []
+    while len(pairs) < 900:
+        line = kinds[len(pairs) % 3]()
+        copy = edited(draw, line, letters)
+        if 0.8 <= jaccard(line, copy) < 0.9:
+            pairs.append((line, copy))
+    rows = [(2 * i + k, pair[k]) for i, pair in enumerate(pairs) for k in (0, 1)]
+    out = {r.doc_id: r.text for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert all(out[2 * i] == pair[0] for i, pair in enumerate(pairs))
+    assert sum(out[2 * i + 1] == "" for i in range(len(pairs))) >= 0.985 * len(pairs)

@@ -156,3 +156,35 @@ def test_recall_of_pairs_just_above_the_bound(spark):
     out = {r.doc_id: r.text for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
     assert all(out[2 * i] == pair[0] for i, pair in enumerate(pairs))
     assert sum(out[2 * i + 1] == "" for i in range(len(pairs))) >= 0.985 * len(pairs)
+
+
+def test_lines_that_begin_alike_are_not_all_compared(spark, monkeypatch):
+    draw = random.Random(5)
+    urls = ["https://www.example.com/shop/" + "".join(draw.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(30)) for _ in range(400)]
+    copies = ["h" + u[2:] for u in urls[:50]]  # differ within the first characters
+    compared = []
+
+    def counted(pairs, texts, verified=lines._verified):
+        compared.append(pairs.count())
+        return verified(pairs, texts)
+
+    monkeypatch.setattr(lines, "_verified", counted)
+    rows = list(enumerate(urls + copies))
+    out = {r.doc_id: r.text for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(out[i] == u for i, u in enumerate(urls)) and sum(out[400 + i] == "" for i in range(50)) >= 49
+    assert sum(compared) <= 4 * len(rows)
+
+
+def test_mixed_members_meet_exactly(spark):
+    draw = random.Random(8)
+    words = ["".join(draw.choice("abcdef") for _ in range(5)) for _ in range(40)]
+    texts = [" ".join(draw.choice(words) for _ in range(12)) for _ in range(30)]
+    for t in list(texts):
+        for at in (0, 25, 50):
+            texts.append(t[:at] + "xy" + t[at + 2 :])
+    texts += ["abc", "abcde", "ünïcode ß line of some length", "ünïcode ß line of some lengt"]
+    rows = [(i, t) for i, t in enumerate(sorted(set(texts)))]
+    members = spark.createDataFrame([(i, i) for i, _ in rows], "line_id long, component long")
+    got = {(r.a, r.b) for r in lines._across(members, spark.createDataFrame(rows, "line_id long, line string")).collect()}
+    want = {(a, b) for a, x in rows for b, y in rows if a < b and jaccard(x, y) >= 0.8}
+    assert want <= got and want

@@ -17,9 +17,8 @@ from attesta.llm.toxicity import fold_of
 
 #: Words whose counts tasks hold, at most; words of others are looked up by a join. Distinct words of a task's partial counts.
 HEAD_WORDS, PARTIAL_WORDS = 200_000, 400_000
-#: Share of the training documents that the recurrent model is trained on, which grows with the corpus (of a small corpus
-#: as much as makes LEAST_TOKENS); tokens of one shard of training, about.
-TRAIN_SHARE, LEAST_TOKENS, SHARD_TOKENS = 1 / 16, 500_000, 400_000
+#: Tokens of one shard of training, about.
+SHARD_TOKENS = 400_000
 #: The end of a text is the word "", which no text holds.
 END = ""
 
@@ -109,17 +108,15 @@ def _train(model: gru.Gru, words: list[bytes], passes: int):
 
 
 def train_model(docs: DataFrame, words: list[bytes], class_counts: np.ndarray, total: int, rounds: int = 2) -> gru.Gru:
-    """Train on shards of a share of docs and average the shards' weights, by their tokens, after each round.
+    """Train on shards of all docs and average the shards' weights, by their tokens, after each round.
 
     The first round is one shard alone, so that the others start from one place; each further round is all shards.
     Shards are dealt by hash and about SHARD_TOKENS long, whatever the corpus; only averages reach the driver.
     """
     model = gru.Gru.start(class_counts)
-    share = max(TRAIN_SHARE, min(1.0, LEAST_TOKENS / max(1, total)))
-    shards = max(1, math.ceil(total * share / SHARD_TOKENS))
+    shards = max(1, math.ceil(total / SHARD_TOKENS))
     luck = F.xxhash64("doc_id", F.lit(3))
     drawn = docs.select("doc_id", "text", luck.alias("luck"))
-    drawn = drawn.where(F.pmod(F.shiftrightunsigned("luck", 20), F.lit(1_000_000)) < int(share * 1_000_000))
     drawn = stored(drawn.select("text", "luck", F.pmod("luck", F.lit(shards)).alias("shard")), "training-texts")
     for r in range(rounds):
         part = drawn.where("shard = 0") if r == 0 else drawn

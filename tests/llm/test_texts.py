@@ -213,3 +213,15 @@ def test_rare_words_are_looked_up_by_a_join(docs, monkeypatch):
 
 def test_language_model_of_nothing(empty):
     assert language_model.score_documents(empty, empty).count() == 0
+
+
+def test_language_model_learns_from_all_documents(docs, monkeypatch):
+    monkeypatch.setattr(language_model, "LEAST_TOKENS", 0, raising=False)
+    monkeypatch.setattr(language_model, "SHARD_TOKENS", 4000)
+    tables = {}
+    monkeypatch.setattr(language_model, "stored", lambda df, name, stored=language_model.stored: tables.setdefault(name, stored(df, name)))
+    training = docs.where("doc_id is not null")
+    total = sum(len(language_model.tokens(r.text)) + 1 for r in training.collect())
+    language_model.train_model(training, [b"", b"a"], np.ones(gru.INPUTS), total)
+    trained = tables["weights1"].select("n").distinct().count(), tables["training-texts"].count()
+    assert trained[0] > 1 and trained[1] == training.count()

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attesta.llm.common import BLANKS, stored
+from attesta.llm.common import BLANKS, lookup_join, stored
 from attesta.llm.components import components
 
 SHINGLE_WORDS, RADIUS, SEED = 3, 2, 42
@@ -35,21 +35,22 @@ def simhash(text: str, words, width: int) -> int:
     return int(bits.view("<i8")[0])
 
 
-def _fingerprints(width: int):
+def _fingerprints(width: int, keep: list[str]):
     pattern = rf"[^{BLANKS}]+".encode().decode("unicode_escape")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = re.compile(pattern).findall
         for batch in batches:
             prints = [simhash(t or "", words, width) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints, pa.int64())], ["doc_id", "bits"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints, pa.int64()), *(batch.column(c) for c in keep)], ["doc_id", "bits", *keep])
 
     return run
 
 
-def fingerprints(docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
-    """(doc_id, bits): the 64-bit SimHash of every whole text over its shingles of `width` lower-cased words."""
-    return docs.select("doc_id", "text").mapInArrow(_fingerprints(width), "doc_id long, bits long")
+def fingerprints(docs: DataFrame, width: int = SHINGLE_WORDS, keep: list[str] = []) -> DataFrame:
+    """(doc_id, bits, keep): the 64-bit SimHash of every whole text over its shingles of `width` lower-cased words."""
+    kept = "".join(f", {f.name} {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
+    return docs.select("doc_id", "text", *keep).mapInArrow(_fingerprints(width, keep), f"doc_id long, bits long{kept}")
 
 
 def _segment_counts(bits: str, segment: int):
@@ -124,6 +125,28 @@ def near_links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     return pairs.mapInArrow(_compare(radius), "a long, b long")
 
 
+def _grouped(prints: DataFrame, radius: int) -> DataFrame:
+    """(bits, least_id, component) of each distinct fingerprint; the component is named by one of its fingerprints."""
+    distinct = stored(prints.groupBy("bits").agg(F.min("doc_id").alias("least_id")), "distinct-fingerprints")
+    joined = stored(components(near_links(distinct, radius)), "components")
+    named = distinct.join(joined.hint("merge"), F.col("bits") == F.col("node"), "left").select("bits", "least_id", F.coalesce("component", "bits").alias("component"))
+    return stored(named, "named")
+
+
+def other_rows(docs: DataFrame, row: str, radius: int = RADIUS, width: int = SHINGLE_WORDS) -> DataFrame:
+    """(row): of each component of documents the rows but one, which is the least by (doc_id, row), null doc_ids last.
+
+    row: a column of docs whose values are unique and not null. Components are those of `near_duplicates`; rows of equal or
+    no doc_ids are told apart.
+    """
+    prints = stored(fingerprints(docs, width, [row]), "fingerprints")
+    named = _grouped(prints, radius).select("bits", "component")
+    placed = stored(prints.join(named.hint("merge"), "bits").select("component", "doc_id", row), "placed-rows")
+    best = placed.groupBy(F.col("component").alias("c")).agg(F.count("*").alias("n"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", row)).alias("first"))
+    best = stored(best.where("n > 1").select("c", F.col("first")[row].alias("first")), "first-rows")
+    return lookup_join(placed, best, F.col("component") == F.col("c")).where(F.col(row) != F.col("first")).select(row)
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, width: int = SHINGLE_WORDS) -> DataFrame:
     """(doc_id, bits, component_id) of every document; component_id is the least doc_id that links reach.
 
@@ -133,10 +156,7 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, width: int = SHINGLE_
     unless all its ids are null; an empty table gives no rows; other columns are not read.
     """
     prints = stored(fingerprints(docs, width), "fingerprints")
-    distinct = stored(prints.groupBy("bits").agg(F.min("doc_id").alias("least_id")), "distinct-fingerprints")
-    joined = stored(components(near_links(distinct, radius)), "components")
-    named = distinct.join(joined.hint("merge"), F.col("bits") == F.col("node"), "left").select("bits", "least_id", F.coalesce("component", "bits").alias("component"))
-    named = stored(named, "named")
+    named = _grouped(prints, radius)
     least = stored(named.groupBy("component").agg(F.min("least_id").alias("component_id")), "least-ids")
     named = stored(named.join(least.hint("merge"), "component").select("bits", "component_id"), "fingerprint-components")
     return prints.join(named.hint("merge"), "bits").select("doc_id", "bits", "component_id")

@@ -68,3 +68,14 @@ def test_pipeline(spark):
             ids = kept
         else:
             assert {r.doc_id for r in out.select("doc_id").collect()} == ids
+
+
+@pytest.mark.skipif(importlib.util.find_spec("corpus_pipeline") is None, reason="the pipeline was removed")
+def test_one_row_of_each_group_of_copies_stays(spark):
+    import corpus_pipeline
+
+    text = {k: " ".join(f"{k}{i}" for i in range(30)) for k in "abcd"}
+    rows = [(1, text["a"])] * 3 + [(None, text["a"]), (None, text["b"]), (None, text["b"]), (2, text["c"]), (3, text["c"]), (3, text["d"])]
+    out = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), SMALL)
+    assert out.columns == ["doc_id", "text"]
+    assert sorted(map(tuple, out.collect()), key=lambda r: r[1]) == [(1, text["a"]), (None, text["b"]), (2, text["c"]), (3, text["d"])]

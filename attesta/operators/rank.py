@@ -140,13 +140,28 @@ def list_reviews(reviews: DataFrame, limit: int = 20, offset: int = 0) -> DataFr
     return page(reviews, ["entity"], order, limit, offset)
 
 
+def containing(rows: DataFrame, text: Column, needles: DataFrame, needle: Column, gram: int = 3, few: int = 1000) -> DataFrame:
+    """Join rows with the needles that their text contains, each pair once.
+
+    Few needles (counted) are broadcast. Beyond that an equi-join on the needle's first gram stands before the test, so that a
+    text only meets needles that start somewhere in it. An empty needle is in every text, null is in none.
+    """
+    if needles.limit(few + 1).count() <= few:
+        return rows.join(F.broadcast(needles), F.contains(text, needle))
+    wanted = needles.withColumn("_first", F.substring(needle, 1, gram)).where("_first is not null")
+    lengths = [r.n for r in wanted.select(F.length("_first").alias("n")).distinct().collect()]  # at most gram + 1 of them
+    grams = F.array_distinct(F.concat(*(F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{{n}}}))"), 1) if n else F.array(F.lit("")) for n in lengths)))
+    met = rows.withColumn("_gram", F.explode(grams)).join(wanted.hint("merge"), F.col("_gram") == F.col("_first"))
+    return met.where(F.contains(text, needle)).drop("_gram", "_first")
+
+
 def suggest_entities(needles: DataFrame, entities: DataFrame, limit: int = 10) -> DataFrame:
     """Entities whose name contains the needle: those that start with it first, then by reviews, then name.
 
-    needles: (needle), one of few and given ones; entities: (name, reviews).
+    needles: (needle), any number; entities: (name, reviews).
     """
     n, name = F.lower("needle"), F.lower("name")
-    found = entities.join(F.broadcast(needles.limit(1000)), F.contains(name, n))
+    found = containing(entities, name, needles, n)
     return top(found, ["needle"], [F.startswith(name, n).desc(), F.desc("reviews"), F.col("name")], limit)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from attesta.functions.lexicon import any_of
 from attesta.functions.text import host_of, normalize_html_text, normalized, strip
-from attesta.operators.rank import top
+from attesta.operators.rank import containing, top
 
 RESULT = ["query_key", "url", "title", "content", "snippet", "source", "source_type", "published_date"]
 
@@ -108,7 +108,7 @@ def forum_listing(pages: DataFrame, keywords: DataFrame, year: int, per_keyword:
     link = F.regexp_extract("b", r'<a href="([^"]+)"', 1)
     day = F.regexp_extract("b", r'<div class="date">\s*(\d{1,2}/\d{1,2})', 1)
     rows = rows.select("board", "pos", link.alias("path"), _text(F.regexp_extract("b", r'(?s)<div class="title">(.*?)</div>', 1)).alias("title"), F.to_date(F.try_to_timestamp(F.concat(F.lit(f"{year}/"), day), F.lit("yyyy/M/d"))).alias("day"), F.expr("try_cast(regexp_extract(b, '<span class=\"hl[^\"]*\">(\\\\d+)', 1) as int)").alias("pushes"))
-    met = rows.where("path <> ''").join(F.broadcast(keywords.limit(10_000)), F.contains(F.lower("title"), F.lower("keyword")))
+    met = containing(rows.where("path <> ''"), F.lower("title"), keywords, F.lower("keyword"))
     return top(met, ["board", "keyword"], [F.col("pos")], per_keyword)
 
 

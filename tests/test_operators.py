@@ -9,6 +9,7 @@ from attesta.functions import classify as C
 from attesta.functions import names, text
 from attesta.operators import dedup, joins, metrics, rank, tables
 from attesta.plans import analysis, freshness, search
+from attesta.sources import payloads
 
 
 def test_dedup_keeps_rows_whose_rival_was_dropped(spark):
@@ -167,3 +168,17 @@ def test_relabel_junk_is_idempotent(spark):
     once = tables.relabel_junk(df)
     assert sorted(once.collect()) == sorted(tables.relabel_junk(once).collect())
     assert once.where("review_id = 1").first().content_type == "unrelated"
+
+
+def test_no_needle_is_dropped(spark):
+    names = spark.createDataFrame([(f"Entity N{i:05d}x", i) for i in range(1500)] + [(None, 1)], "name string, reviews long")
+    needles = spark.createDataFrame([(f"n{i:05d}X",) for i in range(1500)] + [("",), (None,), ("zz",), ("Y N",)], "needle string")
+    got = rank.suggest_entities(needles, names).groupBy("needle").count().collect()
+    assert {r.needle: r["count"] for r in got} == {f"n{i:05d}X": 1 for i in range(1500)} | {"": 10, "Y N": 10}
+
+
+def test_no_keyword_is_dropped(spark):
+    html = "".join(f'<div class="r-ent"><div class="title"><a href="/a{i}">Title k{i:05d}</a></div><div class="date"> 1/02</div></div>' for i in range(0, 10_500, 500))
+    keywords = spark.createDataFrame([(f"K{i:05d}", "e") for i in range(10_500)], "keyword string, entity string")
+    got = payloads.forum_listing(spark.createDataFrame([("b", html)], "board string, html string"), keywords, 2024).collect()
+    assert {r.keyword for r in got} == {f"K{i:05d}" for i in range(0, 10_500, 500)}

@@ -17,23 +17,25 @@ BROADCAST_ROWS = 50_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where none is set (local tests)."""
+    """The folder that all executors share: spark.checkpoint.dir. Without one, a temporary folder serves a single machine
+    (master local, as in tests), and a cluster is an error."""
     context = spark.sparkContext
     found = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = tempfile.mkdtemp(prefix="attesta-shared-")
-        context.setCheckpointDir(found)
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="attesta-shared-"))
         found = context.getCheckpointDir()
     return found.rstrip("/")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back.
 
     Cuts the lineage, survives the loss of executors, and gives later joins true sizes.
     """
     path = f"{shared_dir(df.sparkSession)}/attesta/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

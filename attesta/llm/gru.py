@@ -6,21 +6,28 @@ open classes, by its first two bytes, and has a fixed share of its class's proba
 
 from __future__ import annotations
 
+import functools
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 
-WORDS, CLASS_WORDS, BUCKETS, HIDDEN = 768, 16, 48, 16
+WORDS, CLASS_WORDS, BUCKETS, HIDDEN = 1024, 32, 48, 16
 CLASSES = WORDS // CLASS_WORDS + BUCKETS
 INPUTS = WORDS + BUCKETS
-#: Steps of a window of truncated backpropagation, parallel streams, step size.
-WINDOW, STREAMS, RATE = 20, 64, 0.01
+#: Steps of a window of truncated backpropagation, parallel streams of a long text, tokens of a stream at least, step size.
+WINDOW, STREAMS, STREAM_TOKENS, RATE = 20, 256, 400, 0.01
 F32 = np.float32
 
 
+@functools.cache  # of two bytes at most
+def _bucket(start: bytes) -> int:
+    return zlib.crc32(start) % BUCKETS
+
+
 def bucket_of(word: bytes) -> int:
-    return zlib.crc32(word[:2]) % BUCKETS
+    return _bucket(word[:2])
 
 
 @dataclass
@@ -56,8 +63,9 @@ class Gru:
             at += old.size
         return Gru(**out)
 
-    def step(self, h: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, ...]:
-        gx, a = self.x[ids], h @ self.u
+    def step(self, h: np.ndarray, gx: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The next state from the input rows gx of its words, and what the gradients need of it."""
+        a = h @ self.u
         zr = 1 / (1 + np.exp(-(gx[:, : 2 * HIDDEN] + a[:, : 2 * HIDDEN])))
         z, r, an = zr[:, :HIDDEN], zr[:, HIDDEN:], a[:, 2 * HIDDEN :]
         n = np.tanh(gx[:, 2 * HIDDEN :] + r * an)
@@ -67,14 +75,36 @@ class Gru:
         """Natural log of the probability of each target word, or of its open class."""
         logits = h @ self.c + self.cb
         words = targets < WORDS
-        cls = np.where(words, targets // CLASS_WORDS, targets - WORDS + WORDS // CLASS_WORDS)
-        out = logits[np.arange(len(h)), cls] - _log_sum(logits)
-        i = np.flatnonzero(words)
-        inner = np.matmul(self.w[cls[i]], h[i][:, :, None])[:, :, 0] + self.wb[cls[i]]
-        out[i] += inner[np.arange(len(i)), targets[i] % CLASS_WORDS] - _log_sum(inner)
+        out = logits[np.arange(len(h)), _classes(targets)] - _log_sum(logits)
+        for c, i in _by_class(targets, np.flatnonzero(words)):
+            inner = h[i] @ self.w[c].T + self.wb[c]
+            out[i] += inner[np.arange(len(i)), targets[i] % CLASS_WORDS] - _log_sum(inner)
         return out
 
 
+def _classes(targets: np.ndarray) -> np.ndarray:
+    return np.where(targets < WORDS, targets // CLASS_WORDS, targets - WORDS + WORDS // CLASS_WORDS)
+
+
+def _by_class(targets: np.ndarray, places: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """The places of listed words by their class, one product for each class."""
+    cls = targets[places] // CLASS_WORDS
+    order = np.argsort(cls, kind="stable")
+    bounds = np.searchsorted(cls[order], np.arange(WORDS // CLASS_WORDS + 1))
+    for c in range(WORDS // CLASS_WORDS):
+        if bounds[c] < bounds[c + 1]:
+            yield c, places[order[bounds[c] : bounds[c + 1]]]
+
+
+def _summed(ids: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
+    """Sum of the rows of each id."""
+    order = np.argsort(ids, kind="stable")
+    found, first = np.unique(ids[order], return_index=True)
+    out = np.zeros((size, rows.shape[1]), dtype=rows.dtype)
+    out[found] = np.add.reduceat(rows[order], first, axis=0)
+    return out
+
+
 def _log_sum(logits: np.ndarray) -> np.ndarray:
     top = logits.max(axis=1)
     return top + np.log(np.exp(logits - top[:, None]).sum(axis=1))
@@ -84,63 +114,62 @@ def gradients(m: Gru, h0: np.ndarray, ids: np.ndarray, targets: np.ndarray) -> t
     """Gradients of the mean loss of one window (steps x streams), the last state, the loss."""
     steps, streams = ids.shape
     hs, saved = [h0], []
-    for t in range(steps):
-        h, *rest = m.step(hs[-1], ids[t])
+    for gx in m.x[ids]:
+        h, *rest = m.step(hs[-1], gx)
         hs.append(h)
         saved.append(rest)
     flat, y = np.concatenate(hs[1:]), targets.reshape(-1)
-    rows, n = np.arange(len(y)), len(y)
-    words = y < WORDS
-    cls = np.where(words, y // CLASS_WORDS, y - WORDS + WORDS // CLASS_WORDS)
+    rows, n, cls = np.arange(len(y)), len(y), _classes(y)
     logits = flat @ m.c + m.cb
     norm = _log_sum(logits)
     loss = (norm - logits[rows, cls]).sum()
     dl = np.exp(logits - norm[:, None])
     dl[rows, cls] -= 1
     dl /= n
-    g = {"c": flat.T @ dl, "cb": dl.sum(axis=0), "w": np.zeros_like(m.w), "wb": np.zeros_like(m.wb), "x": np.zeros_like(m.x), "u": np.zeros_like(m.u)}
+    g = {"c": flat.T @ dl, "cb": dl.sum(axis=0), "w": np.zeros_like(m.w), "wb": np.zeros_like(m.wb), "u": np.zeros_like(m.u)}
     dflat = dl @ m.c.T
-    i = np.flatnonzero(words)
-    ci, hi = cls[i], flat[i]
-    inner = np.matmul(m.w[ci], hi[:, :, None])[:, :, 0] + m.wb[ci]
-    norm = _log_sum(inner)
-    at = y[i] % CLASS_WORDS
-    loss += (norm - inner[np.arange(len(i)), at]).sum()
-    di = np.exp(inner - norm[:, None])
-    di[np.arange(len(i)), at] -= 1
-    di /= n
-    np.add.at(g["wb"], ci, di)
-    np.add.at(g["w"], ci, di[:, :, None] * hi[:, None, :])
-    dflat[i] += np.matmul(di[:, None, :], m.w[ci])[:, 0, :]
+    for c, i in _by_class(y, np.flatnonzero(y < WORDS)):
+        hi, at = flat[i], (np.arange(len(i)), y[i] % CLASS_WORDS)
+        inner = hi @ m.w[c].T + m.wb[c]
+        norm = _log_sum(inner)
+        loss += (norm - inner[at]).sum()
+        di = np.exp(inner - norm[:, None])
+        di[at] -= 1
+        di /= n
+        g["w"][c], g["wb"][c] = di.T @ hi, di.sum(axis=0)
+        dflat[i] += di @ m.w[c]
     dh = np.zeros_like(h0)
     dflat = dflat.reshape(steps, streams, HIDDEN)
+    dx = np.empty((steps, streams, 3 * HIDDEN), dtype=flat.dtype)
     for t in range(steps - 1, -1, -1):
         z, r, nn, an = saved[t]
         h = hs[t]
         dh = dh + dflat[t]
         dn = dh * (1 - z) * (1 - nn * nn)
-        dz = dh * (h - nn) * z * (1 - z)
-        dr = dn * an * r * (1 - r)
+        dx[t, :, :HIDDEN] = dz = dh * (h - nn) * z * (1 - z)
+        dx[t, :, HIDDEN : 2 * HIDDEN] = dr = dn * an * r * (1 - r)
+        dx[t, :, 2 * HIDDEN :] = dn
         da = np.concatenate((dz, dr, dn * r), axis=1)
-        np.add.at(g["x"], ids[t], np.concatenate((dz, dr, dn), axis=1))
         g["u"] += h.T @ da
         dh = dh * z + da @ m.u.T
+    g["x"] = _summed(ids.reshape(-1), dx.reshape(-1, 3 * HIDDEN), INPUTS)
     return g, hs[-1], float(loss) / n
 
 
 def train(m: Gru, stream: np.ndarray, passes: int = 1) -> Gru:
-    """Truncated backpropagation over one long sequence of ids, cut into STREAMS parallel ones; Adam."""
-    length = (len(stream) - 1) // STREAMS
+    """Truncated backpropagation over one long sequence of ids, cut into up to STREAMS parallel ones; Adam."""
+    streams = max(1, min(STREAMS, (len(stream) - 1) // STREAM_TOKENS))
+    length = (len(stream) - 1) // streams
     if length < 1:
         return m
-    x = stream[: length * STREAMS].reshape(STREAMS, length).T
-    y = stream[1 : length * STREAMS + 1].reshape(STREAMS, length).T
+    x = stream[: length * streams].reshape(streams, length).T
+    y = stream[1 : length * streams + 1].reshape(streams, length).T
     m = m.with_flat(m.flat())
     mean = {k: np.zeros_like(getattr(m, k)) for k in m.NAMES}
     var = {k: np.zeros_like(getattr(m, k)) for k in m.NAMES}
     updates, total = 0, passes * -(-length // WINDOW)
     for _ in range(passes):
-        h = np.zeros((STREAMS, HIDDEN), dtype=F32)
+        h = np.zeros((streams, HIDDEN), dtype=F32)
         for at in range(0, length, WINDOW):
             g, h, _ = gradients(m, h, x[at : at + WINDOW], y[at : at + WINDOW])
             norm = np.sqrt(sum(float((v * v).sum()) for v in g.values()))
@@ -178,8 +207,8 @@ def score_sequences(m: Gru, sequences: list[np.ndarray], cells: int = 1_000_000,
             live = int((lengths > t0).sum())  # lengths descend
             steps = min(window, longest - t0)
             h, hs = h[:live], []
-            for t in range(t0, t0 + steps):
-                h = m.step(h, ids[t, :live])[0]
+            for gx in m.x[ids[t0 : t0 + steps, :live]]:
+                h = m.step(h, gx)[0]
                 hs.append(h)
             valid = (np.arange(t0, t0 + steps)[:, None] < lengths[None, :live]).reshape(-1)
             owner = np.tile(np.arange(live), steps)[valid]

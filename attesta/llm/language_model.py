@@ -16,11 +16,11 @@ from attesta.llm.common import stored
 from attesta.llm.toxicity import fold_of
 
 #: Words whose counts tasks hold, at most; words of others are looked up by a join. Distinct words of a task's partial counts.
-HEAD_WORDS, PARTIAL_WORDS = 200_000, 400_000
-#: Tokens of one shard of training, about.
-SHARD_TOKENS = 400_000
-#: The end of a text is the word "", which no text holds.
-END = ""
+HEAD_WORDS, PARTIAL_WORDS = 100_000, 200_000
+#: Tokens of one shard of training, about; documents that are scored at once; words that a worker remembers.
+SHARD_TOKENS, SCORED_AT_ONCE, MEMO_WORDS = 1_000_000, 2048, 150_000
+#: The end of a text is the word that no text holds; its id is 0.
+END_WORD = b""
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -67,7 +67,7 @@ def _head(counts: DataFrame) -> dict[bytes, int]:
 class Vocabulary:
     """Ids of the recurrent model and counts of words, by a memo of bounded size."""
 
-    def __init__(self, words: list[bytes], head: dict[bytes, int], slots: int = 600_000):
+    def __init__(self, words: list[bytes], head: dict[bytes, int], slots: int = MEMO_WORDS):
         self.ids, self.head, self.slots = {w: i for i, w in enumerate(words)}, head, slots
         self.clear()
 
@@ -96,12 +96,13 @@ def _train(model: gru.Gru, words: list[bytes], passes: int):
     def run(group: pa.Table) -> pa.Table:
         ids = {w: i for i, w in enumerate(words)}
         order = np.argsort(group.column("luck").to_numpy(), kind="stable")
-        texts = group.column("text")
-        stream: list[int] = [0]
+        texts, pieces = group.column("text"), [np.zeros(1, dtype=np.int32)]
         for i in order.tolist():
-            stream += [ids[w] if w in ids else gru.WORDS + gru.bucket_of(w) for w in tokens(texts[i].as_py())]
-            stream.append(0)
-        trained = gru.train(model, np.array(stream, dtype=np.int32), passes)
+            found = tokens(texts[i].as_py())
+            found.append(END_WORD)
+            pieces.append(np.fromiter((ids[w] if w in ids else gru.WORDS + gru.bucket_of(w) for w in found), dtype=np.int32, count=len(found)))
+        stream = np.concatenate(pieces)
+        trained = gru.train(model, stream, passes)
         return pa.table({"n": pa.array([len(stream)], pa.int64()), "weights": pa.array([trained.flat().astype(float)], pa.list_(pa.float64()))})
 
     return run
@@ -133,27 +134,36 @@ def train_model(docs: DataFrame, words: list[bytes], class_counts: np.ndarray, t
 def _score(model: gru.Gru, words: list[bytes], head: dict[bytes, int], open_logs: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = Vocabulary(words, head)
-        ends = head.get(b"", 0)
         for batch in batches:
-            sequences, n, known, logs, fixed, rest = [], [], [], [], [], []
-            for text in batch.column("text"):
-                found = tokens(text.as_py())
-                slots = vocabulary.sequence(found)
-                ids, counts = vocabulary.model_ids[slots], vocabulary.counts[slots]
-                sequences.append(np.append(ids, np.int32(0)))
-                there = counts >= 0
-                logs_of = np.log10(counts[there] + 1.0)
-                opened = ids >= gru.WORDS
-                n.append(len(found) + 1)
-                known.append(int((counts > 0).sum()) + int(ends > 0))
-                logs.append(float(logs_of.sum()) + math.log10(ends + 1))
-                # an open word has (count + 1) of its class's share; what counts are looked up comes later
-                fixed.append(float(logs_of[opened[there]].sum() - open_logs[ids[opened] - gru.WORDS].sum()))
-                k, times = np.unique(slots[~there], return_counts=True)
-                rest.append([{"token": vocabulary.words[i].decode("utf-8", "replace"), "times": int(t)} for i, t in zip(k.tolist(), times.tolist())])
-            scores = gru.score_sequences(model, sequences) / math.log(10) + np.array(fixed)
-            columns = [batch.column("uid"), batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(logs, pa.float64()), pa.array(scores, pa.float64()), pa.array(rest, pa.list_(pa.struct([("token", pa.string()), ("times", pa.int64())])))]
-            yield pa.RecordBatch.from_arrays(columns, ["uid", "doc_id", "n_tokens", "known", "logs", "model", "rest"])
+            for at in range(0, batch.num_rows, SCORED_AT_ONCE):
+                yield part(vocabulary, batch.slice(at, SCORED_AT_ONCE))
+
+    def part(vocabulary: Vocabulary, batch: pa.RecordBatch) -> pa.RecordBatch:
+        ends = head.get(END_WORD, 0)
+        sequences, n, known, logs, fixed = [], [], [], [], []
+        offsets, rare, times = [0], [], []  # the words that are looked up, by document
+        for text in batch.column("text"):
+            found = tokens(text.as_py())
+            slots = vocabulary.sequence(found)
+            ids, counts = vocabulary.model_ids[slots], vocabulary.counts[slots]
+            sequences.append(np.append(ids, np.int32(0)))
+            there = counts >= 0
+            logs_of = np.log10(counts[there] + 1.0)
+            opened = ids >= gru.WORDS
+            n.append(len(found) + 1)
+            known.append(int((counts > 0).sum()) + int(ends > 0))
+            logs.append(float(logs_of.sum()) + math.log10(ends + 1))
+            # an open word has (count + 1) of its class's share; what counts are looked up comes later
+            fixed.append(float(logs_of[opened[there]].sum() - open_logs[ids[opened] - gru.WORDS].sum()))
+            k, often = np.unique(slots[~there], return_counts=True)
+            rare += [vocabulary.words[i].decode("utf-8", "replace") for i in k.tolist()]
+            times.append(often)
+            offsets.append(len(rare))
+        scores = gru.score_sequences(model, sequences) / math.log(10) + np.array(fixed)
+        looked_up = pa.StructArray.from_arrays([pa.array(rare, pa.string()), pa.array(np.concatenate([np.zeros(0, np.int64), *times]).astype(np.int64))], ["token", "times"])
+        rest = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), looked_up)
+        columns = [batch.column("uid"), batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(logs, pa.float64()), pa.array(scores, pa.float64()), rest]
+        return pa.RecordBatch.from_arrays(columns, ["uid", "doc_id", "n_tokens", "known", "logs", "model", "rest"])
 
     return run
 

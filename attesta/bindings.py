@@ -6,14 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 VIEWS = {
     "v_entities": """SELECT DISTINCT source AS name, CASE WHEN source IN ('src0','src1','src2','src3','src4') THEN 'zoo' ELSE 'organization' END AS entity_type FROM {documents}""",
-    "v_results": """SELECT doc_id % 4 AS query_key, doc_id AS ord, concat('https://h', CAST(doc_id % 5 AS STRING), '.example/p/', CAST((doc_id * 7) % 31 AS STRING)) AS url,
+    "v_results": """SELECT CAST(floor(doc_id / 50) AS BIGINT) AS query_key, doc_id AS ord,
+        concat('https://h', CAST(CAST(floor(doc_id / 2) AS BIGINT) % 5 AS STRING), '.example/p/', CAST(CAST(floor(doc_id / 2) AS BIGINT) AS STRING)) AS url,
         substring(text, 1, 3) AS title, text AS content, source, lang FROM {documents}""",
     "v_reviews": """SELECT d.doc_id AS review_id, d.source AS entity, d.lang AS platform, d.text AS content,
         CAST(CASE WHEN l.doc_id IS NULL THEN NULL WHEN l.quality = 1 THEN 0.9 ELSE 0.4 END AS DOUBLE) AS relevance_score,
         CASE WHEN l.doc_id IS NULL THEN NULL WHEN l.toxic = 1 THEN 'opposing' WHEN l.quality = 1 THEN 'supporting' ELSE 'neutral' END AS stance,
         CASE WHEN l.doc_id IS NULL THEN NULL ELSE 'review' END AS content_type
         FROM {documents} d LEFT JOIN {labels} l ON l.doc_id = d.doc_id""",
-    "v_rating_events": """SELECT event_id, user_id, CAST(event_id % 150 AS BIGINT) AS review_id, CAST(1 + CAST(floor(value) AS BIGINT) % 5 AS INT) AS score, ts FROM {events}""",
+    "v_rating_events": """SELECT event_id, user_id, CAST(event_id % (SELECT max(doc_id) + 1 FROM {documents}) AS BIGINT) AS review_id, CAST(1 + CAST(floor(value) AS BIGINT) % 5 AS INT) AS score, ts FROM {events}""",
     "v_queries": """SELECT o_orderkey AS query_id, o_custkey AS entity_id, o_orderpriority AS question, o_orderstatus AS search_mode, o_orderdate AS created_at,
         CAST(floor(o_totalprice) AS BIGINT) % 101 AS confidence FROM {orders}""",
     "v_cards": """SELECT l_orderkey AS query_id, l_suppkey AS source_id, l_linenumber AS card_no, CAST(l_quantity AS INT) AS relevance,

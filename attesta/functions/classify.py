@@ -46,10 +46,12 @@ SOURCE_TYPES = {
 PLATFORMS = {"fundraising": ("flyingv", "newebpay"), "google": ("google", "maps"), "facebook": ("facebook", "fb.com"), "instagram": ("instagram",), "threads": ("threads",), "dcard": ("dcard",), "ptt": ("ptt",)}
 
 
-def source_type_by_host(url: Column, source: Column, preset: Column) -> Column:
+def source_type_by_host(url: Column, source: Column, preset: Column, title: Column | None = None, entity: L.Terms = ()) -> Column:
+    """The type of a result by its host. A page of OWN_PAGES is official if its host or title names the entity."""
     host = host_of(url)
     named = F.concat_ws(" ", host, F.lower(F.coalesce(source, F.lit(""))))
-    found = _first(host, HOST_TYPES, F.when(any_of(named, HOST_NEWS), "news").otherwise("other"))
+    own = any_of(host, L.OWN_PAGES) & any_of(F.concat_ws(" ", host, F.lower(F.coalesce(title if title is not None else F.lit(""), F.lit("")))), entity)
+    found = _first(host, HOST_TYPES, F.when(any_of(named, HOST_NEWS), "news").when(own, "official").otherwise("other"))
     return F.when(preset.isin("official", "news", "forum", "social"), preset).otherwise(found)
 
 

@@ -8,17 +8,22 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def _terms(terms: Iterable[str]) -> Column:
-    return F.array(*map(F.lit, terms)).cast("array<string>")
+#: A list for all rows, or a column of arrays of strings: a list for each row.
+Terms = Iterable[str] | Column
 
 
-def hits(text: Column, terms: Iterable[str]) -> Column:
+def as_array(terms: Terms) -> Column:
+    return terms if isinstance(terms, Column) else F.array(*map(F.lit, terms)).cast("array<string>")
+
+
+def hits(text: Column, terms: Terms) -> Column:
     """How many of the distinct terms the text contains."""
-    return F.size(F.filter(_terms(terms), lambda t: F.contains(text, t)))
+    return F.size(F.filter(F.array_distinct(as_array(terms)), lambda t: F.contains(text, t)))
 
 
-def any_of(text: Column, terms: Iterable[str]) -> Column:
-    return F.exists(_terms(terms), lambda t: F.contains(text, t))
+def any_of(text: Column, terms: Terms) -> Column:
+    """Whether the text contains any of the terms; a row without a list has none."""
+    return F.coalesce(F.exists(as_array(terms), lambda t: F.contains(text, t)), F.lit(False))
 
 
 # The default term lists, in the language of the crawled sites.
@@ -37,9 +42,12 @@ AUTHORITATIVE_HOSTS = ("sasw.mohw.gov.tw", "mohw.gov.tw", ".gov.tw", ".gov", "do
 SOCIAL_HOSTS = ("facebook.com", "instagram.com", "threads.net", "dcard.tw", "ptt.cc", "google.com", "maps.google.com")
 TRUSTED_HOSTS = ("flyingv.cc", "sasw.mohw.gov.tw", "facebook.com", "ptt.cc", "dcard.tw", "threads.net", "instagram.com")
 NO_SUMMARY = ("目前沒有可用的摘要內容", "目前沒有可用的相關段落", "no summary available")
-LOGIN_PAGE = ("log into facebook", "sign up for facebook", "explore the things you love", "privacy policy", "messenger", "meta pay", "mentions facebook", "paint0_linear", "paint1_ra", "stop-color", "fill'url(%23", "error 403", "current time 0:00", "stream type live", "skip navigation")
+LOGIN_PAGE = ("log into facebook", "sign up for facebook", "explore the things you love", "privacy policy", "messenger", "meta pay", "ray-ban meta", "create ad", "about create ad", "more languages", "mentions facebook", "paint0_linear", "paint1_ra", "userspaceonuse", "stop-color", "fill'url(%23", "error 403", "that’s an error", "播放影片", "current time 0:00", "stream type live", "skip navigation")
+RANK_REVIEW = ("評論", "評價", "心得", "推薦", "不推", "好評", "負評", "留言", "星等", "評分", "review", "reviews")
+RANK_HISTORY = ("2018", "2017", "道歉", "財務", "透明", "延遲", "聲明", "爭議", "質疑", "募資")
+OWN_PAGES = ("dongwangwang.bobo.care", "newebpay.com")
 NO_RESULTS = ("no results found", "the page you requested could not be found", "try refining your search", "select page", "use the navigation above to locate the")
-NOISE = ("trycloudflare.com", "visibility-effects", "function(", "__next", "webpack", "javascript", "css", "paint0_linear", "paint1_ra", "userspaceonuse", "stop-color", "fill'url(%23", "mentions facebook", "文章列表", "精華區", "error 403", "that’s an error", "skip navigation", "current time 0:00", "stream type live", *NO_RESULTS[:4])
+NOISE = ("trycloudflare.com", "visibility-effects", "function(", "__next", "webpack", "javascript", "css", "paint0_linear", "paint1_ra", "userspaceonuse", "stop-color", "fill'url(%23", "mentions facebook", "文章列表", "精華區", "error 403", "that’s an error", "skip navigation", "current time 0:00", "stream type live", "no results found", "the page you requested could not be found", "try refining your search", "select page")
 GRAY_TEXT = ("分類彙整", "文章列表", "標籤彙整", "搜尋結果", "站內搜尋", "上一篇", "下一篇", "related posts", "continue reading", "archive", "category", "tag archive", "search results", "no posts", "older posts")
 GRAY_URL = ("/category/", "/tag/", "/search", "?s=", "/archives/", "/archive/", "/author/", "/page/")
 QUESTION_WORDS = ("詐騙", "退款", "爭議", "動物", "福利", "募資", "透明", "環境", "評價")

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 #: Unicode white space that trimming removes besides the ASCII kind.
 _WIDE = "\\s\\u3000\\u00A0"
 
+#: Fixed value: what stands for a text of which nothing is left.
 FALLBACK_SUMMARY = "現有來源多為片段描述，仍需補查。"
 
 

@@ -26,33 +26,37 @@ def dedup_by_url(df: DataFrame, key: str = "query_key") -> DataFrame:
 
 
 def _checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage in spark.checkpoint.dir. Without one, a temporary folder serves a single machine, and a cluster is an error."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="attesta-checkpoint-"))
+        found = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not found and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(found or tempfile.mkdtemp(prefix="attesta-checkpoint-"))
     return df.checkpoint()
 
 
 def dedup_results(df: DataFrame, key: str = "query_key", title_chars: int = 80) -> DataFrame:
     """Keep-first deduplication on two keys at once: the url, and the host with the start of the title.
 
-    A row is dropped if an earlier kept row (by ord) of the query has its url or, if its title isn't blank, its host and title; dropped
-    rows drop no others. Rows without a url go. Each round decides the rows that are first among the
-    undecided ones in both of their groups, and drops their group mates; rounds are few, as both keys stay inside one host.
+    A row is dropped if an earlier kept row (by ord, unique within a query) of the query has its url or, if its title isn't blank, its host
+    and title; dropped rows drop no others. Rows without a url go. Each round decides the rows that are first among the undecided ones in
+    both of their groups, and drops their group mates. Rounds carry the keys alone and are minima, combined on the map side, and
+    joins, so that a hot url or title is no hot task; the rows are joined to what is kept once, at the end.
     """
     url, title = strip(F.coalesce("url", F.lit(""))), F.lower(strip(F.coalesce("title", F.lit(""))))
-    todo = df.withColumn("_url", url).where("_url <> ''").withColumn("_t", F.substring(title, 1, title_chars))
-    todo = todo.withColumn("_sig", F.concat_ws("|", host_of(F.col("_url")), F.col("_t")))
+    todo = df.select(F.col(key).alias("_key"), F.col("ord").alias("_ord"), url.alias("_url"), F.substring(title, 1, title_chars).alias("_t")).where("_url <> ''")
     # rows without a title have a signature of their own
-    todo = todo.withColumn("_sig", F.when(F.col("_t") == "", F.concat(F.lit("#"), F.col("ord").cast("string"))).otherwise(F.col("_sig"))).drop("_t")
-    kept = None
+    sig = F.when(F.col("_t") == "", F.concat(F.lit("#"), F.col("_ord").cast("string"))).otherwise(F.concat_ws("|", host_of(F.col("_url")), F.col("_t")))
+    todo = _checkpointed(todo.select("_key", "_ord", F.xxhash64("_url").alias("_u1"), F.xxhash64("_url", F.lit(1)).alias("_u2"), F.xxhash64(sig).alias("_s1"), F.xxhash64(sig, F.lit(1)).alias("_s2")))
+    by_url, by_sig, kept = ["_key", "_u1", "_u2"], ["_key", "_s1", "_s2"], None
     while True:
-        by_url, by_sig = Window.partitionBy(key, "_url"), Window.partitionBy(key, "_sig")
-        marked = todo.withColumn("_u", F.min("ord").over(by_url)).withColumn("_s", F.min("ord").over(by_sig))
-        marked = marked.withColumn("_keep", (F.col("ord") == F.col("_u")) & (F.col("ord") == F.col("_s")))
-        marked = marked.withColumn("_hit", F.max("_keep").over(by_sig)).withColumn("_hit", F.col("_hit") | F.max("_keep").over(by_url))
-        marked = _checkpointed(marked.drop("_u", "_s"))
-        new = marked.where("_keep").select(df.columns)
+        first_url, first_sig = (todo.groupBy(*k).agg(F.min("_ord").alias(name)) for k, name in ((by_url, "_first"), (by_sig, "_first2")))
+        new = todo.join(first_url.hint("merge"), by_url).where("_ord = _first").join(first_sig.hint("merge"), by_sig).where("_ord = _first2")
+        new = _checkpointed(new.select(todo.columns))
         kept = new if kept is None else kept.unionByName(new)
-        todo = marked.where("not _hit").drop("_keep", "_hit")
+        todo = todo.join(new.select(*by_url).hint("merge"), by_url, "left_anti").join(new.select(*by_sig).hint("merge"), by_sig, "left_anti")
+        todo = _checkpointed(todo.select(new.columns))
         if todo.isEmpty():
-            return kept
+            ids = kept.select("_key", "_ord")
+            return df.join(ids.hint("merge"), F.col(key).eqNullSafe(F.col("_key")) & (F.col("ord") == F.col("_ord")), "left_semi")

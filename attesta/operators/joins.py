@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attesta.operators.rank import top
+from attesta.operators.rank import containing, top
 
 
 def resolve_entities(names: DataFrame, entities: DataFrame, keywords: DataFrame) -> DataFrame:
@@ -18,20 +18,23 @@ def resolve_entities(names: DataFrame, entities: DataFrame, keywords: DataFrame)
     alias = entities.select("entity_id", F.explode("aliases").alias("label"), F.lit(3).alias("rule"))
     best = exact.unionByName(word).unionByName(alias).groupBy("label").agg(F.min(F.struct("rule", "entity_id")).alias("b"))
     found = best.select(F.col("label").alias("name"), F.col("b.entity_id").alias("entity_id"), F.col("b.rule").alias("rule"))
-    return names.select("name").distinct().join(found, "name", "left")
+    return names.select("name").distinct().join(found.hint("merge"), "name", "left")
 
 
 def hydrate(results: DataFrame, sources: DataFrame, fields: list[str]) -> DataFrame:
-    """Fill missing (null or empty) fields of results from the source with the same trimmed url."""
-    known = sources.select(F.trim("url").alias("_url"), *(F.col(f).alias(f"_{f}") for f in fields))
+    """Fill missing (null or empty) fields of results from the source with the same trimmed url; of several sources of one
+    url the greatest value of each field counts, so that no result is doubled."""
+    known = sources.where("trim(url) <> ''").groupBy(F.trim("url").alias("_url")).agg(*(F.max(f).alias(f"_{f}") for f in fields))
     joined = results.join(known, F.trim(results["url"]) == F.col("_url"), "left")
     filled = {f: F.coalesce(F.nullif(F.col(f), F.lit("")), F.col(f"_{f}"), F.col(f)) for f in fields}
     return joined.withColumns(filled).select(results.columns)
 
 
 def merge_enrichment(results: DataFrame, crawled: DataFrame) -> DataFrame:
-    """Take a crawled title of four characters or more and a content of twenty or more; snippet is its first 700."""
-    new = crawled.select(F.trim("url").alias("_url"), F.col("title").alias("_title"), F.col("content").alias("_content"))
+    """Take a crawled title of four characters or more and a content of twenty or more; snippet is its first 700. Of several
+    crawls of one url the one with the longest content counts."""
+    best = F.max_by(F.struct("title", "content"), F.struct(F.length(F.coalesce("content", F.lit(""))), F.coalesce("content", F.lit("")), F.coalesce("title", F.lit("")))).alias("b")
+    new = crawled.groupBy(F.trim("url").alias("_url")).agg(best).select("_url", F.col("b.title").alias("_title"), F.col("b.content").alias("_content"))
     joined = results.join(new, F.trim(results["url"]) == F.col("_url"), "left")
     title, body = F.length("_title") >= 4, F.length("_content") >= 20
     out = joined.withColumn("title", F.when(title, F.col("_title")).otherwise(F.col("title")))
@@ -65,18 +68,10 @@ FEW_NEEDLES = 200
 def match_corpus(corpus: DataFrame, needles: DataFrame, per_entity: int, gram: int = 3, few: int = FEW_NEEDLES) -> DataFrame:
     """Posts (post_id, content) that contain an entity's needle (entity, needle), at most per_entity by post_id.
 
-    Few needles (counted) are broadcast. Beyond that an equi-join on the needle's first gram stands before the test, so that a
-    post only meets needles that start somewhere in it.
+    How posts meet needles is said in `containing`.
     """
     needles = needles.where(F.length("needle") > 0).select("entity", "needle").distinct()
-    if needles.limit(few + 1).count() <= few:
-        met = corpus.join(F.broadcast(needles), F.contains(corpus["content"], needles["needle"]))
-    else:
-        wanted = needles.withColumn("gram", F.substring("needle", 1, gram))
-        lengths = [r.n for r in wanted.select(F.length("gram").alias("n")).distinct().collect()]  # at most `gram` of them
-        grams = F.array_distinct(F.concat(*(F.regexp_extract_all("content", F.lit(rf"(?s)(?=(.{{{n}}}))"), 1) for n in lengths)))
-        pairs = corpus.select("post_id", F.explode(grams).alias("gram")).join(wanted.hint("merge"), "gram").select("post_id", "entity", "needle")
-        met = pairs.join(corpus.select("post_id", "content").hint("merge"), "post_id").where(F.contains("content", F.col("needle")))
+    met = containing(corpus.select("post_id", "content"), F.col("content"), needles, F.col("needle"), gram, few)
     return top(met.select("entity", "post_id").distinct(), ["entity"], [F.col("post_id")], per_entity)
 
 
@@ -128,3 +123,15 @@ def entity_page(entities: DataFrame, profiles: DataFrame, comments: DataFrame, m
     counts = comments.groupBy("entity_id").agg(F.count("*").alias("comment_count"))
     page = page.join(counts, "entity_id", "left").join(newest, "entity_id", "left").join(files, page["name"] == files["entity_name"], "left").drop("entity_name")
     return page.fillna(0, ["comment_count"])
+
+
+def due_entities(watchlist: DataFrame, as_of: str, types: list[str], limit: int, only: DataFrame | None = None) -> DataFrame:
+    """Active watched entities whose next_crawl_at has come or is missing, by priority, then name.
+
+    only: (entity_id) of entities asked for by name, such as resolve_entities gives; then their type doesn't matter.
+    """
+    due = F.col("is_active") & (F.col("next_crawl_at").isNull() | (F.col("next_crawl_at") <= F.lit(as_of).cast("timestamp_ntz")))
+    rows = watchlist.where(due)
+    kind = F.lower(F.coalesce("entity_type", F.lit("organization")))
+    rows = rows.join(only.select("entity_id").distinct(), "entity_id", "left_semi") if only is not None else rows.where(kind.isin(*types) if types else F.lit(True))
+    return rows.orderBy("priority", "name").limit(max(1, limit)).select("entity_id", "name", F.coalesce("priority", F.lit(3)).alias("priority"), "next_crawl_at")

@@ -52,10 +52,15 @@ def rating_summary(ratings: DataFrame, user_id: int) -> DataFrame:
 
 
 def entity_profile(queries: DataFrame, cards: DataFrame) -> DataFrame:
-    """Distinct queries and sources, and rounded means. A query's confidence counts once for each of its cards."""
-    rows = queries.select("entity_id", "query_id", "confidence").join(cards.select("query_id", "source_id", "credibility"), "query_id", "left")
-    mean = lambda c, name: F.coalesce(F.round(F.avg(c)), F.lit(0.0)).cast("long").alias(name)
-    return rows.groupBy("entity_id").agg(F.countDistinct("query_id").alias("total_queries"), F.countDistinct("source_id").alias("total_sources"), mean("confidence", "average_confidence"), mean("credibility", "average_credibility"))
+    """Queries (one row for each query_id) and distinct sources, and rounded means. A query's confidence counts once for each of its
+    cards, or once without any. Cards are aggregated before they meet their queries; only sources are made distinct."""
+    sums = cards.groupBy("query_id").agg(F.count("*").alias("n"), F.sum("credibility").alias("c"), F.count("credibility").alias("cn"))
+    rows = queries.select("entity_id", "query_id", "confidence").join(sums, "query_id", "left").withColumn("w", F.greatest(F.lit(1), F.coalesce("n", F.lit(0))))
+    mean = lambda total, n, name: F.coalesce(F.round(F.try_divide(F.sum(total), F.sum(n))), F.lit(0.0)).cast("long").alias(name)
+    counted = rows.groupBy("entity_id").agg(F.count("*").alias("total_queries"), mean(F.col("confidence") * F.col("w"), F.when(F.col("confidence").isNotNull(), F.col("w")), "average_confidence"), mean("c", "cn", "average_credibility"))
+    met = cards.select("query_id", "source_id").distinct().join(queries.select("query_id", "entity_id"), "query_id")
+    used = met.where("source_id is not null").select("entity_id", "source_id").distinct().groupBy("entity_id").agg(F.count("*").alias("total_sources"))
+    return counted.join(used, "entity_id", "left").select("entity_id", "total_queries", F.coalesce("total_sources", F.lit(0)).alias("total_sources"), "average_confidence", "average_credibility")
 
 
 def source_breakdown(queries: DataFrame, cards: DataFrame, sources: DataFrame) -> DataFrame:
@@ -66,9 +71,8 @@ def source_breakdown(queries: DataFrame, cards: DataFrame, sources: DataFrame) -
 
 def entity_list(entities: DataFrame, queries: DataFrame, cards: DataFrame, limit: int) -> DataFrame:
     """The entities with most queries: ties by last update, then name."""
-    rows = queries.select("entity_id", "query_id").join(cards.select("query_id", "source_id"), "query_id", "left")
-    counts = rows.groupBy("entity_id").agg(F.countDistinct("query_id").alias("total_queries"), F.countDistinct("source_id").alias("total_sources"))
-    out = entities.join(counts, "entity_id", "left").fillna(0, ["total_queries", "total_sources"])
+    counts = entity_profile(queries.withColumn("confidence", F.lit(0)), cards.withColumn("credibility", F.lit(0)))
+    out = entities.join(counts.select("entity_id", "total_queries", "total_sources"), "entity_id", "left").fillna(0, ["total_queries", "total_sources"])
     return out.orderBy(F.desc("total_queries"), F.col("last_at").desc_nulls_last(), "name").limit(limit).select("entity_id", "name", "total_queries", "total_sources")
 
 
@@ -116,7 +120,7 @@ def dimension_overview(reviews: DataFrame, dimensions=DIMENSIONS, excerpts: int
     picked = balanced_excerpts(tags, ["entity", "dim"], ["review_id", "pos"], excerpts)
     texts = picked.groupBy("entity", "dim").agg(F.transform(F.array_sort(F.collect_list(F.struct("slot", "excerpt"))), lambda x: x["excerpt"]).alias("excerpts"))
     grid = reviews.select("entity").distinct().withColumn("dim", F.explode(F.array(*map(F.lit, dimensions))))
-    out = grid.join(counts, ["entity", "dim"], "left").join(texts, ["entity", "dim"], "left")
+    out = grid.join(counts.hint("merge"), ["entity", "dim"], "left").join(texts.hint("merge"), ["entity", "dim"], "left")
     zero = [F.coalesce(c, F.lit(0)).alias(c) for c in ("mentions", "supporting", "opposing", "neutral")]
     return out.select("entity", "dim", *zero, F.coalesce("excerpts", F.array().cast("array<string>")).alias("excerpts"))
 
@@ -153,3 +157,23 @@ def platform_counts(cards: DataFrame, platforms: dict[str, str]) -> DataFrame:
 def run_totals(runs: DataFrame) -> DataFrame:
     """Rows written by platform and entity, with subtotals (nulls) for each platform and for all."""
     return runs.rollup("platform", "entity").agg(F.sum("rows_written").alias("rows_written"), F.count_if(F.col("status") == "failed").alias("failed"))
+
+
+def dimension_stances(reviews: DataFrame, dimensions=DIMENSIONS) -> DataFrame:
+    """Tags of all reviews by dimension and stance; stances other than supporting and opposing are neutral."""
+    tags = reviews.select(F.explode("tags").alias("t")).where(F.col("t.dim").isin(*dimensions))
+    stance = F.when(F.col("t.stance").isin("supporting", "opposing"), F.col("t.stance")).otherwise("neutral")
+    return tags.groupBy(F.col("t.dim").alias("dim"), stance.alias("stance")).agg(F.count("*").alias("n"))
+
+
+def source_type_counts(cards: DataFrame, key: str) -> DataFrame:
+    """Cards by source type, unknown ones as other; types without cards have no row."""
+    known = F.when(F.col("source_type").isin("official", "news", "forum", "social"), F.col("source_type")).otherwise("other")
+    return cards.groupBy(key, known.alias("source_type")).agg(F.count("*").alias("n"))
+
+
+def tab_counts(cards: DataFrame, key: str) -> DataFrame:
+    """How many cards each evidence tab shows."""
+    from attesta.operators.rank import EVIDENCE_TABS
+
+    return cards.groupBy(key).agg(*(F.count_if(test()).alias(tab) for tab, test in EVIDENCE_TABS.items()))

@@ -79,7 +79,8 @@ def diversify_cards(df: DataFrame, limit: int) -> DataFrame:
     """Diversify ranked cards (query_key, rank, url, platform, claim_type) to at most `limit` per query.
 
     Platforms take two cards each in the order of their first card; if any card is about fundraising, a fixed
-    order and quotas hold. The quota is dealt before copies of a url go. Queries of at most two cards stay.
+    order and quotas hold. The quota is dealt before copies of a url go. Queries of at most two cards stay. Of queries whose cards
+    are marked `fallback`, at most 10 are kept.
     """
     key = ["query_key"]
     whole = Window.partitionBy(*key)
@@ -89,19 +90,21 @@ def diversify_cards(df: DataFrame, limit: int) -> DataFrame:
     order = F.when(F.col("_money"), _table(F.col("platform"), {p: i for i, p in enumerate(CARD_ORDER)}, 99) * 1_000_000 + F.col("_first")).otherwise(F.col("_first"))
     placed = by_quota(df, key, "rank", "platform", F.when(F.col("_n") <= 2, F.lit(2)).otherwise(quota), F.when(F.col("_n") <= 2, F.col("rank")).otherwise(order), place="_place")
     copies = F.row_number().over(Window.partitionBy(*key, "url").orderBy("_place"))
+    most = F.when(F.col("fallback"), min(limit, 10)).otherwise(limit) if "fallback" in df.columns else F.lit(limit)
     once = placed.withColumn("_copy", copies).where((F.col("_copy") == 1) | (F.col("_n") <= 2))
-    return ranked(once, key, [F.col("_place")], "place").where(F.col("place") <= limit).drop("_n", "_money", "_first", "_place", "_copy")
+    return ranked(once, key, [F.col("_place")], "place").where(F.col("place") <= most).drop("_n", "_money", "_first", "_place", "_copy")
 
 
 def rank_cards(df: DataFrame, limit: int = 100, least: int = 40) -> DataFrame:
     """Cards (query_key, ord, relevance, credibility, first_hand, noise) in order, without noise.
 
-    Cards below the least relevance go, unless a query has no other: then the best min(limit, 20), cut to min(limit, 10), stay.
+    Cards below the least relevance go, unless a query has no other: then the best min(limit, 20) stay, marked `fallback`,
+    of which diversify_cards keeps min(limit, 10).
     """
     clean = ranked(df.where(~F.col("noise")), ["query_key"], [F.desc("relevance"), F.desc("credibility"), F.desc("first_hand"), F.col("ord")])
     good = F.max(F.col("relevance") >= least).over(Window.partitionBy("query_key"))
-    keep = F.when(F.col("_good"), F.col("relevance") >= least).otherwise(F.col("rank") <= min(limit, 10))
-    return clean.withColumn("_good", good).where(keep).where(F.col("rank") <= limit).drop("_good")
+    keep = F.when(F.col("_good"), F.col("relevance") >= least).otherwise(F.col("rank") <= min(limit, 20))
+    return clean.withColumn("_good", good).where(keep).where(F.col("rank") <= limit).withColumn("fallback", ~F.col("_good")).drop("_good")
 
 
 def balanced_excerpts(df: DataFrame, key: list[str], order: list[str], n: int) -> DataFrame:
@@ -140,18 +143,20 @@ def list_reviews(reviews: DataFrame, limit: int = 20, offset: int = 0) -> DataFr
     return page(reviews, ["entity"], order, limit, offset)
 
 
-def containing(rows: DataFrame, text: Column, needles: DataFrame, needle: Column, gram: int = 3, few: int = 1000) -> DataFrame:
+def containing(rows: DataFrame, text: Column, needles: DataFrame, needle: Column, gram: int = 3, few: int = 1000, lookup: int = 500_000) -> DataFrame:
     """Join rows with the needles that their text contains, each pair once.
 
     Few needles (counted) are broadcast. Beyond that an equi-join on the needle's first gram stands before the test, so that a
-    text only meets needles that start somewhere in it. An empty needle is in every text, null is in none.
+    text only meets needles that start somewhere in it; up to `lookup` needles (counted) are on each executor for it, so that the grams
+    are not shuffled. An empty needle is in every text, null is in none.
     """
     if needles.limit(few + 1).count() <= few:
         return rows.join(F.broadcast(needles), F.contains(text, needle))
     wanted = needles.withColumn("_first", F.substring(needle, 1, gram)).where("_first is not null")
     lengths = [r.n for r in wanted.select(F.length("_first").alias("n")).distinct().collect()]  # at most gram + 1 of them
     grams = F.array_distinct(F.concat(*(F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{{n}}}))"), 1) if n else F.array(F.lit("")) for n in lengths)))
-    met = rows.withColumn("_gram", F.explode(grams)).join(wanted.hint("merge"), F.col("_gram") == F.col("_first"))
+    side = F.broadcast(wanted) if wanted.limit(lookup + 1).count() <= lookup else wanted.hint("merge")
+    met = rows.withColumn("_gram", F.explode(grams)).join(side, F.col("_gram") == F.col("_first"))
     return met.where(F.contains(text, needle)).drop("_gram", "_first")
 
 
@@ -220,3 +225,9 @@ def needs_enrichment() -> Column:
     """Short of text, title, source or date."""
     there = lambda c: F.coalesce(F.trim(c), F.lit("")) != ""
     return ~((F.length(F.coalesce("content", F.lit(""))) >= 140) & there("title") & there("source") & there("published_date"))
+
+
+def query_cards(cards: DataFrame, sources: DataFrame, ids: tuple[str, ...] = ("card_no",)) -> DataFrame:
+    """The cards of each query with their sources, by relevance, then by the columns of their id. Cards without a source go."""
+    joined = cards.join(sources.withColumn("source_type", F.coalesce("source_type", F.lit("other"))), "source_id")
+    return ranked(joined, ["query_id"], [F.desc("relevance"), *map(F.col, ids)])

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attesta.functions.classify import is_junk
+from attesta.functions.text import host_of
 from attesta.operators.rank import ranked, top
 
 
@@ -34,15 +35,20 @@ def ingest_reviews(table: DataFrame, incoming: DataFrame) -> DataFrame:
 
 
 def upsert_sources(table: DataFrame, incoming: DataFrame, keep_if_empty: list[str], keep_if_null: list[str], seq: str = "ord") -> DataFrame:
-    """Sources by url, field by field: the last value that isn't empty (or null), by seq; the old table comes first.
+    """Sources by url, field by field: the last value that isn't empty (or null), by seq; the old table comes first. Adds domain.
 
-    A missing source_type counts as "other" and so overwrites what was there.
+    Of incoming rows the url is trimmed, and rows without one go; a missing source_type counts as "other" and so overwrites what
+    was there; a missing site_name is the url's domain.
     """
     columns = ["url", *keep_if_empty, *keep_if_null]
+    incoming = incoming.withColumn("url", F.trim("url")).where("url <> ''")
+    or_else = {"source_type": F.lit("other"), "site_name": host_of(F.col("url"))}
+    incoming = incoming.withColumns({c: F.coalesce(F.nullif(F.col(c), F.lit("")), value) for c, value in or_else.items() if c in columns})
     rows = table.select(*columns, F.lit(0).alias("_batch"), F.col(seq).alias("_seq")).unionByName(incoming.select(*columns, F.lit(1).alias("_batch"), F.col(seq).alias("_seq")))
     at = F.struct("_batch", "_seq")
     last = lambda c, there: F.max_by(c, F.when(there, at)).alias(c)
-    return rows.groupBy("url").agg(*(last(c, F.coalesce(F.col(c), F.lit("")) != "") for c in keep_if_empty), *(last(c, F.col(c).isNotNull()) for c in keep_if_null))
+    out = rows.groupBy("url").agg(*(last(c, F.coalesce(F.col(c), F.lit("")) != "") for c in keep_if_empty), *(last(c, F.col(c).isNotNull()) for c in keep_if_null))
+    return out.withColumn("domain", host_of(F.col("url")))
 
 
 def snapshot_history(events: DataFrame, body: list[str]) -> DataFrame:
@@ -50,7 +56,7 @@ def snapshot_history(events: DataFrame, body: list[str]) -> DataFrame:
 
     Adds version (by first appearance) and is_latest (by last appearance).
     """
-    digest = F.sha2(F.concat_ws("|", *body).cast("binary"), 256)
+    digest = F.sha2(F.to_json(F.struct(*body), {"ignoreNullFields": "false"}).cast("binary"), 256)
     versions = events.withColumn("snapshot_hash", digest).groupBy("entity_id", "search_mode", "snapshot_hash").agg(F.min(F.struct("created_at", "query_id")).alias("first"), F.max(F.struct("created_at", "query_id")).alias("last"))
     key = ["entity_id", "search_mode"]
     numbered = ranked(ranked(versions, key, [F.col("first")], "version"), key, [F.desc("last")], "_newest")
@@ -58,12 +64,12 @@ def snapshot_history(events: DataFrame, body: list[str]) -> DataFrame:
 
 
 def refresh_suggestions(templates: DataFrame, questions: DataFrame, follow_up: list[str], most: int = 8) -> DataFrame:
-    """Suggested questions of each (entity_id, search_mode): templates (82), its last four questions (75), follow-ups (72);
-    first of equal texts, at most `most`."""
+    """Suggested questions of each (entity_id, search_mode): templates (82), the questions of its last four queries by id (75), follow-ups
+    (72); trimmed, first of equal texts, blank ones go, at most `most`."""
     key = ["entity_id", "search_mode"]
-    distinct = questions.groupBy(*key, "question").agg(F.max(F.struct("created_at", "query_id")).alias("at"))
-    recent = top(distinct, key, [F.desc("at")], 4, "pos").select(*key, "question", F.lit(75).alias("confidence"), "pos")
-    base = templates.select(*key, "question", F.lit(82).alias("confidence"), "pos")
+    question = F.trim("question").alias("question")
+    recent = top(questions, key, [F.desc("query_id")], 4, "pos").where("trim(question) <> ''").select(*key, question, F.lit(75).alias("confidence"), "pos")
+    base = templates.select(*key, question, F.lit(82).alias("confidence"), "pos")
     pairs = templates.select(*key).distinct()
     more = pairs.select(*key, F.posexplode(F.array(*map(F.lit, follow_up)).cast("array<string>")).alias("pos", "question")).select(*key, "question", F.lit(72).alias("confidence"), "pos")
     union = base.unionByName(recent).unionByName(more)
@@ -83,6 +89,22 @@ def prune_aliases(entities: DataFrame, blocked: list[str]) -> DataFrame:
     return entities.withColumn("aliases", F.array_except("aliases", F.array(*map(F.lit, blocked)).cast("array<string>")))
 
 
+def prune_keywords(entities: DataFrame, keywords: DataFrame, blocked: list[str]) -> DataFrame:
+    """Keywords (entity_id, keyword, ...) without the blocked ones of entities that have them as an alias."""
+    bad = entities.select("entity_id", F.explode("aliases").alias("keyword")).where(F.col("keyword").isin(*blocked)).distinct()
+    return keywords.join(bad.hint("merge"), ["entity_id", "keyword"], "left_anti")
+
+
+def expand_keywords(entities: DataFrame, keywords: DataFrame, variants: Column) -> tuple[DataFrame, DataFrame]:
+    """Keywords (entity_id, keyword, keyword_type, weight, is_active) with each entity's name variants that it doesn't have, as aliases of
+    weight 70; and entities with all variants among their aliases, sorted."""
+    made = F.array_except(variants, F.array("name"))
+    new = entities.select("entity_id", F.explode(F.array_distinct(made)).alias("keyword")).join(keywords.select("entity_id", "keyword").hint("merge"), ["entity_id", "keyword"], "left_anti")
+    new = new.withColumns({"keyword_type": F.lit("alias"), "weight": F.lit(70), "is_active": F.lit(True)})
+    synced = entities.withColumn("aliases", F.array_sort(F.array_distinct(F.concat(F.coalesce("aliases", F.array().cast("array<string>")), made))))
+    return keywords.unionByName(new), synced
+
+
 def upsert_profiles(profiles: DataFrame, incoming: DataFrame, replace_cover: bool = False) -> DataFrame:
     """Fill blank headlines and intros; covers only where blank, or all if flagged."""
     new = incoming.select("entity_id", *(F.col(c).alias(f"_{c}") for c in ("headline", "intro", "cover")))
@@ -144,7 +166,7 @@ def upsert_evidence_sources(table: DataFrame, cards: DataFrame) -> DataFrame:
 def create_entities(entities: DataFrame, names: DataFrame) -> DataFrame:
     """Rows (name) that neither a name nor an alias of an entity equals."""
     known = entities.select("name").unionByName(entities.select(F.explode("aliases").alias("name"))).distinct()
-    return names.select(F.trim("name").alias("name")).where("name <> ''").distinct().join(known, "name", "left_anti")
+    return names.select(F.trim("name").alias("name")).where("name <> ''").distinct().join(known.hint("merge"), "name", "left_anti")
 
 
 def append_comments(comments: DataFrame, incoming: DataFrame, removals: DataFrame | None = None) -> DataFrame:

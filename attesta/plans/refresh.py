@@ -14,12 +14,14 @@ from attesta.plans import analysis, search
 def refresh_due(plan: DataFrame, results: DataFrame, terms: search.SearchTerms, entity: Column, as_of: str, limit: int = 100) -> dict[str, DataFrame]:
     """Answer the questions of a refresh plan (query_key, entity_id, search_mode, question) from results of all of them at once.
 
+    The plan's other columns may hold each query's terms, which `terms` then names as columns.
+
     A query without results is a failed one, not an error of the job. Gives cards, summaries, outcomes and counts by entity.
     """
-    asked = results.join(plan.select("query_key", "entity_id", "search_mode", "question"), "query_key")
+    asked = results.join(plan.select("query_key", *(c for c in plan.columns if c not in results.columns)), "query_key")
     final = search.finalize_results(asked, terms, limit)
     cards, summaries = analysis.analyze_results(final, entity, F.col("question"), as_of, limit)
-    done = plan.join(summaries.select("query_key", "cards", "confidence", "verdict"), "query_key", "left").withColumn("ok", F.col("cards").isNotNull())
+    done = plan.join(summaries.select("query_key", "cards", "confidence", "verdict").hint("merge"), "query_key", "left").withColumn("ok", F.col("cards").isNotNull())
     outcomes = done.groupBy("entity_id").agg(F.bool_or("ok").alias("ok"), F.when(~F.bool_or("ok"), F.lit("no results")).alias("message"))
     counts = done.groupBy("entity_id").agg(F.count_if("ok").alias("success"), F.count_if(~F.col("ok")).alias("failed"))
     return {"cards": cards, "summaries": done, "outcomes": outcomes, "counts": counts}

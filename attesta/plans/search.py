@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from attesta.functions import lexicon as L
 from attesta.functions.classify import result_bucket, source_type_by_host
-from attesta.functions.lexicon import any_of, hits
+from attesta.functions.lexicon import Terms, any_of, hits
 from attesta.functions.text import host_of
 from attesta.operators.dedup import dedup_results
 from attesta.operators.rank import diversify_results, ranked
@@ -17,12 +17,16 @@ from attesta.operators.rank import diversify_results, ranked
 
 @dataclass(frozen=True)
 class SearchTerms:
-    entity: tuple = ()
-    relaxed: tuple = ()
-    question: tuple = ()
+    """What to look for. Each list may be a column of arrays instead, so that results of many entities and questions
+    are filtered and ranked at once, each by its own terms."""
+
+    entity: Terms = ()
+    relaxed: Terms = ()
+    question: Terms = ()
     review: tuple = L.REVIEW
     evidence: tuple = L.EVIDENCE
-    history: tuple = L.HISTORY
+    rank_review: tuple = L.RANK_REVIEW
+    rank_history: tuple = L.RANK_HISTORY
     authority: tuple = L.AUTHORITATIVE_HOSTS
     social: tuple = L.SOCIAL_HOSTS
     trusted: tuple = L.TRUSTED_HOSTS
@@ -37,8 +41,9 @@ def _low(c: str) -> Column:
 
 def with_hay(df: DataFrame) -> DataFrame:
     """Add _hay (all a result says, in lower case) and _text once, for all tests after it."""
-    parts = [_low(c) for c in ("title", "content", "source", "url", "matched_query") if c in df.columns]
-    return df.withColumn("_text", _low("content")).withColumn("_hay", F.concat_ws(" ", *parts))
+    text = F.coalesce(F.nullif(_low("content"), F.lit("")), _low("snippet")) if "snippet" in df.columns else _low("content")
+    parts = [text if c == "content" else _low(c) for c in ("title", "content", "source", "url", "matched_query") if c in df.columns]
+    return df.withColumn("_text", text).withColumn("_hay", F.concat_ws(" ", *parts))
 
 
 def low_signal(t: SearchTerms) -> Column:
@@ -61,6 +66,8 @@ def low_signal(t: SearchTerms) -> Column:
         | (at("instagram.com") & path.isin("", "accounts", "explore", "direct"))
         | (at("threads.net") & ~named & path.isin("", "login"))
         | (social & ~named & any_of(said, ("privacy", "meta", "sign up", "log in", "login")))
+        | any_of(said, ("paint0_linear", "paint1_ra", "userspaceonuse", "stop-color", "fill'url(%23"))
+        | (at("youtube.com") & any_of(said, ("error 403", "that’s an error", "skip navigation")))
         | (social & (profile | ~meaningful))
         | (at("facebook.com") & ~any_of(path, ("posts", "permalink", "share")))
     )
@@ -88,37 +95,42 @@ def focus_match(t: SearchTerms, domain: tuple, strong: tuple, excluded: tuple, n
     usable = (F.length(F.trim("_text")) >= 20) | (F.length(F.trim(_low("title"))) >= 8)
     off = any_of(hay, negated) | ((hits(hay, excluded) >= 2) & (n < 2) & ~hit)
     found = (any_of(_low("url"), t.trusted) & hit) | (n >= 2) | (hit & any_of(hay, t.question))
-    return ~off & any_of(hay, (*t.entity, *t.relaxed)) & found & usable
+    return ~off & (any_of(hay, t.entity) | any_of(hay, t.relaxed)) & found & usable
 
 
 #: Points for the kind of site.
 _SITE_POINTS = ((5, ("ptt.cc",)), (4, ("google.com/maps", "maps.google", "dcard.tw")), (2, ("facebook.com", "instagram.com", "threads.net")))
 
 
-def rank_results(df: DataFrame, t: SearchTerms, controversial: bool = False) -> DataFrame:
-    """Rank results (query_key, ord, ...) by three scores, ties by ord. Adds s1, s2, s3, bucket and rank."""
+def rank_results(df: DataFrame, t: SearchTerms, controversial: bool | Column = False, domain: tuple = (), strong: tuple = ()) -> DataFrame:
+    """Rank results (query_key, ord, ...) by three scores, ties by ord. Adds s1, s2, s3, bucket and rank.
+
+    controversial: whether the question is about controversy or money, for all rows or by row; domain, strong: terms of a
+    domain in focus, which count one and three more.
+    """
     hay, url = F.col("_hay"), _low("url")
     df = with_hay(df).withColumn("bucket", result_bucket(F.col("url"), F.col("source_type")))
     site = F.when(any_of(_low("source"), ("news", "新聞")), 1).otherwise(0)
     for points, marks in reversed(_SITE_POINTS):
         site = F.when(any_of(url, marks), points).otherwise(site)
     site = F.when(any_of(url, t.authority), 8).otherwise(site)
-    asked, evidence, authority, past = hits(hay, t.question), hits(hay, t.evidence), hits(hay, t.authority), hits(hay, t.history)
-    boost = F.lit(0)
-    if controversial:
-        boost = F.when(F.col("bucket").isin("news", "forum", "fundraising"), 6).when(F.col("bucket") == "official", -5).otherwise(0) + 2 * past
-    s1 = 12 * any_of(hay, t.entity).cast("int") + 3 * asked + evidence + hits(hay, t.review) + 3 * authority + site + boost
-    df = df.withColumn("s1", s1).withColumn("s2", asked + evidence + authority + past).withColumn("s3", F.least(F.length(F.trim("_text")), F.lit(500)))
+    asked, evidence, authority, past = hits(hay, t.question), hits(hay, t.evidence), hits(hay, t.authority), hits(hay, t.rank_history)
+    heated = F.when(F.col("bucket").isin("news", "forum", "fundraising"), 6).when(F.col("bucket") == "official", -5).otherwise(0) + 2 * past
+    boost = F.when(controversial if isinstance(controversial, Column) else F.lit(controversial), heated).otherwise(0)
+    focus = hits(hay, domain) + 3 * hits(hay, strong)
+    s1 = 12 * any_of(hay, t.entity).cast("int") + 3 * asked + evidence + hits(hay, t.rank_review) + 3 * authority + site + boost + focus
+    df = df.withColumn("s1", s1).withColumn("s2", asked + evidence + authority + past + focus).withColumn("s3", F.least(F.length(F.trim("_text")), F.lit(500)))
     return ranked(df.drop("_hay", "_text"), ["query_key"], [F.desc("s1"), F.desc("s2"), F.desc("s3"), F.col("ord")])
 
 
-def finalize_results(df: DataFrame, t: SearchTerms, limit: int = 100, controversial: bool = False) -> DataFrame:
-    """Deduplicate, type, filter, rank, diversify; the first `limit` of each query by place."""
+def finalize_results(df: DataFrame, t: SearchTerms, limit: int = 100, controversial: bool | Column = False) -> DataFrame:
+    """Deduplicate, type, filter, rank, diversify; the first `limit` of each query by place. Works on all queries of df at
+    once, each by its own terms if t holds columns of df."""
     df = dedup_results(df)
     preset = F.col("source_type") if "source_type" in df.columns else F.lit(None).cast("string")
-    df = with_hay(df.withColumn("source_type", source_type_by_host(F.col("url"), F.col("source"), preset)))
+    df = with_hay(df.withColumn("source_type", source_type_by_host(F.col("url"), F.col("source"), preset, F.col("title"), t.entity)))
     df = keep_relevant(df.where(~low_signal(t)), t).drop("_hay", "_text")
-    placed = diversify_results(rank_results(df, t, controversial), F.lit(controversial))
+    placed = diversify_results(rank_results(df, t, controversial), controversial if isinstance(controversial, Column) else F.lit(controversial))
     return placed.where(F.col("place") <= limit)
 
 

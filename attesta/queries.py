@@ -140,7 +140,7 @@ def cache_decision(v, t):
     cached = queries.join(cards, "query_id").groupBy("entity_id").agg(F.countDistinct("source_id").alias("cached_sources"))
     counted = queries.join(cards.groupBy("query_id").agg(F.count("*").alias("source_count")), "query_id", "left").fillna(0, ["source_count"])
     requests = v("v_watchlist").select("entity_id", F.explode(F.array(*map(F.lit, "FOP"))).alias("search_mode"))
-    return freshness.cache_decision(requests, cached, counted, AS_OF, max_age_hours=8760)
+    return freshness.cache_decision(requests, cached.hint("merge"), counted, AS_OF, max_age_hours=8760)
 
 
 @query(
@@ -225,21 +225,30 @@ def ingest_reviews(v, t):
 
 @query(
     """,,
-x AS (SELECT url, CASE WHEN ord % 3 = 0 THEN '' ELSE title END AS title, CASE WHEN ord % 5 = 0 THEN NULL ELSE source END AS site_name,
-  CASE WHEN ord % 4 = 0 THEN 'other' ELSE lang END AS source_type, CASE WHEN ord % 2 = 0 THEN NULL ELSE CAST(ord AS STRING) END AS published_at, ord % 2 AS b, ord FROM v_results)
-SELECT url, arg_max(title, (b, ord)) FILTER (coalesce(title, '') <> '') AS title, arg_max(site_name, (b, ord)) FILTER (coalesce(site_name, '') <> '') AS site_name,
-  arg_max(source_type, (b, ord)) FILTER (coalesce(source_type, '') <> '') AS source_type, arg_max(published_at, (b, ord)) FILTER (published_at IS NOT NULL) AS published_at FROM x GROUP BY url""",
+x AS (SELECT CASE WHEN ord % 7 = 0 AND ord % 2 = 1 THEN concat(' ', url) ELSE url END AS u, CASE WHEN ord % 3 = 0 THEN '' ELSE title END AS title, CASE WHEN ord % 5 = 0 THEN NULL ELSE source END AS s,
+  CASE ord % 4 WHEN 0 THEN 'other' WHEN 1 THEN '' WHEN 2 THEN NULL ELSE lang END AS t, CASE WHEN ord % 2 = 0 THEN NULL ELSE CAST(ord AS STRING) END AS published_at, ord % 2 AS b, ord FROM v_results),
+y AS (SELECT CASE WHEN b = 1 THEN trim(u) ELSE u END AS url, regexp_extract(u, '^ ?https://([^/]*)', 1) AS domain, title, published_at, b, ord,
+  CASE WHEN b = 1 THEN coalesce(nullif(s, ''), regexp_extract(u, '^ ?https://([^/]*)', 1)) ELSE s END AS site_name, CASE WHEN b = 1 THEN coalesce(nullif(t, ''), 'other') ELSE t END AS source_type FROM x)
+SELECT url, domain, arg_max(title, (b, ord)) FILTER (coalesce(title, '') <> '') AS title, arg_max(site_name, (b, ord)) FILTER (coalesce(site_name, '') <> '') AS site_name,
+  arg_max(source_type, (b, ord)) FILTER (coalesce(source_type, '') <> '') AS source_type, arg_max(published_at, (b, ord)) FILTER (published_at IS NOT NULL) AS published_at FROM y GROUP BY url, domain""",
     "v_results",
 )
 def upsert_sources(v, t):
-    r = v("v_results")
-    rows = r.select("url", F.when(F.col("ord") % 3 == 0, "").otherwise(F.col("title")).alias("title"), F.when(F.col("ord") % 5 != 0, F.col("source")).alias("site_name"), F.when(F.col("ord") % 4 == 0, "other").otherwise(F.col("lang")).alias("source_type"), F.when(F.col("ord") % 2 == 1, F.col("ord").cast("string")).alias("published_at"), "ord")
+    o = F.col("ord")
+    rows = v("v_results").select(
+        F.when((o % 7 == 0) & (o % 2 == 1), F.concat(F.lit(" "), "url")).otherwise(F.col("url")).alias("url"),
+        F.when(o % 3 == 0, "").otherwise(F.col("title")).alias("title"),
+        F.when(o % 5 != 0, F.col("source")).alias("site_name"),
+        F.when(o % 4 == 0, "other").when(o % 4 == 1, "").when(o % 4 == 3, F.col("lang")).alias("source_type"),
+        F.when(o % 2 == 1, o.cast("string")).alias("published_at"),
+        "ord",
+    )
     return tables.upsert_sources(rows.where("ord % 2 = 0"), rows.where("ord % 2 = 1"), ["title", "site_name", "source_type"], ["published_at"])
 
 
 @query(
     """,,
-h AS (SELECT entity_id, search_mode, sha256(concat_ws('|', question, CAST(confidence % 10 AS STRING))) AS snapshot_hash, created_at, query_id FROM v_queries),
+h AS (SELECT entity_id, search_mode, sha256(CAST(to_json({'question': question, 'part': CAST(confidence % 10 AS STRING)}) AS VARCHAR)) AS snapshot_hash, created_at, query_id FROM v_queries),
 g AS (SELECT entity_id, search_mode, snapshot_hash, min((created_at, query_id)) AS a, max((created_at, query_id)) AS z, max(created_at) AS generated_at FROM h GROUP BY 1, 2, 3)
 SELECT entity_id, search_mode, snapshot_hash, CAST(row_number() OVER (PARTITION BY entity_id, search_mode ORDER BY a) AS INT) AS version, generated_at,
   row_number() OVER (PARTITION BY entity_id, search_mode ORDER BY z DESC) = 1 AS is_latest FROM g""",
@@ -253,8 +262,7 @@ def snapshot_history(v, t):
     """,,
 p AS (SELECT DISTINCT entity_id, search_mode FROM v_queries),
 b AS (SELECT entity_id, search_mode, concat(search_mode, ' overview ', CAST(i AS STRING)) AS question, 82 AS confidence, i AS pos FROM p CROSS JOIN (SELECT unnest([0, 1, 2]) AS i)),
-d AS (SELECT entity_id, search_mode, question, max((created_at, query_id)) AS z FROM v_queries GROUP BY 1, 2, 3),
-r AS (SELECT * FROM (SELECT entity_id, search_mode, question, 75 AS confidence, row_number() OVER (PARTITION BY entity_id, search_mode ORDER BY z DESC) AS pos FROM d) WHERE pos <= 4),
+r AS (SELECT * FROM (SELECT entity_id, search_mode, question, 75 AS confidence, row_number() OVER (PARTITION BY entity_id, search_mode ORDER BY query_id DESC) AS pos FROM v_queries) WHERE pos <= 4),
 u AS (SELECT * FROM b UNION ALL SELECT * FROM r UNION ALL SELECT entity_id, search_mode, f, 72, i FROM p CROSS JOIN (SELECT unnest(['latest news', '1-URGENT']) AS f, unnest([0, 1]) AS i)),
 o AS (SELECT entity_id, search_mode, question, min((-confidence, pos)) AS k, max(confidence) AS confidence FROM u GROUP BY 1, 2, 3)
 SELECT * FROM (SELECT entity_id, search_mode, question, confidence, CAST(row_number() OVER (PARTITION BY entity_id, search_mode ORDER BY k, question) AS INT) AS place FROM o) WHERE place <= 8""",
@@ -332,26 +340,31 @@ def expand_aliases(v, t):
 
 @query(
     """,,
-r AS (SELECT query_key, ord, concat('https://h/', CAST(ord % 400 AS STRING)) AS url, CASE WHEN ord % 2 = 0 THEN '' ELSE title END AS title, CASE WHEN ord % 3 = 0 THEN NULL ELSE lang END AS lang FROM v_results),
-s AS (SELECT concat('https://h/', CAST(ord AS STRING)) AS url, title, lang FROM v_results WHERE ord < 300)
+r AS (SELECT query_key, ord, concat('https://h/', CAST(CAST(floor(ord / 2) AS BIGINT) AS STRING)) AS url, CASE WHEN ord % 2 = 0 THEN '' ELSE title END AS title, CASE WHEN ord % 3 = 0 THEN NULL ELSE lang END AS lang FROM v_results),
+s AS (SELECT concat('https://h/', CAST(ord AS STRING)) AS url, title, lang FROM v_results)
 SELECT r.query_key, r.ord, r.url, coalesce(nullif(r.title, ''), s.title, r.title) AS title, coalesce(nullif(r.lang, ''), s.lang, r.lang) AS lang FROM r LEFT JOIN s ON s.url = r.url""",
     "v_results",
 )
 def hydrate(v, t):
     base = v("v_results")
     url = lambda c: F.concat(F.lit("https://h/"), c.cast("string")).alias("url")
-    r = base.select("query_key", "ord", url(F.col("ord") % 400), F.when(F.col("ord") % 2 == 0, "").otherwise(F.col("title")).alias("title"), F.when(F.col("ord") % 3 != 0, F.col("lang")).alias("lang"))
-    s = base.where("ord < 300").select(url(F.col("ord")), "title", "lang")
+    r = base.select("query_key", "ord", url(F.floor(F.col("ord") / 2)), F.when(F.col("ord") % 2 == 0, "").otherwise(F.col("title")).alias("title"), F.when(F.col("ord") % 3 != 0, F.col("lang")).alias("lang"))
+    s = base.select(url(F.col("ord")), "title", "lang")
     return joins.hydrate(r, s, ["title", "lang"])
 
 
 @query(
-    """SELECT query_key, ord, url FROM v_results c WHERE ord % 2 = 0 AND NOT EXISTS (SELECT 1 FROM v_results l WHERE l.ord % 10 = 1 AND l.query_key = c.query_key AND trim(l.url) = trim(c.url))""",
+    """,,
+l AS (SELECT query_key, 25 * query_key + 2 * (ord % 12) AS k FROM v_results),
+m AS (SELECT query_key, concat(' https://h', CAST(k % 5 AS STRING), '.example/p/', CAST(k AS STRING)) AS url FROM l)
+SELECT query_key, ord, url FROM v_results c WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.query_key = c.query_key AND trim(m.url) = trim(c.url))""",
     "v_results",
 )
 def anti_by_url(v, t):
     r = v("v_results").select("query_key", "ord", "url")
-    return joins.anti_by_url(r.where("ord % 2 = 0"), r.where("ord % 10 = 1"))
+    k = 25 * F.col("query_key") + 2 * (F.col("ord") % 12)
+    live = r.select("query_key", F.concat(F.lit(" https://h"), (k % 5).cast("string"), F.lit(".example/p/"), k.cast("string")).alias("url"))
+    return joins.anti_by_url(r, live)
 
 
 @query(
@@ -426,14 +439,14 @@ def order_queries(v, t):
     return rank.order_queries(rows, {"2-HIGH": 2, "1-URGENT": 1}, ["3-MEDIUM", "1-URGENT", "2-HIGH"])
 
 
-TERMS = search.SearchTerms(entity=("src1", "the"), relaxed=("th",), question=("tion", "ing"), review=("and", "der", "que"), evidence=("of", "die", "les"), history=("er", "en"), authority=("h1.example",), social=("h2.example",), trusted=("h3.example",))
+TERMS = search.SearchTerms(entity=("src1", "the"), relaxed=("th",), question=("tion", "ing"), review=("and", "der", "que"), evidence=("of", "die", "les"), rank_review=("and", "der", "que"), rank_history=("er", "en"), authority=("h1.example",), social=("h2.example",), trusted=("h3.example",))
 _HAY = "lower(concat_ws(' ', title, content, source, url))"
 _N = lambda terms: " + ".join(f"contains(hay, '{x}')::INT" for x in terms)
 _RANKED = f""",,
 h AS (SELECT *, {_HAY} AS hay, CASE WHEN ord % 7 < 4 THEN ['official', 'news', 'forum', 'social'][CAST(ord % 7 AS INT) + 1] ELSE 'other' END AS bucket FROM v_results),
-s AS (SELECT query_key, ord, url, bucket, 12 * (contains(hay, 'src1') OR contains(hay, 'the'))::INT + 3 * ({_N(TERMS.question)}) + {_N(TERMS.evidence)} + {_N(TERMS.review)}
+s AS (SELECT query_key, ord, url, bucket, 12 * (contains(hay, 'src1') OR contains(hay, 'the'))::INT + 3 * ({_N(TERMS.question)}) + {_N(TERMS.evidence)} + {_N(TERMS.rank_review)}
   + 3 * ({_N(TERMS.authority)}) + CASE WHEN contains(lower(url), 'h1.example') THEN 8 ELSE 0 END AS s1,
-  {_N(TERMS.question)} + {_N(TERMS.evidence)} + {_N(TERMS.authority)} + {_N(TERMS.history)} AS s2, least(length(trim(lower(content))), 500) AS s3 FROM h),
+  {_N(TERMS.question)} + {_N(TERMS.evidence)} + {_N(TERMS.authority)} + {_N(TERMS.rank_history)} AS s2, least(length(trim(lower(content))), 500) AS s3 FROM h),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_key ORDER BY s1 DESC, s2 DESC, s3 DESC, ord) AS INT) AS rank FROM s)"""
 
 
@@ -462,7 +475,7 @@ _CARDS = """,,
 c AS (SELECT o.entity_id AS query_key, (c.query_id * 10 + c.card_no) * 100000 + c.source_id AS ord, c.source_id, c.relevance, c.credibility, CAST(c.card_no * 10 AS INT) AS first_hand, c.card_no = 7 AS noise, c.stance
   FROM v_cards c JOIN v_queries o ON o.query_id = c.query_id),
 k AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_key ORDER BY relevance DESC, credibility DESC, first_hand DESC, ord) AS INT) AS rank, max((relevance >= 40)::INT) OVER (PARTITION BY query_key) AS good FROM c WHERE NOT noise),
-f AS (SELECT * FROM k WHERE CASE WHEN good = 1 THEN relevance >= 40 ELSE rank <= 10 END AND rank <= 20)"""
+f AS (SELECT * FROM k WHERE CASE WHEN good = 1 THEN relevance >= 40 ELSE rank <= 20 END AND rank <= 20)"""
 
 
 def _cards(v):
@@ -470,9 +483,9 @@ def _cards(v):
     return c.select("query_key", ((F.col("query_id") * 10 + F.col("card_no")) * 100_000 + F.col("source_id")).alias("ord"), "source_id", "relevance", "credibility", (F.col("card_no") * 10).cast("int").alias("first_hand"), (F.col("card_no") == 7).alias("noise"), "stance", "strength")
 
 
-@query(_CARDS + "\nSELECT query_key, ord, relevance, credibility, first_hand, rank FROM f", "v_queries", "v_cards")
+@query(_CARDS + "\nSELECT query_key, ord, relevance, credibility, first_hand, rank, good = 0 AS fallback FROM f", "v_queries", "v_cards")
 def rank_cards(v, t):
-    return rank.rank_cards(_cards(v), 20).select("query_key", "ord", "relevance", "credibility", "first_hand", "rank")
+    return rank.rank_cards(_cards(v), 20).select("query_key", "ord", "relevance", "credibility", "first_hand", "rank", "fallback")
 
 
 @query(
@@ -481,7 +494,7 @@ def rank_cards(v, t):
 m AS (SELECT *, min(rank) OVER (PARTITION BY query_key, platform) AS fst, row_number() OVER (PARTITION BY query_key, platform ORDER BY rank) <= 2 AS first FROM n),
 p AS (SELECT *, row_number() OVER (PARTITION BY query_key ORDER BY CASE WHEN first THEN 0 ELSE 1 END, CASE WHEN first THEN CASE WHEN n <= 2 THEN rank ELSE fst END ELSE 0 END, rank) AS pl FROM m),
 o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_key, url ORDER BY pl) AS c FROM p) WHERE c = 1 OR n <= 2)
-SELECT * FROM (SELECT query_key, ord, platform, CAST(row_number() OVER (PARTITION BY query_key ORDER BY pl) AS INT) AS place FROM o) WHERE place <= 12""",
+SELECT query_key, ord, platform, place FROM (SELECT query_key, ord, platform, good, CAST(row_number() OVER (PARTITION BY query_key ORDER BY pl) AS INT) AS place FROM o) WHERE place <= CASE WHEN good = 1 THEN 12 ELSE 10 END""",
     "v_queries",
     "v_cards",
 )
@@ -578,12 +591,15 @@ SELECT e.entity, d.dim, count(g.dim) AS mentions, count(*) FILTER (g.stance = 's
   count(g.dim) - count(*) FILTER (g.stance IN ('supporting', 'opposing')) AS neutral FROM e CROSS JOIN d LEFT JOIN g ON g.entity = e.entity AND g.dim = d.dim GROUP BY 1, 2"""
 
 
-@query(_DIM_SQL, "v_reviews")
-def dimension_overview(v, t):
+def _tagged(v):
     dims = F.array(*map(F.lit, DIMS))
     tag = lambda i: F.struct(F.get(dims, (i % 6).cast("int")).alias("dim"), F.col("stance").alias("stance"), F.substring("content", 1, 120).alias("excerpt"))
-    reviews = v("v_reviews").withColumn("tags", F.array(tag(F.col("review_id")), tag(F.col("review_id") + 2)))
-    return metrics.dimension_overview(reviews).drop("excerpts")
+    return v("v_reviews").withColumn("tags", F.array(tag(F.col("review_id")), tag(F.col("review_id") + 2)))
+
+
+@query(_DIM_SQL, "v_reviews")
+def dimension_overview(v, t):
+    return metrics.dimension_overview(_tagged(v)).drop("excerpts")
 
 
 @query(
@@ -652,3 +668,99 @@ def platform_counts(v, t):
 def run_totals(v, t):
     runs = t("lineitem").select(F.col("l_returnflag").alias("platform"), (F.col("l_suppkey") % 10).cast("string").alias("entity"), (F.col("l_quantity").cast("long") % 5).alias("rows_written"))
     return metrics.run_totals(runs.withColumn("status", F.when(F.col("rows_written") == 0, "failed").otherwise("ok")))
+
+
+@query(
+    """SELECT c.query_id, c.source_id, c.card_no, c.relevance, c.stance, s.site_name, s.source_type,
+ CAST(row_number() OVER (PARTITION BY c.query_id ORDER BY c.relevance DESC, c.card_no, c.source_id, c.stance) AS INT) AS rank FROM v_cards c JOIN v_sources s ON s.source_id = c.source_id""",
+    "v_cards",
+    "v_sources",
+)
+def query_cards(v, t):
+    return rank.query_cards(v("v_cards"), v("v_sources"), ("card_no", "source_id", "stance")).select("query_id", "source_id", "card_no", "relevance", "stance", "site_name", "source_type", "rank")
+
+
+@query(
+    f"""SELECT entity_id, name, coalesce(priority, 3) AS priority, last_at + INTERVAL 2160 HOUR AS next_crawl_at FROM v_watchlist WHERE entity_id % 3 <> 0
+ AND (last_at IS NULL OR last_at + INTERVAL 2160 HOUR <= TIMESTAMP '{AS_OF}') AND lower(entity_type) IN ('building', 'machinery') ORDER BY priority, name LIMIT 200""",
+    "v_watchlist",
+)
+def due_entities(v, t):
+    watched = v("v_watchlist").withColumn("is_active", F.col("entity_id") % 3 != 0).withColumn("next_crawl_at", F.col("last_at") + F.make_dt_interval(hours=F.lit(2160)))
+    return joins.due_entities(watched, AS_OF, ["building", "machinery"], 200)
+
+
+_TAGGED = """,,
+d AS (SELECT i, dim FROM (SELECT unnest([0, 1, 2, 3, 4, 5]) AS i, unnest(['staff_attitude', 'transparency', 'environment', 'animal_care', 'communication', 'adoption_process']) AS dim))"""
+
+
+@query(
+    _TAGGED
+    + """
+SELECT d.dim, CASE WHEN r.stance IN ('supporting', 'opposing') THEN r.stance ELSE 'neutral' END AS stance, count(*) AS n
+FROM v_reviews r JOIN d ON d.i IN (r.review_id % 6, (r.review_id + 2) % 6) GROUP BY 1, 2""",
+    "v_reviews",
+)
+def dimension_stances(v, t):
+    return metrics.dimension_stances(_tagged(v))
+
+
+_TYPED = """,,
+c AS (SELECT query_id, source_id, CASE stance WHEN 'R' THEN 'opposing' WHEN 'A' THEN 'supporting' ELSE 'neutral' END AS stance,
+  CASE source_id % 6 WHEN 0 THEN 'official' WHEN 1 THEN 'news' WHEN 2 THEN 'forum' WHEN 3 THEN 'social' WHEN 4 THEN 'blog' END AS source_type FROM v_cards)"""
+
+
+def _typed(v):
+    n = F.col("source_id") % 6
+    kind = F.when(n == 0, "official").when(n == 1, "news").when(n == 2, "forum").when(n == 3, "social").when(n == 4, "blog")
+    stance = F.when(F.col("stance") == "R", "opposing").when(F.col("stance") == "A", "supporting").otherwise("neutral")
+    return v("v_cards").withColumns({"source_type": kind, "stance": stance})
+
+
+@query(_TYPED + "\nSELECT query_id, CASE WHEN source_type IS NULL OR source_type = 'blog' THEN 'other' ELSE source_type END AS source_type, count(*) AS n FROM c GROUP BY 1, 2", "v_cards")
+def source_type_counts(v, t):
+    return metrics.source_type_counts(_typed(v), "query_id")
+
+
+@query(
+    _TYPED
+    + """
+SELECT query_id, count(*) AS "all", count(*) AS latest, count(*) FILTER (stance = 'supporting') AS supporting, count(*) FILTER (stance = 'opposing') AS opposing, count(*) FILTER (source_type = 'official') AS official,
+  count(*) FILTER (source_type = 'news') AS news, count(*) FILTER (source_type = 'forum') AS forum, count(*) FILTER (source_type = 'social') AS social FROM c GROUP BY 1""",
+    "v_cards",
+)
+def tab_counts(v, t):
+    return metrics.tab_counts(_typed(v), "query_id")
+
+
+@query(
+    """,,
+e AS (SELECT entity_id, name FROM v_watchlist), old AS (SELECT entity_id, concat('c', CAST(entity_id AS STRING)) AS keyword FROM e WHERE entity_id % 2 = 0),
+m AS (SELECT DISTINCT entity_id, keyword FROM (SELECT entity_id, name, unnest([name, concat('c', CAST(entity_id AS STRING)), replace(name, '#', ' '), replace(name, '0', '')]) AS keyword FROM e) WHERE keyword <> name)
+SELECT entity_id, keyword, 'alias' AS keyword_type, 70 AS weight, true AS is_active FROM m WHERE (entity_id, keyword) NOT IN (SELECT entity_id, keyword FROM old)
+UNION ALL SELECT entity_id, keyword, 'seed', 90, true FROM old""",
+    "v_watchlist",
+)
+def expand_keywords(v, t):
+    e = v("v_watchlist").select("entity_id", "name").withColumn("aliases", F.array().cast("array<string>"))
+    short = F.concat(F.lit("c"), F.col("entity_id").cast("string"))
+    old = e.where("entity_id % 2 = 0").select("entity_id", short.alias("keyword"), F.lit("seed").alias("keyword_type"), F.lit(90).alias("weight"), F.lit(True).alias("is_active"))
+    variants = F.array("name", short, F.replace("name", F.lit("#"), F.lit(" ")), F.replace("name", F.lit("0"), F.lit("")))
+    return tables.expand_keywords(e, old, variants)[0]
+
+
+@query(
+    """,,
+x AS (SELECT query_key, ord, lower(concat_ws(' ', title, content, source, url)) AS hay, lower(source) AS a, lower(lang) AS b FROM v_results),
+s AS (SELECT query_key, ord, 12 * contains(hay, a)::INT + 3 * (contains(hay, b)::INT + CASE WHEN a <> b THEN contains(hay, a)::INT ELSE 0 END) AS s1 FROM x)
+SELECT query_key, ord, CAST(s1 AS INT) AS s1, CAST(row_number() OVER (PARTITION BY query_key ORDER BY s1 DESC, ord) AS INT) AS rank FROM s""",
+    "v_results",
+)
+def rank_by_own_terms(v, t):
+    """Each row is scored by terms of its own: an entity and question for each row."""
+    own = lambda *c: F.array(*(F.lower(F.coalesce(F.col(x), F.lit("\0"))) for x in c))
+    none = ("\0",)
+    terms = search.SearchTerms(entity=own("source"), question=own("lang", "source"), evidence=none, rank_review=none, rank_history=none, authority=none)
+    ranked = search.rank_results(v("v_results").withColumn("source_type", F.lit("other")), terms)
+    again = rank.ranked(ranked.select("query_key", "ord", "s1"), ["query_key"], [F.desc("s1"), F.col("ord")])
+    return again

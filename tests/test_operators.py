@@ -63,7 +63,8 @@ def test_upsert_keeps_old_when_new_is_empty(spark):
     new = spark.createDataFrame([("u", "", "other", None, 1), ("w", "x", "", "2021", 2)], old.schema)
     out = {r.url: r for r in tables.upsert_sources(old, new, ["title", "source_type"], ["published_at"]).collect()}
     assert (out["u"].title, out["u"].source_type, out["u"].published_at) == ("t", "other", "2020")
-    assert out["w"].source_type is None and out["w"].published_at == "2021"
+    # a missing source_type counts as other
+    assert out["w"].source_type == "other" and out["w"].published_at == "2021"
 
 
 def test_credibility_rounds_half_to_even(spark):

@@ -18,6 +18,8 @@ CLASSES = WORDS // CLASS_WORDS + BUCKETS
 INPUTS = WORDS + BUCKETS
 #: Steps of a window of truncated backpropagation, parallel streams of a long text, tokens of a stream at least, step size.
 WINDOW, STREAMS, STREAM_TOKENS, RATE = 20, 256, 400, 0.01
+#: Rows whose logits are held at once, so that they stay in a processor's cache.
+CHUNK = 1024
 F32 = np.float32
 
 
@@ -73,10 +75,13 @@ class Gru:
 
     def log_probs(self, h: np.ndarray, targets: np.ndarray) -> np.ndarray:
         """Natural log of the probability of each target word, or of its open class."""
-        logits = h @ self.c + self.cb
-        words = targets < WORDS
-        out = logits[np.arange(len(h)), _classes(targets)] - _log_sum(logits)
-        for c, i in _by_class(targets, np.flatnonzero(words)):
+        out, cls = np.empty(len(h), dtype=h.dtype), _classes(targets)
+        for at in range(0, len(h), CHUNK):
+            part = slice(at, at + CHUNK)
+            logits = h[part] @ self.c
+            logits += self.cb
+            out[part] = logits[np.arange(len(logits)), cls[part]] - _log_sum(logits)
+        for c, i in _by_class(targets, np.flatnonzero(targets < WORDS)):
             inner = h[i] @ self.w[c].T + self.wb[c]
             out[i] += inner[np.arange(len(i)), targets[i] % CLASS_WORDS] - _log_sum(inner)
         return out
@@ -107,7 +112,19 @@ def _summed(ids: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
 
 def _log_sum(logits: np.ndarray) -> np.ndarray:
     top = logits.max(axis=1)
-    return top + np.log(np.exp(logits - top[:, None]).sum(axis=1))
+    moved = logits - top[:, None]
+    return top + np.log(np.exp(moved, out=moved).sum(axis=1))
+
+
+def _softmax_loss(logits: np.ndarray, at: np.ndarray, n: int) -> float:
+    """The loss of the picks `at`, one of each row; logits become its gradients, divided by n."""
+    rows = np.arange(len(at))
+    logits -= logits.max(axis=1)[:, None]
+    picked = logits[rows, at].sum(dtype=np.float64)
+    total = np.exp(logits, out=logits).sum(axis=1)
+    logits *= (1 / (n * total))[:, None]
+    logits[rows, at] -= 1 / n
+    return float(np.log(total).sum(dtype=np.float64) - picked)
 
 
 def gradients(m: Gru, h0: np.ndarray, ids: np.ndarray, targets: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray, float]:
@@ -119,23 +136,21 @@ def gradients(m: Gru, h0: np.ndarray, ids: np.ndarray, targets: np.ndarray) -> t
         hs.append(h)
         saved.append(rest)
     flat, y = np.concatenate(hs[1:]), targets.reshape(-1)
-    rows, n, cls = np.arange(len(y)), len(y), _classes(y)
-    logits = flat @ m.c + m.cb
-    norm = _log_sum(logits)
-    loss = (norm - logits[rows, cls]).sum()
-    dl = np.exp(logits - norm[:, None])
-    dl[rows, cls] -= 1
-    dl /= n
-    g = {"c": flat.T @ dl, "cb": dl.sum(axis=0), "w": np.zeros_like(m.w), "wb": np.zeros_like(m.wb), "u": np.zeros_like(m.u)}
-    dflat = dl @ m.c.T
+    n, cls, loss, dflat = len(y), _classes(y), 0.0, np.empty_like(flat)
+    g = {k: np.zeros_like(getattr(m, k)) for k in ("c", "cb", "w", "wb", "u")}
+    for at in range(0, n, CHUNK):
+        part = slice(at, at + CHUNK)
+        dl = flat[part] @ m.c
+        dl += m.cb
+        loss += _softmax_loss(dl, cls[part], n)
+        g["c"] += flat[part].T @ dl
+        g["cb"] += dl.sum(axis=0)
+        dflat[part] = dl @ m.c.T
     for c, i in _by_class(y, np.flatnonzero(y < WORDS)):
-        hi, at = flat[i], (np.arange(len(i)), y[i] % CLASS_WORDS)
-        inner = hi @ m.w[c].T + m.wb[c]
-        norm = _log_sum(inner)
-        loss += (norm - inner[at]).sum()
-        di = np.exp(inner - norm[:, None])
-        di[at] -= 1
-        di /= n
+        hi = flat[i]
+        di = hi @ m.w[c].T
+        di += m.wb[c]
+        loss += _softmax_loss(di, y[i] % CLASS_WORDS, n)
         g["w"][c], g["wb"][c] = di.T @ hi, di.sum(axis=0)
         dflat[i] += di @ m.w[c]
     dh = np.zeros_like(h0)
@@ -153,7 +168,7 @@ def gradients(m: Gru, h0: np.ndarray, ids: np.ndarray, targets: np.ndarray) -> t
         g["u"] += h.T @ da
         dh = dh * z + da @ m.u.T
     g["x"] = _summed(ids.reshape(-1), dx.reshape(-1, 3 * HIDDEN), INPUTS)
-    return g, hs[-1], float(loss) / n
+    return g, hs[-1], loss / n
 
 
 def train(m: Gru, stream: np.ndarray, passes: int = 1) -> Gru:

@@ -94,13 +94,13 @@ class Vocabulary:
 
 def _train(model: gru.Gru, words: list[bytes], passes: int):
     def run(group: pa.Table) -> pa.Table:
-        ids = {w: i for i, w in enumerate(words)}
+        vocabulary = Vocabulary(words, {})
         order = np.argsort(group.column("luck").to_numpy(), kind="stable")
-        texts, pieces = group.column("text"), [np.zeros(1, dtype=np.int32)]
+        texts, end = group.column("text"), np.zeros(1, dtype=np.int32)
+        pieces = [end]
         for i in order.tolist():
-            found = tokens(texts[i].as_py())
-            found.append(END_WORD)
-            pieces.append(np.fromiter((ids[w] if w in ids else gru.WORDS + gru.bucket_of(w) for w in found), dtype=np.int32, count=len(found)))
+            slots = vocabulary.sequence(tokens(texts[i].as_py()))
+            pieces += [vocabulary.model_ids[slots], end]
         stream = np.concatenate(pieces)
         trained = gru.train(model, stream, passes)
         return pa.table({"n": pa.array([len(stream)], pa.int64()), "weights": pa.array([trained.flat().astype(float)], pa.list_(pa.float64()))})

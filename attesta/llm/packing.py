@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -14,10 +15,11 @@ from pyspark.sql import functions as F
 
 from attesta.llm.common import stored
 
-#: Tokens of a sequence; id after each document; tokens that one task packs at once; blocks that meet in the next round.
-SEQUENCE, END_ID, BLOCK_TOKENS, FAN = 4096, 1, 8_000_000, 64
+#: Tokens of a sequence; id after each document; tokens that one task packs at once; blocks that meet in the next round, and
+#: sequences that each of them sends there.
+SEQUENCE, END_ID, BLOCK_TOKENS, FAN, SENT_ON = 4096, 1, 8_000_000, 32, 64
 #: Words whose ids a Python worker keeps at most; words and texts of one call.
-MEMO_WORDS, CALL_WORDS, CALL_TEXTS = 1_000_000, 2_000, 64
+MEMO_WORDS, CALL_WORDS, CALL_TEXTS = 400_000, 2_000, 64
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -26,8 +28,15 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _MARKS = ".,;:!?%$&*#|()[]{}<>=+-_/\\\"@^~`"
 
 
+def _stays_letters(run: str) -> bool:
+    """Letters that are letters alone once the tokenizer has normalised them. A capital I with a dot, for one, is then an i and a
+    combining dot, which is no letter and goes with the marks after it."""
+    return run.isalpha() and (run.isascii() or unicodedata.normalize("NFC", run).lower().isalpha())
+
+
+_TURNED = "".join(c for c in map(chr, range(0x80, 0x20000)) if c.isalpha() and not _stays_letters(c))
 #: A single mark between a letter and white space or the end: it is a token run of its own.
-_MARK_APART = re.compile(r"([.,;:!?])(?<=[^\W\d_].)(?=[ \n]|\Z)")
+_MARK_APART = re.compile(rf"([.,;:!?])(?<=[^\W\d_].)(?<![{_TURNED}].)(?=[ \n]|\Z)")
 
 
 class WordIds:
@@ -82,11 +91,11 @@ class WordIds:
         parts = []
         for word in new:
             w = word.decode("utf-8", "replace")
-            if w.isalpha():
+            if _stays_letters(w):
                 letters.add(w)
                 continue
             run = w.rstrip(_MARKS)
-            if run != w and run.isalpha():
+            if run != w and _stays_letters(run):
                 marks = w[len(run) :]
                 parts.append((word, run.encode(), marks.encode()))
                 letters.add(run)
@@ -194,7 +203,11 @@ def _pack(capacity: int, level: int):
         bins = np.array(bins, dtype=np.int64)
         group = group.append_column("sequence_id", pa.array((level << 58) + (block << 24) + bins))
         group = group.append_column("offset", pa.array(np.array(offsets, dtype=np.int64)))
-        return group.append_column("load", pa.array(np.array(loads, dtype=np.int64)[bins]))
+        loads = np.array(loads, dtype=np.int64)
+        emptiest = np.argsort(loads, kind="stable")[:SENT_ON]
+        sent = np.zeros(len(loads), dtype=bool)
+        sent[emptiest] = loads[emptiest] < capacity
+        return group.append_column("sent_on", pa.array(sent[bins]))
 
     return run
 
@@ -202,23 +215,25 @@ def _pack(capacity: int, level: int):
 def pack(pieces: DataFrame, capacity: int = SEQUENCE, fan: int = FAN, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """Best-fit-decreasing packing of pieces (doc_id, piece, length, and ids_crc32, stored) into sequences.
 
-    Adds sequence_id and offset. Blocks of about block_tokens tokens, dealt by hash, are packed at once; the
-    pieces of sequences that aren't full meet those of `fan` other blocks in the next round, until one
-    block is left, so that only the last block's rest stays open. Sequences in all but the last round are full.
+    Adds sequence_id and offset. Blocks of about block_tokens tokens, dealt by hash, are packed at once, each best fit
+    decreasing: what is left open in a block is what no piece of it fits into. The pieces of each block's SENT_ON
+    emptiest open sequences meet those of `fan` other blocks in the next round, until one block is left; all other sequences
+    are settled. So no task holds more than a block, or fan * SENT_ON sequences, whatever the lengths.
+    Nulls but in length are kept; repeated rows are packed each for itself; no pieces give no rows.
     """
     total = pieces.agg(F.sum("length")).first()[0] or 0
     blocks, level, decided, columns = max(1, math.ceil(total / block_tokens)), 0, None, pieces.columns
     todo = pieces.withColumn("key", F.xxhash64("doc_id", "piece", "ids_crc32"))
     todo = todo.withColumn("block", F.pmod("key", F.lit(blocks)).cast("long"))
     while True:
-        schema = todo.select("*", *(F.lit(0).cast("long").alias(c) for c in ("sequence_id", "offset", "load"))).schema
+        schema = todo.select("*", *(F.lit(0).cast("long").alias(c) for c in ("sequence_id", "offset")), F.lit(False).alias("sent_on")).schema
         packed = stored(todo.groupBy("block").applyInArrow(_pack(capacity, level), schema), f"packed{level}")
-        done = packed if blocks == 1 else packed.where(F.col("load") == capacity)
+        done = packed if blocks == 1 else packed.where("not sent_on")
         done = done.select(*columns, "sequence_id", "offset")
         decided = done if decided is None else decided.unionByName(done)
         if blocks == 1:
             return decided
-        todo = packed.where(F.col("load") < capacity).select(*columns, "key", F.floor(F.col("block") / fan).cast("long").alias("block"))
+        todo = packed.where("sent_on").select(*columns, "key", F.floor(F.col("block") / fan).cast("long").alias("block"))
         blocks, level = math.ceil(blocks / fan), level + 1
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,7 +29,7 @@ BLOCK_TAGS = frozenset(
     thead tr ul
     """.split()
 )
-CHROME_TAGS = frozenset("nav footer aside form menu dialog button select textarea".split())
+CHROME_TAGS = frozenset("nav footer aside menu dialog button select textarea".split())
 RAW_TAGS = frozenset("script style noscript template svg math iframe object head title textarea".split())
 CHROME_WORDS = frozenset(
     """
@@ -38,14 +39,22 @@ CHROME_WORDS = frozenset(
     recommended share sharing social widget pagination pager copyright legal disclaimer skip
     """.split()
 )
+#: Names that condemn a container whatever it holds, and words that turn a name into one of something else.
+ALWAYS_CHROME = frozenset("comment comments commentlist disqus reply replies respond cookie cookies consent gdpr popup modal".split())
+LINKING_WORDS = frozenset("has have with without no non free of is".split())
 CHROME_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta source track wbr".split())
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_OPENING = re.compile(r"<(?:(!--)|(!\[CDATA\[)|([!?])|(/?)([a-zA-Z][^\s/>]*))")
+#: In a tag: its end, or a value with the quote that begins it.
+_IN_TAG = re.compile(r">|=\s*(?:([\"'])|[^\s>]*)")
 _ATTR = re.compile(r"(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _SPACE = re.compile(r"\s+")
 _NAME = re.compile(r"[a-z]+")
+#: Letters of scripts that are written without the stop words above, and marks that end their sentences.
+_OTHER_SCRIPT = re.compile(r"[\u0370-\u1FFF\u3040-\u9FFF\uA000-\uD7FF\U00020000-\U0003FFFF]")
+_SENTENCE_END = re.compile(r"[.!?;。！？；।؟۔]")
 
 
 @dataclass
@@ -66,35 +75,77 @@ class Block:
     chrome: bool  # in a container that is never main text
     article: bool  # in article or main
     heading: bool
+    suspect: int = -1  # the innermost container around it whose name is one of menus, notices and the like
     label: str = ""
 
 
-def _is_chrome(tag: str, attributes: str, in_article: bool) -> bool:
+def _is_chrome(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
+    """Whether a container is never main text, and whether its name makes it a suspect."""
     if tag in CHROME_TAGS or tag == "header" and not in_article:
-        return True
+        return True, False
+    suspect = tag == "form"
     for name, a, b, c in _ATTR.findall(attributes) if attributes else ():
         name, value = name.lower(), (a or b or c).lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value in CHROME_ROLES:
-            return True
-        if name in ("class", "id") and tag not in ("html", "body", "article", "main") and not CHROME_WORDS.isdisjoint(_NAME.findall(value)):
-            return True
-    return False
+            return True, False
+        if name in ("class", "id") and tag not in ("html", "body", "article", "main"):
+            for token in value.split():
+                words = _NAME.findall(token)
+                if not CHROME_WORDS.isdisjoint(words) and LINKING_WORDS.isdisjoint(words):
+                    if not ALWAYS_CHROME.isdisjoint(words):
+                        return True, False
+                    suspect = True
+    return False, suspect
+
+
+def tags_of(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """(start, end, name, closing, attributes) of each tag; name "" for comments and declarations. In linear time: what has no end is
+    looked for once.
+
+    A quote opens a value only after an equals sign; a "<" that no ">" follows is text.
+    """
+    at, last = 0, {c: page.rfind(c) for c in ">\"'"}
+    while (m := _OPENING.search(page, at)) and m.start() < last[">"]:
+        start, end = m.start(), m.end()
+        if m[1] or m[2]:
+            end = page.find("-->" if m[1] else "]]>", end)
+            at = len(page) if end < 0 else end + 3
+            yield start, at, "", False, ""
+            continue
+        if not m[3]:
+            while (x := _IN_TAG.search(page, end)) and x[0] != ">":
+                end = x.end()
+                if x[1] and last[x[1]] >= end:
+                    end = page.find(x[1], end) + 1
+            if x is None:  # the last ">" is inside a value
+                at = m.end()
+                last[">"] = start
+                continue
+            end = x.start()
+        else:
+            end = page.find(">", end)
+        at = end + 1
+        yield start, at, (m[5] or "").lower(), bool(m[4]), page[m.end() : end] if m[5] else ""
 
 
-def blocks_of(page: str) -> list[Block]:
-    """Split a page into its blocks, in order. Unclosed tags end with their container."""
+def blocks_of(page: str) -> tuple[list[Block], list[int]]:
+    """Split a page into its blocks, in order, and the container around each suspect one (-1: none). Unclosed tags end with
+    their container."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # open containers: tag, chrome, article
+    stack: list[tuple[str, bool, bool, int]] = []  # open containers: tag, chrome, article, suspect
+    around: list[int] = []
     pieces: list[str] = []
     linked, in_link, heading = 0, 0, False
-    chrome = article = False
+    chrome, article, suspect = False, False, -1
+    opened: Counter[str] = Counter()
+    unclosed: set[str] = set()
 
     def close() -> None:
         nonlocal linked
         text = _SPACE.sub(" ", html.unescape("".join(pieces))).strip()
         pieces.clear()
         if text:
-            out.append(Block(text, min(linked, len(text)), chrome, article, heading))
+            out.append(Block(text, min(linked, len(text)), chrome, article, heading, suspect))
         linked = 0
 
     def add(raw: str) -> None:
@@ -104,21 +155,40 @@ def blocks_of(page: str) -> list[Block]:
             if in_link:
                 linked += len(raw.strip())
 
+    def push(tag: str, attributes: str, in_article: bool) -> None:
+        nonlocal chrome, article, suspect
+        condemned, named = _is_chrome(tag, attributes, article)
+        chrome, article = chrome or condemned, in_article
+        if named:
+            around.append(suspect)
+            suspect = len(around) - 1
+        stack.append((tag, chrome, article, suspect))
+        opened[tag] += 1
+
+    def pop(depth: int) -> None:
+        nonlocal chrome, article, suspect
+        opened.subtract(x[0] for x in stack[depth:])
+        del stack[depth:]
+        chrome, article, suspect = stack[-1][1:] if stack else (False, False, -1)
+
     at = 0
-    while at < len(page):
-        m = _TAG.search(page, at)
-        if m is None:
-            add(page[at:])
-            break
-        add(page[at : m.start()])
-        at = m.end()
-        if m[2] is None:
+    for start, end, tag, closing, attributes in tags_of(page):
+        if start < at:  # in what a raw element holds
             continue
-        tag, closing = m[2].lower(), bool(m[1])
+        add(page[at:start])
+        at = end
+        if not tag:
+            continue
+        whole = attributes.endswith("/")
         if tag in RAW_TAGS and tag != "textarea" and not closing:
-            if not m[3].endswith("/"):
-                end = re.compile(rf"</{tag}\s*>" if tag != "head" else r"</head\s*>|(?=<body[\s>])", re.I).search(page, at)
-                at = end.end() if end else len(page) if tag in ("script", "style", "svg", "iframe") else at
+            if not whole and tag not in unclosed:
+                found = re.compile(rf"</{tag}\s*>" if tag != "head" else r"</head\s*>|(?=<body[\s>])", re.I).search(page, at)
+                if found:
+                    at = found.end()
+                elif tag in ("script", "style", "svg", "iframe"):
+                    at = len(page)
+                else:
+                    unclosed.add(tag)
             continue
         if tag == "a":
             in_link = 0 if closing else 1
@@ -126,14 +196,12 @@ def blocks_of(page: str) -> list[Block]:
             pieces.append(" ")
         if tag not in BLOCK_TAGS and tag not in CHROME_TAGS:
             # inline containers may be marked as notices and the like
-            if not closing and tag not in VOID_TAGS and not m[3].endswith("/") and m[3] and _is_chrome(tag, m[3], article):
+            if not closing and tag not in VOID_TAGS and not whole and attributes and any(_is_chrome(tag, attributes, article)):
                 close()
-                stack.append((tag, True, article))
-                chrome = True
+                push(tag, attributes, article)
             elif closing and stack and stack[-1][0] == tag:
                 close()
-                stack.pop()
-                chrome, article = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+                pop(len(stack) - 1)
             continue
         close()
         in_link = 0
@@ -141,30 +209,62 @@ def blocks_of(page: str) -> list[Block]:
             heading = not closing
         elif tag in ("p", "hr"):
             heading = False
-            if not (not closing and m[3] and _is_chrome(tag, m[3], article)):
+            if not (not closing and attributes and any(_is_chrome(tag, attributes, article))):
                 if closing and stack and stack[-1][0] == tag:
-                    stack.pop()
-                    chrome, article = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+                    pop(len(stack) - 1)
                 continue
         if closing:
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if depth is not None:
-                del stack[depth:]
-                chrome, article = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+            if opened[tag] > 0:
+                pop(next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag))
         elif tag not in VOID_TAGS:
-            chrome = chrome or _is_chrome(tag, m[3], article)
-            article = article or tag in ("article", "main")
-            stack.append((tag, chrome, article))
+            push(tag, attributes, article or tag in ("article", "main"))
+    add(page[at:])
     close()
-    return out
+    return out, around
+
+
+def stop_share(text: str) -> float:
+    """Share of stop words. A text mainly in scripts that have none here counts as running text if it has the end of a sentence for about
+    each 150 letters."""
+    other = len(_OTHER_SCRIPT.findall(text))
+    if 2 * other > len(text) - text.count(" "):
+        return 0.3 if 150 * len(_SENTENCE_END.findall(text)) >= other else 0.0
+    words = text.lower().split()
+    return sum(w.strip(".,;:!?()\"'") in STOP_WORDS for w in words) / max(1, len(words))
+
+
+def _acquit(blocks: list[Block], around: list[int], shares: list[float], rules: Rules) -> None:
+    """Condemn the suspect containers: their blocks are chrome. One that holds most of the page's text and of its running text, more than a
+    long block of it and more than three times that of the good blocks outside all suspects, is acquitted: there its name means
+    something else."""
+    inside, total, outside = [0.0] * len(around), 0.0, 0.0
+    letters, everything = [0] * len(around), 0
+    for b, share in zip(blocks, shares):
+        if b.chrome or b.links > rules.link_most * len(b.text):
+            continue
+        weight = share * len(b.text)
+        total += weight
+        everything += len(b.text)
+        if b.suspect < 0 and share >= rules.stop_low and (b.article or len(b.text) > rules.long):
+            outside += weight
+        i = b.suspect
+        while i >= 0:
+            inside[i] += weight
+            letters[i] += len(b.text)
+            i = around[i]
+    guilty = []
+    for i, parent in enumerate(around):  # parents come first
+        guilty.append(parent >= 0 and guilty[parent] or not (inside[i] > max(0.5 * total, 3 * outside) and letters[i] > max(0.5 * everything, 1.5 * rules.long)))
+    for b in blocks:
+        b.chrome = b.chrome or b.suspect >= 0 and guilty[b.suspect]
 
 
-def classify(blocks: list[Block], rules: Rules = Rules()) -> list[bool]:
+def classify(blocks: list[Block], around: list[int], rules: Rules = Rules()) -> list[bool]:
     """Two passes: each block by its own densities to good, bad, near or short; then near and short ones, and
     headings, by their nearest decided neighbours."""
-    for b in blocks:
-        words = b.text.lower().split()
-        stops = sum(w.strip(".,;:!?()\"'") in STOP_WORDS for w in words) / max(1, len(words))
+    shares = [stop_share(b.text) for b in blocks]
+    _acquit(blocks, around, shares, rules)
+    for b, stops in zip(blocks, shares):
         if b.chrome or b.links > rules.link_most * len(b.text):
             b.label = "bad"
         elif b.heading:
@@ -212,8 +312,8 @@ def classify(blocks: list[Block], rules: Rules = Rules()) -> list[bool]:
 def main_text(page: str | None, rules: Rules = Rules()) -> str:
     if not page:
         return ""
-    blocks = blocks_of(page)
-    return "\n".join(b.text for b, kept in zip(blocks, classify(blocks, rules)) if kept)
+    blocks, around = blocks_of(page)
+    return "\n".join(b.text for b, kept in zip(blocks, classify(blocks, around, rules)) if kept)
 
 
 def _extract(rules: Rules, column: str):

@@ -23,15 +23,20 @@ SEED_WORDS = frozenset(
     """.split()
 )
 
-#: Terms that the mined lexicons hold at most; documents with a term, at least; how much oftener in toxic ones.
-MAX_TERMS, MIN_DOCS, MIN_LIFT = 5_000, 5, 8.0
+#: Toxic documents that a mined term is in, at least, as a number and as a share; how much oftener it is in toxic ones. The share
+#: bounds the number of terms, whatever the corpus: documents hold few hundred terms each.
+MIN_DOCS, MIN_SHARE, MIN_LIFT = 5, 0.001, 8.0
 #: Lexicons that the mined terms are dealt to, by their first letters.
 LEXICONS = 8
-#: Labelled rows that the classifier is fitted on, about (drawn by a hash of doc_id).
+#: Labelled rows that the classifier is fitted on, about, and as many without a label (drawn by a hash of doc_id).
 FIT_ROWS = 20_000
 #: Rows of labels that a join may broadcast (two small values each).
 LABEL_ROWS = 1_000_000
+#: How often a label is taken to be wrong, at least.
+LABEL_NOISE = 0.02
 THRESHOLD = 0.7
+#: Words that a Python worker remembers.
+MEMO_WORDS = 150_000
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 _PREFIXES = (4, 6)
@@ -49,7 +54,7 @@ def terms_of(word: str) -> list[str]:
 
 def _term_column() -> Column:
     """The distinct terms of a text, natively: what terms_of makes of its words."""
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), 0))
+    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{Nl}\p{No}]+"), 0))  # what _LETTERS finds
     made = F.transform(words, lambda w: F.array(w, *(F.when(F.length(w) >= n, F.concat(F.substring(w, 1, n), F.lit("~"))) for n in _PREFIXES)))
     return F.array_distinct(F.filter(F.flatten(made), lambda t: t.isNotNull()))
 
@@ -59,17 +64,24 @@ def fold_of(doc_id: Column, folds: int) -> Column:
 
 
 def mined_terms(labelled: DataFrame) -> list[str]:
-    """Terms far more frequent in toxic than in clean documents of (text, toxic), at most MAX_TERMS."""
+    """Terms far more frequent in toxic than in clean documents of (text, toxic), sorted."""
     sums = labelled.agg(F.sum("toxic"), F.count("*")).first()
     toxic, clean = float(sums[0] or 0), float(sums[1] - (sums[0] or 0))
     rows = labelled.select("toxic", F.explode(_term_column()).alias("term")).groupBy("term").agg(F.sum("toxic").alias("t"), F.count("*").alias("n"))
     lift = (F.col("t") + 0.5) / (toxic + 1.0) / ((F.col("n") - F.col("t") + 0.5) / (clean + 1.0))
-    kept = rows.where(F.col("t") >= MIN_DOCS).withColumn("lift", lift).where(F.col("lift") >= MIN_LIFT)
-    return [r.term for r in kept.orderBy(F.desc(F.col("t") * F.log("lift")), "term").limit(MAX_TERMS).collect()]
+    kept = rows.where(F.col("t") >= max(MIN_DOCS, MIN_SHARE * toxic)).where(lift >= MIN_LIFT)
+    return sorted(r.term for r in kept.select("term").collect())
+
+
+def _seeded(texts: DataFrame) -> DataFrame:
+    """(text, toxic) by the seed lexicon alone."""
+    words = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{Nl}\p{No}]+"), 0)
+    return texts.select("text", F.arrays_overlap(words, F.array(*map(F.lit, sorted(SEED_WORDS)))).cast("int").alias("toxic"))
 
 
 class Featurizer:
-    """Places of the mined terms in a text and the voters' pattern, a bit for each voter that fires."""
+    """The classifier's features of a text, which are the places of its mined terms and, after those, of the voters that fire; and the
+    voters' pattern, a bit for each."""
 
     def __init__(self, terms: list[str]):
         self.place = {t: i for i, t in enumerate(terms)}
@@ -84,7 +96,7 @@ class Featurizer:
         for w in words:
             places = memo.get(w)
             if places is None:
-                if len(memo) > 500_000:
+                if len(memo) > MEMO_WORDS:
                     memo.clear()
                 places = memo[w] = tuple(self.place[t] for t in terms_of(w) if t in self.place)
             if places:
@@ -97,7 +109,8 @@ class Featurizer:
         flags = (hits >= 3, hits >= 1 and hits >= 0.01 * len(words), seed, seed and bool(_ADDRESSED.search(low)), bool(_SHOUTED.search(low) or _MASKED.search(low)))
         for k, flag in enumerate(flags):
             pattern |= int(flag) << (LEXICONS + k)
-        return sorted(found), pattern
+        voters = [len(self.lexicon) + k for k in range(len(VOTERS)) if pattern >> k & 1]
+        return sorted(found) + voters, pattern
 
 
 @dataclass
@@ -188,14 +201,16 @@ def fit(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
 
     Lexicons are mined from all labelled documents; the label model sees the votes on all documents, as
     counts of their patterns (at most 2 ** voters of them), and the labels there are; the classifier is
-    fitted on about FIT_ROWS labelled documents, to the label model's posteriors. The driver gets terms, pattern
-    counts and those rows' features, all of bounded size. Labels without a doc_id or toxic are no labels; of several
-    for one doc_id the highest counts. Without labels the seed lexicon alone decides.
+    fitted to posteriors: on about FIT_ROWS labelled documents, whose label is one more voter that errs now and then, and on about as
+    many without a label, which have the label model's posterior alone. The driver gets terms, pattern counts and those
+    rows' features, all of bounded size. Labels without a doc_id or toxic are no labels; of several for one doc_id the highest
+    counts. Without labels the lexicons are mined by the seed words. Null texts are empty; an empty table gives a model without terms.
     """
     labels = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
     labels = stored(labels.groupBy(F.col("doc_id").alias("_labelled")).agg((F.max("toxic") > 0).cast("int").alias("toxic")), "labels")
     texts = docs.select("doc_id", "text")
-    terms = mined_terms(lookup_join(texts, labels, F.col("doc_id") == F.col("_labelled"), rows=LABEL_ROWS).select("text", "toxic"))
+    marked = lookup_join(texts, labels, F.col("doc_id") == F.col("_labelled"), rows=LABEL_ROWS).select("text", "toxic")
+    terms = mined_terms(marked if not labels.isEmpty() else _seeded(texts))
     votes = texts.mapInArrow(_featurize(terms), "doc_id long, places array<int>, pattern int")
     votes = lookup_join(votes, labels, F.col("doc_id") == F.col("_labelled"), "left", rows=LABEL_ROWS)
     votes = stored(votes.select("doc_id", "places", "pattern", F.coalesce("toxic", F.lit(-1)).alias("label")), "votes")
@@ -203,21 +218,16 @@ def fit(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     bits = np.array([[p >> k & 1 for k in range(len(VOTERS))] for p in patterns["pattern"]], dtype=bool).reshape(-1, len(VOTERS))
     model = fit_label_model(bits, patterns["n"].to_numpy(float), patterns["label"].to_numpy(int))
 
-    labelled = int(patterns.loc[patterns["label"] >= 0, "n"].sum())
-    share = min(1.0, FIT_ROWS / max(1, labelled))
-    drawn = votes.where((F.col("label") >= 0) if labelled else F.lit(True))
-    share = share if labelled else min(1.0, FIT_ROWS / max(1.0, float(patterns["n"].sum())))
     luck = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1_000_000))
-    rows = drawn.where(luck < int(share * 1_000_000)).select("places", "pattern", "label").collect()
+    labelled = float(patterns.loc[patterns["label"] >= 0, "n"].sum())
+    share = lambda n: int(1_000_000 * min(1.0, FIT_ROWS / max(1.0, n)))
+    most = F.when(F.col("label") >= 0, share(labelled)).otherwise(share(float(patterns["n"].sum()) - labelled))
+    rows = votes.where(luck < most).select("places", "pattern", "label").collect()
     known = np.array([r.label for r in rows])
     fired = np.array([[r.pattern >> k & 1 for k in range(len(VOTERS))] for r in rows], dtype=bool).reshape(-1, len(VOTERS))
-    # the posterior of a labelled document takes its label as one more voter, which errs now and then
     target = model.posterior(fired)
-    if labelled:
-        noise = 0.02
-        odds = np.log(np.clip(target, 1e-6, 1 - 1e-6) / np.clip(1 - target, 1e-6, 1)) + np.where(known == 1, 1, -1) * np.log((1 - noise) / noise)
-        target = 1 / (1 + np.exp(-odds))
-    w, b = fit_linear([list(r.places) for r in rows], target, len(terms))
+    odds = np.log(np.clip(target, 1e-6, 1 - 1e-6) / np.clip(1 - target, 1e-6, 1)) + np.where(known == 1, 1, np.where(known == 0, -1, 0)) * np.log((1 - LABEL_NOISE) / LABEL_NOISE)
+    w, b = fit_linear([list(r.places) for r in rows], 1 / (1 + np.exp(-odds)), len(terms) + len(VOTERS))
     return ToxicityModel(terms, w, b, model)
 
 

@@ -78,11 +78,11 @@ def fingerprint_with_edits(docs: DataFrame, samples: int = SAMPLES) -> DataFrame
     The edited text has its last floor(n_chars / 2) code points replaced by the first as many (or all) of the
     next document's, in descending order of doc_id (null last, equal ids by a hash of their texts); the first follows the
     last. Terms are lower-cased words weighted by how often they occur. A null text is empty; texts without words are alike (1.0)
-    and like no other. Rows equal in doc_id and text are one document and come once. A document alone is
+    and like no other. Rows equal in doc_id and text are one document, whose result comes once for each of them. Very long texts are taken whole. A document alone is
     its own next. An empty table gives no rows; other columns are not read.
     """
     keyed = _keyed(docs)
-    ids = keyed.groupBy("id", "no_id", "mark").agg(F.max(F.char_length("text")).cast("long").alias("n_chars"))
+    ids = keyed.groupBy("id", "no_id", "mark").agg(F.max(F.char_length("text")).cast("long").alias("n_chars"), F.count("*").alias("copies"))
     ids = stored(numbered(ids, [F.col("no_id"), F.col("id").desc(), F.col("mark")], "place"), "places")
     n = ids.count()
     after = ids.select(F.pmod(F.col("place") - 1, F.lit(max(1, n))).alias("place"), F.col("id").alias("next_id"), F.col("mark").alias("next_mark"))
@@ -112,7 +112,8 @@ def fingerprint_with_edits(docs: DataFrame, samples: int = SAMPLES) -> DataFrame
     signed = stored(signed, "signatures")
 
     following = signed.select(F.col("id").alias("next_id"), F.col("mark").alias("next_mark"), F.col("signature").alias("next_signature"))
-    out = signed.join(order.select("id", "mark", "no_id", "n_chars", "next_id", "next_mark").hint("merge"), ["id", "mark"]).join(following.hint("merge"), ["next_id", "next_mark"])
+    out = signed.join(order.select("id", "mark", "no_id", "n_chars", "copies", "next_id", "next_mark").hint("merge"), ["id", "mark"]).join(following.hint("merge"), ["next_id", "next_mark"])
+    out = out.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     return out.select(
         F.when(~F.col("no_id"), F.col("id")).alias("doc_id"),
         "n_chars",

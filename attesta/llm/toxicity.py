@@ -28,7 +28,7 @@ SEED_WORDS = frozenset(
 MIN_DOCS, MIN_SHARE, MIN_LIFT = 5, 0.001, 8.0
 #: Lexicons that the mined terms are dealt to, by their first letters.
 LEXICONS = 8
-#: Labelled rows that the classifier is fitted on, about, and as many without a label (drawn by a hash of doc_id).
+#: Labelled rows that the classifier is fitted on, about (drawn by a hash of doc_id).
 FIT_ROWS = 20_000
 #: Rows of labels that a join may broadcast (two small values each).
 LABEL_ROWS = 1_000_000
@@ -201,8 +201,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
 
     Lexicons are mined from all labelled documents; the label model sees the votes on all documents, as
     counts of their patterns (at most 2 ** voters of them), and the labels there are; the classifier is
-    fitted to posteriors: on about FIT_ROWS labelled documents, whose label is one more voter that errs now and then, and on about as
-    many without a label, which have the label model's posterior alone. The driver gets terms, pattern counts and those
+    fitted to posteriors, on about FIT_ROWS labelled documents, whose label is one more voter that errs now and then; where there are no
+    labels, on as many others, which have the label model's posterior alone. The driver gets terms, pattern counts and those
     rows' features, all of bounded size. Labels without a doc_id or toxic are no labels; of several for one doc_id the highest
     counts. Without labels the lexicons are mined by the seed words. Null texts are empty; an empty table gives a model without terms.
     """
@@ -220,9 +220,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
 
     luck = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1_000_000))
     labelled = float(patterns.loc[patterns["label"] >= 0, "n"].sum())
-    share = lambda n: int(1_000_000 * min(1.0, FIT_ROWS / max(1.0, n)))
-    most = F.when(F.col("label") >= 0, share(labelled)).otherwise(share(float(patterns["n"].sum()) - labelled))
-    rows = votes.where(luck < most).select("places", "pattern", "label").collect()
+    share = min(1.0, FIT_ROWS / max(1.0, labelled or float(patterns["n"].sum())))
+    drawn = votes.where("label >= 0") if labelled else votes
+    rows = drawn.where(luck < int(share * 1_000_000)).select("places", "pattern", "label").collect()
     known = np.array([r.label for r in rows])
     fired = np.array([[r.pattern >> k & 1 for k in range(len(VOTERS))] for r in rows], dtype=bool).reshape(-1, len(VOTERS))
     target = model.posterior(fired)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,14 +11,43 @@ from attesta.functions import classify as C
 from attesta.functions.text import clean_summary_text, excerpt, normalized, or_discarded, site_of, without_markup
 from attesta.operators.rank import diversify_cards, rank_cards, ranked
 
-NO_TEXT = "目前沒有可用的摘要內容。"
+# What stands for a missing text, the words of a question that an excerpt looks for, and the sentences of summaries, first
+# for questions in general, then for those about the domain in focus.
+NO_TEXT, NO_EXCERPT = "目前沒有可用的摘要內容。", "目前沒有可用的相關段落。"
+EXCERPT_WORDS = ("評價", "爭議", "動物", "福利", "募資", "透明", "照護", "救援", "評論")
+VERDICTS = {
+    False: {
+        "mostly_supported": "目前公開資料有部分內容支持「%s」成立，但仍需人工複核原文與時間序。",
+        "mostly_opposed": "目前找到較多反駁、改善或官方說明資訊；直接支持「%s」的證據相對較少。",
+        "mixed": "目前公開資料正反並存，對「%s」仍需結合原文脈絡判讀。",
+        "insufficient": "目前可用公開資料不足，對「%s」暫時無法下定論。",
+    },
+    True: {
+        "mostly_supported": "依目前公開資料可能涉及「%s」相關的動物福利疑慮，但仍需主管機關或完整證據進一步認定。",
+        "mostly_opposed": "依目前公開資料，已看到部分改善或反駁資訊；「%s」是否成立，仍需主管機關或完整證據進一步認定。",
+        "mixed": "依目前公開資料可能與「%s」有關，但正反資訊並存，仍需主管機關或完整證據進一步認定。",
+        "insufficient": "依目前公開資料，暫無足夠直接證據確認是否涉及「%s」。",
+    },
+}
+NO_POINTS = {
+    False: {"supporting": "目前沒有足夠直接證據可列為主要疑慮。", "opposing": "尚未找到足夠明確的反駁或改善來源。", "uncertain": "現有來源多為轉述、片段描述或細節不足，仍需補查。"},
+    True: {"supporting": "目前沒有足夠直接的動物福利證據可列為主要疑慮。", "opposing": "目前未見足夠明確的改善、正式說明或裁罰結論。", "uncertain": "依目前公開資料，仍需補查動物照護、稽查或裁罰等更直接證據。"},
+}
+FOLLOW_UP = {
+    False: ("補抓更近期的新聞與官方聲明", "區分第一手描述與轉述內容", "人工確認關鍵指控是否有具體時間、地點、金額或影像佐證"),
+    True: ("補查主管機關稽查、裁罰與改善資料", "人工確認是否有具體時間、地點、動物數量或影像佐證", "區分第一手照護紀錄、新聞轉述與社群討論"),
+}
 
 
-def evidence_cards(results: DataFrame, entity: Column, question: Column, as_of: str, terms: C.Terms = C.Terms(), clean: bool = True, strict: bool = True) -> DataFrame:
-    """One card for each result (query_key, ord, url, title, content, source, source_type, published_date).
+def evidence_cards(results: DataFrame, entity: Column, question: Column, as_of: str, terms: C.Terms = C.Terms(), clean: bool = True, strict: bool = True, variants: Column | None = None) -> DataFrame:
+    """One card for each result (query_key, ord, url, title, content, source, source_type, published_date; raw_content or snippet stand
+    in for a missing content).
 
-    Scores build on one another, each in one projection; clean=False takes texts as they are (already cleaned).
+    variants: other names of the entity (arrays of strings). Scores build on one another, each in one projection; clean=False takes texts
+    as they are (already cleaned).
     """
+    stand_ins = [F.nullif(F.col(c), F.lit("")) for c in ("content", "raw_content", "snippet") if c in results.columns]
+    results = results.withColumn("content", F.coalesce(*stand_ins, F.col("content"))).withColumn("_variants", variants if variants is not None else F.array(F.lower(F.trim(entity))))
     if clean:  # the one Python step, before the expressions over arrays
         results = results.withColumns({c: normalized(F.col(c)) for c in ("title", "content")})
         results = results.withColumn("content", without_markup(F.col("content"), strict))  # once, for its several uses
@@ -25,41 +56,72 @@ def evidence_cards(results: DataFrame, entity: Column, question: Column, as_of:
     raw_title = F.coalesce(F.col("title"), F.lit(""))
     title = clean_summary_text(raw_title, normalize=False) if clean else raw_title
     named = F.when((title != "") & ~C.is_noise_text(title, terms), F.substring(title, 1, 120)).otherwise(F.concat(source, F.lit(" 來源紀錄")))
-    df = results.select("query_key", "ord", "url", named.alias("title"), source.alias("source"), text.alias("text"), C.source_type_by_source(F.col("url"), F.col("source"), F.col("source_type")).alias("source_type"), "published_date", entity.alias("_entity"), question.alias("_question"), raw_title.alias("_raw_title"))
+    df = results.select("query_key", "ord", "url", named.alias("title"), source.alias("source"), text.alias("text"), C.source_type_by_source(F.col("url"), F.col("source"), F.col("source_type")).alias("source_type"), "published_date", entity.alias("_entity"), question.alias("_question"), raw_title.alias("_raw_title"), "_variants")
     said = F.concat_ws(" ", "title", "text")
     df = df.withColumn("first_hand", C.first_hand_score(said, F.col("source_type"), terms))
-    df = df.withColumn("relevance", C.relevance_score(F.col("_entity"), F.col("_question"), F.col("title"), F.col("text"), terms))
+    df = df.withColumn("relevance", C.relevance_score(F.col("_entity"), F.col("_question"), F.col("title"), F.col("text"), terms, F.col("_variants")))
     df = df.withColumns({"_s": C.stance_strength(said, F.col("source_type"), F.col("first_hand"), terms), "recency": C.recency_label(F.col("published_date"), F.lit(as_of).cast("date")), "duplicate_risk": C.duplicate_risk(F.col("url"), F.col("_raw_title"))})
     df = df.withColumn("credibility", C.credibility_score(F.col("source_type"), F.col("first_hand"), F.col("relevance"), F.col("recency"), F.col("duplicate_risk")))
+    read = clean_summary_text(F.col("text"), normalize=False) if clean else F.col("text")
+    best = lambda e, q: F.coalesce(F.nullif(excerpt(e, q, read, EXCERPT_WORDS), F.lit("")), F.lit(NO_EXCERPT))
+    df = df.withColumns({"stance": F.col("_s.stance"), "strength": F.col("_s.strength"), "excerpt": best(F.col("_entity"), F.col("_question")), "_best": best(F.lit(""), F.lit(""))})
     return df.select(
         "query_key", "ord", "url", "title", "source", "source_type", F.substring("text", 1, 700).alias("snippet"),
-        excerpt(F.col("_entity"), F.col("_question"), F.col("text")).alias("excerpt"), F.col("_s.stance").alias("stance"), F.col("_s.strength").alias("strength"),
+        "excerpt", "stance", "strength", C.card_summary(F.col("_best")).alias("summary"), C.notes().alias("notes"),
         C.claim_type(F.col("_question"), F.col("text")).alias("claim_type"), "first_hand", "relevance", "credibility", "recency", "duplicate_risk",
         C.is_noise_card(F.col("title"), F.substring("text", 1, 700), F.col("url"), F.col("source"), F.col("relevance"), terms).alias("noise"),
         C.platform_bucket(F.col("source"), F.col("url"), F.col("source_type")).alias("platform"), C.origin_label(F.col("source_type"), F.col("first_hand")).alias("origin"),
     )
 
 
-def balanced_summary(cards: DataFrame, points: int = 3) -> DataFrame:
-    """Of each query's cards (by rank): counts, confidence, verdict code and the first points of each side."""
+def _plain(text: str) -> str:
+    """A fixed sentence as cleaning leaves it: full-width punctuation becomes plain."""
+    return unicodedata.normalize("NFKC", text)
+
+
+def _by_focus(focus: Column, values: dict[bool, str]) -> Column:
+    return F.when(focus, F.lit(values[True])).otherwise(F.lit(values[False]))
+
+
+def balanced_summary(cards: DataFrame, points: int = 3, question: Column | None = None, focus: bool | Column = False, terms: C.Terms = C.Terms()) -> DataFrame:
+    """Of each query's cards (by rank): counts, confidence, verdict and its sentence, the first points of each side and what to follow up.
+
+    A point is the card's title, or its source if the title is short or noise, and where it comes from; points of under six
+    characters and repeated ones go; a side without any says so. question: the text that the verdict is about, of the same value in
+    all cards of a query; focus: whether it is about the domain in focus. Titles are taken as cleaned.
+    """
     supporting = (F.col("stance") == "supporting") & F.col("strength").isin("medium", "strong") & (F.col("relevance") >= 60) & ((F.col("first_hand") >= 55) | (F.col("source_type") == "official"))
     opposing = (F.col("stance") == "opposing") & F.col("strength").isin("medium", "strong") & (F.col("relevance") >= 55)
     side = F.when(supporting, "supporting").when(opposing, "opposing").otherwise("uncertain")
-    placed = ranked(cards.withColumn("side", side), ["query_key", "side"], [F.col("rank")], "_k")
-    point = F.concat(F.col("title"), F.lit("（"), F.col("origin"), F.lit("）")) if "origin" in cards.columns else F.col("title")
-    of = lambda s: F.transform(F.array_sort(F.collect_list(F.when((F.col("side") == s) & (F.col("_k") <= points), F.struct("_k", point.alias("p"))))), lambda x: x["p"])
+    flag = focus if isinstance(focus, Column) else F.lit(focus)
+    cards = cards.withColumns({"side": side, "_asked": question if question is not None else F.lit(""), "_focus": flag})
+    placed = ranked(cards, ["query_key", "side"], [F.col("rank")], "_k")
+    poor = (F.length("title") < 6) | C.is_noise_text(F.col("title"), terms)
+    title = F.when(poor, F.concat("source", F.lit(" 來源整理"))).otherwise(F.col("title"))
+    point = F.concat(title, F.lit("("), C.origin_label(F.col("source_type"), F.col("first_hand")), F.lit(")"))
+
+    def side_points(s: str) -> Column:
+        first = F.array_sort(F.collect_list(F.when((F.col("side") == s) & (F.col("_k") <= points), F.struct("_k", point.alias("p")))))
+        return F.array_distinct(F.filter(F.transform(first, lambda x: x["p"]), lambda p: F.length(p) >= 6)).alias(s + "_points")
+
     sums = placed.groupBy("query_key").agg(
         F.count("*").alias("cards"), F.count_if(F.col("side") == "supporting").alias("supporting"), F.count_if(F.col("side") == "opposing").alias("opposing"),
-        *(of(s).alias(f"{s}_points") for s in ("supporting", "opposing", "uncertain")),
+        F.max("_asked").alias("_asked"), F.max("_focus").alias("_focus"), *map(side_points, ("supporting", "opposing", "uncertain")),
     )
     s, o = F.col("supporting"), F.col("opposing")
     verdict = F.when(s > o, "mostly_supported").when(o > s, "mostly_opposed").when(s > 0, "mixed").otherwise("insufficient")
-    return sums.withColumn("confidence", F.least(F.lit(80), 22 + 2 * F.col("cards") + 8 * s + 6 * o)).withColumn("verdict", verdict)
+    sums = sums.withColumn("confidence", F.least(F.lit(80), 22 + 2 * F.col("cards") + 8 * s + 6 * o)).withColumn("verdict", verdict)
+    text = F.coalesce(*(F.when(F.col("verdict") == code, _by_focus(F.col("_focus"), {f: _plain(VERDICTS[f][code]) for f in VERDICTS})) for code in VERDICTS[False]))
+    left = lambda name: F.when(F.size(f"{name}_points") > 0, F.col(f"{name}_points")).otherwise(F.array(_by_focus(F.col("_focus"), {f: NO_POINTS[f][name] for f in NO_POINTS})))
+    follow = F.when(F.col("_focus"), F.array(*(F.lit(_plain(x)) for x in FOLLOW_UP[True]))).otherwise(F.array(*(F.lit(_plain(x)) for x in FOLLOW_UP[False])))
+    sums = sums.withColumns({f"{name}_points": left(name) for name in ("supporting", "opposing", "uncertain")})
+    return sums.withColumns({"verdict_text": F.replace(text, F.lit("%s"), F.col("_asked")), "follow_up": follow}).drop("_asked", "_focus")
 
 
 def analyze_results(results: DataFrame, entity: Column, question: Column, as_of: str, limit: int = 100, **kwargs) -> tuple[DataFrame, DataFrame]:
     """Cards of each query, ranked and diversified, and the summaries."""
-    cards = diversify_cards(rank_cards(evidence_cards(results, entity, question, as_of, **kwargs), limit), limit)
+    made = evidence_cards(results, entity, question, as_of, **kwargs)
+    cards = diversify_cards(rank_cards(made, limit), limit)
     return cards, balanced_summary(cards.withColumn("rank", F.col("place")))
 
 

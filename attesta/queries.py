@@ -552,15 +552,27 @@ def evidence_cards(v, t):
 @query(
     _CARD_SQL
     + """, z AS (SELECT query_key, stance = 'supporting' AND strength IN ('medium', 'strong') AND relevance >= 60 AND (first_hand >= 55 OR source_type = 'official') AS s,
-  stance = 'opposing' AND strength IN ('medium', 'strong') AND relevance >= 55 AS o FROM k),
-y AS (SELECT query_key, count(*) AS cards, count(*) FILTER (s) AS supporting, count(*) FILTER (o) AS opposing FROM z GROUP BY 1)
-SELECT query_key, cards, supporting, opposing, least(80, 22 + 2 * cards + 8 * supporting + 6 * opposing) AS confidence,
+  stance = 'opposing' AND strength IN ('medium', 'strong') AND relevance >= 55 AS o, relevance, ord, concat(source, ' 來源整理(',
+  CASE WHEN source_type = 'official' THEN '官方說明' WHEN first_hand >= 75 THEN '第一手描述' WHEN source_type = 'news' THEN '新聞轉述' WHEN source_type = 'forum' AND first_hand >= 55 THEN '社群第一手貼文'
+    WHEN source_type = 'forum' THEN '社群討論' ELSE '整理資料' END, ')') AS point, CASE WHEN length(title) < 6 THEN '' ELSE title END AS named FROM k),
+w AS (SELECT *, CASE WHEN s THEN 's' WHEN o THEN 'o' ELSE 'u' END AS side FROM z),
+i AS (SELECT *, row_number() OVER (PARTITION BY query_key, side ORDER BY relevance DESC, ord) AS k, CASE WHEN named = '' THEN point ELSE concat(named, substring(point, instr(point, '('))) END AS p FROM w),
+j AS (SELECT query_key, side, p, min(k) AS k FROM i WHERE k <= 3 GROUP BY 1, 2, 3),
+l AS (SELECT query_key, string_agg(p, '|' ORDER BY k) FILTER (side = 's') AS sp, string_agg(p, '|' ORDER BY k) FILTER (side = 'o') AS op, string_agg(p, '|' ORDER BY k) FILTER (side = 'u') AS up FROM j GROUP BY 1),
+x2 AS (SELECT query_key, count(*) AS cards, count(*) FILTER (s) AS supporting, count(*) FILTER (o) AS opposing FROM z GROUP BY 1),
+y AS (SELECT x2.*, coalesce(l.sp, '目前沒有足夠直接證據可列為主要疑慮。') AS supporting_points, coalesce(l.op, '尚未找到足夠明確的反駁或改善來源。') AS opposing_points,
+  coalesce(l.up, '現有來源多為轉述、片段描述或細節不足，仍需補查。') AS uncertain_points FROM x2 JOIN l ON l.query_key = x2.query_key)
+SELECT supporting_points, opposing_points, uncertain_points, CASE WHEN supporting > opposing THEN '目前公開資料有部分內容支持「the die」成立,但仍需人工複核原文與時間序。'
+  WHEN opposing > supporting THEN '目前找到較多反駁、改善或官方說明資訊;直接支持「the die」的證據相對較少。' WHEN supporting > 0 THEN '目前公開資料正反並存,對「the die」仍需結合原文脈絡判讀。'
+  ELSE '目前可用公開資料不足,對「the die」暫時無法下定論。' END AS verdict_text, query_key, cards, supporting, opposing, least(80, 22 + 2 * cards + 8 * supporting + 6 * opposing) AS confidence,
   CASE WHEN supporting > opposing THEN 'mostly_supported' WHEN opposing > supporting THEN 'mostly_opposed' WHEN supporting > 0 THEN 'mixed' ELSE 'insufficient' END AS verdict FROM y""",
     "v_results",
 )
 def balanced_summary(v, t):
     cards = rank.ranked(_evidence(v), ["query_key"], [F.desc("relevance"), F.col("ord")])
-    return analysis.balanced_summary(cards).select("query_key", "cards", "supporting", "opposing", "confidence", "verdict")
+    found = analysis.balanced_summary(cards, question=F.lit("the die"), terms=CARD_TERMS)
+    points = (F.array_join(f"{s}_points", "|").alias(f"{s}_points") for s in ("supporting", "opposing", "uncertain"))
+    return found.select("query_key", "cards", "supporting", "opposing", "confidence", "verdict", "verdict_text", *points)
 
 
 @query()

@@ -69,9 +69,11 @@ def platform_bucket(source: Column, url: Column, source_type: Column) -> Column:
     return _first(F.lower(F.concat_ws(" ", source, url)), PLATFORMS, source_type)
 
 
-def query_bucket(query: Column, rules: dict[str, tuple[str, ...]]) -> Column:
-    """Bucket of an expanded query: the first rule that it meets, else general."""
-    found = _first(F.lower(query), rules, "general")
+def query_bucket(query: Column, rules: dict[str, tuple[str, ...]], domain: tuple[str, ...] = ()) -> Column:
+    """Bucket of an expanded query: the first rule that it meets, else general. With terms of a domain in focus those are a rule
+    after the first."""
+    first, *others = rules.items()
+    found = _first(F.lower(query), dict([first, ("domain", domain), *others]), "general")
     return F.when(found == "reported", "news").otherwise(found)
 
 

@@ -100,18 +100,43 @@ def expand_keywords(entities: DataFrame, keywords: DataFrame, variants: Column)
     weight 70; and entities with all variants among their aliases, sorted."""
     made = F.array_except(variants, F.array("name"))
     new = entities.select("entity_id", F.explode(F.array_distinct(made)).alias("keyword")).join(keywords.select("entity_id", "keyword").hint("merge"), ["entity_id", "keyword"], "left_anti")
-    new = new.withColumns({"keyword_type": F.lit("alias"), "weight": F.lit(70), "is_active": F.lit(True)})
+    new = new.withColumns({"keyword_type": F.lit("alias"), "weight": F.lit(ALIAS_WEIGHT), "is_active": F.lit(True)})
     synced = entities.withColumn("aliases", F.array_sort(F.array_distinct(F.concat(F.coalesce("aliases", F.array().cast("array<string>")), made))))
     return keywords.unionByName(new), synced
 
 
-def upsert_profiles(profiles: DataFrame, incoming: DataFrame, replace_cover: bool = False) -> DataFrame:
-    """Fill blank headlines and intros; covers only where blank, or all if flagged."""
-    new = incoming.select("entity_id", *(F.col(c).alias(f"_{c}") for c in ("headline", "intro", "cover")))
-    joined = profiles.join(new, "entity_id", "full")
-    fill = lambda c: F.coalesce(F.nullif(F.trim(c), F.lit("")), F.col(f"_{c}")).alias(c)
-    cover = F.coalesce(F.nullif(F.col("_cover"), F.lit("")), F.col("cover")).alias("cover") if replace_cover else fill("cover")
-    return joined.select("entity_id", fill("headline"), fill("intro"), cover)
+def upsert_profiles(profiles: DataFrame, incoming: DataFrame, replace_gallery: bool = False) -> DataFrame:
+    """Profiles (entity_id, headline, intro, cover, gallery): blank headlines and intros are filled; cover and gallery are replaced where the
+    incoming gallery has items, or all if flagged. New entities come in as they are."""
+    fields = ("headline", "intro", "cover", "gallery")
+    new = incoming.select("entity_id", F.lit(True).alias("_new"), *(F.col(c).alias(f"_{c}") for c in fields))
+    joined = profiles.select("entity_id", F.lit(True).alias("_old"), *fields).join(new, "entity_id", "full")
+    fill = lambda c: F.coalesce(F.nullif(F.trim(c), F.lit("")), F.trim(f"_{c}"), F.col(c)).alias(c)
+    swap = F.col("_new").isNotNull() & (F.col("_old").isNull() | (F.size(F.coalesce("_gallery", F.array().cast("array<string>"))) > 0) | F.lit(replace_gallery))
+    return joined.select("entity_id", fill("headline"), fill("intro"), *(F.when(swap, F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in ("cover", "gallery")))
+
+
+def seed_watchlist(watchlist: DataFrame, seeds: DataFrame) -> DataFrame:
+    """Watched entities with the seeds' (entity_id, priority, refresh_interval_hours, default_mode) in place of their own; new ones are
+    active."""
+    fields = ("priority", "refresh_interval_hours", "default_mode")
+    new = seeds.select("entity_id", *(F.col(c).alias(f"_{c}") for c in fields))
+    joined = watchlist.join(new.hint("merge"), "entity_id", "full")
+    return joined.select("entity_id", F.coalesce("is_active", F.lit(True)).alias("is_active"), *(F.coalesce(f"_{c}", c).alias(c) for c in fields), *(c for c in watchlist.columns if c not in ("entity_id", "is_active", *fields)))
+
+
+#: Weights of an entity's keywords: its name, the aliases of a seed, other aliases.
+CANONICAL_WEIGHT, SEED_WEIGHT, ALIAS_WEIGHT = 100, 80, 70
+
+
+def seed_keywords(entities: DataFrame, seeds: DataFrame) -> DataFrame:
+    """Keywords of entities (entity_id, name, aliases) and their seeds (entity_id, keyword), each once with its greatest weight."""
+    of = lambda kind, weight: (F.lit(kind).alias("keyword_type"), F.lit(weight).alias("weight"))
+    rows = entities.select("entity_id", F.trim("name").alias("keyword"), *of("canonical", CANONICAL_WEIGHT))
+    rows = rows.unionByName(seeds.select("entity_id", F.trim("keyword").alias("keyword"), *of("alias", SEED_WEIGHT)))
+    rows = rows.unionByName(entities.select("entity_id", F.explode("aliases").alias("keyword")).select("entity_id", F.trim("keyword").alias("keyword"), *of("alias", ALIAS_WEIGHT)))
+    best = rows.where("keyword <> ''").groupBy("entity_id", "keyword").agg(F.max_by("keyword_type", "weight").alias("keyword_type"), F.max("weight").alias("weight"))
+    return best.withColumn("is_active", F.lit(True))
 
 
 def enroll_watchlist(watchlist: DataFrame, entities: DataFrame, hours: int = 168) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from attesta.functions.classify import question_focus
 from attesta.operators.rank import latest_snapshot
 
 
@@ -13,8 +14,13 @@ def bounded(value: int, default: int, most: int) -> int:
     return min(value if value >= 1 else default, most)
 
 
-def cache_decision(requests: DataFrame, cached: DataFrame, snapshots: DataFrame, as_of: str, least_sources: int = 4, max_age_hours: int = 72) -> DataFrame:
-    """A reason code for each request (entity_id, search_mode).
+def max_age(question: Column, hours: int = 72, recent_hours: int = 24) -> Column:
+    """Hours that a snapshot is fresh: fewer for questions about what is recent."""
+    return F.when(question_focus(question)["recency"], recent_hours).otherwise(hours)
+
+
+def cache_decision(requests: DataFrame, cached: DataFrame, snapshots: DataFrame, as_of: str, least_sources: int = 4, max_age_hours: int | Column = 72) -> DataFrame:
+    """A reason code for each request (entity_id, search_mode); max_age_hours may differ by request (max_age makes it).
 
     cached: (entity_id, cached_sources); snapshots: rows with created_at, query_id and source_count.
     """

@@ -74,8 +74,13 @@ def unwrap_link(url: Column) -> Column:
     code = F.regexp_extract(url, r"^https?://news\.google\.com/(?:.*/)?articles/([A-Za-z0-9_-]+)", 1)
     padded = F.concat(F.translate(code, "-_", "+/"), F.repeat(F.lit("="), F.pmod(-F.length(code), F.lit(4))))
     raw = F.decode(F.try_to_binary(padded, F.lit("base64")), "ISO-8859-1")
-    inside = F.regexp_extract(raw, r"https?://[^\s\x00\xd2]+", 0)
-    return F.when((code != "") & (F.coalesce(inside, F.lit("")) != ""), F.decode(F.encode(inside, "ISO-8859-1"), "UTF-8")).otherwise(url)
+    # three bytes stand before and after, one or two before the url say its length
+    body = F.regexp_replace(F.regexp_replace(raw, "^\x08\x13\"", ""), "\xd2\x01\x00$", "")
+    body = F.when(F.rlike(body, F.lit("(?s)^[\x80-\xff].")), F.substring(body, 3, 1 << 30)).otherwise(F.substring(body, 2, 1 << 30))
+    inside = F.regexp_extract(body, r"https?://[^\s\x00\xd2]+", 0)
+    plain = F.encode(inside, "ISO-8859-1")
+    sound = F.coalesce(inside != "", F.lit(False)) & F.is_valid_utf8(plain.cast("string"))
+    return F.when((code != "") & sound, F.decode(plain, "UTF-8")).otherwise(url)
 
 
 def forum_pushes(pages: DataFrame, default_year: int) -> DataFrame:
@@ -137,6 +142,28 @@ def forum_post_clean(text: Column, noise: tuple[str, ...] = ()) -> Column:
     return F.when(F.length(out) >= 15, out)
 
 
+def forum_snippet(title: Column, snippet: Column) -> Column:
+    """What stands for a thread that could not be read: its title and snippet; null if both are short."""
+    title, snippet = F.coalesce(title, F.lit("")), F.coalesce(snippet, F.lit(""))
+    text = F.when(snippet != "", strip(F.concat(title, F.lit("\n"), snippet))).otherwise(title)
+    return F.when((F.length(snippet) >= 20) | (F.length(title) >= 10), text)
+
+
+def review_author(title: Column) -> Column:
+    """The writer in the title of a place review; null if there is none."""
+    return F.nullif(strip(F.regexp_extract(title, r"評論\]([^—]*)", 1)), F.lit(""))
+
+
+def place_summaries(places: DataFrame) -> DataFrame:
+    """A row for each place answer (place_id, name, json) that has a rating: title, content, rating and reviews_count."""
+    info = F.from_json("json", "place_info struct<title:string,address:string,rating:string,reviews:string>")["place_info"]
+    rows = places.select("place_id", "name", info.alias("p")).where("p.rating is not null")
+    name, count = F.coalesce("p.title", "name"), F.coalesce("p.reviews", F.lit("None"))
+    title = F.concat(F.lit("[Google Maps] "), name, F.lit(" — 評分 "), F.col("p.rating"), F.lit("/5 ("), count, F.lit(" 則評論)"))
+    content = F.concat(name, F.lit("，地址："), F.coalesce("p.address", F.lit("")), F.lit("。Google Maps 平均評分 "), F.col("p.rating"), F.lit("/5，共 "), count, F.lit(" 則評論。"))
+    return rows.select("place_id", title.alias("title"), content.alias("content"), F.col("p.rating").alias("rating"), F.col("p.reviews").alias("reviews_count"))
+
+
 def star_rating(raw: Column) -> Column:
     return F.coalesce(F.greatest(F.lit(0), F.bround(raw.try_cast("double")).cast("int")), F.lit(0))
 
@@ -229,6 +256,16 @@ def page_map(config: DataFrame) -> DataFrame:
     return last.select("key", F.explode(F.split("urls", ",")).alias("url")).withColumn("url", F.trim("url")).where("url <> ''")
 
 
+def pages_of(entities: DataFrame, pages: DataFrame) -> DataFrame:
+    """The pages (key, url, of page_map) of each entity (entity_id, name, aliases): those of its name, else of its first alias that has
+    any, else the default ones."""
+    keys = F.concat(F.array(F.lower("name")), F.transform(F.coalesce("aliases", F.array().cast("array<string>")), F.lower), F.array(F.lit("_default")))
+    asked = entities.select("entity_id", F.posexplode(keys).alias("pos", "key"))
+    found = asked.join(pages.hint("merge"), "key")
+    best = found.groupBy(F.col("entity_id").alias("_id")).agg(F.min("pos").alias("_pos"))
+    return found.join(best.hint("merge"), (F.col("entity_id") == F.col("_id")) & (F.col("pos") == F.col("_pos"))).select("entity_id", "url").distinct()
+
+
 def read_groups_json(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.json(path, multiLine=True, schema="note string, groups array<struct<url:string,name:string,topic:string>>")
     return rows.select(F.explode("groups").alias("g")).select("g.*").where("trim(url) <> ''")

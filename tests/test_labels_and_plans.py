@@ -98,9 +98,12 @@ def test_tables(spark):
     assert [r.entity_id for r in tables.enroll_watchlist(w, spark.createDataFrame([(1,), (2,)], "entity_id long")).collect()] == [2]
     ev = spark.createDataFrame([(1, 1, 1, "like", "add", 1), (2, 1, 1, "like", "remove", 2), (3, 1, 2, "like", "add", 1), (4, 1, 2, "odd", "add", 1)], "event_id long, review_id long, user_id long, reaction string, action string, ts long")
     assert [(r.user_id, r.reaction) for r in tables.reactions(ev).collect()] == [(2, "like")]
-    p = spark.createDataFrame([(1, "", "i", "c")], "entity_id long, headline string, intro string, cover string")
-    n = spark.createDataFrame([(1, "h", "new", "new")], p.schema)
-    assert tuple(tables.upsert_profiles(p, n).first()) == (1, "h", "i", "c") and tables.upsert_profiles(p, n, True).first().cover == "new"
+    p = spark.createDataFrame([(1, "", "i", "c", ["g"])], "entity_id long, headline string, intro string, cover string, gallery array<string>")
+    n = spark.createDataFrame([(1, "h", "new", "new", []), (2, "x", "", "y", ["z"])], p.schema)
+    out = {r.entity_id: tuple(r)[1:] for r in tables.upsert_profiles(p, n).collect()}
+    assert out == {1: ("h", "i", "c", ["g"]), 2: ("x", "", "y", ["z"])}
+    assert {r.entity_id: (r.cover, r.gallery) for r in tables.upsert_profiles(p, n, True).collect()}[1] == ("new", [])
+    assert {r.entity_id: (r.cover, r.gallery) for r in tables.upsert_profiles(p, n.withColumn("gallery", F.array(F.lit("q")))).collect()}[1] == ("new", ["q"])
 
 
 def test_hydration_and_enrichment(spark):
@@ -144,3 +147,20 @@ def test_maintained_tables(spark):
     new = spark.createDataFrame([(2, "al", "c2", "said")], "id long, entity_name string, caption string, comment string")
     names_ = spark.createDataFrame([("al", "n")], "name string, canonical_name string")
     assert sorted(tuple(r) for r in tables.media_append(m, new, names_, spark.createDataFrame([(1,)], "id long")).collect()) == [(2, "n", "said")]
+
+
+def test_seeds(spark):
+    watch = spark.createDataFrame([(1, False, 3, 24, "general", "x")], "entity_id long, is_active boolean, priority int, refresh_interval_hours int, default_mode string, note string")
+    seeds = spark.createDataFrame([(1, 1, 168, "animal_law"), (2, 2, 12, "general")], "entity_id long, priority int, refresh_interval_hours int, default_mode string")
+    assert {tuple(r) for r in tables.seed_watchlist(watch, seeds).collect()} == {(1, False, 1, 168, "animal_law", "x"), (2, True, 2, 12, "general", None)}
+    entities = spark.createDataFrame([(1, "Alpha", ["al", "Alpha", " "])], "entity_id long, name string, aliases array<string>")
+    words = spark.createDataFrame([(1, "al"), (1, "beta")], "entity_id long, keyword string")
+    assert {(r.keyword, r.weight) for r in tables.seed_keywords(entities, words).collect()} == {("Alpha", 100), ("al", 80), ("beta", 80)}
+
+
+def test_snapshots_of_recent_questions_age_sooner(spark):
+    asked = spark.createDataFrame([(1, "m", "最近有沒有新聞"), (2, "m", "評價如何")], "entity_id long, search_mode string, question string")
+    found = spark.createDataFrame([(1, 9), (2, 9)], "entity_id long, cached_sources long")
+    shots = spark.sql("SELECT * FROM VALUES (1L, 'm', 1L, TIMESTAMP_NTZ '2024-01-01 00:00:00', 9L), (2L, 'm', 2L, TIMESTAMP_NTZ '2024-01-01 00:00:00', 9L) AS t(entity_id, search_mode, query_id, created_at, source_count)")
+    out = freshness.cache_decision(asked, found, shots, "2024-01-02 12:00:00", max_age_hours=freshness.max_age(F.col("question")))
+    assert {r.entity_id: r.reason for r in out.collect()} == {1: "stale_snapshot", 2: "fresh_snapshot"}

@@ -94,3 +94,28 @@ def test_running_ratings(spark, tmp_path):
 def test_forum_post_clean(spark):
     df = spark.createDataFrame([("a line that is long enough\n12 引言\nfooter mark here",), ("short",)], "t string")
     assert [r.c for r in df.select(P.forum_post_clean(F.col("t"), ("footer",)).alias("c")).collect()] == ["a line that is long enough", None]
+
+
+def test_pages_of_entities(spark):
+    pages = P.page_map(spark.createDataFrame([("E1|u1,u2;al|u3;http://d",)], "text string"))
+    entities = spark.createDataFrame([(1, "e1", ["AL"]), (2, "x", ["y", "AL"]), (3, "z", None)], "entity_id long, name string, aliases array<string>")
+    assert {(r.entity_id, r.url) for r in P.pages_of(entities, pages).collect()} == {(1, "u1"), (1, "u2"), (2, "u3"), (3, "http://d")}
+
+
+def test_snippets_authors_and_summaries(spark):
+    df = spark.createDataFrame([("short", "s"), ("a long enough title", ""), ("t", "a snippet of twenty characters")], "t string, s string")
+    assert [r.c for r in df.select(P.forum_snippet(F.col("t"), F.col("s")).alias("c")).collect()] == [None, "a long enough title", "t\na snippet of twenty characters"]
+    df = spark.createDataFrame([("[Google Maps 評論] 王 — ⭐⭐",), ("no",)], "t string")
+    assert [r.c for r in df.select(P.review_author(F.col("t")).alias("c")).collect()] == ["王", None]
+    js = '{"place_info": {"title": "P", "address": "A", "rating": 4.5, "reviews": 12}}'
+    rows = P.place_summaries(spark.createDataFrame([(1, "n", js), (2, "n", "{}")], "place_id int, name string, json string")).collect()
+    assert [(r.place_id, r.title) for r in rows] == [(1, "[Google Maps] P — 評分 4.5/5 (12 則評論)")]
+
+
+def test_wrapped_links(spark):
+    import base64
+
+    code = lambda url: base64.urlsafe_b64encode(b'\x08\x13"' + bytes([len(url)]) + url + b"\xd2\x01\x00").decode().rstrip("=")
+    links = ["https://news.google.com/rss/articles/" + code(b"https://a.example/x?y=1"), "https://news.google.com/articles/" + code(b"https://a.example/\xff\xfe"), "https://b.example/articles/abc"]
+    out = [r.u for r in spark.createDataFrame([(x,) for x in links], "l string").select(P.unwrap_link(F.col("l")).alias("u")).collect()]
+    assert out == ["https://a.example/x?y=1", links[1], links[2]]

@@ -37,6 +37,11 @@ FUNDRAISING = ("募資", "捐款", "善款", "勸募", "公益勸募", "財務",
 CONTROVERSY = ("爭議", "質疑", "疑慮", "風波", "道歉", "聲明", "澄清")
 EVIDENCE = ("聲明", "公告", "新聞", "報導", "facebook", "instagram", "threads", "dcard", "ptt", "google", "maps", "募資", "捐款", "公益勸募")
 REVIEW = ("評論", "評價", "心得", "推薦", "不推", "好評", "負評", "留言", "reviews", "review", "star", "評分")
+DOMAIN_QUERY = ("動保", "動保法", "動物福利", "虐待", "棄養", "飼養環境", "超收", "死亡", "照護", "非法繁殖", "收容", "救援", "絕育", "展演", "稽查", "裁罰")
+DOMAIN = ("動物", "犬", "狗", "貓", "毛孩", "收容", "救援", "棄養", "虐待", "受傷", "死亡", "飼養", "籠養", "超收", "惡臭", "環境", "照護", "醫療", "絕育", "繁殖", "非法繁殖", "展演", "稽查", "裁罰", "動保", "動保法", "動物福利")
+DOMAIN_STRONG = ("動保法", "動物福利", "虐待", "棄養", "非法繁殖", "超收", "稽查", "裁罰", "救援", "收容", "飼養環境")
+DOMAIN_EXCLUDED = ("購物", "商城", "票務", "排隊", "候位", "演唱會", "活動", "娛樂", "明星", "八卦", "旅遊", "打卡", "美食", "展覽")
+DOMAIN_NEGATED = ("與動物無關", "沒有提到動物", "沒有提到動保", "沒有提到動物照護", "沒有提到收容", "沒有提到飼養", "不涉及動保", "非動物相關")
 RECENCY = ("最近", "近期", "最新", "今天", "本週", "本月", "近況", "最近有沒有")
 AUTHORITATIVE_HOSTS = ("sasw.mohw.gov.tw", "mohw.gov.tw", ".gov.tw", ".gov", "dongwangwang.bobo.care", "flyingv.cc", "donate.newebpay.com")
 SOCIAL_HOSTS = ("facebook.com", "instagram.com", "threads.net", "dcard.tw", "ptt.cc", "google.com", "maps.google.com")

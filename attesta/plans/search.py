@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attesta.functions import lexicon as L
@@ -82,13 +82,20 @@ def relevant(t: SearchTerms) -> Column:
     return (named & ((any_of(url, t.social) & meaningful) | asked | any_of(hay, t.review) | ((any_of(hay, t.evidence) | trusted) & usable))) | (trusted & relaxed & asked & usable)
 
 
-def keep_relevant(df: DataFrame, t: SearchTerms) -> DataFrame:
-    """Relevant rows; all rows of a query none of whose rows is."""
-    marked = df.withColumn("_ok", relevant(t)).withColumn("_any", F.max("_ok").over(Window.partitionBy("query_key")))
-    return marked.where("_ok or not _any").drop("_ok", "_any")
+def _flag(value: bool | Column) -> Column:
+    return F.coalesce(value, F.lit(False)) if isinstance(value, Column) else F.lit(value)
 
 
-def focus_match(t: SearchTerms, domain: tuple, strong: tuple, excluded: tuple, negated: tuple) -> Column:
+def keep_relevant(df: DataFrame, t: SearchTerms, focus: bool | Column = False) -> DataFrame:
+    """Relevant rows; all rows of a query none of whose rows is. With the domain in focus (for all rows or by row) only rows that match it."""
+    # which queries have a relevant row is an aggregate, combined on the map side, so that a query of very many rows is no hot task
+    marked = df.withColumns({"_focus": _flag(focus), "_ok": F.when(_flag(focus), focus_match(t)).otherwise(relevant(t))})
+    some = marked.where("_ok").select(F.col("query_key").alias("_key")).distinct()
+    found = marked.join(some.hint("merge"), F.col("query_key").eqNullSafe(F.col("_key")), "left")
+    return found.where("_ok or (_key is null and not _focus)").drop("_ok", "_focus", "_key")
+
+
+def focus_match(t: SearchTerms, domain: tuple = L.DOMAIN, strong: tuple = L.DOMAIN_STRONG, excluded: tuple = L.DOMAIN_EXCLUDED, negated: tuple = L.DOMAIN_NEGATED) -> Column:
     """Strict filter for one domain: no negation, no off-topic page, the entity named, and enough of the domain's terms."""
     hay = F.col("_hay")
     n, hit = hits(hay, domain), any_of(hay, strong)
@@ -102,11 +109,11 @@ def focus_match(t: SearchTerms, domain: tuple, strong: tuple, excluded: tuple, n
 _SITE_POINTS = ((5, ("ptt.cc",)), (4, ("google.com/maps", "maps.google", "dcard.tw")), (2, ("facebook.com", "instagram.com", "threads.net")))
 
 
-def rank_results(df: DataFrame, t: SearchTerms, controversial: bool | Column = False, domain: tuple = (), strong: tuple = ()) -> DataFrame:
+def rank_results(df: DataFrame, t: SearchTerms, controversial: bool | Column = False, focus: bool | Column = False) -> DataFrame:
     """Rank results (query_key, ord, ...) by three scores, ties by ord. Adds s1, s2, s3, bucket and rank.
 
-    controversial: whether the question is about controversy or money, for all rows or by row; domain, strong: terms of a
-    domain in focus, which count one and three more.
+    controversial, focus: whether the question is about controversy or money, and whether the domain is in focus, so that its terms count
+    one more and its strong terms three more; each for all rows or by row.
     """
     hay, url = F.col("_hay"), _low("url")
     df = with_hay(df).withColumn("bucket", result_bucket(F.col("url"), F.col("source_type")))
@@ -116,21 +123,21 @@ def rank_results(df: DataFrame, t: SearchTerms, controversial: bool | Column = F
     site = F.when(any_of(url, t.authority), 8).otherwise(site)
     asked, evidence, authority, past = hits(hay, t.question), hits(hay, t.evidence), hits(hay, t.authority), hits(hay, t.rank_history)
     heated = F.when(F.col("bucket").isin("news", "forum", "fundraising"), 6).when(F.col("bucket") == "official", -5).otherwise(0) + 2 * past
-    boost = F.when(controversial if isinstance(controversial, Column) else F.lit(controversial), heated).otherwise(0)
-    focus = hits(hay, domain) + 3 * hits(hay, strong)
-    s1 = 12 * any_of(hay, t.entity).cast("int") + 3 * asked + evidence + hits(hay, t.rank_review) + 3 * authority + site + boost + focus
-    df = df.withColumn("s1", s1).withColumn("s2", asked + evidence + authority + past + focus).withColumn("s3", F.least(F.length(F.trim("_text")), F.lit(500)))
+    boost = F.when(_flag(controversial), heated).otherwise(0)
+    near = F.when(_flag(focus), hits(hay, L.DOMAIN) + 3 * hits(hay, L.DOMAIN_STRONG)).otherwise(0)
+    s1 = 12 * any_of(hay, t.entity).cast("int") + 3 * asked + evidence + hits(hay, t.rank_review) + 3 * authority + site + boost + near
+    df = df.withColumn("s1", s1).withColumn("s2", asked + evidence + authority + past + near).withColumn("s3", F.least(F.length(F.trim("_text")), F.lit(500)))
     return ranked(df.drop("_hay", "_text"), ["query_key"], [F.desc("s1"), F.desc("s2"), F.desc("s3"), F.col("ord")])
 
 
-def finalize_results(df: DataFrame, t: SearchTerms, limit: int = 100, controversial: bool | Column = False) -> DataFrame:
+def finalize_results(df: DataFrame, t: SearchTerms, limit: int = 100, controversial: bool | Column = False, focus: bool | Column = False) -> DataFrame:
     """Deduplicate, type, filter, rank, diversify; the first `limit` of each query by place. Works on all queries of df at
     once, each by its own terms if t holds columns of df."""
     df = dedup_results(df)
     preset = F.col("source_type") if "source_type" in df.columns else F.lit(None).cast("string")
     df = with_hay(df.withColumn("source_type", source_type_by_host(F.col("url"), F.col("source"), preset, F.col("title"), t.entity)))
-    df = keep_relevant(df.where(~low_signal(t)), t).drop("_hay", "_text")
-    placed = diversify_results(rank_results(df, t, controversial), controversial if isinstance(controversial, Column) else F.lit(controversial))
+    df = keep_relevant(df.where(~low_signal(t)), t, focus).drop("_hay", "_text")
+    placed = diversify_results(rank_results(df, t, controversial, focus), _flag(controversial))
     return placed.where(F.col("place") <= limit)
 
 

@@ -113,3 +113,13 @@ def test_profile_counts_without_expansion(spark):
     cards = spark.createDataFrame([(1, 7, 20), (1, 7, 40), (1, 8, None)], "query_id int, source_id int, credibility int")
     out = {r.entity_id: tuple(r)[1:] for r in metrics.entity_profile(queries, cards).collect()}
     assert out == {1: (2, 2, 20, 30), 2: (1, 0, 0, 0)}
+
+
+def test_domain_in_focus_is_strict(spark):
+    rows = [(1, 0, "https://a.example/1", "alpha 動物福利 救援", "alpha 動物福利 收容 救援 and more text", "s"), (1, 1, "https://b.example/2", "alpha 評價 of it", "alpha 評價 and some more text here", "s"), (1, 2, "https://c.example/3", "alpha 與動物無關", "alpha 動物 收容 與動物無關 text", "s"), (2, 3, "https://d.example/4", "beta page title", "beta 評價 and more of the text", "s")]
+    df = spark.createDataFrame([(*r, r[0] == 1, ["alpha"]) for r in rows], "query_key int, ord int, url string, title string, content string, source string, strict boolean, names array<string>")
+    terms = search.SearchTerms(entity=F.col("names"), relaxed=F.col("names"))
+    out = search.finalize_results(df, terms, 10, focus=F.col("strict")).collect()
+    assert {(r.query_key, r.ord) for r in out} == {(1, 0), (2, 3)}
+    none = search.finalize_results(df.where("ord = 1"), terms, 10, focus=True)
+    assert none.count() == 0 and search.finalize_results(df.where("ord = 1"), terms, 10).count() == 1

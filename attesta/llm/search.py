@@ -108,12 +108,12 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     scores beyond a long stop at its ends; an empty table gives no rows; other columns are not read.
     """
     vectors = stored(vectors, "vectors")
-    shards, _ = _blocks(vectors, SHARD_ROWS, "ids", "xs", "shard")
-    blocks, n = _blocks(vectors.where(is_query).distinct(), QUERY_ROWS, "query_ids", "queries", "block")
-    # each shard goes to each block of queries: an equi-join of rows that are whole blocks
-    sent = shards.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<long>")))
-    met = sent.join(blocks.hint("shuffle_hash"), "block").select("ids", "xs", "query_ids", "queries")
-    found = stored(met.repartition(F.xxhash64("ids"), F.xxhash64("query_ids")).mapInArrow(_search(k), "query_id long, vec_id long, score long"), "shard-lists")
+    shards, n = _blocks(vectors, SHARD_ROWS, "ids", "xs", "shard")
+    blocks, _ = _blocks(vectors.where(is_query).distinct(), QUERY_ROWS, "query_ids", "queries", "block")
+    # each block of queries goes to each shard: an equi-join of rows that are whole blocks, in which vectors move once
+    sent = blocks.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<long>")))
+    met = sent.join(shards.hint("shuffle_hash"), "shard").select("ids", "xs", "query_ids", "queries")
+    found = stored(met.mapInArrow(_search(k), "query_id long, vec_id long, score long"), "shard-lists")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -49,13 +49,15 @@ def test_op1_takes_near_the_targets(spark, documents):
     assert all(abs(taken[s] - targets[s]) <= 0.1 * targets[s] + 2000 for s in targets)
 
 
-def test_op2_scores_held_out_documents_by_what_others_teach(spark, documents):
-    rows = run(spark, "op2_weak_supervision")
-    assert sorted(r.doc_id for r in rows) == sorted(documents)
-    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{SMALL}/labels.parquet").collect()}
+def test_op2_scores_held_out_documents_by_what_others_teach(spark):
+    larger = "/root/testdata/sf0.01"  # the smallest table holds too few toxic documents to learn from
+    rows = QUERIES["op2_weak_supervision"](spark, larger).collect()
+    ids = [r.doc_id for r in spark.read.parquet(f"{larger}/documents.parquet").select("doc_id").collect()]
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{larger}/labels.parquet").collect()}
+    assert sorted(r.doc_id for r in rows) == sorted(ids)
     assert all(r.held_out == (crc(r.doc_id) % 3 == 1) and 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in rows)
     judged = [(r.predicted, labels[r.doc_id]) for r in rows if r.held_out and labels.get(r.doc_id) is not None]
-    assert sum(p == y for p, y in judged) >= 0.9 * len(judged)
+    assert sum(p == y for p, y in judged) >= 0.95 * len(judged)
 
 
 def test_op3_edits_and_fingerprints(spark, documents):

@@ -79,3 +79,28 @@ def test_one_row_of_each_group_of_copies_stays(spark):
     out = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), SMALL)
     assert out.columns == ["doc_id", "text"]
     assert sorted(map(tuple, out.collect()), key=lambda r: r[1]) == [(1, text["a"]), (None, text["b"]), (2, text["c"]), (3, text["d"])]
+
+
+@pytest.mark.skipif(importlib.util.find_spec("corpus_pipeline") is None, reason="the pipeline was removed")
+def test_stages_take_odd_tables(spark):
+    """Nulls, repeated rows, very long and empty texts, clashing columns, and no rows at all, through every stage."""
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long, removed string, n_lines string, score string, copies string, size string, component_id string, sequence_id string"
+    odd = [(1, "one text\nof two lines"), (1, "one text\nof two lines"), (2, None), (None, None), (3, ""), (None, "no id here at all"), (4, "a long text " * 20_000), (5, "x" * 100_000), (6, "ünïcode 中文 text, of one line")]
+    docs = spark.createDataFrame([(i, t, None, "s" if k % 2 else None, None, *"abcdef", "g") for k, (i, t) in enumerate(odd)], schema).repartition(3)
+    for table, n in ((docs, len(odd)), (docs.limit(0), 0)):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, table, SMALL)
+            if name == "packing":
+                assert out.where("piece = 0").count() == table.count()
+                continue
+            assert out.columns == table.columns
+            out = corpus_pipeline.stored(out, "odd-test")
+            found = [(r.doc_id, r.text, r.removed, r.n_lines, r.size) for r in out.collect()]
+            assert len(found) <= 3 * n and all(r[2:] == ("a", "b", "e") for r in found)
+            if name in ("toxicity", "line_dedup"):
+                assert len(found) == n
+            if name == "simhash_near_dedup":
+                assert sorted(r[0] or 0 for r in found).count(1) <= 1
+            table = out

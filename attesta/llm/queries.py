@@ -11,6 +11,7 @@ from attesta.llm.packing import op4_best_fit_packing
 from attesta.llm.search import OP8_SQL, op8_maxscore
 from attesta.llm.sharding import op5_hash_tree_sharding
 from attesta.llm.simhash import op10_simhash
+from attesta.llm.token_files import op13_token_files
 from attesta.llm.toxicity import op2_weak_supervision
 
 QUERIES = {
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_maxscore": op8_maxscore,
     "op9_fuzzy_lines": op9_fuzzy_lines,
     "op10_simhash": op10_simhash,
+    "op13_token_files": op13_token_files,
 }
 
 ORACLES: dict[str, str] = {"op8_maxscore": OP8_SQL}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from attesta.llm.alignment import op12_token_alignment
 from attesta.llm.fingerprint import op3_weighted_sampling
 from attesta.llm.html import op6_html_blocks
 from attesta.llm.language_model import op7_recurrent_lm
@@ -13,6 +14,7 @@ from attesta.llm.sharding import op5_hash_tree_sharding
 from attesta.llm.simhash import op10_simhash
 from attesta.llm.token_files import op13_token_files
 from attesta.llm.toxicity import op2_weak_supervision
+from attesta.llm.whitening import op11_embedding_whitening
 
 QUERIES = {
     "op1_cube_mixing": op1_cube_mixing,
@@ -25,6 +27,8 @@ QUERIES = {
     "op8_maxscore": op8_maxscore,
     "op9_fuzzy_lines": op9_fuzzy_lines,
     "op10_simhash": op10_simhash,
+    "op11_embedding_whitening": op11_embedding_whitening,
+    "op12_token_alignment": op12_token_alignment,
     "op13_token_files": op13_token_files,
 }
 

@@ -1,4 +1,4 @@
-"""Keyed upserts, version history and maintenance. Each operator returns the new table; write_table swaps it in."""
+"""Keyed upserts, version history and maintenance. Each operator returns the new rows; store.merge_table writes them."""
 
 from __future__ import annotations
 
@@ -7,14 +7,10 @@ from pyspark.sql import functions as F
 
 from attesta.functions.classify import is_junk
 from attesta.functions.text import host_of
+from attesta.operators import store
 from attesta.operators.rank import ranked, top
 
 
-def write_table(df: DataFrame, path: str) -> None:
-    """Write a new version beside the old one; the caller points readers to it. Never the path that df reads."""
-    df.write.mode("errorifexists").parquet(path)
-
-
 def log_run(runs: DataFrame, path: str) -> None:
     """Append (pipeline, entity, status, rows_written, error); a failed run has written nothing."""
     runs.withColumn("rows_written", F.when(F.col("status") == "failed", 0).otherwise(F.col("rows_written"))).write.mode("append").parquet(path)
@@ -24,14 +20,19 @@ def review_hash() -> Column:
     return F.md5(F.concat_ws(":", "entity", "platform", "author", F.substring("content", 1, 200)).cast("binary"))
 
 
+def first_reviews(incoming: DataFrame) -> DataFrame:
+    """Reviews with trimmed content that isn't blank and their content_hash: the first (by review_id) of each hash."""
+    new = incoming.withColumn("content", F.trim("content")).where("content <> ''").withColumn("content_hash", review_hash())
+    first = F.min_by(F.struct(*(c for c in new.columns if c != "content_hash")), "review_id").alias("r")
+    return new.groupBy("content_hash").agg(first).select("r.*", "content_hash").select(*incoming.columns, "content_hash")
+
+
 def ingest_reviews(table: DataFrame, incoming: DataFrame) -> DataFrame:
     """Rows to insert: trimmed, not blank, the first (by review_id) of each content hash, unless the table has it.
 
     Rows with a hash are never updated. table needs content_hash only.
     """
-    new = incoming.withColumn("content", F.trim("content")).where("content <> ''").withColumn("content_hash", review_hash())
-    first = new.groupBy("content_hash").agg(F.min_by(F.struct(*(c for c in new.columns if c != "content_hash")), "review_id").alias("r")).select("r.*", "content_hash")
-    return first.join(table.select("content_hash").distinct(), "content_hash", "left_anti").select(*incoming.columns, "content_hash")
+    return first_reviews(incoming).join(table.select("content_hash").distinct(), "content_hash", "left_anti").select(*incoming.columns, "content_hash")
 
 
 def upsert_sources(table: DataFrame, incoming: DataFrame, keep_if_empty: list[str], keep_if_null: list[str], seq: str = "ord") -> DataFrame:
@@ -51,27 +52,64 @@ def upsert_sources(table: DataFrame, incoming: DataFrame, keep_if_empty: list[st
     return out.withColumn("domain", host_of(F.col("url")))
 
 
+SNAPSHOT_KEY = ["entity_id", "search_mode"]
+
+
+def snapshot_versions(events: DataFrame, body: list[str]) -> DataFrame:
+    """(entity_id, search_mode, snapshot_hash, first, last) of each distinct body; first and last are (created_at, query_id)."""
+    digest = F.sha2(F.to_json(F.struct(*body), {"ignoreNullFields": "false"}).cast("binary"), 256)
+    at = F.struct("created_at", "query_id")
+    return events.withColumn("snapshot_hash", digest).groupBy(*SNAPSHOT_KEY, "snapshot_hash").agg(F.min(at).alias("first"), F.max(at).alias("last"))
+
+
+def number_versions(versions: DataFrame) -> DataFrame:
+    """Versions with their number (by first appearance) and is_latest (by last appearance) within each (entity_id, search_mode)."""
+    numbered = ranked(ranked(versions, SNAPSHOT_KEY, [F.col("first")], "version"), SNAPSHOT_KEY, [F.desc("last")], "_newest")
+    return numbered.withColumn("is_latest", F.col("_newest") == 1).drop("_newest")
+
+
 def snapshot_history(events: DataFrame, body: list[str]) -> DataFrame:
     """Versions of each (entity_id, search_mode): one for each distinct body, refreshed when it comes again.
 
     Adds version (by first appearance) and is_latest (by last appearance).
     """
-    digest = F.sha2(F.to_json(F.struct(*body), {"ignoreNullFields": "false"}).cast("binary"), 256)
-    versions = events.withColumn("snapshot_hash", digest).groupBy("entity_id", "search_mode", "snapshot_hash").agg(F.min(F.struct("created_at", "query_id")).alias("first"), F.max(F.struct("created_at", "query_id")).alias("last"))
-    key = ["entity_id", "search_mode"]
-    numbered = ranked(ranked(versions, key, [F.col("first")], "version"), key, [F.desc("last")], "_newest")
-    return numbered.select(*key, "snapshot_hash", "version", F.col("last.created_at").alias("generated_at"), (F.col("_newest") == 1).alias("is_latest"))
+    numbered = number_versions(snapshot_versions(events, body))
+    return numbered.select(*SNAPSHOT_KEY, "snapshot_hash", "version", F.col("last.created_at").alias("generated_at"), "is_latest")
+
+
+def merge_snapshots(stored: DataFrame, new: DataFrame) -> DataFrame:
+    """Stored versions (as number_versions gives them) with new ones (as snapshot_versions gives them): only the (entity_id, search_mode) that have
+    new ones are numbered again. Any split of the events into parts, in any order, ends in the versions of one pass."""
+    plain = [*SNAPSHOT_KEY, "snapshot_hash", "first", "last"]
+    changed = new.select(*SNAPSHOT_KEY).distinct()
+    same = stored.join(changed.hint("merge"), SNAPSHOT_KEY, "left_anti")
+    rows = stored.join(changed.hint("merge"), SNAPSHOT_KEY, "left_semi").select(*plain).unionByName(new.select(*plain))
+    return same.unionByName(number_versions(rows.groupBy(*plain[:3]).agg(F.min("first").alias("first"), F.max("last").alias("last"))).select(stored.columns))
+
+
+def save_snapshots(events: DataFrame, path: str, body: list[str], batch: int | None = None, buckets: int = 64) -> dict:
+    """Bring events into the stored versions at path (a store of buckets by entity_id and search_mode): only the buckets that have events are
+    read and written. A batch that is sent again changes nothing."""
+    new = snapshot_versions(events, body)
+    if not store.exists(events.sparkSession, path):
+        store.write_table(number_versions(new.limit(0)), path, SNAPSHOT_KEY, buckets)
+    return store.merge_table(new, path, merge_snapshots, "snapshots", batch)
 
 
-def refresh_suggestions(templates: DataFrame, questions: DataFrame, follow_up: list[str], most: int = 8) -> DataFrame:
+def refresh_suggestions(templates: DataFrame, questions: DataFrame, follow_up: list[str] | dict[str, list[str]], most: int = 8) -> DataFrame:
     """Suggested questions of each (entity_id, search_mode): templates (82), the questions of its last four queries by id (75), follow-ups
-    (72); trimmed, first of equal texts, blank ones go, at most `most`."""
+    (72; of all modes, or by mode); trimmed, first of equal texts, blank ones go, at most `most`."""
     key = ["entity_id", "search_mode"]
     question = F.trim("question").alias("question")
     recent = top(questions, key, [F.desc("query_id")], 4, "pos").where("trim(question) <> ''").select(*key, question, F.lit(75).alias("confidence"), "pos")
     base = templates.select(*key, question, F.lit(82).alias("confidence"), "pos")
     pairs = templates.select(*key).distinct()
-    more = pairs.select(*key, F.posexplode(F.array(*map(F.lit, follow_up)).cast("array<string>")).alias("pos", "question")).select(*key, "question", F.lit(72).alias("confidence"), "pos")
+    texts = lambda items: F.array(*map(F.lit, items)).cast("array<string>")
+    if isinstance(follow_up, dict):
+        open_questions = F.coalesce(*(F.when(F.col("search_mode") == mode, texts(items)) for mode, items in follow_up.items()), texts([]))
+    else:
+        open_questions = texts(follow_up)
+    more = pairs.select(*key, F.posexplode(open_questions).alias("pos", "question")).select(*key, "question", F.lit(72).alias("confidence"), "pos")
     union = base.unionByName(recent).unionByName(more)
     once = union.groupBy(*key, "question").agg(F.min(F.struct((-F.col("confidence")).alias("c"), "pos")).alias("b"))
     return top(once, key, [F.col("b"), F.col("question")], most, "place").select(*key, "question", (-F.col("b.c")).alias("confidence"), "place")

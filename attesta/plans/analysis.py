@@ -87,7 +87,7 @@ def balanced_summary(cards: DataFrame, points: int = 3, question: Column | None
     """Of each query's cards (by rank): counts, confidence, verdict and its sentence, the first points of each side and what to follow up.
 
     A point is the card's title, or its source if the title is short or noise, and where it comes from; points of under six
-    characters and repeated ones go; a side without any says so. question: the text that the verdict is about, of the same value in
+    characters and repeated ones go; a side without any says so; a missing title or source is an empty one. question: the text that the verdict is about, of the same value in
     all cards of a query; focus: whether it is about the domain in focus. Titles are taken as cleaned.
     """
     supporting = (F.col("stance") == "supporting") & F.col("strength").isin("medium", "strong") & (F.col("relevance") >= 60) & ((F.col("first_hand") >= 55) | (F.col("source_type") == "official"))
@@ -96,8 +96,9 @@ def balanced_summary(cards: DataFrame, points: int = 3, question: Column | None
     flag = focus if isinstance(focus, Column) else F.lit(focus)
     cards = cards.withColumns({"side": side, "_asked": question if question is not None else F.lit(""), "_focus": flag})
     placed = ranked(cards, ["query_key", "side"], [F.col("rank")], "_k")
-    poor = (F.length("title") < 6) | C.is_noise_text(F.col("title"), terms)
-    title = F.when(poor, F.concat("source", F.lit(" 來源整理"))).otherwise(F.col("title"))
+    poor = F.coalesce((F.length("title") < 6) | C.is_noise_text(F.col("title"), terms), F.lit(True))
+    source = F.trim(F.concat_ws(" ", "source", F.lit("來源整理")))
+    title = F.when(poor, source).otherwise(F.col("title"))
     point = F.concat(title, F.lit("("), C.origin_label(F.col("source_type"), F.col("first_hand")), F.lit(")"))
 
     def side_points(s: str) -> Column:

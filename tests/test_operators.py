@@ -141,10 +141,16 @@ def test_relevance_falls_back_to_all(spark):
 
 
 def test_balanced_summary_verdict(spark):
-    rows = [(0, 1, "t1", "opposing", "strong", 70, 60, "official", "官方說明"), (0, 2, "t2", "neutral", "weak", 50, 40, "news", "新聞轉述")]
-    df = spark.createDataFrame(rows, "query_key int, rank int, title string, stance string, strength string, relevance int, first_hand int, source_type string, origin string")
+    rows = [
+        (0, 1, "t1", "site", "opposing", "strong", 70, 60, "official"), (0, 2, "a long title", "site", "neutral", "weak", 50, 40, "news"),
+        (0, 3, None, None, "neutral", "weak", 50, 40, "news"), (0, 4, "a long title", "other", "neutral", "weak", 50, 40, "news"),
+    ]
+    df = spark.createDataFrame(rows, "query_key int, rank int, title string, source string, stance string, strength string, relevance int, first_hand int, source_type string")
     out = analysis.balanced_summary(df).first()
-    assert (out.verdict, out.confidence, out.opposing_points) == ("mostly_opposed", 32, ["t1（官方說明）"])
+    # points are cleaned as summaries are: brackets become plain; a short title gives way to the source, and repeated points go
+    official, news = (r.o for r in df.select("rank", C.origin_label(F.col("source_type"), F.col("first_hand")).alias("o")).orderBy("rank").limit(2).collect())
+    assert (out.verdict, out.confidence, out.opposing_points) == ("mostly_opposed", 36, [f"site 來源整理({official})"])
+    assert out.uncertain_points == [f"a long title({news})", f"來源整理({news})"] and len(out.supporting_points) == 1
 
 
 def test_cache_decision_codes(spark):

@@ -81,7 +81,7 @@ def test_stream_ingest(spark, tmp_path):
     for rows in ([(1, "e", "p", "a", "x"), (2, "e", "p", "a", "x")], [(3, "e", "p", "a", "x"), (4, "e", "p", "a", "y")]):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
         streams.stream_ingest_reviews(spark.readStream.schema(schema).parquet(src), out, str(tmp_path / "cp")).awaitTermination()
-    assert sorted(r.review_id for r in spark.read.parquet(out).collect()) == [1, 4]
+    assert sorted(r.review_id for r in streams.read_reviews(spark, out).collect()) == [1, 4]
 
 
 def test_running_ratings(spark, tmp_path):

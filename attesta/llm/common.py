@@ -39,6 +39,22 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Where columns that an operator doesn't read are carried, so that none of their names can clash with its own.
+CARRIED = "_carried"
+
+
+def carried(docs: DataFrame, used: list[str]) -> DataFrame:
+    """The columns that an operator reads, and all others as one struct."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in used]
+    return docs.select(*used, (F.struct(*others) if others else F.lit(0)).alias(CARRIED))
+
+
+def restored(df: DataFrame, columns: list[str], used: list[str], changed: dict[str, Column] | None = None) -> DataFrame:
+    """The columns as they were before `carried`, in their order; `changed` ones have new values."""
+    own = lambda c: F.col(c) if c in used else F.col(CARRIED).getField(c)
+    return df.select(*((changed or {}).get(c, own(c)).alias(c) for c in columns))
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -18,6 +18,8 @@ from attesta.llm.common import stored
 #: Tokens of a sequence; id after each document; tokens that one task packs at once; blocks that meet in the next round, and
 #: sequences that each of them sends there.
 SEQUENCE, END_ID, BLOCK_TOKENS, FAN, SENT_ON = 4096, 1, 8_000_000, 32, 64
+#: Pieces that one task packs at once, however short they are.
+BLOCK_PIECES = 500_000
 #: Words whose ids a Python worker keeps at most; words and texts of one call.
 MEMO_WORDS, CALL_WORDS, CALL_TEXTS = 400_000, 2_000, 64
 
@@ -194,7 +196,7 @@ def best_fit(lengths: list[int], capacity: int) -> tuple[list[int], list[int], l
     return bins, offsets, loads
 
 
-def _pack(capacity: int, level: int):
+def _pack(capacity: int, level: int, most_sent: int):
     def run(group: pa.Table) -> pa.Table:
         length = group.column("length").to_numpy()
         order = np.lexsort((group.column("key").to_numpy(), -length))
@@ -206,7 +208,8 @@ def _pack(capacity: int, level: int):
         loads = np.array(loads, dtype=np.int64)
         emptiest = np.argsort(loads, kind="stable")[:SENT_ON]
         sent = np.zeros(len(loads), dtype=bool)
-        sent[emptiest] = loads[emptiest] < capacity
+        few = np.cumsum(np.bincount(bins, minlength=len(loads))[emptiest]) <= most_sent
+        sent[emptiest] = few & (loads[emptiest] < capacity)
         return group.append_column("sent_on", pa.array(sent[bins]))
 
     return run
@@ -215,19 +218,20 @@ def _pack(capacity: int, level: int):
 def pack(pieces: DataFrame, capacity: int = SEQUENCE, fan: int = FAN, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """Best-fit-decreasing packing of pieces (doc_id, piece, length, and ids_crc32, stored) into sequences.
 
-    Adds sequence_id and offset. Blocks of about block_tokens tokens, dealt by hash, are packed at once, each best fit
+    Adds sequence_id and offset. Blocks of about block_tokens tokens, or BLOCK_PIECES pieces, dealt by a hash that repeated rows don't
+    share, are packed at once, each best fit
     decreasing: what is left open in a block is what no piece of it fits into. The pieces of each block's SENT_ON
-    emptiest open sequences meet those of `fan` other blocks in the next round, until one block is left; all other sequences
-    are settled. So no task holds more than a block, or fan * SENT_ON sequences, whatever the lengths.
+    emptiest open sequences (of as many as hold BLOCK_PIECES / fan pieces) meet those of `fan` other blocks in the next round, until one
+    block is left; all other sequences are settled. So no task holds more than a block, or fan * SENT_ON sequences, whatever the lengths.
     Nulls but in length are kept; repeated rows are packed each for itself; no pieces give no rows.
     """
-    total = pieces.agg(F.sum("length")).first()[0] or 0
-    blocks, level, decided, columns = max(1, math.ceil(total / block_tokens)), 0, None, pieces.columns
-    todo = pieces.withColumn("key", F.xxhash64("doc_id", "piece", "ids_crc32"))
+    total, rows = pieces.agg(F.sum("length"), F.count("*")).first()
+    blocks, level, decided, columns = max(1, math.ceil((total or 0) / block_tokens), math.ceil(rows / BLOCK_PIECES)), 0, None, pieces.columns
+    todo = pieces.withColumn("key", F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id()))
     todo = todo.withColumn("block", F.pmod("key", F.lit(blocks)).cast("long"))
     while True:
         schema = todo.select("*", *(F.lit(0).cast("long").alias(c) for c in ("sequence_id", "offset")), F.lit(False).alias("sent_on")).schema
-        packed = stored(todo.groupBy("block").applyInArrow(_pack(capacity, level), schema), f"packed{level}")
+        packed = stored(todo.groupBy("block").applyInArrow(_pack(capacity, level, BLOCK_PIECES // fan), schema), f"packed{level}")
         done = packed if blocks == 1 else packed.where("not sent_on")
         done = done.select(*columns, "sequence_id", "offset")
         decided = done if decided is None else decided.unionByName(done)

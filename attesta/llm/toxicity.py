@@ -218,11 +218,13 @@ def fit(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     bits = np.array([[p >> k & 1 for k in range(len(VOTERS))] for p in patterns["pattern"]], dtype=bool).reshape(-1, len(VOTERS))
     model = fit_label_model(bits, patterns["n"].to_numpy(float), patterns["label"].to_numpy(int))
 
-    luck = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1_000_000))
+    # rows without an id are drawn by what they say
+    luck = F.pmod(F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", F.lit(17))).otherwise(F.xxhash64("places", F.lit(17))), F.lit(1_000_000))
     labelled = float(patterns.loc[patterns["label"] >= 0, "n"].sum())
     share = min(1.0, FIT_ROWS / max(1.0, labelled or float(patterns["n"].sum())))
     drawn = votes.where("label >= 0") if labelled else votes
-    rows = drawn.where(luck < int(share * 1_000_000)).select("places", "pattern", "label").collect()
+    # a hash that very many rows share (copies without an id) can't bring more than twice the bound
+    rows = drawn.where(luck < int(share * 1_000_000)).select("places", "pattern", "label").limit(2 * FIT_ROWS).collect()
     known = np.array([r.label for r in rows])
     fired = np.array([[r.pattern >> k & 1 for k in range(len(VOTERS))] for r in rows], dtype=bool).reshape(-1, len(VOTERS))
     target = model.posterior(fired)
@@ -231,12 +233,12 @@ def fit(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     return ToxicityModel(terms, w, b, model)
 
 
-def _score(model: ToxicityModel):
+def _score(model: ToxicityModel, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Featurizer(model.terms)
         for batch in batches:
             scores = [model.score(features(t or "")[0]) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, "_toxicity"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, name])
 
     return run
 
@@ -247,8 +249,7 @@ def score(docs: DataFrame, model: ToxicityModel, name: str = "score") -> DataFra
     Only the text counts. Null and empty texts get the score of a text without any term; an empty table gives no rows.
     """
     docs = docs.drop(name)
-    schema = T.StructType([*docs.schema.fields, T.StructField("_toxicity", T.DoubleType())])
-    return docs.mapInArrow(_score(model), schema).withColumnRenamed("_toxicity", name)
+    return docs.mapInArrow(_score(model, name), T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def op2_weak_supervision(spark, sf_dir: str) -> DataFrame:

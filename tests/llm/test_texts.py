@@ -216,7 +216,6 @@ def test_language_model_of_nothing(empty):
 
 
 def test_language_model_learns_from_all_documents(docs, monkeypatch):
-    monkeypatch.setattr(language_model, "LEAST_TOKENS", 0, raising=False)
     monkeypatch.setattr(language_model, "SHARD_TOKENS", 4000)
     tables = {}
     monkeypatch.setattr(language_model, "stored", lambda df, name, stored=language_model.stored: tables.setdefault(name, stored(df, name)))
@@ -225,3 +224,25 @@ def test_language_model_learns_from_all_documents(docs, monkeypatch):
     language_model.train_model(training, [b"", b"a"], np.ones(gru.INPUTS), total)
     trained = tables["weights1"].select("n").distinct().count(), tables["training-texts"].count()
     assert trained[0] > 1 and trained[1] == training.count()
+
+
+def test_blocks_hold_no_more_than_their_bound_of_equal_rows(spark, monkeypatch):
+    """Repeated rows without an id are dealt to several blocks, and so are very many short pieces."""
+    monkeypatch.setattr(packing, "BLOCK_PIECES", 10_000)
+    pieces = spark.range(100_000).selectExpr("CAST(NULL AS LONG) AS doc_id", "0 AS piece", "0L AS start", "3L AS length", "7L AS ids_crc32")
+    real = packing._pack
+
+    def pack(*args):
+        run = real(*args)
+
+        def counted(group):
+            if group.num_rows > 11_500:
+                raise AssertionError(f"a block of {group.num_rows} pieces")
+            return run(group)
+
+        return counted
+
+    monkeypatch.setattr(packing, "_pack", pack)
+    out = packing.pack(packing.stored(pieces, "equal"), 4096)
+    loads = out.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.count("*").alias("k"), F.countDistinct("offset").alias("d")).collect()
+    assert sum(r.k for r in loads) == 100_000 and all(r.n <= 4096 and r.d == r.k for r in loads) and len(loads) <= 80

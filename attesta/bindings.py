@@ -44,4 +44,4 @@ def with_views(body: str, *names: str) -> str:
     """DuckDB SQL: body with the named views as common table expressions before it."""
     plain = {t: t for t in TABLES}
     views = ",\n".join(f"{n} AS ({VIEWS[n].format(**plain)})" for n in names)
-    return f"WITH {views}{',' if body.lstrip().startswith(',,') else ''}\n{body.lstrip().removeprefix(',,')}"
+    return f"WITH RECURSIVE {views}{',' if body.lstrip().startswith(',,') else ''}\n{body.lstrip().removeprefix(',,')}"

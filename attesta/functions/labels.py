@@ -53,7 +53,10 @@ def summary(raw: Column, confidence: Column, verdict: Column, composed: Column)
     body = F.when(fenced != "", F.trim(fenced)).otherwise(F.trim(raw))
     kinds = ("supporting_points", "opposing_points", "uncertain_points", "suggested_follow_up")
     j = F.from_json(body, "verdict string, confidence string, " + ", ".join(f"{k} array<string>" for k in kinds))
-    points = {k: F.slice(F.coalesce(F.filter(j[k], lambda x: x.isNotNull() & (F.trim(x) != "")), F.array().cast("array<string>")), 1, 3) for k in kinds}
+    none = F.array().cast("array<string>")
+    # the first three items, cleaned as summaries are; what cleaning leaves nothing of goes, and so do short and repeated points
+    cleaned = {k: F.transform(F.slice(F.filter(F.coalesce(j[k], none), lambda x: x.isNotNull()), 1, 3), lambda x: clean_summary_text(x, normalize=False)) for k in kinds}
+    points = {k: F.array_distinct(F.filter(cleaned[k], lambda x: F.length(x) >= 6)) for k in kinds}
     said = clean_summary_text(_said(j["verdict"]), normalize=False)
     nothing = (F.size(points["opposing_points"]) > 0) & F.exists(F.array(*map(F.lit, NOTHING_FOUND)), lambda w: F.contains(said, w))
     sure = F.least(F.lit(100), F.greatest(F.lit(0), F.coalesce(j["confidence"].try_cast("int"), confidence)))

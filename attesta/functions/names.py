@@ -22,6 +22,8 @@ TRAILING = ("推廣協會", "研究協會", "關懷協會", "動物保護協會"
 TOO_GENERAL = ("關懷", "保護", "動物", "流浪", "動保", "生命", "愛護", "護生", "基金會", "協會", "志工", "中心", "社團", "研究", "推廣", "照護", "臺灣", "台灣", "中華民國")
 #: Endings whose roots also count as naming the entity.
 ROOT_ENDINGS = ("狗園", "樂園", "園區", "協會", "流浪狗園", "流浪毛小孩生命照護協會")
+#: Words of a question that known sources are searched for.
+QUESTION_WORDS = ("募資", "捐款", "善款", "財務", "透明", "爭議", "質疑", "道歉", "聲明", "報導", "新聞")
 
 
 def ordered_unique(values: Column, least: int = 1) -> Column:
@@ -39,6 +41,24 @@ def search_variants(name: Column, endings: dict[str, tuple[str, ...]] = VARIANT_
     return F.slice(ordered_unique(F.concat(*parts)), 1, most)
 
 
+def analysis_variants(name: Column, endings: dict[str, tuple[str, ...]] = VARIANT_ENDINGS) -> Column:
+    """Variants that cards are compared with: in lower case, without bare roots, all of them."""
+    longer = {ending: tuple(o for o in others if o) for ending, others in endings.items()}
+    return ordered_unique(F.transform(search_variants(name, longer, 1 << 30), F.lower))
+
+
+def exact_terms(name: Column, endings: tuple[str, ...] = ROOT_ENDINGS) -> Column:
+    """The name, and the name without each ending that it has, if two characters or more are left."""
+    base = strip(name)
+    roots = [F.when(F.endswith(base, F.lit(e)), strip(F.regexp_replace(base, re.escape(e) + "$", ""))) for e in endings]
+    return F.concat(F.array(base), F.filter(F.array(*roots), lambda r: r.isNotNull() & (F.length(r) >= 2)))
+
+
+def question_terms(question: Column, words: tuple[str, ...] = QUESTION_WORDS) -> Column:
+    """The words that a question is known by, in the order of the list."""
+    return F.filter(F.array(*map(F.lit, words)), lambda w: F.contains(F.coalesce(question, F.lit("")), w))
+
+
 def entity_tokens(name: Column, **kwargs) -> Column:
     """Variants and the words of the name, in lower case, of two characters or more."""
     words = F.split(F.lower(name), r"[\s　]+")
@@ -58,10 +78,12 @@ def expand_aliases(name: Column, prefixes=PREFIXES, trailing=TRAILING, blocked=T
     return F.filter(kept, lambda v: (v != strip(name)) & ~v.isin(*blocked))
 
 
-def cached_terms(name: Column, question: Column, queries: Column, most: int = 12) -> Column:
-    """Search terms: the name, the question's words, the words of the first six queries without sites and quotes."""
-    pieces = F.flatten(F.transform(F.slice(queries, 1, 6), lambda q: F.split(F.regexp_replace(F.regexp_replace(q, r"site:\S+", ""), '"', ""), r"\s+")))
-    return F.slice(ordered_unique(F.concat(F.array(name), F.split(question, r"\s+"), pieces), 2), 1, most)
+def cached_terms(name: Column, question: Column, queries: Column, most: int = 12, words: tuple[str, ...] = QUESTION_WORDS) -> Column:
+    """Search terms: the name, its exact terms, the words that the question is known by, and the pieces of the first six queries without
+    "site:" and quotes; of two characters or more, each once, the first twelve."""
+    bare = lambda q: F.replace(F.replace(q, F.lit("site:"), F.lit(" ")), F.lit('"'), F.lit(" "))
+    pieces = F.flatten(F.transform(F.slice(F.coalesce(queries, F.array().cast("array<string>")), 1, 6), lambda q: F.split(bare(q), r"[\s\x{3000}\x{A0}]+")))
+    return F.slice(ordered_unique(F.concat(F.array(name), exact_terms(name), question_terms(question, words), pieces), 2), 1, most)
 
 
 def relaxed_tokens(name: Column, endings: tuple[str, ...] = ROOT_ENDINGS) -> Column:
@@ -69,7 +91,7 @@ def relaxed_tokens(name: Column, endings: tuple[str, ...] = ROOT_ENDINGS) -> Col
     variants = F.transform(search_variants(name), F.lower)
     def rooted(ending: str) -> Column:
         those = F.filter(variants, lambda v: F.endswith(v, F.lit(ending)))
-        return F.transform(those, lambda v: F.regexp_replace(v, re.escape(ending) + "$", ""))
+        return F.transform(those, lambda v: strip(F.regexp_replace(v, re.escape(ending) + "$", "")))
 
     roots = [rooted(e) for e in endings]
     return ordered_unique(F.concat(variants, *roots), 2)

@@ -49,16 +49,45 @@ def anti_by_url(cached: DataFrame, live: DataFrame) -> DataFrame:
     return cached.join(urls, (cached["query_key"] == urls["query_key"]) & (F.trim(cached["url"]) == urls["_url"]), "left_anti")
 
 
-def cached_sources(queries: DataFrame, cards: DataFrame, sources: DataFrame, matches: Column, keep: Column, limit: int) -> DataFrame:
-    """Sources behind an entity's cards that match a term: first the best 3 * limit by their best card, then
-    of those the best `limit` that pass `keep`."""
-    matching = sources.where(matches)
-    rows = cards.select("query_id", "source_id", "relevance", "credibility").join(matching.select("source_id"), "source_id")
-    rows = rows.join(queries.select("query_id", "entity_id"), "query_id")
-    best = rows.groupBy("entity_id", "source_id").agg(F.max("relevance").alias("relevance"), F.max("credibility").alias("credibility"), F.max("query_id").alias("latest_query_id"))
-    order = [F.desc("relevance"), F.desc("credibility"), F.desc("latest_query_id"), F.col("source_id")]
-    first = top(best, ["entity_id"], order, 3 * limit, "_over").join(matching, "source_id").where(keep)
-    return top(first, ["entity_id"], [F.col("_over")], limit).drop("_over")
+def term_hits(sources: DataFrame, terms: DataFrame, fields: list[str], gram: int = 3, few: int = 200) -> DataFrame:
+    """(source_id, term): which of the distinct terms each source holds in one of the fields, in any case. Each term is looked up once, however
+    many queries ask for it: by `containing`, an index of first grams with an exact test."""
+    # a character that no text holds keeps a term from reaching over two fields
+    text = F.lower(F.concat_ws("\u0000", *fields))
+    wanted = terms.select("term").where("term <> ''").distinct()
+    met = containing(sources.select("source_id", text.alias("_said")), F.col("_said"), wanted.withColumn("_low", F.lower("term")), F.col("_low"), gram, few)
+    return met.select("source_id", "term").distinct()
+
+
+def cached_sources(requests: DataFrame, queries: DataFrame, cards: DataFrame, sources: DataFrame, limit: int) -> DataFrame:
+    """Sources behind the cards of each request's entity, found by the request's own terms.
+
+    requests: query_key, entity_id, search_mode (null: any), terms, exact_terms, question_terms (arrays of strings); queries: query_id,
+    entity_id, search_mode; cards: query_id, source_id, relevance, credibility; sources: source_id, url, title, content, site_name,
+    updated_at, published_at.
+
+    First the best 3 * limit sources that hold one of the terms in title, content or url: by their best relevance and credibility, their last
+    query, then the latest update and publication. Of those the first `limit` that name the entity (an exact term) and, if there are question
+    terms, one of them, in title, content, site or url; of one url only the first counts.
+    """
+    key = ["query_key"]
+    hits = term_hits(sources, requests.select(F.explode("terms").alias("term")), ["title", "content", "url"])
+    wanted = requests.select("query_key", "entity_id", "search_mode", F.explode(F.array_distinct("terms")).alias("term"))
+    found = wanted.join(hits.hint("merge"), "term").select("query_key", "entity_id", "search_mode", "source_id").distinct()
+    # cards are aggregated by entity and mode before they meet requests
+    used = cards.select("query_id", "source_id", "relevance", "credibility").join(queries.select("query_id", "entity_id", F.col("search_mode").alias("_mode")).hint("merge"), "query_id")
+    used = used.groupBy("entity_id", "_mode", "source_id").agg(F.max("relevance").alias("r"), F.max("credibility").alias("c"), F.max("query_id").alias("q"))
+    met = found.join(used.hint("merge"), ["entity_id", "source_id"]).where(F.col("search_mode").isNull() | (F.col("_mode") == F.col("search_mode")))
+    best = met.groupBy(*key, "source_id").agg(F.max("r").alias("relevance"), F.max("c").alias("credibility"), F.max("q").alias("latest_query_id"))
+    best = best.join(sources.select("source_id", "updated_at", "published_at").hint("merge"), "source_id")
+    order = [F.desc("relevance"), F.desc("credibility"), F.desc("latest_query_id"), F.col("updated_at").desc_nulls_last(), F.col("published_at").desc_nulls_last(), F.col("source_id")]
+    first = top(best, key, order, 3 * max(1, limit), "_over").drop("updated_at", "published_at")
+    rows = first.join(sources.hint("merge"), "source_id").join(requests.select(*key, "exact_terms", "question_terms").hint("merge"), "query_key")
+    said = F.lower(F.concat_ws(" ", *(F.coalesce(c, F.lit("")) for c in ("title", "content", "site_name", "url"))))
+    some = lambda c: F.exists(F.coalesce(c, F.array().cast("array<string>")), lambda x: F.contains(F.col("_said"), F.lower(x)))
+    rows = rows.withColumn("_said", said).withColumn("url", F.trim("url")).where((F.col("url") != "") & some("exact_terms") & ((F.size(F.coalesce("question_terms", F.array())) == 0) | some("question_terms")))
+    once = top(rows.drop("_said", "exact_terms", "question_terms"), [*key, "url"], [F.col("_over")], 1, "_copy").drop("_copy")
+    return top(once, key, [F.col("_over")], limit).drop("_over")
 
 
 #: Up to so many needles are broadcast and tested one by one; more are blocked by grams.
@@ -100,12 +129,6 @@ def review_comments(comments: DataFrame, users: DataFrame, limit: int = 50) -> D
     return top(shown, ["review_id"], [F.col("comment_no")], max(1, min(200, limit))).select("review_id", "comment_no", "shown_name", "comment")
 
 
-def unlabelled(reviews: DataFrame, limit: int | None = None) -> DataFrame:
-    """Reviews that have no labels yet, by id, with what a labeller gets of them."""
-    rows = reviews.where(F.col("content_type").isNull()).select("review_id", "entity", F.substring("content", 1, 600).alias("content"))
-    return rows.orderBy("review_id").limit(limit) if limit else rows
-
-
 def entity_page(entities: DataFrame, profiles: DataFrame, comments: DataFrame, media: DataFrame, default_copy: dict[str, str], recent: int = 5) -> DataFrame:
     """One row for each entity (entity_id, name, entity_type): profile with a default intro by type, gallery, comments, media.
 

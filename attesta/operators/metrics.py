@@ -69,10 +69,14 @@ def source_breakdown(queries: DataFrame, cards: DataFrame, sources: DataFrame) -
     return rows.groupBy("entity_id", "source_type").agg(F.count("*").alias("n"))
 
 
-def entity_list(entities: DataFrame, queries: DataFrame, cards: DataFrame, limit: int) -> DataFrame:
-    """The entities with most queries: ties by last update, then name."""
+def entity_list(entities: DataFrame, queries: DataFrame, cards: DataFrame, limit: int, needle: str | None = None) -> DataFrame:
+    """The entities with most queries: ties by last update, then name. needle: only those whose name and aliases, a space between each,
+    contain it in lower case."""
     counts = entity_profile(queries.withColumn("confidence", F.lit(0)), cards.withColumn("credibility", F.lit(0)))
     out = entities.join(counts.select("entity_id", "total_queries", "total_sources"), "entity_id", "left").fillna(0, ["total_queries", "total_sources"])
+    if needle and needle.strip():
+        said = F.concat_ws(" ", "name", *(["aliases"] if "aliases" in entities.columns else []))
+        out = out.where(F.contains(F.lower(said), F.lit(needle.strip().lower())))
     return out.orderBy(F.desc("total_queries"), F.col("last_at").desc_nulls_last(), "name").limit(limit).select("entity_id", "name", "total_queries", "total_sources")
 
 

@@ -139,8 +139,9 @@ def recent_queries(queries: DataFrame, k: int = 5) -> DataFrame:
 
 
 def list_reviews(reviews: DataFrame, limit: int = 20, offset: int = 0) -> DataFrame:
-    order = [F.coalesce("relevance_score", F.lit(0.5)).desc(), F.desc("review_id")]
-    return page(reviews, ["entity"], order, limit, offset)
+    """A page of each entity's reviews: by relevance (0.5 if it is missing), the newest first, those without a date last, then by id."""
+    order = [F.coalesce("relevance_score", F.lit(0.5)).desc(), F.col("published_at").desc_nulls_last(), F.desc("review_id")]
+    return page(reviews, ["entity"], order, max(1, limit), max(0, offset))
 
 
 def containing(rows: DataFrame, text: Column, needles: DataFrame, needle: Column, gram: int = 3, few: int = 1000, lookup: int = 500_000) -> DataFrame:
@@ -160,23 +161,51 @@ def containing(rows: DataFrame, text: Column, needles: DataFrame, needle: Column
     return met.where(F.contains(text, needle)).drop("_gram", "_first")
 
 
-def suggest_entities(needles: DataFrame, entities: DataFrame, limit: int = 10) -> DataFrame:
-    """Entities whose name contains the needle: those that start with it first, then by reviews, then name.
+def suggestion_index(entities: DataFrame, gram: int = 3, most: int = 50) -> dict[str, DataFrame]:
+    """Tables to suggest entities (name, aliases, reviews) from, so that a needle needs no look at all names:
 
-    needles: (needle), any number; entities: (name, reviews).
+    best: for each string of up to `gram` characters in a name or alias the first `most` entities; grams: the names that hold each string of
+    `gram` characters; sizes: how many those are; labels: the names with what is compared. All in lower case; names are unique.
     """
-    n, name = F.lower("needle"), F.lower("name")
-    found = containing(entities, name, needles, n)
-    return top(found, ["needle"], [F.startswith(name, n).desc(), F.desc("reviews"), F.col("name")], limit)
+    labels = F.transform(F.filter(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>"))), lambda x: x.isNotNull()), F.lower)
+    rows = entities.where(F.col("name").isNotNull()).select("name", F.coalesce("reviews", F.lit(0)).cast("long").alias("reviews"), labels.alias("labels"))
+    cut = lambda n: F.flatten(F.transform("labels", lambda x: F.regexp_extract_all(x, F.lit(rf"(?s)(?=(.{{{n}}}))"), 1)))
+    pieces = rows.select("name", "reviews", "labels", F.explode(F.array_distinct(F.concat(*(cut(n) for n in range(1, gram + 1))))).alias("piece"))
+    starts = F.exists("labels", lambda x: F.startswith(x, F.col("piece")))
+    best = top(pieces.select("piece", "name", "reviews", starts.alias("starts")), ["piece"], [F.desc("starts"), F.desc("reviews"), F.col("name")], most)
+    grams = pieces.where(F.char_length("piece") == gram).select("piece", "name")
+    return {"best": best, "grams": grams, "sizes": grams.groupBy("piece").agg(F.count("*").alias("n")), "labels": rows}
+
+
+def suggest_from(index: dict[str, DataFrame], needles: DataFrame, limit: int = 10, gram: int = 3) -> DataFrame:
+    """Entities one of whose names (the name or an alias) contains the needle: first those with a name that starts with it, then by reviews, then
+    name; from the tables of suggestion_index. A blank needle has none. Needles of up to `gram` characters read their list of best
+    entities; longer ones the names that hold their rarest gram, each of which is tested."""
+    asked = needles.select("needle", F.lower(F.trim("needle")).alias("_n")).where("_n <> ''").distinct()
+    limit = max(1, min(50, limit))
+    short = asked.where(F.char_length("_n") <= gram).join(index["best"].hint("merge"), F.col("_n") == F.col("piece")).where(F.col("rank") <= limit)
+    parts = asked.where(F.char_length("_n") > gram).withColumn("piece", F.explode(F.array_distinct(F.regexp_extract_all("_n", F.lit(rf"(?s)(?=(.{{{gram}}}))"), 1))))
+    # a gram that no name holds has no size: then no name holds the needle
+    sized = parts.join(index["sizes"].hint("merge"), "piece", "left").groupBy("needle", "_n").agg(F.min_by("piece", F.coalesce("n", F.lit(0))).alias("piece"))
+    met = sized.join(index["grams"].hint("merge"), "piece").join(index["labels"].hint("merge"), "name").where(F.exists("labels", lambda x: F.contains(x, F.col("_n"))))
+    met = met.withColumn("starts", F.exists("labels", lambda x: F.startswith(x, F.col("_n"))))
+    long = top(met, ["needle"], [F.desc("starts"), F.desc("reviews"), F.col("name")], limit)
+    columns = ["needle", "name", "reviews", "rank"]
+    return short.select(columns).unionByName(long.select(columns))
+
+
+def suggest_entities(needles: DataFrame, entities: DataFrame, limit: int = 10) -> DataFrame:
+    """suggest_from with an index made for this call."""
+    return suggest_from(suggestion_index(entities), needles, limit)
 
 
-def exact_cache_hit(requests: DataFrame, queries: DataFrame, as_of: str, ttl_hours: int) -> DataFrame:
-    """The newest query of the same entity, normalised question and mode that is no older than ttl_hours at as_of."""
+def exact_cache_hit(requests: DataFrame, queries: DataFrame, summaries: DataFrame, as_of: str, ttl_hours: int) -> DataFrame:
+    """The last query (by id) with a summary (query_id) of the same entity, normalised question and mode that is no older than ttl_hours at as_of."""
     norm = lambda c: F.lower(F.trim(c))
     at = F.lit(as_of).cast("timestamp_ntz")
-    fresh = queries.where((F.col("created_at") >= at - F.make_dt_interval(hours=F.lit(ttl_hours))) & (F.col("created_at") <= at))
-    fresh = fresh.select("entity_id", norm("question").alias("question"), "search_mode", "query_id", "created_at")
-    newest = latest(fresh, ["entity_id", "question", "search_mode"], ["created_at", "query_id"])
+    fresh = queries.where((F.col("created_at") >= at - F.make_dt_interval(hours=F.lit(max(1, ttl_hours)))) & (F.col("created_at") <= at))
+    fresh = fresh.join(summaries.select("query_id").hint("merge"), "query_id", "left_semi")
+    newest = fresh.groupBy("entity_id", norm("question").alias("question"), "search_mode").agg(F.max("query_id").alias("query_id"))
     asked = requests.select("entity_id", norm("question").alias("question"), "search_mode").distinct()
     return asked.join(newest, ["entity_id", "question", "search_mode"], "left").select("entity_id", "question", "search_mode", "query_id")
 

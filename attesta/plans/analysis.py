@@ -55,7 +55,11 @@ def evidence_cards(results: DataFrame, entity: Column, question: Column, as_of:
     source = F.coalesce(F.nullif(F.col("source"), F.lit("")), site_of(F.col("url")))
     raw_title = F.coalesce(F.col("title"), F.lit(""))
     title = clean_summary_text(raw_title, normalize=False) if clean else raw_title
-    named = F.when((title != "") & ~C.is_noise_text(title, terms), F.substring(title, 1, 120)).otherwise(F.concat(source, F.lit(" 來源紀錄")))
+    fine = lambda c: (c != "") & ~C.is_noise_text(c, terms)
+    cleaned = or_discarded(without_markup(raw_title, strict)) if clean else raw_title
+    given = F.coalesce("source", F.lit(""))
+    named = F.when(fine(title), F.substring(title, 1, 120)).when(fine(cleaned), F.substring(cleaned, 1, 120))
+    named = named.otherwise(F.concat(F.when(fine(given), given).otherwise(site_of(F.col("url"))), F.lit(" 來源紀錄")))
     df = results.select("query_key", "ord", "url", named.alias("title"), source.alias("source"), text.alias("text"), C.source_type_by_source(F.col("url"), F.col("source"), F.col("source_type")).alias("source_type"), "published_date", entity.alias("_entity"), question.alias("_question"), raw_title.alias("_raw_title"), "_variants")
     said = F.concat_ws(" ", "title", "text")
     df = df.withColumn("first_hand", C.first_hand_score(said, F.col("source_type"), terms))

@@ -25,7 +25,7 @@ def cache_decision(requests: DataFrame, cached: DataFrame, snapshots: DataFrame,
     cached: (entity_id, cached_sources); snapshots: rows with created_at, query_id and source_count.
     """
     newest = latest_snapshot(snapshots).select("entity_id", "search_mode", F.col("created_at").alias("generated_at"), "source_count")
-    rows = requests.join(cached, "entity_id", "left").join(newest, ["entity_id", "search_mode"], "left")
+    rows = requests.join(cached.hint("merge"), "entity_id", "left").join(newest.hint("merge"), ["entity_id", "search_mode"], "left")
     age = F.timestamp_diff("SECOND", F.col("generated_at"), F.lit(as_of).cast("timestamp_ntz")) / 3600
     reason = (
         F.when(F.coalesce("cached_sources", F.lit(0)) < least_sources, "insufficient_cached_sources")

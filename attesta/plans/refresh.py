@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attesta.functions import labels
-from attesta.operators import ids, joins, metrics, runs, tables
+from attesta.operators import ids, joins, metrics, queue, runs, tables
 from attesta.operators.dedup import union_results
 from attesta.plans import analysis, search
 
@@ -145,9 +145,22 @@ def ingest_pipelines(table: DataFrame, by_platform: dict[str, DataFrame]) -> tup
     return new, metrics.run_totals(runs)
 
 
-def maintain_reviews(reviews: DataFrame, answers: DataFrame) -> dict[str, DataFrame]:
-    """Relabel junk, write labels (review_id, raw JSON) onto reviews, and list what is still to be labelled."""
-    clean = tables.relabel_junk(reviews)
-    made = answers.select("review_id", labels.review_labels(F.col("raw")).alias("l")).select("review_id", "l.relevance_score", "l.stance", "l.content_type")
+def maintain_reviews(reviews: DataFrame, answers: DataFrame, tag_answers: DataFrame | None = None, as_of: str | None = None) -> dict[str, DataFrame]:
+    """Relabel junk, write labels and dimension tags (review_id, raw JSON of each) onto reviews, and list what is still to be labelled and tagged.
+
+    reviews: review_id, entity, platform, parent_title, content, relevance_score, stance, content_type, and analyzed_at, tags,
+    dimensions_classified_at, which are added if they aren't there. Gives reviews, to_label and to_tag (batches of messages), and stats.
+    """
+    at = F.lit(as_of).cast("timestamp_ntz") if as_of else F.current_timestamp().cast("timestamp_ntz")
+    missing = {"platform": "string", "parent_title": "string", "analyzed_at": "timestamp_ntz", "dimensions_classified_at": "timestamp_ntz", "tags": "array<struct<dim:string,stance:string,excerpt:string>>"}
+    clean = tables.relabel_junk(reviews.withColumns({c: F.lit(None).cast(t) for c, t in missing.items() if c not in reviews.columns}))
+    made = answers.select("review_id", labels.review_labels(F.col("raw")).alias("l")).select("review_id", "l.relevance_score", "l.stance", "l.content_type", at.alias("analyzed_at"))
     labelled = tables.apply_labels(clean, made)
-    return {"reviews": labelled, "todo": joins.unlabelled(labelled), "stats": metrics.label_stats(labelled)}
+    if tag_answers is not None:
+        tagged = tag_answers.select("review_id", labels.dimension_tags(F.col("raw")).alias("tags"), at.alias("dimensions_classified_at"))
+        labelled = tables.apply_labels(labelled, tagged)
+    # what was found to be junk needs no labeller
+    open_rows = labelled.where("not (analyzed_at is null and coalesce(content_type, '') = 'unrelated')")
+    to_label = queue.batches(queue.to_label(open_rows), ["entity", "review_id"], queue.LABEL_BATCH)
+    to_tag = queue.batches(queue.to_tag(labelled), ["review_id"], queue.DIMENSION_BATCH)
+    return {"reviews": labelled, "to_label": to_label, "to_tag": to_tag, "stats": metrics.label_stats(labelled)}

@@ -11,8 +11,10 @@ from attesta.functions import lexicon as L
 from attesta.functions.classify import result_bucket, source_type_by_host
 from attesta.functions.lexicon import Terms, any_of, hits
 from attesta.functions.text import host_of
-from attesta.operators.dedup import dedup_results
+from attesta.operators import joins
+from attesta.operators.dedup import kept_ids as dedup_ids
 from attesta.operators.rank import diversify_results, ranked
+from attesta.operators.store import written
 
 
 @dataclass(frozen=True)
@@ -86,13 +88,20 @@ def _flag(value: bool | Column) -> Column:
     return F.coalesce(value, F.lit(False)) if isinstance(value, Column) else F.lit(value)
 
 
-def keep_relevant(df: DataFrame, t: SearchTerms, focus: bool | Column = False) -> DataFrame:
-    """Relevant rows; all rows of a query none of whose rows is. With the domain in focus (for all rows or by row) only rows that match it."""
+def mark_relevant(df: DataFrame, t: SearchTerms, focus: bool | Column = False, among: Column | None = None) -> DataFrame:
+    """Add _pass: whether a row is relevant; all rows of a query none of whose rows is. With the domain in focus (for all rows or by row) only
+    rows that match it. among: the rows that count; others don't pass."""
     # which queries have a relevant row is an aggregate, combined on the map side, so that a query of very many rows is no hot task
-    marked = df.withColumns({"_focus": _flag(focus), "_ok": F.when(_flag(focus), focus_match(t)).otherwise(relevant(t))})
+    among = F.lit(True) if among is None else among
+    marked = df.withColumns({"_focus": _flag(focus), "_ok": among & F.when(_flag(focus), focus_match(t)).otherwise(relevant(t))})
     some = marked.where("_ok").select(F.col("query_key").alias("_key")).distinct()
     found = marked.join(some.hint("merge"), F.col("query_key").eqNullSafe(F.col("_key")), "left")
-    return found.where("_ok or (_key is null and not _focus)").drop("_ok", "_focus", "_key")
+    return found.withColumn("_pass", F.col("_ok") | (F.col("_key").isNull() & ~F.col("_focus") & among)).drop("_ok", "_focus", "_key")
+
+
+def keep_relevant(df: DataFrame, t: SearchTerms, focus: bool | Column = False) -> DataFrame:
+    """Relevant rows, as mark_relevant says."""
+    return mark_relevant(df, t, focus).where("_pass").drop("_pass")
 
 
 def focus_match(t: SearchTerms, domain: tuple = L.DOMAIN, strong: tuple = L.DOMAIN_STRONG, excluded: tuple = L.DOMAIN_EXCLUDED, negated: tuple = L.DOMAIN_NEGATED) -> Column:
@@ -130,24 +139,60 @@ def rank_results(df: DataFrame, t: SearchTerms, controversial: bool | Column = F
     return ranked(df.drop("_hay", "_text"), ["query_key"], [F.desc("s1"), F.desc("s2"), F.desc("s3"), F.col("ord")])
 
 
-def finalize_results(df: DataFrame, t: SearchTerms, limit: int = 100, controversial: bool | Column = False, focus: bool | Column = False) -> DataFrame:
-    """Deduplicate, type, filter, rank, diversify; the first `limit` of each query by place. Works on all queries of df at
+#: What becomes of a result: dropped by one of the steps, or still there to be ranked.
+STEPS = ("duplicate", "low_signal", "irrelevant", "kept")
+
+
+def search_steps(df: DataFrame, t: SearchTerms, focus: bool | Column = False, sources: DataFrame | None = None, crawled: DataFrame | None = None) -> DataFrame:
+    """All rows of df with the `step` that each ends in: deduplicated, filled from known sources, typed, enriched by crawled pages, then
+    filtered. Dropped rows stay, so that whatever a row carries (its provider, say) can be counted at every step.
+
+    sources: known sources by url (joins.hydrate); crawled: pages by url (joins.merge_enrichment).
+    """
+    ids = dedup_ids(df).withColumn("_unique", F.lit(True))
+    rows = df.join(ids.hint("merge"), F.col("query_key").eqNullSafe(F.col("_key")) & (F.col("ord") == F.col("_ord")), "left").drop("_key", "_ord")
+    if sources is not None:
+        fields = [c for c in ("source", "source_type", "author", "published_date", "fetched_at", "title", "content") if c in rows.columns and c in sources.columns]
+        rows = joins.hydrate(rows, sources, fields)
+    preset = F.col("source_type") if "source_type" in rows.columns else F.lit(None).cast("string")
+    rows = rows.withColumn("source_type", source_type_by_host(F.col("url"), F.col("source"), preset, F.col("title"), t.entity))
+    if crawled is not None:
+        rows = joins.merge_enrichment(rows if "snippet" in rows.columns else rows.withColumn("snippet", F.lit(None).cast("string")), crawled)
+    unique = F.coalesce("_unique", F.lit(False))
+    rows = with_hay(rows).withColumn("_clear", unique & ~low_signal(t))
+    rows = mark_relevant(rows, t, focus, F.col("_clear"))
+    step = F.when(~unique, STEPS[0]).when(~F.col("_clear"), STEPS[1]).when(~F.col("_pass"), STEPS[2]).otherwise(STEPS[3])
+    return rows.withColumn("step", step).drop("_unique", "_clear", "_pass", "_hay", "_text")
+
+
+def place_results(steps: DataFrame, t: SearchTerms, controversial: bool | Column = False, focus: bool | Column = False) -> DataFrame:
+    """The rows that search_steps keeps, ranked and diversified: with their place in each query."""
+    return diversify_results(rank_results(steps.where(F.col("step") == STEPS[3]).drop("step"), t, controversial, focus), _flag(controversial))
+
+
+def finalize_results(df: DataFrame, t: SearchTerms, limit: int = 100, controversial: bool | Column = False, focus: bool | Column = False, sources: DataFrame | None = None, crawled: DataFrame | None = None) -> DataFrame:
+    """Deduplicate, hydrate, type, enrich, filter, rank, diversify; the first `limit` of each query by place. Works on all queries of df at
     once, each by its own terms if t holds columns of df."""
-    df = dedup_results(df)
-    preset = F.col("source_type") if "source_type" in df.columns else F.lit(None).cast("string")
-    df = with_hay(df.withColumn("source_type", source_type_by_host(F.col("url"), F.col("source"), preset, F.col("title"), t.entity)))
-    df = keep_relevant(df.where(~low_signal(t)), t, focus).drop("_hay", "_text")
-    placed = diversify_results(rank_results(df, t, controversial, focus), _flag(controversial))
-    return placed.where(F.col("place") <= limit)
-
-
-def search_funnel(df: DataFrame, t: SearchTerms, limit: int = 100) -> DataFrame:
-    """Rows of each query after each step, in one pass over flags."""
-    kept = dedup_results(df).select("query_key", "ord", F.lit(True).alias("_kept"))
-    flags = with_hay(df).join(kept, ["query_key", "ord"], "left").withColumn("_kept", F.coalesce("_kept", F.lit(False)))
-    flags = flags.withColumn("_clear", F.col("_kept") & ~low_signal(t)).withColumn("_ok", F.col("_clear") & relevant(t))
-    counts = flags.groupBy("query_key").agg(
-        F.count("*").alias("raw"), F.count_if("_kept").alias("deduplicated"), F.count_if(F.col("_kept") & ~F.col("_clear")).alias("low_signal"), F.count_if("_clear").alias("clear"), F.count_if("_ok").alias("ok")
-    )
-    final = F.when(F.col("ok") > 0, F.col("ok")).otherwise(F.col("clear"))
-    return counts.select("query_key", "raw", "deduplicated", "low_signal", (F.col("clear") - final).alias("irrelevant"), F.least(final, F.lit(limit)).alias("final"))
+    return place_results(search_steps(df, t, focus, sources, crawled), t, controversial, focus).where(F.col("place") <= limit)
+
+
+def funnel(steps: DataFrame, placed: DataFrame, limit: int = 100, by: tuple[str, ...] = ()) -> DataFrame:
+    """Rows of each query (and of each value of `by`, such as provider_pos) after each step: raw, deduplicated, low_signal and irrelevant
+    (dropped), prioritized, final. Counts the rows of search_steps and place_results themselves; no filter is applied again."""
+    key = ["query_key", *by]
+    of = lambda s: F.count_if(F.col("step") == s)
+    counts = steps.groupBy(*key).agg(F.count("*").alias("raw"), (F.count("*") - of(STEPS[0])).alias("deduplicated"), of(STEPS[1]).alias("low_signal"), of(STEPS[2]).alias("irrelevant"))
+    last = placed.groupBy(*(F.col(k).alias(f"_{k}") for k in key)).agg(F.count("*").alias("prioritized"), F.count_if(F.col("place") <= limit).alias("final"))
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in key]
+    return counts.join(last.hint("merge"), same, "left").drop(*(f"_{k}" for k in key)).fillna(0, ["prioritized", "final"])
+
+
+def run_search(df: DataFrame, t: SearchTerms, limit: int = 100, controversial: bool | Column = False, focus: bool | Column = False, sources: DataFrame | None = None, crawled: DataFrame | None = None, by: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """The final results and the funnel of all queries, from one pass: steps are written to the shared folder and read by both."""
+    steps, _ = written(search_steps(df, t, focus, sources, crawled), "search-steps")
+    placed, _ = written(place_results(steps, t, controversial, focus), "placed-results")
+    return placed.where(F.col("place") <= limit), funnel(steps, placed, limit, by)
+
+
+def search_funnel(df: DataFrame, t: SearchTerms, limit: int = 100, **kwargs) -> DataFrame:
+    return run_search(df, t, limit, **kwargs)[1]

@@ -80,15 +80,18 @@ def source_breakdown(v, t):
 
 
 @query(
-    """SELECT w.entity_id, w.name, coalesce(p.q, 0) AS total_queries, coalesce(p.s, 0) AS total_sources FROM v_watchlist w LEFT JOIN
- (SELECT q.entity_id, count(DISTINCT q.query_id) AS q, count(DISTINCT c.source_id) AS s FROM v_queries q LEFT JOIN v_cards c ON c.query_id = q.query_id GROUP BY 1) p
- ON p.entity_id = w.entity_id ORDER BY 3 DESC, w.last_at DESC NULLS LAST, w.name LIMIT 50""",
+    """,,
+p AS (SELECT q.entity_id, count(DISTINCT q.query_id) AS q, count(DISTINCT c.source_id) AS s FROM v_queries q LEFT JOIN v_cards c ON c.query_id = q.query_id GROUP BY 1)
+SELECT w.entity_id, w.name, coalesce(p.q, 0) AS total_queries, coalesce(p.s, 0) AS total_sources FROM v_watchlist w LEFT JOIN p ON p.entity_id = w.entity_id
+ WHERE contains(lower(concat(w.name, ' ', w.entity_type, ' x', CAST(w.entity_id % 10 AS STRING))), 'ing x') ORDER BY 3 DESC, w.last_at DESC NULLS LAST, w.name LIMIT 50""",
     "v_watchlist",
     "v_queries",
     "v_cards",
 )
 def entity_list(v, t):
-    return metrics.entity_list(v("v_watchlist"), v("v_queries"), v("v_cards"), 50)
+    """Entities whose name or aliases hold the text, over the gap between two aliases too."""
+    e = v("v_watchlist").withColumn("aliases", F.array("entity_type", F.concat(F.lit("x"), (F.col("entity_id") % 10).cast("string"))))
+    return metrics.entity_list(e, v("v_queries"), v("v_cards"), 50, " ING x ")
 
 
 @query(
@@ -111,14 +114,16 @@ def latest_snapshot(v, t):
 
 @query(
     f""",,
-f AS (SELECT entity_id, lower(trim(question)) AS question, search_mode, query_id, row_number() OVER (PARTITION BY entity_id, lower(trim(question)), search_mode
-  ORDER BY created_at DESC, query_id DESC) AS k FROM v_queries WHERE created_at >= TIMESTAMP '{AS_OF}' - INTERVAL 8760 HOUR AND created_at <= TIMESTAMP '{AS_OF}'),
+f AS (SELECT entity_id, lower(trim(question)) AS question, search_mode, max(query_id) AS query_id FROM v_queries
+  WHERE created_at >= TIMESTAMP '{AS_OF}' - INTERVAL 8760 HOUR AND created_at <= TIMESTAMP '{AS_OF}' AND query_id % 5 <> 0 GROUP BY 1, 2, 3),
 a AS (SELECT DISTINCT entity_id, lower(trim(question)) AS question, search_mode FROM v_queries)
-SELECT a.entity_id, a.question, a.search_mode, f.query_id FROM a LEFT JOIN f ON f.entity_id = a.entity_id AND f.question = a.question AND f.search_mode = a.search_mode AND f.k = 1""",
+SELECT a.entity_id, a.question, a.search_mode, f.query_id FROM a LEFT JOIN f ON f.entity_id = a.entity_id AND f.question = a.question AND f.search_mode = a.search_mode""",
     "v_queries",
 )
 def exact_cache_hit(v, t):
-    return rank.exact_cache_hit(v("v_queries"), v("v_queries"), AS_OF, 8760)
+    """Every fifth query has no summary yet."""
+    q = v("v_queries")
+    return rank.exact_cache_hit(q, q, q.where("query_id % 5 <> 0"), AS_OF, 8760)
 
 
 @query(
@@ -158,12 +163,15 @@ def review_stats(v, t):
 
 
 @query(
-    """SELECT entity, review_id, relevance_score, rank FROM (SELECT entity, review_id, relevance_score, CAST(row_number() OVER (PARTITION BY entity
- ORDER BY coalesce(relevance_score, 0.5) DESC, review_id DESC) AS INT) AS rank FROM v_reviews) WHERE rank BETWEEN 11 AND 30""",
+    """,,
+d AS (SELECT *, CASE WHEN review_id % 3 <> 0 THEN concat('2024-0', CAST(1 + review_id % 9 AS STRING), '-01') END AS published_at FROM v_reviews)
+SELECT entity, review_id, relevance_score, published_at, rank FROM (SELECT entity, review_id, relevance_score, published_at, CAST(row_number() OVER (PARTITION BY entity
+ ORDER BY CASE WHEN relevance_score IS NULL THEN 0.5 ELSE relevance_score END DESC, published_at DESC NULLS LAST, review_id DESC) AS INT) AS rank FROM d) WHERE rank BETWEEN 11 AND 30""",
     "v_reviews",
 )
 def list_reviews(v, t):
-    return rank.list_reviews(v("v_reviews"), 20, 10).select("entity", "review_id", "relevance_score", "rank")
+    at = F.when(F.col("review_id") % 3 != 0, F.concat(F.lit("2024-0"), (1 + F.col("review_id") % 9).cast("string"), F.lit("-01")))
+    return rank.list_reviews(v("v_reviews").withColumn("published_at", at), 20, 10).select("entity", "review_id", "relevance_score", "published_at", "rank")
 
 
 @query(
@@ -204,7 +212,21 @@ def review_comments(v, t):
     return joins.review_comments(comments, users, 50)
 
 
-@query()
+_BLANK = "concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13), chr(12288), chr(160))"
+
+
+def _greedy(rows: str) -> str:
+    """SQL: keep-first over rows (query_key, ord, url, title), one row of each query at a time, as the table `u` (query_key, ord)."""
+    return f""",
+x AS (SELECT query_key, ord, trim(url) AS url, lower(trim(coalesce(title, ''), {_BLANK})) AS t, row_number() OVER (PARTITION BY query_key ORDER BY ord) AS i FROM {rows} WHERE trim(coalesce(url, '')) <> ''),
+y AS (SELECT *, CASE WHEN t <> '' THEN concat(lower(regexp_extract(url, '^[a-zA-Z]+://([^/]*)', 1)), '|', substring(t, 1, 80)) END AS sig FROM x),
+g AS (SELECT DISTINCT query_key, CAST(0 AS BIGINT) AS i, CAST([] AS VARCHAR[]) AS urls, CAST([] AS VARCHAR[]) AS sigs, CAST([] AS BIGINT[]) AS ords FROM y
+  UNION ALL SELECT g.query_key, g.i + 1, CASE WHEN z.ok THEN list_append(g.urls, z.url) ELSE g.urls END, CASE WHEN z.ok AND z.sig IS NOT NULL THEN list_append(g.sigs, z.sig) ELSE g.sigs END, CASE WHEN z.ok THEN list_append(g.ords, z.ord) ELSE g.ords END
+  FROM g JOIN (SELECT g2.query_key AS q, g2.i AS j, y.url, y.sig, y.ord, NOT list_contains(g2.urls, y.url) AND (y.sig IS NULL OR NOT list_contains(g2.sigs, y.sig)) AS ok FROM g AS g2 JOIN y ON y.query_key = g2.query_key AND y.i = g2.i + 1) z ON z.q = g.query_key AND z.j = g.i),
+u AS (SELECT query_key, unnest(ords) AS ord FROM g WHERE i = (SELECT max(i) FROM y WHERE y.query_key = g.query_key))"""
+
+
+@query(",," + _greedy("v_results").lstrip(",") + "\nSELECT r.query_key, r.ord, r.url, r.title FROM v_results r JOIN u ON u.query_key = r.query_key AND u.ord = r.ord", "v_results")
 def dedup_results(v, t):
     return dedup.dedup_results(v("v_results")).select("query_key", "ord", "url", "title")
 
@@ -314,15 +336,24 @@ def register_aliases(v, t):
 
 @query(
     """,,
-n AS (SELECT source AS name, count(*) AS reviews FROM documents GROUP BY source), x AS (SELECT unnest(['src1', 'RC', '9']) AS needle)
-SELECT needle, name, reviews, rank FROM (SELECT x.needle, n.name, n.reviews, CAST(row_number() OVER (PARTITION BY x.needle ORDER BY starts_with(lower(n.name), lower(x.needle)) DESC,
-  n.reviews DESC, n.name) AS INT) AS rank FROM n JOIN x ON contains(lower(n.name), lower(x.needle))) WHERE rank <= 10""",
-    "v_entities",
+e AS (SELECT w.name, [concat('Kd ', CAST(w.entity_id % 97 AS STRING)), concat(w.entity_type, '-', CAST(w.entity_id AS STRING))] AS aliases, count(q.query_id) AS reviews
+  FROM v_watchlist w LEFT JOIN v_queries q ON q.entity_id = w.entity_id GROUP BY w.name, w.entity_id, w.entity_type),
+x AS (SELECT DISTINCT substring(name, 12 + length(name) % 3, 1 + CAST(substring(name, 18, 1) AS INT) % 6) AS needle FROM e UNION SELECT DISTINCT lower(substring(aliases[2], 3, 5)) FROM e
+  UNION SELECT aliases[1] FROM e UNION SELECT unnest(['', '  ', 'Cust', 'zz#', ' kD ', 'omer#0000001'])),
+m AS (SELECT x.needle, e.name, e.reviews, bool_or(starts_with(lower(l), lower(trim(x.needle)))) AS starts FROM x, e, (SELECT name AS n, unnest(list_prepend(name, aliases)) AS l FROM e) k
+  WHERE k.n = e.name AND trim(x.needle) <> '' AND contains(lower(l), lower(trim(x.needle))) GROUP BY 1, 2, 3)
+SELECT needle, name, reviews, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY needle ORDER BY starts DESC, reviews DESC, name) AS INT) AS rank FROM m) WHERE rank <= 10""",
+    "v_watchlist",
+    "v_queries",
 )
 def suggest_entities(v, t):
-    counted = t("documents").groupBy(F.col("source").alias("name")).agg(F.count("*").alias("reviews"))
-    needles = counted.sparkSession.createDataFrame([("src1",), ("RC",), ("9",)], "needle string")
-    return rank.suggest_entities(needles, counted).select("needle", "name", "reviews", "rank")
+    counted = v("v_queries").groupBy("entity_id").agg(F.count("*").alias("reviews"))
+    e = v("v_watchlist").join(counted.hint("merge"), "entity_id", "left").withColumn("aliases", F.array(F.concat(F.lit("Kd "), (F.col("entity_id") % 97).cast("string")), F.concat_ws("-", "entity_type", F.col("entity_id").cast("string"))))
+    e = e.select("name", "aliases", F.coalesce("reviews", F.lit(0)).alias("reviews"))
+    asked = e.select(F.expr("substring(name, 12 + length(name) % 3, 1 + CAST(substring(name, 18, 1) AS INT) % 6)").alias("needle"))
+    asked = asked.unionByName(e.select(F.lower(F.substring(F.get("aliases", 1), 3, 5)).alias("needle"))).unionByName(e.select(F.get("aliases", 0).alias("needle")))
+    few = e.sparkSession.createDataFrame([("",), ("  ",), ("Cust",), ("zz#",), (" kD ",), ("omer#0000001",)], "needle string")
+    return rank.suggest_entities(asked.unionByName(few).distinct(), e).select("needle", "name", "reviews", "rank")
 
 
 @query(
@@ -369,18 +400,38 @@ def anti_by_url(v, t):
 
 @query(
     """,,
-g AS (SELECT q.entity_id, c.source_id, max(c.relevance) AS relevance, max(c.credibility) AS credibility, max(q.query_id) AS latest_query_id FROM v_cards c
-  JOIN v_sources s ON s.source_id = c.source_id JOIN v_queries q ON q.query_id = c.query_id WHERE s.site_name ILIKE '%0%' GROUP BY 1, 2),
-o AS (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY relevance DESC, credibility DESC, latest_query_id DESC, source_id) AS k FROM g),
-f AS (SELECT o.*, s.site_name FROM o JOIN v_sources s ON s.source_id = o.source_id WHERE o.k <= 12 AND s.site_name NOT LIKE '%7')
-SELECT entity_id, source_id, site_name, relevance, credibility, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY entity_id ORDER BY k) AS INT) AS rank FROM f) WHERE rank <= 4""",
+s AS (SELECT s.source_id, s.site_name, substring(d.text, 1, 60) AS title, d.text AS content, concat('https://s', CAST(s.source_id % 9 AS STRING), '.example/', CAST(s.source_id % 40 AS STRING)) AS url,
+  s.source_id % 4 AS updated_at, CASE WHEN s.source_id % 3 = 0 THEN NULL ELSE s.source_id % 5 END AS published_at FROM v_sources s LEFT JOIN documents d ON d.doc_id = s.source_id),
+r AS (SELECT DISTINCT entity_id * 2 + m AS query_key, entity_id, CASE WHEN m = 0 THEN CASE WHEN entity_id % 2 = 0 THEN 'O' ELSE 'F' END END AS search_mode, ['S' || CAST(entity_id % 9 AS STRING) || '.example', 'ER ' || chr(CAST(97 + entity_id % 26 AS INT))] AS terms,
+  ['#00000' || CAST(entity_id % 10 AS STRING), 'er d', 'Example/' || CAST(entity_id % 7 AS STRING)] AS exact_terms, CASE WHEN entity_id % 3 = 0 THEN [] ELSE ['the', 'die'] END AS question_terms FROM v_queries, (SELECT unnest([0, 1]) AS m)),
+g AS (SELECT r.query_key, c.source_id, max(c.relevance) AS relevance, max(c.credibility) AS credibility, max(q.query_id) AS latest_query_id FROM r JOIN v_queries q ON q.entity_id = r.entity_id AND (r.search_mode IS NULL OR q.search_mode = r.search_mode)
+  JOIN v_cards c ON c.query_id = q.query_id JOIN s ON s.source_id = c.source_id
+  WHERE len(list_filter(r.terms, lambda x: contains(lower(s.title), lower(x)) OR contains(lower(s.content), lower(x)) OR contains(lower(s.url), lower(x)))) > 0 GROUP BY 1, 2),
+o AS (SELECT g.*, s.url, s.site_name, lower(concat(coalesce(s.title, ''), ' ', coalesce(s.content, ''), ' ', coalesce(s.site_name, ''), ' ', s.url)) AS said,
+  row_number() OVER (PARTITION BY query_key ORDER BY relevance DESC, credibility DESC, latest_query_id DESC, updated_at DESC NULLS LAST, published_at DESC NULLS LAST, g.source_id) AS k FROM g JOIN s ON s.source_id = g.source_id),
+f AS (SELECT o.*, row_number() OVER (PARTITION BY o.query_key, o.url ORDER BY k) AS copy FROM o JOIN r ON r.query_key = o.query_key WHERE k <= 12 AND len(list_filter(r.exact_terms, lambda x: contains(o.said, lower(x)))) > 0
+  AND (len(r.question_terms) = 0 OR len(list_filter(r.question_terms, lambda x: contains(o.said, lower(x)))) > 0))
+SELECT query_key, source_id, url, relevance, credibility, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_key ORDER BY k) AS INT) AS rank FROM f WHERE copy = 1) WHERE rank <= 4""",
     "v_queries",
     "v_cards",
     "v_sources",
 )
 def cached_sources(v, t):
-    found = joins.cached_sources(v("v_queries"), v("v_cards"), v("v_sources"), F.col("site_name").ilike("%0%"), ~F.endswith("site_name", F.lit("7")), 4)
-    return found.select("entity_id", "source_id", "site_name", "relevance", "credibility", "rank")
+    i, text = F.col("source_id"), lambda c: c.cast("string")
+    s = v("v_sources").join(t("documents").select(F.col("doc_id").alias("source_id"), "text").hint("merge"), "source_id", "left")
+    s = s.select(
+        "source_id", "site_name", F.substring("text", 1, 60).alias("title"), F.col("text").alias("content"), F.concat(F.lit("https://s"), text(i % 9), F.lit(".example/"), text(i % 40)).alias("url"),
+        (i % 4).alias("updated_at"), F.when(i % 3 != 0, i % 5).alias("published_at"),
+    )
+    e, strings = F.col("entity_id"), lambda *cs: F.array(*(c if not isinstance(c, str) else F.lit(c) for c in cs)).cast("array<string>")
+    r = v("v_queries").select("entity_id").distinct().select("entity_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("m"))
+    r = r.select(
+        (e * 2 + F.col("m")).alias("query_key"), "entity_id", F.when(F.col("m") == 0, F.when(e % 2 == 0, "O").otherwise("F")).alias("search_mode"),
+        strings(F.concat(F.lit("S"), text(e % 9), F.lit(".example")), F.concat(F.lit("ER "), F.char((97 + e % 26)))).alias("terms"),
+        strings(F.concat(F.lit("#00000"), text(e % 10)), "er d", F.concat(F.lit("Example/"), text(e % 7))).alias("exact_terms"),
+        F.when(e % 3 == 0, strings()).otherwise(strings("the", "die")).alias("question_terms"),
+    )
+    return joins.cached_sources(r, v("v_queries"), v("v_cards"), s, 4).select("query_key", "source_id", "url", "relevance", "credibility", "rank")
 
 
 NEEDLES = [("a", "tion the"), ("a", "erha"), ("b", "ung der"), ("c", "eaux"), ("d", "que la"), ("e", "Apache"), ("f", "zz")]
@@ -575,15 +626,65 @@ def balanced_summary(v, t):
     return found.select("query_key", "cards", "supporting", "opposing", "confidence", "verdict", "verdict_text", *points)
 
 
-@query()
+def _holds(text: str, terms) -> str:
+    return "(" + " OR ".join(f"contains({text}, '{x.replace(chr(39), chr(39) * 2)}')" for x in terms) + ")"
+
+
+# three providers of results, known sources for every other url, crawled pages for every third; every fifth query has its domain in focus
+_ROWS = """,,
+s0 AS (SELECT query_key, (ord % 3) * 1099511627776 + ord AS ord, ord % 3 AS provider_pos, CASE WHEN ord % 11 = 0 THEN '' ELSE url END AS url, CASE WHEN ord % 3 = 0 THEN title ELSE substring(content, 1, 24) END AS title,
+  CASE WHEN ord % 4 = 1 THEN '' WHEN ord % 13 = 0 THEN 'No results found' WHEN ord % 17 = 0 THEN concat('動物 src1 虐待 ', content) ELSE content END AS content, source, ['official', 'news', 'forum', 'social'][CAST(ord % 4 AS INT) + 1] AS source_type, query_key % 5 = 0 AS strict FROM v_results),
+k0 AS (SELECT url, concat('src1 known ', max(lang), ' text of ', url) AS content FROM v_results WHERE ord % 4 < 2 GROUP BY url),
+c0 AS (SELECT url, 'src1 crawled title' AS title, concat('crawled page, long enough to count, ', url) AS content FROM v_results WHERE CAST(floor(ord / 2) AS BIGINT) % 3 = 0 GROUP BY url)"""
+_STEPS = f"""{_ROWS}{_greedy("s0")},
+h0 AS (SELECT s.*, u.ord IS NOT NULL AS uniq, coalesce(c.title, s.title) AS title2, coalesce(c.content, nullif(s.content, ''), k.content, s.content) AS content2 FROM s0 s LEFT JOIN u ON u.query_key = s.query_key AND u.ord = s.ord LEFT JOIN k0 k ON k.url = trim(s.url) LEFT JOIN c0 c ON c.url = trim(s.url)),
+h1 AS (SELECT *, lower(content2) AS txt, lower(concat_ws(' ', title2, content2, source, url)) AS hay, concat_ws(' ', lower(title2), lower(content2)) AS said FROM h0),
+h2 AS (SELECT *, uniq AND NOT (trim(url) = '' OR {_holds("said", TERMS.login)} OR {_holds("said", TERMS.no_results)} OR {_holds("said", ("文章列表", "精華區", "search?q=thread", "latest all comments", "paint0_linear", "paint1_ra", "userspaceonuse", "stop-color", "fill'url(%23"))}) AS clear,
+  {_holds("hay", TERMS.entity)} AS named, {_holds("hay", TERMS.relaxed)} AS rel, {_holds("hay", TERMS.question)} AS asked, {_holds("lower(url)", TERMS.trusted)} AS trusted,
+  length(trim(txt)) >= 20 AND NOT {_holds("hay", TERMS.empty)} AS meant, length(trim(txt)) >= 20 OR length(trim(lower(title2))) >= 8 AS some_text, length(trim(lower(title2))) >= 8 AS titled,
+  {" + ".join(f"contains(hay, '{x}')::INT" for x in search.L.DOMAIN)} AS dom, {_holds("hay", search.L.DOMAIN_STRONG)} AS strong, {_holds("hay", search.L.DOMAIN_NEGATED)} AS negated, {" + ".join(f"contains(hay, '{x}')::INT" for x in search.L.DOMAIN_EXCLUDED)} AS off FROM h1),
+h3 AS (SELECT *, clear AND CASE WHEN strict THEN NOT negated AND NOT (off >= 2 AND dom < 2 AND NOT strong) AND (named OR rel) AND some_text AND ((trusted AND strong) OR dom >= 2 OR (strong AND asked))
+  ELSE (named AND (({_holds("lower(url)", TERMS.social)} AND meant) OR asked OR {_holds("hay", TERMS.review)} OR (({_holds("hay", TERMS.evidence)} OR trusted) AND (meant OR titled)))) OR (trusted AND rel AND asked AND (meant OR titled)) END AS ok FROM h2),
+h4 AS (SELECT *, CASE WHEN NOT uniq THEN 'duplicate' WHEN NOT clear THEN 'low_signal' WHEN ok OR (NOT strict AND NOT bool_or(ok) OVER (PARTITION BY query_key)) THEN 'kept' ELSE 'irrelevant' END AS step FROM h3),
+s1 AS (SELECT *, source_type AS bucket, 12 * named::INT + 3 * ({_N(TERMS.question)}) + {_N(TERMS.evidence)} + {_N(TERMS.rank_review)} + 3 * ({_N(TERMS.authority)}) + CASE WHEN contains(lower(url), 'h1.example') THEN 8 ELSE 0 END
+  + CASE WHEN strict THEN dom + 3 * ({" + ".join(f"contains(hay, '{x}')::INT" for x in search.L.DOMAIN_STRONG)}) ELSE 0 END AS a1,
+  {_N(TERMS.question)} + {_N(TERMS.evidence)} + {_N(TERMS.authority)} + {_N(TERMS.rank_history)} + CASE WHEN strict THEN dom + 3 * ({" + ".join(f"contains(hay, '{x}')::INT" for x in search.L.DOMAIN_STRONG)}) ELSE 0 END AS a2, least(length(trim(txt)), 500) AS a3 FROM h4 WHERE step = 'kept'),
+r1 AS (SELECT *, row_number() OVER (PARTITION BY query_key ORDER BY a1 DESC, a2 DESC, a3 DESC, ord) AS rank, count(*) OVER (PARTITION BY query_key) AS n FROM s1),
+r2 AS (SELECT *, row_number() OVER (PARTITION BY query_key, bucket ORDER BY rank) <= 2 AND n > 3 AS first, CASE bucket WHEN 'official' THEN 0 WHEN 'news' THEN 1 WHEN 'forum' THEN 2 WHEN 'social' THEN 3 ELSE 5 END AS pos FROM r1),
+r3 AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_key ORDER BY CASE WHEN first THEN 0 ELSE 1 END, CASE WHEN first THEN pos ELSE 0 END, rank) AS INT) AS place FROM r2)"""
+
+
+def _searched(v):
+    parts = []
+    o = F.col("ord")
+    for i in range(3):
+        r = v("v_results").where(o % 3 == i)
+        title = F.col("title") if i == 0 else F.substring("content", 1, 24)
+        text = F.when(o % 4 == 1, "").when(o % 13 == 0, "No results found").when(o % 17 == 0, F.concat(F.lit("動物 src1 虐待 "), "content")).otherwise(F.col("content"))
+        kind = F.get(F.array(*map(F.lit, ("official", "news", "forum", "social"))), (o % 4).cast("int"))
+        parts.append(r.select("query_key", "ord", F.when(o % 11 == 0, "").otherwise(F.col("url")).alias("url"), title.alias("title"), text.alias("content"), "source", kind.alias("source_type")))
+    rows = dedup.in_order(dedup.union_results(*parts)).withColumn("strict", F.col("query_key") % 5 == 0)
+    base = v("v_results")
+    known = base.where("ord % 4 < 2").groupBy("url").agg(F.max("lang").alias("_l")).select("url", F.concat(F.lit("src1 known "), "_l", F.lit(" text of "), "url").alias("content"))
+    crawled = base.where(F.floor(o / 2) % 3 == 0).select("url").distinct().select("url", F.lit("src1 crawled title").alias("title"), F.concat(F.lit("crawled page, long enough to count, "), "url").alias("content"))
+    return search.run_search(rows, TERMS, 10, focus=F.col("strict"), sources=known, crawled=crawled, by=("provider_pos",))
+
+
+@query(
+    _STEPS
+    + """, f AS (SELECT query_key, provider_pos, count(*) AS prioritized, count(*) FILTER (place <= 10) AS final FROM r3 GROUP BY 1, 2)
+SELECT h.query_key, CAST(h.provider_pos AS INT) AS provider_pos, count(*) AS raw, count(*) FILTER (h.step <> 'duplicate') AS deduplicated, count(*) FILTER (h.step = 'low_signal') AS low_signal, count(*) FILTER (h.step = 'irrelevant') AS irrelevant,
+  coalesce(any_value(f.prioritized), 0) AS prioritized, coalesce(any_value(f.final), 0) AS final FROM h4 h LEFT JOIN f ON f.query_key = h.query_key AND f.provider_pos = h.provider_pos GROUP BY 1, 2""",
+    "v_results",
+)
 def search_funnel(v, t):
-    return search.search_funnel(v("v_results"), TERMS)
+    """Counts of each query and provider after each step, known sources and crawled pages included, with and without the domain in focus."""
+    return _searched(v)[1]
 
 
-@query()
+@query(_STEPS + "\nSELECT query_key, ord, url, title2 AS title, source_type, bucket, CAST(a1 AS INT) AS s1, CAST(a2 AS INT) AS s2, CAST(a3 AS INT) AS s3, place FROM r3 WHERE place <= 10", "v_results")
 def finalized_results(v, t):
-    found = search.finalize_results(v("v_results"), TERMS, 50)
-    return found.select("query_key", "ord", "url", "source_type", "bucket", "s1", "s2", "s3", "rank", "place")
+    return _searched(v)[0].select("query_key", "ord", "url", "title", "source_type", "bucket", "s1", "s2", "s3", "place")
 
 
 @query()

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from attesta.functions import labels, names, templates
-from attesta.operators import joins, rank, tables
+from attesta.operators import queue, joins, rank, tables
 from attesta.plans import freshness, refresh, search
 
 
@@ -27,7 +27,11 @@ def test_dimension_tags(spark):
 def test_summary(spark):
     raw = 'x ```json\n{"verdict":"目前無證據","confidence":"150","opposing_points":["a point","","b","c","d"]}\n```'
     out = only(spark, raw, lambda c: labels.summary(c, F.lit(40), F.lit("v"), F.lit("composed")))
-    assert (out.verdict, out.confidence, out.opposing_points) == ("composed", 100, ["a point", "b", "c"])
+    # the first three items, cleaned; blank and short ones go
+    assert (out.verdict, out.confidence, out.opposing_points) == ("composed", 100, ["a point"])
+    items = '{"verdict":"fine","supporting_points":["  a line \\n\\n - another one: ","the same","the same","a fourth one"],"uncertain_points":[null,"a  line  of  text"]}'
+    out = only(spark, items, lambda c: labels.summary(c, F.lit(40), F.lit("v"), F.lit("composed")))
+    assert (out.supporting_points, out.uncertain_points) == (["a line\nanother one", "the same"], ["a line of text"])
     out = only(spark, "broken", lambda c: labels.summary(c, F.lit(40), F.lit("v"), F.lit("composed")))
     assert (out.verdict, out.confidence) == ("v", 40)
 
@@ -79,7 +83,26 @@ def test_maintenance(spark):
     answers = spark.createDataFrame([(2, '{"relevance_score":0.8,"stance":"opposing","content_type":"review"}')], "review_id long, raw string")
     out = refresh.maintain_reviews(reviews, answers)
     assert {r.review_id: r.content_type for r in out["reviews"].collect()} == {1: "unrelated", 2: "review", 3: None}
-    assert [r.review_id for r in out["todo"].collect()] == [3]
+    assert [(r.review_id, r.batch, r.place) for r in out["to_label"].collect()] == [(3, 0, 0)]
+    assert [(r.review_id, r.message) for r in out["to_tag"].collect()] == [(2, "組織：e\n平台：\n標題：\n內容：a real one")]
+    tags = spark.createDataFrame([(2, '{"tags":[{"dim":"transparency","stance":"bad","excerpt":"x"},{"dim":"none"}]}'), (3, "broken")], "review_id long, raw string")
+    done = refresh.maintain_reviews(out["reviews"], answers, tags, "2024-01-01")
+    rows = {r.review_id: r for r in done["reviews"].collect()}
+    assert [tuple(t) for t in rows[2].tags] == [("transparency", "neutral", "x")] and rows[3].tags == [] and rows[1].tags is None
+    assert str(rows[2].dimensions_classified_at) == "2024-01-01 00:00:00" and done["to_tag"].count() == 0
+
+
+def test_claims_are_respected(spark, tmp_path):
+    path, rows = str(tmp_path / "claims"), spark.createDataFrame([(i, f"m{i}") for i in range(20)], "review_id long, message string")
+    mine = lambda run, at, **k: sorted(r.review_id for r in queue.claim(rows, path, run, at, 6, buckets=4, **k).collect())
+    assert mine("a", "2024-01-01 00:00:00", limit=5) == [0, 1, 2, 3, 4]
+    assert mine("b", "2024-01-01 01:00:00", limit=5) == [5, 6, 7, 8, 9]
+    assert mine("a", "2024-01-01 02:00:00", limit=5) == [0, 1, 2, 3, 4]  # its own again
+    queue.release(path, rows.where("review_id < 3"))
+    assert mine("c", "2024-01-01 03:00:00") == [0, 1, 2, *range(10, 20)]
+    assert mine("d", "2024-01-02 00:00:00") == list(range(20))  # claims have run out
+    dealt = queue.batches(rows, ["review_id"], 6).collect()
+    assert sorted((r.review_id, r.batch, r.place) for r in dealt) == [(i, i // 6, i % 6) for i in range(20)]
 
 
 def test_tabs_and_targets(spark):

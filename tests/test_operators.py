@@ -177,11 +177,42 @@ def test_relabel_junk_is_idempotent(spark):
     assert once.where("review_id = 1").first().content_type == "unrelated"
 
 
-def test_no_needle_is_dropped(spark):
-    names = spark.createDataFrame([(f"Entity N{i:05d}x", i) for i in range(1500)] + [(None, 1)], "name string, reviews long")
-    needles = spark.createDataFrame([(f"n{i:05d}X",) for i in range(1500)] + [("",), (None,), ("zz",), ("Y N",)], "needle string")
-    got = rank.suggest_entities(needles, names).groupBy("needle").count().collect()
-    assert {r.needle: r["count"] for r in got} == {f"n{i:05d}X": 1 for i in range(1500)} | {"": 10, "Y N": 10}
+def test_suggestions_equal_a_loop_over_names_and_aliases(spark):
+    draw = random.Random(7)
+    word = lambda n: "".join(draw.choice("aAbB é") for _ in range(n))
+    entities = [(f"{word(6)}{i}", [word(draw.randrange(0, 7)) for _ in range(draw.randrange(3))] or None, draw.choice([None, 1, 2, 30])) for i in range(300)]
+    entities.append(("plain", ["", None], 5))
+    needles = [word(n).strip() for n in (1, 1, 2, 2, 3, 3, 3, 4, 4, 5, 6)] + ["", "  ", None, " PLAIN ", "29", "1", "zz", "zzzz"]
+    want = set()
+    for n in {x for x in needles if x and x.strip()}:
+        low, found = n.strip().lower(), []
+        for name, aliases, reviews in entities:
+            labels = [x.lower() for x in [name, *(aliases or [])] if x is not None]
+            if any(low in x for x in labels):
+                found.append((not any(x.startswith(low) for x in labels), -(reviews or 0), name))
+        want |= {(n, name, -reviews, i) for i, (_, reviews, name) in enumerate(sorted(found)[:10], 1)}
+    df = spark.createDataFrame(entities, "name string, aliases array<string>, reviews long")
+    got = rank.suggest_entities(spark.createDataFrame([(n,) for n in needles], "needle string"), df)
+    assert {tuple(r) for r in got.collect()} == want and got.count() == len(want)
+
+
+def test_long_chains_end_in_few_rounds(spark):
+    """Rows that alternate in url and title: each could only be decided after the one before it."""
+    rows = [(0, i, f"http://h/u{(i + 1) // 2}", f"t{i // 2}") for i in range(2000)] + [(1, i, f"http://h{i % 3}/{i % 7}", f"t{i % 5}") for i in range(60)]
+    df, rounds = spark.createDataFrame(rows, "query_key int, ord int, url string, title string"), []
+    kept = {(r._key, r._ord) for r in dedup.kept_ids(df, rounds=rounds).collect()}
+    want, urls, signs = set(), set(), set()
+    for key, i, url, title in rows:
+        u, s = (key, url), (key, url.split("/")[2], title)
+        if u not in urls and s not in signs:
+            want.add((key, i))
+            urls.add(u)
+            signs.add(s)
+    assert kept == want and len(rounds) <= 20
+    # hosts with more rows than one task takes go on in rounds
+    short = df.where("query_key = 1 or ord < 60")
+    few = {(r._key, r._ord) for r in dedup.kept_ids(short, local_rows=40).collect()}
+    assert few == {x for x in want if x[0] == 1 or x[1] < 60}
 
 
 def test_no_keyword_is_dropped(spark):

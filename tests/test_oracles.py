@@ -6,6 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
+import attesta.table_queries  # noqa: F401  registers its queries
 from attesta.bindings import TABLES
 from attesta.queries import ORACLES, QUERIES
 

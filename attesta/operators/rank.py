@@ -101,10 +101,12 @@ def rank_cards(df: DataFrame, limit: int = 100, least: int = 40) -> DataFrame:
     Cards below the least relevance go, unless a query has no other: then the best min(limit, 20) stay, marked `fallback`,
     of which diversify_cards keeps min(limit, 10).
     """
-    clean = ranked(df.where(~F.col("noise")), ["query_key"], [F.desc("relevance"), F.desc("credibility"), F.desc("first_hand"), F.col("ord")])
+    order = [F.desc("relevance"), F.desc("credibility"), F.desc("first_hand"), F.col("ord")]
+    # the most relevant card comes first, so that a query's first cards tell whether it has one that is good
+    clean = top(df.where(~F.col("noise")), ["query_key"], order, limit)
     good = F.max(F.col("relevance") >= least).over(Window.partitionBy("query_key"))
     keep = F.when(F.col("_good"), F.col("relevance") >= least).otherwise(F.col("rank") <= min(limit, 20))
-    return clean.withColumn("_good", good).where(keep).where(F.col("rank") <= limit).withColumn("fallback", ~F.col("_good")).drop("_good")
+    return clean.withColumn("_good", F.coalesce(good, F.lit(False))).where(keep).withColumn("fallback", ~F.col("_good")).drop("_good")
 
 
 def balanced_excerpts(df: DataFrame, key: list[str], order: list[str], n: int) -> DataFrame:
@@ -211,9 +213,11 @@ def exact_cache_hit(requests: DataFrame, queries: DataFrame, summaries: DataFram
 
 
 def list_media(media: DataFrame, limit: int = 20, offset: int = 0) -> DataFrame:
-    """A page of each entity's media, newest first, with how many there are."""
-    counted = media.withColumn("total", F.count("*").over(Window.partitionBy("entity_name")))
-    return page(counted, ["entity_name"], [F.desc("id")], limit, offset)
+    """A page of each entity's media, newest first, with how many there are. An entity of very many files is no hot task: they are counted
+    by an aggregate, and a page is the first rows."""
+    shown = page(media, ["entity_name"], [F.desc("id")], limit, offset)
+    totals = media.groupBy(F.col("entity_name").alias("_name")).agg(F.count("*").alias("total"))
+    return shown.join(totals.hint("merge"), F.col("entity_name").eqNullSafe(F.col("_name"))).drop("_name")
 
 
 def list_suggestions(suggestions: DataFrame, limit: int = 8) -> DataFrame:

@@ -13,7 +13,7 @@ from attesta.functions.lexicon import Terms, any_of, hits
 from attesta.functions.text import host_of
 from attesta.operators import joins
 from attesta.operators.dedup import kept_ids as dedup_ids
-from attesta.operators.rank import diversify_results, ranked
+from attesta.operators.rank import diversify_results, ranked, top
 from attesta.operators.store import written
 
 
@@ -118,8 +118,12 @@ def focus_match(t: SearchTerms, domain: tuple = L.DOMAIN, strong: tuple = L.DOMA
 _SITE_POINTS = ((5, ("ptt.cc",)), (4, ("google.com/maps", "maps.google", "dcard.tw")), (2, ("facebook.com", "instagram.com", "threads.net")))
 
 
-def rank_results(df: DataFrame, t: SearchTerms, controversial: bool | Column = False, focus: bool | Column = False) -> DataFrame:
-    """Rank results (query_key, ord, ...) by three scores, ties by ord. Adds s1, s2, s3, bucket and rank.
+#: The order of a query's results.
+_BEST_FIRST = ("s1", "s2", "s3")
+
+
+def score_results(df: DataFrame, t: SearchTerms, controversial: bool | Column = False, focus: bool | Column = False) -> DataFrame:
+    """Three scores of each result (query_key, ord, ...), by which results are ranked. Adds s1, s2, s3 and bucket.
 
     controversial, focus: whether the question is about controversy or money, and whether the domain is in focus, so that its terms count
     one more and its strong terms three more; each for all rows or by row.
@@ -136,7 +140,16 @@ def rank_results(df: DataFrame, t: SearchTerms, controversial: bool | Column = F
     near = F.when(_flag(focus), hits(hay, L.DOMAIN) + 3 * hits(hay, L.DOMAIN_STRONG)).otherwise(0)
     s1 = 12 * any_of(hay, t.entity).cast("int") + 3 * asked + evidence + hits(hay, t.rank_review) + 3 * authority + site + boost + near
     df = df.withColumn("s1", s1).withColumn("s2", asked + evidence + authority + past + near).withColumn("s3", F.least(F.length(F.trim("_text")), F.lit(500)))
-    return ranked(df.drop("_hay", "_text"), ["query_key"], [F.desc("s1"), F.desc("s2"), F.desc("s3"), F.col("ord")])
+    return df.drop("_hay", "_text")
+
+
+def _order() -> list[Column]:
+    return [*map(F.desc, _BEST_FIRST), F.col("ord")]
+
+
+def rank_results(df: DataFrame, t: SearchTerms, controversial: bool | Column = False, focus: bool | Column = False) -> DataFrame:
+    """Rank results by score_results, ties by ord. Adds s1, s2, s3, bucket and rank."""
+    return ranked(score_results(df, t, controversial, focus), ["query_key"], _order())
 
 
 #: What becomes of a result: dropped by one of the steps, or still there to be ranked.
@@ -165,33 +178,40 @@ def search_steps(df: DataFrame, t: SearchTerms, focus: bool | Column = False, so
     return rows.withColumn("step", step).drop("_unique", "_clear", "_pass", "_hay", "_text")
 
 
-def place_results(steps: DataFrame, t: SearchTerms, controversial: bool | Column = False, focus: bool | Column = False) -> DataFrame:
-    """The rows that search_steps keeps, ranked and diversified: with their place in each query."""
-    return diversify_results(rank_results(steps.where(F.col("step") == STEPS[3]).drop("step"), t, controversial, focus), _flag(controversial))
+def place_results(steps: DataFrame, t: SearchTerms, limit: int, controversial: bool | Column = False, focus: bool | Column = False) -> DataFrame:
+    """The first `limit` rows of each query that search_steps keeps, ranked (among those that can come in) and diversified.
+
+    A row that has `limit` better ones in its bucket can't be among the first `limit` places, as buckets keep their order. So only those many of
+    each bucket are ranked together: Spark limits them before the shuffle, and a query of very many results is no hot task.
+    """
+    scored = score_results(steps.where(F.col("step") == STEPS[3]).drop("step"), t, controversial, focus)
+    within = top(scored, ["query_key", "bucket"], _order(), max(limit, 4), "_within").drop("_within")
+    return diversify_results(ranked(within, ["query_key"], _order()), _flag(controversial)).where(F.col("place") <= limit)
 
 
 def finalize_results(df: DataFrame, t: SearchTerms, limit: int = 100, controversial: bool | Column = False, focus: bool | Column = False, sources: DataFrame | None = None, crawled: DataFrame | None = None) -> DataFrame:
     """Deduplicate, hydrate, type, enrich, filter, rank, diversify; the first `limit` of each query by place. Works on all queries of df at
     once, each by its own terms if t holds columns of df."""
-    return place_results(search_steps(df, t, focus, sources, crawled), t, controversial, focus).where(F.col("place") <= limit)
+    return place_results(search_steps(df, t, focus, sources, crawled), t, limit, controversial, focus)
 
 
-def funnel(steps: DataFrame, placed: DataFrame, limit: int = 100, by: tuple[str, ...] = ()) -> DataFrame:
+def funnel(steps: DataFrame, final: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Rows of each query (and of each value of `by`, such as provider_pos) after each step: raw, deduplicated, low_signal and irrelevant
-    (dropped), prioritized, final. Counts the rows of search_steps and place_results themselves; no filter is applied again."""
+    (dropped), prioritized, final. Counts the rows of search_steps and place_results themselves; no filter is applied again. All rows that are
+    kept have a place, as their urls are distinct."""
     key = ["query_key", *by]
     of = lambda s: F.count_if(F.col("step") == s)
-    counts = steps.groupBy(*key).agg(F.count("*").alias("raw"), (F.count("*") - of(STEPS[0])).alias("deduplicated"), of(STEPS[1]).alias("low_signal"), of(STEPS[2]).alias("irrelevant"))
-    last = placed.groupBy(*(F.col(k).alias(f"_{k}") for k in key)).agg(F.count("*").alias("prioritized"), F.count_if(F.col("place") <= limit).alias("final"))
+    counts = steps.groupBy(*key).agg(F.count("*").alias("raw"), (F.count("*") - of(STEPS[0])).alias("deduplicated"), of(STEPS[1]).alias("low_signal"), of(STEPS[2]).alias("irrelevant"), of(STEPS[3]).alias("prioritized"))
+    last = final.groupBy(*(F.col(k).alias(f"_{k}") for k in key)).agg(F.count("*").alias("final"))
     same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in key]
-    return counts.join(last.hint("merge"), same, "left").drop(*(f"_{k}" for k in key)).fillna(0, ["prioritized", "final"])
+    return counts.join(last.hint("merge"), same, "left").drop(*(f"_{k}" for k in key)).fillna(0, ["final"])
 
 
 def run_search(df: DataFrame, t: SearchTerms, limit: int = 100, controversial: bool | Column = False, focus: bool | Column = False, sources: DataFrame | None = None, crawled: DataFrame | None = None, by: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """The final results and the funnel of all queries, from one pass: steps are written to the shared folder and read by both."""
     steps, _ = written(search_steps(df, t, focus, sources, crawled), "search-steps")
-    placed, _ = written(place_results(steps, t, controversial, focus), "placed-results")
-    return placed.where(F.col("place") <= limit), funnel(steps, placed, limit, by)
+    final, _ = written(place_results(steps, t, limit, controversial, focus), "final-results")
+    return final, funnel(steps, final, by)
 
 
 def search_funnel(df: DataFrame, t: SearchTerms, limit: int = 100, **kwargs) -> DataFrame:

@@ -570,8 +570,8 @@ def balanced_excerpts(v, t):
 
 CARD_TERMS = C.Terms(negative=("er", "ein", "que "), positive=("tion", "ung", "las "), first_hand=("andnt",), reported=("with",), hard=("ingth", "chen"), history=("of",), question=("the", "die", "les"), noise=("zzz",))
 _CARD_SQL = """,,
-r AS (SELECT query_key, ord, url, title AS t0, content AS x, source, CASE CAST(ord % 4 AS INT) WHEN 0 THEN 'official' WHEN 1 THEN 'news' WHEN 2 THEN 'forum' ELSE 'other' END AS source_type,
-  CASE CAST(ord % 3 AS INT) WHEN 0 THEN '2024-01-15' WHEN 1 THEN '2019-05-05' END AS published FROM v_results WHERE content <> ''),
+r AS (SELECT query_key, ord, url, title AS t0, CASE WHEN ord % 19 = 0 OR content = '' THEN '目前沒有可用的摘要內容。' ELSE content END AS x, source, CASE CAST(ord % 4 AS INT) WHEN 0 THEN 'official' WHEN 1 THEN 'news' WHEN 2 THEN 'forum' ELSE 'other' END AS source_type,
+  CASE CAST(ord % 3 AS INT) WHEN 0 THEN '2024-01-15' WHEN 1 THEN '2019-05-05' END AS published FROM v_results),
 t AS (SELECT *, CASE WHEN trim(t0) <> '' AND NOT regexp_full_match(lower(trim(t0)), '(?:https?://)?[a-z0-9-]+(?:\\.[a-z0-9-]+)+(?:/\\S*)?') THEN t0 ELSE concat(source, ' 來源紀錄') END AS title FROM r),
 h AS (SELECT *, concat(title, ' ', x) AS said, lower(concat(title, ' ', x)) AS hay FROM t),
 f AS (SELECT *, CASE WHEN source_type = 'official' THEN 58 WHEN contains(said, 'andnt') THEN CASE WHEN source_type = 'forum' THEN 82 ELSE 68 END
@@ -589,15 +589,15 @@ k AS (SELECT *, CASE WHEN neg > pos THEN CASE WHEN hearsay THEN 'unclear' ELSE '
 
 
 def _evidence(v):
-    r = v("v_results").where("content <> ''")
+    r = v("v_results").withColumn("content", F.when(F.col("ord") % 19 == 0, "").otherwise(F.col("content")))
     kind = F.get(F.array(*map(F.lit, ("official", "news", "forum", "other"))), (F.col("ord") % 4).cast("int"))
     r = r.withColumn("source_type", kind).withColumn("published_date", F.when(F.col("ord") % 3 == 0, "2024-01-15").when(F.col("ord") % 3 == 1, "2019-05-05"))
     return analysis.evidence_cards(r, F.lit("th"), F.lit("the die"), "2024-12-31", CARD_TERMS, clean=False)
 
 
-@query(_CARD_SQL + "\nSELECT query_key, ord, title, source_type, stance, strength, CAST(first_hand AS INT) AS first_hand, CAST(relevance AS INT) AS relevance, CAST(credibility AS INT) AS credibility, recency FROM k", "v_results")
+@query(_CARD_SQL + "\nSELECT query_key, ord, title, source_type, stance, strength, CAST(first_hand AS INT) AS first_hand, CAST(relevance AS INT) AS relevance, CAST(credibility AS INT) AS credibility, recency, substring(x, 1, 700) AS snippet FROM k", "v_results")
 def evidence_cards(v, t):
-    return _evidence(v).select("query_key", "ord", "title", "source_type", "stance", "strength", "first_hand", "relevance", "credibility", "recency")
+    return _evidence(v).select("query_key", "ord", "title", "source_type", "stance", "strength", "first_hand", "relevance", "credibility", "recency", "snippet")
 
 
 @query(
@@ -698,21 +698,25 @@ def cleaned_cards(v, t):
 DIMS = metrics.DIMENSIONS
 _DIM_SQL = """,,
 d AS (SELECT i, dim FROM (SELECT unnest([0, 1, 2, 3, 4, 5]) AS i, unnest(['staff_attitude', 'transparency', 'environment', 'animal_care', 'communication', 'adoption_process']) AS dim)),
-g AS (SELECT r.entity, d.dim, r.stance FROM v_reviews r JOIN d ON d.i IN (r.review_id % 6, (r.review_id + 2) % 6) WHERE r.relevance_score >= 0.6 AND r.content_type = 'review'),
-e AS (SELECT DISTINCT entity FROM v_reviews)
+g AS (SELECT r.entity, d.dim, r.stance, r.review_id, CASE WHEN d.i = r.review_id % 6 THEN 0 ELSE 1 END AS pos, substring(r.content, 1, 20) AS excerpt, CASE WHEN r.stance IN ('supporting', 'opposing') THEN r.stance ELSE 'neutral' END AS side
+  FROM v_reviews r JOIN d ON d.i IN (r.review_id % 6, (r.review_id + 2) % 6) WHERE r.relevance_score >= 0.6 AND r.content_type = 'review'),
+e AS (SELECT DISTINCT entity FROM v_reviews),
+n AS (SELECT *, row_number() OVER (PARTITION BY entity, dim, side ORDER BY review_id, pos) AS k FROM g),
+o AS (SELECT *, row_number() OVER (PARTITION BY entity, dim ORDER BY CASE WHEN side = 'supporting' AND k <= 2 THEN 0 WHEN side = 'opposing' AND k <= 2 THEN 1 WHEN side = 'supporting' THEN 3 WHEN side = 'opposing' THEN 4 ELSE 2 END, k) AS slot FROM n),
+x AS (SELECT entity, dim, string_agg(excerpt, '|' ORDER BY slot) AS excerpts FROM o WHERE slot <= 5 GROUP BY 1, 2)
 SELECT e.entity, d.dim, count(g.dim) AS mentions, count(*) FILTER (g.stance = 'supporting') AS supporting, count(*) FILTER (g.stance = 'opposing') AS opposing,
-  count(g.dim) - count(*) FILTER (g.stance IN ('supporting', 'opposing')) AS neutral FROM e CROSS JOIN d LEFT JOIN g ON g.entity = e.entity AND g.dim = d.dim GROUP BY 1, 2"""
+  count(g.dim) - count(*) FILTER (g.stance IN ('supporting', 'opposing')) AS neutral, coalesce(any_value(x.excerpts), '') AS excerpts FROM e CROSS JOIN d LEFT JOIN g ON g.entity = e.entity AND g.dim = d.dim LEFT JOIN x ON x.entity = e.entity AND x.dim = d.dim GROUP BY 1, 2"""
 
 
 def _tagged(v):
     dims = F.array(*map(F.lit, DIMS))
-    tag = lambda i: F.struct(F.get(dims, (i % 6).cast("int")).alias("dim"), F.col("stance").alias("stance"), F.substring("content", 1, 120).alias("excerpt"))
+    tag = lambda i: F.struct(F.get(dims, (i % 6).cast("int")).alias("dim"), F.col("stance").alias("stance"), F.substring("content", 1, 20).alias("excerpt"))
     return v("v_reviews").withColumn("tags", F.array(tag(F.col("review_id")), tag(F.col("review_id") + 2)))
 
 
 @query(_DIM_SQL, "v_reviews")
 def dimension_overview(v, t):
-    return metrics.dimension_overview(_tagged(v)).drop("excerpts")
+    return metrics.dimension_overview(_tagged(v)).withColumn("excerpts", F.array_join("excerpts", "|"))
 
 
 @query(

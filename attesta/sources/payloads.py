@@ -106,14 +106,24 @@ def forum_article_text(html: Column, chars: int = 700) -> Column:
     return F.substring(_text(main), 1, chars)
 
 
-def forum_listing(pages: DataFrame, keywords: DataFrame, year: int, per_keyword: int = 5) -> DataFrame:
-    """Listing pages (board, html) to articles whose title has a keyword (keyword, entity), the first per board and keyword."""
+def forum_listing(pages: DataFrame, keywords: DataFrame, year: int, per_keyword: int = 5, contents: DataFrame | None = None) -> DataFrame:
+    """Listing pages (board, html) to articles whose title has a keyword (keyword, entity), the first per board and keyword.
+
+    contents: texts of articles (path, content) where they are known, added to the rows; an article whose text has none of its entity's
+    keywords goes, one without a text stays.
+    """
     block = r'(?s)<div class="r-ent">(.*?)(?=<div class="r-ent">|\z)'
     rows = pages.select("board", F.posexplode(F.regexp_extract_all("html", F.lit(block), 1)).alias("pos", "b"))
     link = F.regexp_extract("b", r'<a href="([^"]+)"', 1)
     day = F.regexp_extract("b", r'<div class="date">\s*(\d{1,2}/\d{1,2})', 1)
     rows = rows.select("board", "pos", link.alias("path"), _text(F.regexp_extract("b", r'(?s)<div class="title">(.*?)</div>', 1)).alias("title"), F.to_date(F.try_to_timestamp(F.concat(F.lit(f"{year}/"), day), F.lit("yyyy/M/d"))).alias("day"), F.expr("try_cast(regexp_extract(b, '<span class=\"hl[^\"]*\">(\\\\d+)', 1) as int)").alias("pushes"))
     met = containing(rows.where("path <> ''"), F.lower("title"), keywords, F.lower("keyword"))
+    if contents is not None:
+        words = keywords.where("keyword <> ''").groupBy("entity").agg(F.collect_set(F.lower("keyword")).alias("_words"))
+        known = contents.groupBy("path").agg(F.max("content").alias("content"))
+        met = met.join(known.hint("merge"), "path", "left").join(words.hint("merge"), "entity", "left")
+        empty = F.coalesce("content", F.lit("")) == ""
+        met = met.where(empty | F.exists("_words", lambda w: F.contains(F.lower("content"), w))).drop("_words")
     return top(met, ["board", "keyword"], [F.col("pos")], per_keyword)
 
 

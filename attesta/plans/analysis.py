@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from attesta.functions import classify as C
 from attesta.functions.text import clean_summary_text, excerpt, normalized, or_discarded, site_of, without_markup
 from attesta.operators.rank import diversify_cards, rank_cards, ranked
+from attesta.operators.store import written
 
 # What stands for a missing text, the words of a question that an excerpt looks for, and the sentences of summaries, first
 # for questions in general, then for those about the domain in focus.
@@ -124,8 +125,9 @@ def balanced_summary(cards: DataFrame, points: int = 3, question: Column | None
 
 
 def analyze_results(results: DataFrame, entity: Column, question: Column, as_of: str, limit: int = 100, **kwargs) -> tuple[DataFrame, DataFrame]:
-    """Cards of each query, ranked and diversified, and the summaries."""
-    made = evidence_cards(results, entity, question, as_of, **kwargs)
+    """Cards of each query, ranked and diversified, and the summaries. Cards are written to the shared folder before they are ranked: else the
+    test for noise, with all the cleaning that it stands on, would be pushed below and done over for each of its terms."""
+    made, _ = written(evidence_cards(results, entity, question, as_of, **kwargs), "cards")
     cards = diversify_cards(rank_cards(made, limit), limit)
     return cards, balanced_summary(cards.withColumn("rank", F.col("place")))
 

@@ -67,8 +67,8 @@ def run_refresh(
     pos, question; queries: entity_id, search_mode, query_id, question, those asked so far; results: entity_id, search_mode, pos, ord and a
     result's columns, found for the questions of the plan.
 
-    Tables: queries (asked now; ids follow the largest one), cards, summaries and outcomes are added to those of earlier runs; snapshots,
-    suggestions and watchlist take their place. A question without results has failed, as a row, not as an error of the job; an entity has
+    Tables: queries (asked now; ids follow the largest one), cards, summaries and outcomes are added to those of earlier runs; results,
+    made_cards (before ranking), snapshots, suggestions and watchlist take their place. A question without results has failed, as a row, not as an error of the job; an entity has
     succeeded if all of its questions have answers, failed if one has none, and is skipped if none of its modes is valid. A run that is
     killed anywhere and started again ends as one that wasn't.
     """
@@ -84,12 +84,16 @@ def run_refresh(
             last = max(last, runs.read(spark, path, "queries").agg(F.max("query_id")).first()[0] or 0)
         return ids.allocate_ids(plan, ["entity_id", "mode_pos", "pos"], last, "query_id").select("query_id", "entity_id", "search_mode", "pos", "question", at)
 
-    def cards(done: dict) -> DataFrame:
+    def final(done: dict) -> DataFrame:
         named = done["queries"].join(watchlist.select("entity_id", F.col("name").alias("_name")).hint("merge"), "entity_id")
         found = results.join(named.withColumnRenamed("query_id", "query_key").hint("merge"), ["entity_id", "search_mode", "pos"])
-        final = search.finalize_results(found.withColumn("focus", F.col("search_mode") != valid[0]), terms, limit, focus=F.col("focus"))
-        made = analysis.evidence_cards(final, F.col("_name"), F.col("question"), as_of)
-        return analysis.diversify_cards(analysis.rank_cards(made, limit), limit)
+        return search.finalize_results(found.withColumn("focus", F.col("search_mode") != valid[0]), terms, limit, focus=F.col("focus"))
+
+    def made_cards(done: dict) -> DataFrame:
+        return analysis.evidence_cards(done["results"], F.col("_name"), F.col("question"), as_of)
+
+    def cards(done: dict) -> DataFrame:
+        return analysis.diversify_cards(analysis.rank_cards(done["made_cards"], limit), limit)
 
     def summaries(done: dict) -> DataFrame:
         told = done["queries"].withColumnRenamed("query_id", "query_key")
@@ -127,7 +131,7 @@ def run_refresh(
         told = done["outcomes"].where("status <> 'skipped'").select("entity_id", (F.col("status") == "success").alias("ok"), "message")
         return tables.mark_refresh(watchlist, told, as_of)
 
-    made = {"queries": asked, "cards": cards, "summaries": summaries, "snapshots": snapshots, "suggestions": suggestions, "outcomes": outcomes, "watchlist": watched}
+    made = {"queries": asked, "results": final, "made_cards": made_cards, "cards": cards, "summaries": summaries, "snapshots": snapshots, "suggestions": suggestions, "outcomes": outcomes, "watchlist": watched}
     return runs.publish(spark, path, run_id, made, appended=("queries", "cards", "summaries", "outcomes"))
 
 

@@ -250,3 +250,102 @@ def test_empty_tables(spark, odd):
     assert packing.pack_documents(none, BPE).count() == 0 and html.extract_pages(pages).count() == 0
     model = toxicity.fit(none, spark.createDataFrame([], "doc_id long, toxic int"))
     assert model.terms == [] and toxicity.score(none, model).count() == 0
+
+
+def test_op5_walks_the_tree_by_hand(spark, documents):
+    """The tree recomputed: at each level the node with the least weighted draw from a hash of (doc_id, node)."""
+    import math
+    import struct
+
+    from xxhash import xxh64_intdigest
+
+    def draw(doc_id, node, weight):
+        seed = 42 if doc_id is None else xxh64_intdigest(struct.pack("<q", doc_id), 42)
+        return -math.log(((xxh64_intdigest(str(node).encode(), seed) >> 11) + 0.5) / (1 << 53)) / weight
+
+    def walk(doc_id, tree):
+        levels = [lambda leaf: leaf.region, lambda leaf: leaf.rack, lambda leaf: leaf.shard]
+        for of in levels:
+            weights = Counter()
+            for leaf in tree:
+                weights[of(leaf)] += leaf.weight
+            best = min(weights, key=lambda n: (draw(doc_id, n, weights[n]), n))
+            tree = [leaf for leaf in tree if of(leaf) == best]
+        return tree[0].shard
+
+    tree = sharding.balanced_tree(16)
+    for r in run(spark, "op5_hash_tree_sharding"):
+        assert (r.shard, r.grown_shard) == (walk(r.doc_id, tree), walk(r.doc_id, sharding.grown_tree(tree)))
+    weighted = [sharding.Leaf("a", "a/0", 0, 3.0), sharding.Leaf("a", "a/1", 1, 0.5), sharding.Leaf("b", "b/0", 2, 1.5), sharding.Leaf("b", "b/0", 3, 2.0)]
+    some = spark.createDataFrame([(i, "") for i in [None, -5, *range(300)]], "doc_id long, text string")
+    assert all(r.shard == walk(r.doc_id, weighted) for r in sharding.shard_documents(some, weighted).collect())
+
+
+def test_op7_scores_by_a_plain_forward_pass():
+    """A document's score by loops over its words, in doubles, against the batched one in float32."""
+    from attesta.llm import gru
+
+    random_ = np.random.default_rng(4)
+    m = gru.Gru.start(random_.integers(1, 100, gru.INPUTS).astype(float))
+    m = m.with_flat(m.flat() + random_.normal(0, 0.3, m.flat().size).astype(np.float32))
+    sigmoid = lambda v: 1 / (1 + np.exp(-v))
+    size, classes = gru.HIDDEN, gru.WORDS // gru.CLASS_WORDS
+
+    def by_hand(ids):
+        h, last, total = np.zeros(size), 0, 0.0
+        x, u, c, w = (v.astype(float) for v in (m.x, m.u, m.c, m.w))
+        for word in ids:
+            gx, a = x[last], h @ u
+            z, r = sigmoid(gx[:size] + a[:size]), sigmoid(gx[size : 2 * size] + a[size : 2 * size])
+            n = np.tanh(gx[2 * size :] + r * a[2 * size :])
+            h = (1 - z) * n + z * h
+            p = np.exp(h @ c + m.cb)
+            own = word // gru.CLASS_WORDS if word < gru.WORDS else classes + word - gru.WORDS
+            total += np.log(p[own] / p.sum())
+            if word < gru.WORDS:
+                q = np.exp(w[own] @ h + m.wb[own])
+                total += np.log(q[word % gru.CLASS_WORDS] / q.sum())
+            last = word
+        return total
+
+    texts = [random_.integers(0, gru.INPUTS, n).astype(np.int32) for n in (1, 2, 63, 64, 65, 300)]
+    assert np.allclose(gru.score_sequences(m, texts), [by_hand(t) for t in texts], rtol=1e-4)
+
+
+def test_op11_whitens_every_vector(spark):
+    rows = run(spark, "op11_embedding_whitening")
+    vectors = spark.read.parquet(f"{SMALL}/embeddings.parquet").collect()
+    x = np.array([[np.floor(64 * float(c)) + 1_000_000 for c in v.embedding] for v in vectors])
+    n, away = len(x), x - x.mean(axis=0)
+    e, q = np.linalg.eigh(away.T @ away / n)
+    e, q = e[::-1][:32], q[:, ::-1][:, :32]
+    want = {(v.vec_id, c + 1): abs(w) for v, row in zip(vectors, away @ q / np.sqrt(e)) for c, w in enumerate(row)}
+    sums = [int(s) for s in x.sum(axis=0)]
+    exact = {v.vec_id: sum((n * int(a) - s) ** 2 for a, s in zip(row, sums)) for v, row in zip(vectors, x)}
+    assert len(rows) == 32 * n and {r.n for r in rows} == {n}
+    assert all(r.deviation == exact[r.vec_id] and abs(abs(r.whitened) - want[r.vec_id, r.component]) < 1e-6 and r.identity_error < 1e-4 for r in rows)
+    assert all(abs(r.explained - e[r.component - 1] / (away * away).sum() * n) < 1e-6 for r in rows)
+
+
+def test_op12_has_a_row_for_each_document(spark, documents):
+    from sentencepiece import SentencePieceProcessor
+
+    a, b = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    a.encode_special_tokens = True
+    rows = {r.doc_id: r for r in run(spark, "op12_token_alignment")}
+    assert rows.keys() == documents.keys()
+    for i, d in documents.items():
+        ids = [b.id_to_piece(x) for x in b.encode(d.text or "")]
+        r = rows[i]
+        if d.text and "".join(p for p in ids).replace("▁", " ") == " " + d.text:  # no byte pieces: bytes agree
+            assert (r.n_a, r.n_b) == (len(a.encode(" " + d.text, add_special_tokens=False).ids), len(ids))
+        assert r.n_groups <= min(r.n_a, r.n_b) and max(r.n_a, r.n_b) <= r.n_links <= r.n_a + r.n_b and r.n_best <= r.n_links <= max(r.count_sum, r.n_links)
+
+
+def test_op13_reads_back_what_the_tokenizer_gives(spark, documents):
+    bpe, start = Tokenizer.from_file(BPE), 0
+    rows = {r.doc_id: r for r in run(spark, "op13_token_files")}
+    for i in sorted(documents):
+        ids = np.array([*bpe.encode(documents[i].text or "", add_special_tokens=False).ids, 1], "<u4")
+        assert (rows[i].start, rows[i].n_tokens, rows[i].ids_crc32) == (start, len(ids), zlib.crc32(ids.tobytes()))
+        start += len(ids)

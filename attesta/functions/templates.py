@@ -38,6 +38,12 @@ def question_templates(spark: SparkSession, types: list[str], questions: dict =
     return spark.createDataFrame(rows, "entity_type string, search_mode string, pos int, question string")
 
 
+#: Templates up to which they are broadcast.
+FEW_TEMPLATES = 10_000
+
+
 def with_questions(entities: DataFrame, templates: DataFrame) -> DataFrame:
-    """Each entity with the questions of its type; templates are a few rows made by question_templates."""
-    return entities.join(F.broadcast(templates), "entity_type")
+    """Each entity with the questions of its type. Templates are a few rows made by question_templates, which are counted before they are
+    broadcast."""
+    few = templates.limit(FEW_TEMPLATES + 1).count() <= FEW_TEMPLATES
+    return entities.join(F.broadcast(templates) if few else templates.hint("merge"), "entity_type")

@@ -146,19 +146,29 @@ def list_reviews(reviews: DataFrame, limit: int = 20, offset: int = 0) -> DataFr
     return page(reviews, ["entity"], order, max(1, limit), max(0, offset))
 
 
+#: Bytes of needles (as JSON) up to which they are broadcast: to be tested one by one, and for a join on their grams.
+FEW_BYTES, LOOKUP_BYTES = 1 << 20, 64 << 20
+
+
+def _fits(rows: DataFrame, most: int, most_bytes: int) -> bool:
+    """Whether there are at most so many rows, and bytes in them."""
+    n, size = rows.limit(most + 1).agg(F.count("*"), F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()
+    return n <= most and (size or 0) <= most_bytes
+
+
 def containing(rows: DataFrame, text: Column, needles: DataFrame, needle: Column, gram: int = 3, few: int = 1000, lookup: int = 500_000) -> DataFrame:
     """Join rows with the needles that their text contains, each pair once.
 
-    Few needles (counted) are broadcast. Beyond that an equi-join on the needle's first gram stands before the test, so that a
-    text only meets needles that start somewhere in it; up to `lookup` needles (counted) are on each executor for it, so that the grams
-    are not shuffled. An empty needle is in every text, null is in none.
+    Few needles (counted, and their bytes) are broadcast. Beyond that an equi-join on the needle's first gram stands before the test, so that a
+    text only meets needles that start somewhere in it; up to `lookup` needles (counted, and their bytes) are on each executor for it, so
+    that the grams are not shuffled. An empty needle is in every text, null is in none.
     """
-    if needles.limit(few + 1).count() <= few:
+    if _fits(needles, few, FEW_BYTES):
         return rows.join(F.broadcast(needles), F.contains(text, needle))
     wanted = needles.withColumn("_first", F.substring(needle, 1, gram)).where("_first is not null")
     lengths = [r.n for r in wanted.select(F.length("_first").alias("n")).distinct().collect()]  # at most gram + 1 of them
     grams = F.array_distinct(F.concat(*(F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{{n}}}))"), 1) if n else F.array(F.lit("")) for n in lengths)))
-    side = F.broadcast(wanted) if wanted.limit(lookup + 1).count() <= lookup else wanted.hint("merge")
+    side = F.broadcast(wanted) if _fits(wanted, lookup, LOOKUP_BYTES) else wanted.hint("merge")
     met = rows.withColumn("_gram", F.explode(grams)).join(side, F.col("_gram") == F.col("_first"))
     return met.where(F.contains(text, needle)).drop("_gram", "_first")
 

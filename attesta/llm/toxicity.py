@@ -34,6 +34,8 @@ FIT_ROWS = 20_000
 LABEL_ROWS = 1_000_000
 #: How often a label is taken to be wrong, at least.
 LABEL_NOISE = 0.02
+#: Rounds in which the label model may choose other dependences of voters.
+SETTLED = 10
 THRESHOLD = 0.7
 #: Words that a Python worker remembers.
 MEMO_WORDS = 150_000
@@ -115,43 +117,83 @@ class Featurizer:
 
 @dataclass
 class LabelModel:
-    """P(voter fires | label) of each voter, how much of its vote is its own, and the share of toxic documents."""
+    """A joint model of the label and all votes: P(label) times P(voter fires | label, its parent's vote), the parents being a forest."""
 
-    rates: np.ndarray  # voters x 2
-    weights: np.ndarray
-    prior: float
+    parents: np.ndarray  # of each voter another one, or -1
+    tables: np.ndarray  # voters x label x parent's vote
+    rates: np.ndarray  # voters x label: P(voter fires | label), its accuracy
+    prior: float  # share of toxic documents
 
     def posterior(self, fired: np.ndarray) -> np.ndarray:
-        clean, toxic = self.rates.T
-        votes = np.where(fired, np.log(toxic / clean), np.log((1 - toxic) / (1 - clean)))
-        odds = np.log(self.prior / (1 - self.prior)) + votes @ self.weights
+        above = fired[:, self.parents] & (self.parents >= 0)
+        told = []
+        for label in (0, 1):
+            p = np.where(above, self.tables[:, label, 1], self.tables[:, label, 0])
+            told.append(np.log(np.where(fired, p, 1 - p)).sum(axis=1))
+        odds = np.log(self.prior / (1 - self.prior)) + told[1] - told[0]
         return 1 / (1 + np.exp(-np.clip(odds, -40, 40)))
 
 
+def _dependences(weights: list[np.ndarray], fired: np.ndarray) -> np.ndarray:
+    """Mutual information of each two voters given the label, in nats; weights: of each row as label 0 and as label 1."""
+    total = sum(w.sum() for w in weights)
+    out = np.zeros((fired.shape[1],) * 2)
+    votes = {0: ~fired, 1: fired}
+    for w in weights:
+        if w.sum() <= 0:
+            continue
+        share = {a: (w @ votes[a]) / w.sum() for a in votes}
+        for a in votes:
+            for b in votes:
+                both = (votes[a] * w[:, None]).T @ votes[b] / w.sum()
+                alone = np.outer(share[a], share[b])
+                ratio = np.divide(both, alone, out=np.ones_like(both), where=(both > 0) & (alone > 0))
+                out += w.sum() / total * both * np.log(ratio)
+    return out
+
+
+def _forest(strength: np.ndarray, least: float) -> np.ndarray:
+    """The parents of a spanning forest of greatest strength, without links weaker than `least`."""
+    n = len(strength)
+    parents, best, of = np.full(n, -1), np.full(n, -np.inf), np.full(n, -1)
+    left = set(range(n))
+    while left:
+        v = max(left, key=lambda i: (best[i], -i))
+        left.remove(v)
+        parents[v] = of[v] if best[v] >= least else -1
+        for i in left:
+            if strength[v, i] > best[i]:
+                best[i], of[i] = strength[v, i], v
+    return parents
+
+
 def fit_label_model(fired: np.ndarray, counts: np.ndarray, labels: np.ndarray, rounds: int = 50) -> LabelModel:
     """EM over vote patterns: rows of fired (bool by voter) stand for counts documents; labels are 0, 1, or -1 if unknown.
 
-    Known labels are kept, the others are what the model says. Voters that fire together more than their
-    accuracies explain (correlation within a label) share their vote.
+    Known labels are kept, the others are what the model says. In each round the accuracies of all voters and the correlations of
+    those that depend on each other, given the label, are estimated together: the forest of dependences of greatest likelihood (by
+    conditional mutual information, of links that pay for their two parameters) and its tables. It stays as it is after SETTLED rounds.
     """
     voters = fired.shape[1]
     known = labels >= 0
-    rates = np.tile([0.02, 0.3], (voters, 1))
-    prior = np.clip(np.average(labels[known], weights=counts[known]), 0.001, 0.5) if counts[known].sum() else 0.05
-    model = LabelModel(rates, np.ones(voters), prior)
-    for _ in range(rounds):
+    prior = float(np.clip(np.average(labels[known], weights=counts[known]), 0.001, 0.5)) if counts[known].sum() else 0.05
+    rates, parents = np.tile([0.02, 0.3], (voters, 1)), np.full(voters, -1)
+    model = LabelModel(parents, np.repeat(rates[:, :, None], 2, axis=2), rates, prior)
+    for k in range(rounds):
         p = np.where(known, labels, model.posterior(fired))
-        w1, w0 = counts * p, counts * (1 - p)
-        rates = np.stack([(w0 @ fired + 0.5) / (w0.sum() + 1.0), (w1 @ fired + 0.5) / (w1.sum() + 1.0)], axis=1)
-        shared = np.zeros((voters, voters))
-        for w, r in ((w0, rates[:, 0]), (w1, rates[:, 1])):
-            if w.sum() > 1:
-                off = fired - r
-                shared = np.maximum(shared, (off * w[:, None]).T @ off / w.sum() / np.sqrt(np.outer(r * (1 - r), r * (1 - r))))
-        np.fill_diagonal(shared, 0)
-        weights = 1 / (1 + np.clip(shared, 0, 1).sum(axis=1))
-        new = LabelModel(rates, weights, float(np.clip(w1.sum() / max(1.0, counts.sum()), 0.001, 0.5)))
-        done = np.abs(new.rates - model.rates).max() < 1e-6
+        weights = [counts * (1 - p), counts * p]
+        if k < SETTLED:
+            total = max(2.0, counts.sum())
+            parents = _forest(_dependences(weights, fired), np.log(total) / total)
+        rates = np.stack([(w @ fired + 0.5) / (w.sum() + 1.0) for w in weights], axis=1)
+        above = fired[:, parents] & (parents >= 0)
+        tables = np.empty((voters, 2, 2))
+        for label, w in enumerate(weights):
+            for vote, there in enumerate((~above, above)):
+                there = there * w[:, None]
+                tables[:, label, vote] = ((there * fired).sum(axis=0) + rates[:, label]) / (there.sum(axis=0) + 1.0)
+        new = LabelModel(parents, tables, rates, float(np.clip(weights[1].sum() / max(1.0, counts.sum()), 0.001, 0.5)))
+        done = np.abs(new.rates - model.rates).max() < 1e-6 and k >= SETTLED
         model = new
         if done:
             break
@@ -228,7 +270,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     known = np.array([r.label for r in rows])
     fired = np.array([[r.pattern >> k & 1 for k in range(len(VOTERS))] for r in rows], dtype=bool).reshape(-1, len(VOTERS))
     target = model.posterior(fired)
-    odds = np.log(np.clip(target, 1e-6, 1 - 1e-6) / np.clip(1 - target, 1e-6, 1)) + np.where(known == 1, 1, np.where(known == 0, -1, 0)) * np.log((1 - LABEL_NOISE) / LABEL_NOISE)
+    # what the forest leaves of correlations makes posteriors too sure: all voters together count no more than a label
+    target = np.where(known >= 0, np.clip(target, LABEL_NOISE, 1 - LABEL_NOISE), np.clip(target, 1e-6, 1 - 1e-6))
+    odds = np.log(target / (1 - target)) + np.where(known == 1, 1, np.where(known == 0, -1, 0)) * np.log((1 - LABEL_NOISE) / LABEL_NOISE)
     w, b = fit_linear([list(r.places) for r in rows], 1 / (1 + np.exp(-odds)), len(terms) + len(VOTERS))
     return ToxicityModel(terms, w, b, model)
 

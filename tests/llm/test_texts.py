@@ -128,10 +128,45 @@ def test_label_model_finds_good_voters():
     known = np.where(draw.random(4000) < 0.3, y.astype(int), -1)
     model = toxicity.fit_label_model(fired, np.ones(4000), known)
     assert ((model.posterior(fired) > 0.5) == y).mean() > 0.93
-    assert model.weights[0] < 0.7 and model.weights[4] < 0.7 and model.weights[2] > 0.8
+    assert model.parents[4] == 0 or model.parents[0] == 4  # the copy depends on its like and adds nothing
+    assert model.parents[2] == -1 and 2 not in model.parents
+    single = toxicity.fit_label_model(fired[:, :4], np.ones(4000), known)
+    assert np.abs(model.posterior(fired) - single.posterior(fired[:, :4])).max() < 0.02
     assert abs(model.rates[2, 0] - model.rates[2, 1]) < 0.1
 
 
+def test_label_model_is_a_joint_distribution():
+    """Its posterior is Bayes' rule over what it says of each label, and it finds correlations that differ by label."""
+    draw = np.random.default_rng(4)
+    n = 20_000
+    y = draw.random(n) < 0.3
+    a = draw.random(n) < np.where(y, 0.7, 0.1)
+    b = draw.random(n) < np.where(y, np.where(a, 0.5, 0.5), np.where(a, 0.9, 0.05))  # depend on each other in clean rows alone
+    c = draw.random(n) < np.where(y, 0.6, 0.2)
+    fired = np.stack([a, b, c], axis=1)
+    model = toxicity.fit_label_model(fired, np.ones(n), np.where(draw.random(n) < 0.5, y.astype(int), -1))
+    assert model.parents[1] == 0 or model.parents[0] == 1
+    assert (model.parents >= 0).sum() == 1
+    child, parent = (1, 0) if model.parents[1] == 0 else (0, 1)
+    for label in (0, 1):
+        for vote in (False, True):
+            chosen = (y == bool(label)) & (fired[:, parent] == vote)
+            assert abs(model.tables[child, label, int(vote)] - fired[chosen, child].mean()) < 0.05
+    every = np.array([[k >> v & 1 for v in range(3)] for k in range(8)], dtype=bool)
+    joint = np.ones((8, 2))
+    for k, row in enumerate(every):
+        for label in (0, 1):
+            for v in range(3):
+                p = model.tables[v, label, int(model.parents[v] >= 0 and row[model.parents[v]])]
+                joint[k, label] *= p if row[v] else 1 - p
+    assert np.allclose(joint.sum(axis=0), 1)
+    odds = joint[:, 1] * model.prior, joint[:, 0] * (1 - model.prior)
+    assert np.allclose(model.posterior(every), odds[0] / (odds[0] + odds[1]))
+    for k, row in enumerate(every):
+        chosen = (fired == row).all(axis=1)
+        assert chosen.sum() < 300 or abs(model.posterior(every)[k] - y[chosen].mean()) < 0.06
+
+
 def test_toxicity(spark):
     draw = np.random.default_rng(1)
     stems = ["blorg", "zanch"]

@@ -78,10 +78,11 @@ def numbered(df: DataFrame, order: list[Column], name: str, group: str | None =
 
     One range exchange; no partition holds more than its range. Only a count per partition (and group) is
     gathered, and offsets come from those. The ordering must start with `group` where that is given. Rows that
-    tie in all of `order` get consecutive numbers in any order.
+    tie in all of `order` get consecutive numbers in the order of df, and are split over partitions like any others.
     """
     spark = df.sparkSession
-    ranged = df.repartitionByRange(shuffle_width(spark), *order).sortWithinPartitions(*order)
+    keys = [*order, F.col("_tie")]
+    ranged = df.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(shuffle_width(spark), *keys).sortWithinPartitions(*keys).drop("_tie")
     ranged = stored(ranged.withColumn("_at", F.monotonically_increasing_id()), f"numbered-{name}")
     keys = [F.shiftright("_at", 33).alias("_part")] + ([F.col(group).alias("_group")] if group else [])
     # one row for each partition and group: at most partitions + groups rows, as partitions are ranges

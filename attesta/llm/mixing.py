@@ -123,13 +123,18 @@ def balanced_sample(units: DataFrame, stratum: str, counts: DataFrame, seed: int
     chosen units and their sizes keep the totals of p and p * size, but for the last unit or two. Units whose p
     is 0 or 1 stay. Blocks of about BLOCK_ROWS units fly at once; each leaves two or three units at most, which meet
     in the blocks of the next round, until a stratum is one block, where the landing is. All draws are hashes
-    of the units, so that reruns agree.
+    of the units, so that reruns agree; more than BLOCK_ROWS units of one id and size are dealt to blocks by their places in the table.
     """
     blocks = counts.select(F.col(stratum).alias("_s"), F.greatest(F.lit(1), F.ceil(F.col("docs") / BLOCK_ROWS)).cast("long").alias("_blocks"))
     most = blocks.agg(F.max("_blocks")).first()[0] or 1
     luck = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("size"))
     units = lookup_join(units, blocks, F.col(stratum) == F.col("_s")).drop("_s").withColumn("luck", luck)
-    units = units.withColumn("block", F.pmod("luck", F.col("_blocks"))).drop("_blocks")
+    # rows equal in id and size, those without either above all, would be one block, however many: they are dealt by their number
+    hot = stored(units.groupBy(stratum, "luck").agg(F.count("*").alias("_same")).where(F.col("_same") > BLOCK_ROWS), "mix-equal-rows")
+    hot = hot.select(F.col(stratum).alias("_s"), F.col("luck").alias("_l"), F.col("_same"))
+    units = lookup_join(units, hot, (F.col(stratum) == F.col("_s")) & (F.col("luck") == F.col("_l")), "left").drop("_s", "_l")
+    dealt = F.when(F.col("_same").isNull(), F.col("luck")).otherwise(F.xxhash64("luck", F.monotonically_increasing_id()))
+    units = units.withColumn("luck", dealt).withColumn("block", F.pmod("luck", F.col("_blocks"))).drop("_blocks", "_same")
     columns = units.columns
     decided, level = None, 0
     while True:

@@ -90,3 +90,32 @@ def test_movement_stays_in_changed_subtrees(spark):
 
 def test_shards_of_nothing(empty):
     assert sharding.shard_documents(empty, sharding.balanced_tree(4)).count() == 0
+
+
+def test_equal_rows_are_many_blocks(spark, monkeypatch):
+    """Rows without an id and of one size are no single group, and no range of one partition."""
+    def noted(land, fly=mixing._fly):
+        run = fly(land)
+
+        def noting(group):
+            if group.num_rows > 3 * 64:
+                raise ValueError("a block of too many units")
+            return run(group)
+
+        return noting
+
+    monkeypatch.setattr(mixing, "BLOCK_ROWS", 64)
+    monkeypatch.setattr(mixing, "_fly", noted)
+    rows = [(None, "two words", "a")] * 2000 + [(i, "w " * (i % 9), "b") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    mixed = mixing.mix(docs).collect()
+    assert len(mixed) == len(rows)
+    for source in "ab":
+        of = [r for r in mixed if r.source == source]
+        assert abs(sum(r.taken for r in of) - of[0].target) <= 3 * 9
+    from attesta.llm.common import numbered
+
+    same = numbered(docs.select("source").where("source = 'a'"), [F.col("source")], "at")
+    assert sorted(r["at"] for r in same.collect()) == list(range(2000))
+    ranges = same.groupBy(F.spark_partition_id()).count().collect()
+    assert max(r["count"] for r in ranges) < 2000

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attesta.operators.rank import containing, top
+from attesta.operators.rank import LOOKUP_BYTES, _fits, containing, top
+from attesta.operators.store import written
 
 
 def resolve_entities(names: DataFrame, entities: DataFrame, keywords: DataFrame) -> DataFrame:
@@ -49,14 +52,17 @@ def anti_by_url(cached: DataFrame, live: DataFrame) -> DataFrame:
     return cached.join(urls, (cached["query_key"] == urls["query_key"]) & (F.trim(cached["url"]) == urls["_url"]), "left_anti")
 
 
-def term_hits(sources: DataFrame, terms: DataFrame, fields: list[str], gram: int = 3, few: int = 200) -> DataFrame:
-    """(source_id, term): which of the distinct terms each source holds in one of the fields, in any case. Each term is looked up once, however
-    many queries ask for it: by `containing`, an index of first grams with an exact test."""
-    # a character that no text holds keeps a term from reaching over two fields
-    text = F.lower(F.concat_ws("\u0000", *fields))
+def lookup(rows: DataFrame, most: int = 1_000_000, most_bytes: int = LOOKUP_BYTES) -> DataFrame:
+    """A stored lookup table with a join hint: broadcast if its rows and bytes, which are counted, are within the bounds, else sort-merge."""
+    return F.broadcast(rows) if _fits(rows, most, most_bytes) else rows.hint("merge")
+
+
+def term_hits(sources: DataFrame, terms: DataFrame, text: Column, key: str = "source_id", gram: int = 3, few: int = 200) -> DataFrame:
+    """(key, terms): the distinct terms that the (lower-case) text of the sources of each key holds, in any case. Each term is looked up once, however
+    many queries ask for it: by `containing`, an index of first grams with an exact test. Sources without any have no row."""
     wanted = terms.select("term").where("term <> ''").distinct()
-    met = containing(sources.select("source_id", text.alias("_said")), F.col("_said"), wanted.withColumn("_low", F.lower("term")), F.col("_low"), gram, few)
-    return met.select("source_id", "term").distinct()
+    met = containing(sources.select(key, text.alias("_said")), F.col("_said"), wanted.withColumn("_low", F.lower("term")), F.col("_low"), gram, few)
+    return met.groupBy(key).agg(F.collect_set("term").alias("terms"))
 
 
 def cached_sources(requests: DataFrame, queries: DataFrame, cards: DataFrame, sources: DataFrame, limit: int) -> DataFrame:
@@ -68,25 +74,34 @@ def cached_sources(requests: DataFrame, queries: DataFrame, cards: DataFrame, so
 
     First the best 3 * limit sources that hold one of the terms in title, content or url: by their best relevance and credibility, their last
     query, then the latest update and publication. Of those the first `limit` that name the entity (an exact term) and, if there are question
-    terms, one of them, in title, content, site or url; of one url only the first counts.
+    terms, one of them, in title, content, site or url; of one url only the first counts. Titles and contents are not in the result.
+
+    Texts are read once, for the terms that each source holds; requests meet the cards of their own entity alone, and terms are compared there, so
+    that the work grows with the cards, not with requests times sources.
     """
     key = ["query_key"]
-    hits = term_hits(sources, requests.select(F.explode("terms").alias("term")), ["title", "content", "url"])
-    wanted = requests.select("query_key", "entity_id", "search_mode", F.explode(F.array_distinct("terms")).alias("term"))
-    found = wanted.join(hits.hint("merge"), "term").select("query_key", "entity_id", "search_mode", "source_id").distinct()
-    # cards are aggregated by entity and mode before they meet requests
+    src, _ = written(sources.withColumn("_row", F.monotonically_increasing_id()), "asked-sources")
+    listed = lambda *cs: reduce(DataFrame.unionByName, (requests.select(F.explode(c).alias("term")) for c in cs))
+    # a character that no text holds keeps a term from reaching over two fields
+    held, _ = written(term_hits(src, listed("terms"), F.lower(F.concat_ws("\u0000", "title", "content", "url"))).withColumnRenamed("terms", "_held"), "held-terms")
+    said = F.lower(F.concat_ws(" ", *(F.coalesce(c, F.lit("")) for c in ("title", "content", "site_name", "url"))))
+    names = term_hits(src, listed("exact_terms", "question_terms"), said, "_row").withColumnRenamed("terms", "_names")
+    src = src.select("_row", "source_id", F.trim("url").alias("url"), "site_name", "updated_at", "published_at")
+    named, _ = written(src.select("_row", "url", "site_name").where("url <> ''").join(names.hint("merge"), "_row", "left"), "named-sources")
+    dated, _ = written(src.select("_row", "source_id", "updated_at", "published_at"), "dated-sources")
     used = cards.select("query_id", "source_id", "relevance", "credibility").join(queries.select("query_id", "entity_id", F.col("search_mode").alias("_mode")).hint("merge"), "query_id")
-    used = used.groupBy("entity_id", "_mode", "source_id").agg(F.max("relevance").alias("r"), F.max("credibility").alias("c"), F.max("query_id").alias("q"))
-    met = found.join(used.hint("merge"), ["entity_id", "source_id"]).where(F.col("search_mode").isNull() | (F.col("_mode") == F.col("search_mode")))
-    best = met.groupBy(*key, "source_id").agg(F.max("r").alias("relevance"), F.max("c").alias("credibility"), F.max("q").alias("latest_query_id"))
-    best = best.join(sources.select("source_id", "updated_at", "published_at").hint("merge"), "source_id")
+    met = used.join(requests.select(*key, "entity_id", "search_mode", "terms").hint("merge"), "entity_id").where(F.col("search_mode").isNull() | (F.col("_mode") == F.col("search_mode")))
+    met = met.select(*key, "source_id", "query_id", "relevance", "credibility", "terms").join(lookup(held), "source_id").where(F.arrays_overlap("terms", "_held"))
+    best = met.groupBy(*key, "source_id").agg(F.max("relevance").alias("relevance"), F.max("credibility").alias("credibility"), F.max("query_id").alias("latest_query_id"))
+    best = best.join(lookup(dated), "source_id")
     order = [F.desc("relevance"), F.desc("credibility"), F.desc("latest_query_id"), F.col("updated_at").desc_nulls_last(), F.col("published_at").desc_nulls_last(), F.col("source_id")]
-    first = top(best, key, order, 3 * max(1, limit), "_over").drop("updated_at", "published_at")
-    rows = first.join(sources.hint("merge"), "source_id").join(requests.select(*key, "exact_terms", "question_terms").hint("merge"), "query_key")
-    said = F.lower(F.concat_ws(" ", *(F.coalesce(c, F.lit("")) for c in ("title", "content", "site_name", "url"))))
-    some = lambda c: F.exists(F.coalesce(c, F.array().cast("array<string>")), lambda x: F.contains(F.col("_said"), F.lower(x)))
-    rows = rows.withColumn("_said", said).withColumn("url", F.trim("url")).where((F.col("url") != "") & some("exact_terms") & ((F.size(F.coalesce("question_terms", F.array())) == 0) | some("question_terms")))
-    once = top(rows.drop("_said", "exact_terms", "question_terms"), [*key, "url"], [F.col("_over")], 1, "_copy").drop("_copy")
+    first = top(best, key, order, 3 * max(1, limit), "_over")
+    rows = first.join(requests.select(*key, "exact_terms", "question_terms").hint("merge"), "query_key").join(lookup(named), "_row")
+    # an empty term is in every text; a source that holds none of the terms is met by that alone
+    empty = lambda c: F.coalesce(F.array_contains(c, ""), F.lit(False))
+    some = lambda c: empty(c) | F.coalesce(F.arrays_overlap(c, "_names"), F.lit(False))
+    rows = rows.where(some("exact_terms") & ((F.size(F.coalesce("question_terms", F.array())) == 0) | some("question_terms")))
+    once = top(rows.drop("_row", "_names", "exact_terms", "question_terms"), [*key, "url"], [F.col("_over")], 1, "_copy").drop("_copy")
     return top(once, key, [F.col("_over")], limit).drop("_over")
 
 

@@ -418,8 +418,9 @@ SELECT query_key, source_id, url, relevance, credibility, rank FROM (SELECT *, C
 )
 def cached_sources(v, t):
     i, text = F.col("source_id"), lambda c: c.cast("string")
-    s = v("v_sources").join(t("documents").select(F.col("doc_id").alias("source_id"), "text").hint("merge"), "source_id", "left")
-    s = s.select(
+    known = v("v_sources")
+    docs = t("documents").select(F.col("doc_id").alias("source_id"), "text").join(joins.lookup(known.select("source_id")), "source_id", "left_semi")
+    s = known.join(docs.hint("merge"), "source_id", "left").select(
         "source_id", "site_name", F.substring("text", 1, 60).alias("title"), F.col("text").alias("content"), F.concat(F.lit("https://s"), text(i % 9), F.lit(".example/"), text(i % 40)).alias("url"),
         (i % 4).alias("updated_at"), F.when(i % 3 != 0, i % 5).alias("published_at"),
     )

@@ -1,6 +1,7 @@
 """Operators on small hand-made cases and against sequential models."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -220,3 +221,25 @@ def test_no_keyword_is_dropped(spark):
     keywords = spark.createDataFrame([(f"K{i:05d}", "e") for i in range(10_500)], "keyword string, entity string")
     got = payloads.forum_listing(spark.createDataFrame([("b", html)], "board string, html string"), keywords, 2024).collect()
     assert {r.keyword for r in got} == {f"K{i:05d}" for i in range(0, 10_500, 500)}
+
+
+def test_cached_sources_grow_with_cards_and_read_texts_once(spark):
+    """Each of 400 sources holds the term of each of 400 requests, which have one card each; odd terms and sources are met as in a loop."""
+    n = 400
+    requests = spark.createDataFrame([(i, i, None if i % 2 else "a", ["Said", None, ""], ["" if i % 5 == 0 else f"site{i % 3}  HTTP", None], [] if i % 7 else ["zz", "body"]) for i in range(n)], "query_key long, entity_id long, search_mode string, terms array<string>, exact_terms array<string>, question_terms array<string>")
+    queries = spark.createDataFrame([(i, i, "b" if i % 4 == 0 else "a") for i in range(n)], "query_id long, entity_id long, search_mode string")
+    cards = spark.createDataFrame([(i, i, 5, 6) for i in range(n)], "query_id long, source_id long, relevance long, credibility long")
+    source = lambda i: (i, f" http://h/{i}" if i % 11 else "  ", "" if i % 3 else None, "said " + ("body" if i % 2 else "rest") if i % 13 else None, f"Site{i % 4}", 1, None)
+    sources = spark.createDataFrame([source(i) for i in range(n)], "source_id long, url string, title string, content string, site_name string, updated_at long, published_at long")
+    made = lambda: spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+    before = made()
+    out = joins.cached_sources(requests, queries, cards, sources, 4)
+    got = {(r.query_key, r.source_id, r.rank) for r in out.select("query_key", "source_id", "rank").collect()}
+    time.sleep(1)
+    want = set()
+    for i, (_, url, title, content, site, *_rest) in enumerate(map(source, range(n))):
+        said = " ".join([title or "", content or "", site, url]).lower()
+        if "said" in (content or "") and url.strip() and (i % 2 or i % 4) and (i % 5 == 0 or f"site{i % 3}  http" in said) and (i % 7 or "body" in said):
+            want.add((i, i, 1))
+    assert got == want and len(want) > 20
+    assert made() - before < 400_000  # 160,000 pairs of requests and sources take more

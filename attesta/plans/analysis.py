@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attesta.functions import classify as C
-from attesta.functions.text import clean_summary_text, excerpt, normalized, or_discarded, site_of, without_markup
+from attesta.functions.text import clean_summary_text, excerpt, normalized, once, or_discarded, site_of, without_markup
 from attesta.operators.rank import diversify_cards, rank_cards, ranked
 from attesta.operators.store import written
 
@@ -40,6 +40,11 @@ FOLLOW_UP = {
 }
 
 
+def or_else(c: Column, missing: str) -> Column:
+    """The text, or what stands for a missing or empty one."""
+    return once(c, lambda x: F.coalesce(F.nullif(x, F.lit("")), F.lit(missing)))
+
+
 def evidence_cards(results: DataFrame, entity: Column, question: Column, as_of: str, terms: C.Terms = C.Terms(), clean: bool = True, strict: bool = True, variants: Column | None = None) -> DataFrame:
     """One card for each result (query_key, ord, url, title, content, source, source_type, published_date; raw_content or snippet stand
     in for a missing content).
@@ -52,7 +57,7 @@ def evidence_cards(results: DataFrame, entity: Column, question: Column, as_of:
     if clean:  # the one Python step, before the expressions over arrays
         results = results.withColumns({c: normalized(F.col(c)) for c in ("title", "content")})
         results = results.withColumn("content", without_markup(F.col("content"), strict))  # once, for its several uses
-    text = F.coalesce(F.nullif(or_discarded(F.col("content")) if clean else F.col("content"), F.lit("")), F.lit(NO_TEXT))
+    text = or_else(or_discarded(F.col("content")) if clean else F.col("content"), NO_TEXT)
     source = F.coalesce(F.nullif(F.col("source"), F.lit("")), site_of(F.col("url")))
     raw_title = F.coalesce(F.col("title"), F.lit(""))
     title = clean_summary_text(raw_title, normalize=False) if clean else raw_title
@@ -67,8 +72,8 @@ def evidence_cards(results: DataFrame, entity: Column, question: Column, as_of:
     df = df.withColumn("relevance", C.relevance_score(F.col("_entity"), F.col("_question"), F.col("title"), F.col("text"), terms, F.col("_variants")))
     df = df.withColumns({"_s": C.stance_strength(said, F.col("source_type"), F.col("first_hand"), terms), "recency": C.recency_label(F.col("published_date"), F.lit(as_of).cast("date")), "duplicate_risk": C.duplicate_risk(F.col("url"), F.col("_raw_title"))})
     df = df.withColumn("credibility", C.credibility_score(F.col("source_type"), F.col("first_hand"), F.col("relevance"), F.col("recency"), F.col("duplicate_risk")))
-    read = clean_summary_text(F.col("text"), normalize=False) if clean else F.col("text")
-    best = lambda e, q: F.coalesce(F.nullif(excerpt(e, q, read, EXCERPT_WORDS), F.lit("")), F.lit(NO_EXCERPT))
+    df = df.withColumn("_read", clean_summary_text(F.col("text"), normalize=False) if clean else F.col("text"))  # once, for both excerpts
+    best = lambda e, q: or_else(excerpt(e, q, F.col("_read"), EXCERPT_WORDS), NO_EXCERPT)
     df = df.withColumns({"stance": F.col("_s.stance"), "strength": F.col("_s.strength"), "excerpt": best(F.col("_entity"), F.col("_question")), "_best": best(F.lit(""), F.lit(""))})
     return df.select(
         "query_key", "ord", "url", "title", "source", "source_type", F.substring("text", 1, 700).alias("snippet"),

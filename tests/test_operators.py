@@ -243,3 +243,23 @@ def test_cached_sources_grow_with_cards_and_read_texts_once(spark):
             want.add((i, i, 1))
     assert got == want and len(want) > 20
     assert made() - before < 400_000  # 160,000 pairs of requests and sources take more
+
+
+def test_cleaning_skips_no_rule_that_matches(spark):
+    """Rules that are skipped where a text lacks what they need give what all rules in order give, on texts made of what rules look for."""
+    draw = random.Random(11)
+    bits = ["<svg a>x</svg>", "%3C%20%41b", "data:a/b;base64,QUJD", "{a:b}", "function (x) {y}", "var k =", "<b>", "[t](u)", "http://h/p", "%41%42%43", "M10 20.5,3-4 77 8", "\u200b", "\u202e", "\ufeff", "�", "��", "[|", "••", "▪\ufe0e", "==--", "  ", "\t", "\n", "\n\n\n", "\r", "\u2028", "\u0085", " -_:/", "ab…", "word", "Ünï", "$", "⭐", "5%", "\u3000", "𝕏", "☂"]
+    rows = [("".join(draw.choice(bits) for _ in range(draw.randrange(9))),) for _ in range(4000)] + [(None,), ("",), *((b,) for b in bits)]
+    df = spark.createDataFrame(rows, "c string")
+    plain = F.col("c")
+    for i, (pattern, put) in enumerate(text.CONTENT_RULES):
+        plain = F.regexp_replace(plain, r"\p{C}|[^\P{S}⭐☆%]" if i == 18 else pattern, put)
+    pairs = df.select("c", text.without_markup(F.col("c")).alias("got"), plain.alias("want"))
+    assert pairs.where(~F.col("got").eqNullSafe(F.col("want"))).collect() == []
+
+
+def test_cards_clean_a_text_once(spark):
+    """The lines of a text are trimmed once for all that reads them, however often cards name the cleaned text."""
+    df = spark.createDataFrame([(1, 1, "http://h/1", "title", "some text. more text.", "s", None, "2024-01-01")], "query_key long, ord long, url string, title string, content string, source string, source_type string, published_date string")
+    made = analysis.evidence_cards(df, F.lit("x"), F.lit("y"), "2024-02-01").select("excerpt", "summary")._jdf.queryExecution().optimizedPlan().toString()
+    assert made.count("array_sort(") == 2  # one for each excerpt

@@ -206,9 +206,20 @@ def suggest_from(index: dict[str, DataFrame], needles: DataFrame, limit: int = 1
     return short.select(columns).unionByName(long.select(columns))
 
 
-def suggest_entities(needles: DataFrame, entities: DataFrame, limit: int = 10) -> DataFrame:
-    """suggest_from with an index made for this call."""
-    return suggest_from(suggestion_index(entities), needles, limit)
+def suggest_entities(needles: DataFrame, entities: DataFrame, limit: int = 10, gram: int = 12, lookup: int = 500_000) -> DataFrame:
+    """What suggest_from gives, for one call, without an index: the strings of each name and alias that are as long as some needle (or as `gram`
+    characters, for longer ones, which are tested) meet the needles, so that a name only meets needles that it holds. Up to `lookup` needles
+    (counted, and their bytes) are on each executor for it."""
+    asked = needles.select("needle", F.lower(F.trim("needle")).alias("_n")).where("_n <> ''").distinct().withColumn("piece", F.substring("_n", 1, gram))
+    lengths = [r.n for r in asked.select(F.char_length("piece").alias("n")).distinct().collect()]  # at most gram of them
+    labels = F.transform(F.filter(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>"))), lambda x: x.isNotNull()), F.lower)
+    rows = entities.where(F.col("name").isNotNull()).select("name", F.coalesce("reviews", F.lit(0)).cast("long").alias("reviews"), labels.alias("labels"))
+    cut = lambda n: F.flatten(F.transform("labels", lambda x: F.regexp_extract_all(x, F.lit(rf"(?s)(?=(.{{{n}}}))"), 1)))
+    pieces = F.array_distinct(F.concat(F.array().cast("array<string>"), *map(cut, sorted(lengths))))
+    side = F.broadcast(asked) if _fits(asked, lookup, LOOKUP_BYTES) else asked.hint("merge")
+    met = rows.withColumn("piece", F.explode(pieces)).join(side, "piece").where((F.char_length("_n") <= gram) | F.exists("labels", lambda x: F.contains(x, F.col("_n"))))
+    met = met.select("needle", "name", "reviews", F.exists("labels", lambda x: F.startswith(x, F.col("_n"))).alias("starts"))
+    return top(met, ["needle"], [F.desc("starts"), F.desc("reviews"), F.col("name")], max(1, min(50, limit))).select("needle", "name", "reviews", "rank")
 
 
 def exact_cache_hit(requests: DataFrame, queries: DataFrame, summaries: DataFrame, as_of: str, ttl_hours: int) -> DataFrame:

@@ -263,3 +263,15 @@ def test_cards_clean_a_text_once(spark):
     df = spark.createDataFrame([(1, 1, "http://h/1", "title", "some text. more text.", "s", None, "2024-01-01")], "query_key long, ord long, url string, title string, content string, source string, source_type string, published_date string")
     made = analysis.evidence_cards(df, F.lit("x"), F.lit("y"), "2024-02-01").select("excerpt", "summary")._jdf.queryExecution().optimizedPlan().toString()
     assert made.count("array_sort(") == 2  # one for each excerpt
+
+
+def test_suggestions_meet_only_names_that_hold_the_needle(spark):
+    """400 names and 400 needles share each gram of three characters: each needle meets its own name, and one that is longer than a piece is tested."""
+    code = lambda i: "".join("xy"[i >> k & 1] for k in range(9))
+    names = [f"{code(i)}-{'long ' * 3}{i:03d}" for i in range(400)]
+    df = spark.createDataFrame([(n, None, i) for i, n in enumerate(names)], "name string, aliases array<string>, reviews long")
+    asked = [n[:9].upper() for n in names] + [names[7], names[7] + "z"]
+    out = rank.suggest_entities(spark.createDataFrame([(n,) for n in asked], "needle string"), df)
+    assert {(r.needle, r.name, r.rank) for r in out.collect()} == {(n[:9].upper(), n, 1) for n in names} | {(names[7], names[7], 1)}
+    # no table of the best names of each piece, asked for or not, and no join of the names with themselves
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1

@@ -7,6 +7,7 @@ import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -110,6 +111,12 @@ class WordIds:
             known[word] = known[run] + known[marks]
 
 
+@lru_cache(maxsize=1)
+def word_ids(tokenizer: str) -> WordIds:
+    """Kept by a worker for its next tasks, with the words that it knows."""
+    return WordIds(tokenizer)
+
+
 def _pieces(tokenizer: str, sequence: int, end_id: int):
     """mapInArrow function: rows of (doc_id, text) to their pieces."""
     end = np.array([end_id], "<u4").tobytes()
@@ -118,7 +125,7 @@ def _pieces(tokenizer: str, sequence: int, end_id: int):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        ids = WordIds(tokenizer)
+        ids = word_ids(tokenizer)
         for batch in batches:
             texts, rows = batch.column("text"), []
             for first in range(0, len(texts), CALL_TEXTS):

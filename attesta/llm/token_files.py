@@ -5,7 +5,6 @@ from __future__ import annotations
 import uuid
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from attesta.llm.common import shared_dir, shuffle_width
-from attesta.llm.packing import CALL_TEXTS, END_ID, WordIds
+from attesta.llm.packing import CALL_TEXTS, END_ID, word_ids
 
 #: The index file: this name, then as little-endian numbers the bytes of an id (32 bits), documents and ids (64 bits each); then
 #: documents + 1 offsets in ids (64 bits), the documents' ids (64 bits, signed), and a byte for each that is 1 where there is an id.
@@ -34,12 +33,6 @@ def _place(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
     return pyarrow.fs.FileSystem.from_uri(f"{'s3' if scheme in ('s3a', 's3n') else scheme}://{rest}")
 
 
-@lru_cache(maxsize=1)
-def _word_ids(tokenizer: str) -> WordIds:
-    """Kept by a worker for its next tasks, with the words that it knows."""
-    return WordIds(tokenizer)
-
-
 def _write(folder: str, tokenizer: str, end_id: int):
     """mapInArrow function: sorted rows of (doc_id, text) to one file of ids and its index; one row about them."""
 
@@ -47,7 +40,7 @@ def _write(folder: str, tokenizer: str, end_id: int):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        ids = _word_ids(tokenizer)
+        ids = word_ids(tokenizer)
         wide = max(len(ids.ends), end_id + 1) > 1 << 16
         kind, end = np.dtype("<u4" if wide else "<u2"), np.array([end_id], "<u4").tobytes()
         # a task that runs again writes files of other names; only those named by the row that Spark commits are ever read

@@ -1,11 +1,12 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from public_tokenizers import path
 from tokenizers import Tokenizer
 
-from attesta.llm import token_files
+from attesta.llm import packing, token_files
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, shard int, size string"
 WORDS = path("word_bpe_49k.json")
@@ -70,3 +71,12 @@ def test_a_file_of_another_kind_is_refused(tmp_path):
         (tmp_path / f"x.{end}").write_bytes(b"no index of this kind, surely not")
     with pytest.raises(ValueError):
         token_files.TokenFile(str(tmp_path / "x"))
+
+
+def test_a_worker_reads_the_tokenizer_once(monkeypatch):
+    made, batch = [], pa.RecordBatch.from_pydict({"doc_id": pa.array([1, 2]), "text": pa.array(["some words, some", None])})
+    monkeypatch.setattr(packing, "WordIds", lambda path, kind=packing.WordIds: made.append(path) or kind(path))
+    packing.word_ids.cache_clear()
+    first, second = ([b.to_pylist() for b in packing._pieces(WORDS, 4096, 1)(iter([batch]))] for _ in range(2))
+    packing.word_ids.cache_clear()
+    assert first == second and made == [WORDS]

@@ -28,8 +28,8 @@ def _bucket(start: bytes) -> int:
     return zlib.crc32(start) % BUCKETS
 
 
-def bucket_of(word: bytes) -> int:
-    return _bucket(word[:2])
+def buckets_of(words: list[bytes]) -> list[int]:
+    return [_bucket(w[:2]) for w in words]
 
 
 @dataclass
@@ -65,25 +65,44 @@ class Gru:
             at += old.size
         return Gru(**out)
 
-    def step(self, h: np.ndarray, gx: np.ndarray) -> tuple[np.ndarray, ...]:
-        """The next state from the input rows gx of its words, and what the gradients need of it."""
-        a = h @ self.u
-        zr = 1 / (1 + np.exp(-(gx[:, : 2 * HIDDEN] + a[:, : 2 * HIDDEN])))
-        z, r, an = zr[:, :HIDDEN], zr[:, HIDDEN:], a[:, 2 * HIDDEN :]
-        n = np.tanh(gx[:, 2 * HIDDEN :] + r * an)
-        return n + z * (h - n), z, r, n, an
+    def gates(self) -> tuple[np.ndarray, ...]:
+        """x and u of [z, r], and x and u of n, each gate a contiguous array of its own."""
+        xs, us = (np.stack(np.split(a, 3, axis=1)) for a in (self.x, self.u))
+        return xs[:2], us[:2], xs[2], us[2]
+
+    def states(self, h: np.ndarray, ids: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        """For each step of ids (steps x streams) the next state, and what the gradients need of it: z and r, n, n's share of h."""
+        x, u, xn, un = self.gates()
+        for zr, n in zip(np.take(x, ids, axis=1).swapaxes(0, 1), xn[ids]):
+            zr += np.matmul(h, u)
+            np.exp(np.negative(zr, out=zr), out=zr)
+            zr += 1
+            np.reciprocal(zr, out=zr)
+            an = h @ un
+            n += zr[1] * an
+            np.tanh(n, out=n)
+            h = h - n
+            h *= zr[0]
+            h += n
+            yield h, zr, n, an
+
+    def small_logits(self, h: np.ndarray) -> bool:
+        """No logit of states h is so large that its exponential, or a sum of them, leaves the range of a float."""
+        reach = float(np.abs(h).max(initial=0))
+        most = (np.abs(c).sum(axis=axis).max() * reach + np.abs(b).max() for c, b, axis in ((self.c, self.cb, 0), (self.w, self.wb, 2)))
+        return max(most) < 80
 
     def log_probs(self, h: np.ndarray, targets: np.ndarray) -> np.ndarray:
         """Natural log of the probability of each target word, or of its open class."""
-        out, cls = np.empty(len(h), dtype=h.dtype), _classes(targets)
+        out, cls, small = np.empty(len(h), dtype=h.dtype), _classes(targets), self.small_logits(h)
         for at in range(0, len(h), CHUNK):
             part = slice(at, at + CHUNK)
             logits = h[part] @ self.c
             logits += self.cb
-            out[part] = logits[np.arange(len(logits)), cls[part]] - _log_sum(logits)
+            out[part] = logits[np.arange(len(logits)), cls[part]] - _log_sum(logits, small)
         for c, i in _by_class(targets, np.flatnonzero(targets < WORDS)):
             inner = h[i] @ self.w[c].T + self.wb[c]
-            out[i] += inner[np.arange(len(i)), targets[i] % CLASS_WORDS] - _log_sum(inner)
+            out[i] += inner[np.arange(len(i)), targets[i] % CLASS_WORDS] - _log_sum(inner, small)
         return out
 
 
@@ -110,63 +129,72 @@ def _summed(ids: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def _log_sum(logits: np.ndarray) -> np.ndarray:
-    top = logits.max(axis=1)
-    moved = logits - top[:, None]
-    return top + np.log(np.exp(moved, out=moved).sum(axis=1))
+def _exp_sum(logits: np.ndarray, small: bool) -> tuple[np.ndarray, np.ndarray | float]:
+    """Sums of the rows' exponentials, which logits become, and what was taken from logits before: nothing where they are small (as
+    `small_logits` says), else the greatest of each row."""
+    top = 0.0 if small else logits.max(axis=1)
+    if not small:
+        logits -= top[:, None]
+    return np.exp(logits, out=logits) @ np.ones(logits.shape[1], dtype=logits.dtype), top
 
 
-def _softmax_loss(logits: np.ndarray, at: np.ndarray, n: int) -> float:
+def _log_sum(logits: np.ndarray, small: bool) -> np.ndarray:
+    """Of each row; logits become their exponentials."""
+    total, top = _exp_sum(logits, small)
+    return np.log(total) + top
+
+
+def _softmax_loss(logits: np.ndarray, at: np.ndarray, n: int, small: bool) -> float:
     """The loss of the picks `at`, one of each row; logits become its gradients, divided by n."""
     rows = np.arange(len(at))
-    logits -= logits.max(axis=1)[:, None]
-    picked = logits[rows, at].sum(dtype=np.float64)
-    total = np.exp(logits, out=logits).sum(axis=1)
+    picked = logits[rows, at]
+    total, top = _exp_sum(logits, small)
     logits *= (1 / (n * total))[:, None]
     logits[rows, at] -= 1 / n
-    return float(np.log(total).sum(dtype=np.float64) - picked)
+    return float((np.log(total) + top - picked).sum(dtype=np.float64))
 
 
 def gradients(m: Gru, h0: np.ndarray, ids: np.ndarray, targets: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray, float]:
     """Gradients of the mean loss of one window (steps x streams), the last state, the loss."""
     steps, streams = ids.shape
-    hs, saved = [h0], []
-    for gx in m.x[ids]:
-        h, *rest = m.step(hs[-1], gx)
-        hs.append(h)
-        saved.append(rest)
-    flat, y = np.concatenate(hs[1:]), targets.reshape(-1)
-    n, cls, loss, dflat = len(y), _classes(y), 0.0, np.empty_like(flat)
-    g = {k: np.zeros_like(getattr(m, k)) for k in ("c", "cb", "w", "wb", "u")}
+    hs, zr, nn, an = map(np.stack, zip(*m.states(h0, ids)))
+    before, z, r = np.concatenate((h0[None], hs[:-1])), zr[:, 0], zr[:, 1]
+    flat, y = hs.reshape(-1, HIDDEN), targets.reshape(-1)
+    n, cls, loss, dflat, small = len(y), _classes(y), 0.0, np.empty_like(flat), m.small_logits(flat)
+    g = {k: np.zeros_like(getattr(m, k)) for k in ("c", "cb", "w", "wb")}
     for at in range(0, n, CHUNK):
         part = slice(at, at + CHUNK)
         dl = flat[part] @ m.c
         dl += m.cb
-        loss += _softmax_loss(dl, cls[part], n)
+        loss += _softmax_loss(dl, cls[part], n, small)
         g["c"] += flat[part].T @ dl
-        g["cb"] += dl.sum(axis=0)
+        g["cb"] += np.ones(len(dl), dtype=dl.dtype) @ dl
         dflat[part] = dl @ m.c.T
     for c, i in _by_class(y, np.flatnonzero(y < WORDS)):
         hi = flat[i]
         di = hi @ m.w[c].T
         di += m.wb[c]
-        loss += _softmax_loss(di, y[i] % CLASS_WORDS, n)
+        loss += _softmax_loss(di, y[i] % CLASS_WORDS, n, small)
         g["w"][c], g["wb"][c] = di.T @ hi, di.sum(axis=0)
         dflat[i] += di @ m.w[c]
+    # what the gradient of each state is multiplied with, for all steps at once
+    by_n = (1 - z) * (1 - nn * nn)
+    by_z = (before - nn) * z * (1 - z)
+    by_r = an * r * (1 - r)
     dh = np.zeros_like(h0)
     dflat = dflat.reshape(steps, streams, HIDDEN)
-    dx = np.empty((steps, streams, 3 * HIDDEN), dtype=flat.dtype)
+    dx, da = (np.empty((steps, streams, 3 * HIDDEN), dtype=flat.dtype) for _ in "xa")
     for t in range(steps - 1, -1, -1):
-        z, r, nn, an = saved[t]
-        h = hs[t]
         dh = dh + dflat[t]
-        dn = dh * (1 - z) * (1 - nn * nn)
-        dx[t, :, :HIDDEN] = dz = dh * (h - nn) * z * (1 - z)
-        dx[t, :, HIDDEN : 2 * HIDDEN] = dr = dn * an * r * (1 - r)
+        dn = dh * by_n[t]
+        np.multiply(dh, by_z[t], out=da[t, :, :HIDDEN])
+        np.multiply(dn, by_r[t], out=da[t, :, HIDDEN : 2 * HIDDEN])
+        np.multiply(dn, r[t], out=da[t, :, 2 * HIDDEN :])
         dx[t, :, 2 * HIDDEN :] = dn
-        da = np.concatenate((dz, dr, dn * r), axis=1)
-        g["u"] += h.T @ da
-        dh = dh * z + da @ m.u.T
+        dh *= z[t]
+        dh += da[t] @ m.u.T
+    dx[:, :, : 2 * HIDDEN] = da[:, :, : 2 * HIDDEN]
+    g["u"] = before.reshape(-1, HIDDEN).T @ da.reshape(-1, 3 * HIDDEN)
     g["x"] = _summed(ids.reshape(-1), dx.reshape(-1, 3 * HIDDEN), INPUTS)
     return g, hs[-1], loss / n
 
@@ -200,7 +228,7 @@ def train(m: Gru, stream: np.ndarray, passes: int = 1) -> Gru:
     return m
 
 
-def score_sequences(m: Gru, sequences: list[np.ndarray], cells: int = 1_000_000, window: int = 64, most: int = 512) -> np.ndarray:
+def score_sequences(m: Gru, sequences: list[np.ndarray], cells: int = 2_000_000, window: int = 32, most: int = 2048) -> np.ndarray:
     """Natural log probability of each sequence of ids, each from the start state (the end id 0 before it).
 
     The state is carried over windows to the end of the sequence, whatever its length; sequences of like
@@ -221,10 +249,8 @@ def score_sequences(m: Gru, sequences: list[np.ndarray], cells: int = 1_000_000,
         for t0 in range(0, longest, window):
             live = int((lengths > t0).sum())  # lengths descend
             steps = min(window, longest - t0)
-            h, hs = h[:live], []
-            for gx in m.x[ids[t0 : t0 + steps, :live]]:
-                h = m.step(h, gx)[0]
-                hs.append(h)
+            hs = [state[0] for state in m.states(h[:live], ids[t0 : t0 + steps, :live])]
+            h = hs[-1]
             valid = (np.arange(t0, t0 + steps)[:, None] < lengths[None, :live]).reshape(-1)
             owner = np.tile(np.arange(live), steps)[valid]
             lp = m.log_probs(np.concatenate(hs)[valid], ids[t0 + 1 : t0 + steps + 1, :live].reshape(-1)[valid])

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -17,8 +18,8 @@ from attesta.llm.toxicity import fold_of
 
 #: Words whose counts tasks hold, at most; words of others are looked up by a join. Distinct words of a task's partial counts.
 HEAD_WORDS, PARTIAL_WORDS = 100_000, 200_000
-#: Tokens of one shard of training, about; documents that are scored at once; words that a worker remembers.
-SHARD_TOKENS, SCORED_AT_ONCE, MEMO_WORDS = 1_000_000, 2048, 150_000
+#: Tokens of one shard of training, about; documents that are scored at once.
+SHARD_TOKENS, SCORED_AT_ONCE = 1_000_000, 5000
 #: The end of a text is the word that no text holds; its id is 0.
 END_WORD = b""
 
@@ -61,35 +62,29 @@ def _head(counts: DataFrame) -> dict[bytes, int]:
         least = r.n
     if least is None:
         return {}
-    return {r.token.encode(): r.n for r in counts.where(F.col("n") >= least).toLocalIterator()}
+    rows = sorted(counts.where(F.col("n") >= least).toLocalIterator(), key=lambda r: (-r.n, r.token))
+    return {r.token.encode(): r.n for r in rows}  # frequent words lie side by side in a task's memory
 
 
 class Vocabulary:
-    """Ids of the recurrent model and counts of words, by a memo of bounded size."""
-
-    def __init__(self, words: list[bytes], head: dict[bytes, int], slots: int = MEMO_WORDS):
-        self.ids, self.head, self.slots = {w: i for i, w in enumerate(words)}, head, slots
-        self.clear()
-
-    def clear(self) -> None:
-        self.memo: dict[bytes, int] = {}
-        self.words: list[bytes] = []
-        self.model_ids = np.zeros(self.slots, dtype=np.int32)
-        self.counts = np.zeros(self.slots, dtype=np.int64)  # -1: to be looked up
-
-    def sequence(self, found: list[bytes]) -> np.ndarray:
-        """Slots of the words of a text."""
-        if len(self.memo) + len(found) > self.slots:
-            self.slots = max(self.slots, len(found) + 1)
-            self.clear()
-        memo = self.memo
-        for w in found:
-            if w not in memo:
-                k = memo[w] = len(memo)
-                self.words.append(w)
-                self.model_ids[k] = self.ids.get(w, gru.WORDS + gru.bucket_of(w))
-                self.counts[k] = self.head.get(w, -1)
-        return np.fromiter(map(memo.__getitem__, found), dtype=np.int64, count=len(found))
+    """Ids of the recurrent model and counts of words. Held are the words of the model and of head; any other has its open class alone,
+    so that a task's memory doesn't grow with its words and none of them is learnt anew."""
+
+    def __init__(self, words: list[bytes], head: dict[bytes, int]):
+        held = list(dict.fromkeys([*words, *head]))
+        self.slots = {w: k for k, w in enumerate(held)}
+        opened = [gru.WORDS + b for b in gru.buckets_of(held[len(words) :])]
+        self.model_ids = np.array([*range(len(words)), *opened], dtype=np.int32)
+        counts = np.array([*(head.get(w, 0) for w in held), 0])  # the last one is for words that are not held, which are looked up later
+        self.counted, self.logs = counts > 0, np.log10(counts + 1.0)
+
+    def sequence(self, found: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        """Slots (-1: not held) and model ids of the words of a text, and those of its words that are not held."""
+        slots = np.fromiter(map(self.slots.get, found, repeat(-1)), dtype=np.int64, count=len(found))
+        ids, places = self.model_ids[slots], np.flatnonzero(slots < 0)
+        others = [found[i] for i in places.tolist()]
+        ids[places] = gru.WORDS + np.array(gru.buckets_of(others), dtype=np.int32)
+        return slots, ids, others
 
 
 def _train(model: gru.Gru, words: list[bytes], passes: int):
@@ -99,8 +94,7 @@ def _train(model: gru.Gru, words: list[bytes], passes: int):
         texts, end = group.column("text"), np.zeros(1, dtype=np.int32)
         pieces = [end]
         for i in order.tolist():
-            slots = vocabulary.sequence(tokens(texts[i].as_py()))
-            pieces += [vocabulary.model_ids[slots], end]
+            pieces += [vocabulary.sequence(tokens(texts[i].as_py()))[1], end]
         stream = np.concatenate(pieces)
         trained = gru.train(model, stream, passes)
         return pa.table({"n": pa.array([len(stream)], pa.int64()), "weights": pa.array([trained.flat().astype(float)], pa.list_(pa.float64()))})
@@ -144,23 +138,20 @@ def _score(model: gru.Gru, words: list[bytes], head: dict[bytes, int], open_logs
         offsets, rare, times = [0], [], []  # the words that are looked up, by document
         for text in batch.column("text"):
             found = tokens(text.as_py())
-            slots = vocabulary.sequence(found)
-            ids, counts = vocabulary.model_ids[slots], vocabulary.counts[slots]
+            slots, ids, others = vocabulary.sequence(found)
             sequences.append(np.append(ids, np.int32(0)))
-            there = counts >= 0
-            logs_of = np.log10(counts[there] + 1.0)
-            opened = ids >= gru.WORDS
+            logs_of, opened = vocabulary.logs[slots], ids >= gru.WORDS
             n.append(len(found) + 1)
-            known.append(int((counts > 0).sum()) + int(ends > 0))
+            known.append(int(np.count_nonzero(vocabulary.counted[slots])) + int(ends > 0))
             logs.append(float(logs_of.sum()) + math.log10(ends + 1))
             # an open word has (count + 1) of its class's share; what counts are looked up comes later
-            fixed.append(float(logs_of[opened[there]].sum() - open_logs[ids[opened] - gru.WORDS].sum()))
-            k, often = np.unique(slots[~there], return_counts=True)
-            rare += [vocabulary.words[i].decode("utf-8", "replace") for i in k.tolist()]
-            times.append(often)
+            fixed.append(float(logs_of[opened].sum() - open_logs[ids[opened] - gru.WORDS].sum()))
+            often = Counter(others)
+            rare += [w.decode("utf-8", "replace") for w in often]
+            times += often.values()
             offsets.append(len(rare))
         scores = gru.score_sequences(model, sequences) / math.log(10) + np.array(fixed)
-        looked_up = pa.StructArray.from_arrays([pa.array(rare, pa.string()), pa.array(np.concatenate([np.zeros(0, np.int64), *times]).astype(np.int64))], ["token", "times"])
+        looked_up = pa.StructArray.from_arrays([pa.array(rare, pa.string()), pa.array(times, pa.int64())], ["token", "times"])
         rest = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), looked_up)
         columns = [batch.column("uid"), batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(logs, pa.float64()), pa.array(scores, pa.float64()), rest]
         return pa.RecordBatch.from_arrays(columns, ["uid", "doc_id", "n_tokens", "known", "logs", "model", "rest"])

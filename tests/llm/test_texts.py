@@ -281,3 +281,25 @@ def test_blocks_hold_no_more_than_their_bound_of_equal_rows(spark, monkeypatch):
     out = packing.pack(packing.stored(pieces, "equal"), 4096)
     loads = out.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.count("*").alias("k"), F.countDistinct("offset").alias("d")).collect()
     assert sum(r.k for r in loads) == 100_000 and all(r.n <= 4096 and r.d == r.k for r in loads) and len(loads) <= 80
+
+
+def test_words_that_are_not_held_are_not_learnt():
+    vocabulary = language_model.Vocabulary([b"", b"the"], {b"the": 5, b"held": 2})
+    slots, ids, others = vocabulary.sequence([b"held", b"new1", b"the", b"new2", b"new1"])
+    assert others == [b"new1", b"new2", b"new1"] and len(vocabulary.slots) == 3
+    assert ids.tolist() == [gru.WORDS + b if b >= 0 else 1 for b in (*gru.buckets_of([b"held", b"new1"]), -1, *gru.buckets_of([b"new2", b"new1"]))]
+    assert vocabulary.counted[slots].tolist() == [True, False, True, False, False]
+    assert np.allclose(vocabulary.logs[slots], np.log10([3, 1, 6, 1, 1]))
+
+
+def test_large_logits_stay_finite():
+    draw = np.random.default_rng(4)
+    m = gru.Gru.start(draw.integers(1, 100, gru.INPUTS).astype(float))
+    h = draw.normal(0, 1, gru.HIDDEN).astype(np.float32)
+    assert m.small_logits(h)
+    m.c, m.w = m.c * np.float32(900), m.w * np.float32(900)
+    assert not m.small_logits(h)
+    found = m.log_probs(np.tile(h, (gru.INPUTS, 1)), np.arange(gru.INPUTS))
+    assert np.isfinite(found).all() and abs(np.exp(found.astype(float)).sum() - 1) < 1e-4
+    g, _, loss = gru.gradients(m, np.tile(h, (4, 1)), np.zeros((3, 4), int), draw.integers(0, gru.INPUTS, (3, 4)))
+    assert np.isfinite(loss) and all(np.isfinite(v).all() for v in g.values())

@@ -1,3 +1,4 @@
+import os
 import random
 import re
 from collections import defaultdict
@@ -188,3 +189,22 @@ def test_mixed_members_meet_exactly(spark):
     got = {(r.a, r.b) for r in lines._across(members, spark.createDataFrame(rows, "line_id long, line string")).collect()}
     want = {(a, b) for a, x in rows for b, y in rows if a < b and jaccard(x, y) >= 0.8}
     assert want <= got and want
+
+
+def test_lines_less_alike_than_the_bound_are_few_pairs(spark, monkeypatch):
+    draw = random.Random(9)
+    base = ["".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(16)]
+    rows = []
+    for i in range(300):  # any two are about 0.6 to 0.75 alike
+        words = list(base)
+        words[draw.randrange(16)] = "".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(14))
+        rows.append((i, " ".join(words)))
+    rows += [(300 + i, rows[i][1] + "xy") for i in range(20)]
+    tables = {}
+    monkeypatch.setattr(lines, "stored", lambda df, name, stored=lines.stored: tables.setdefault(name, []).append(stored(df, name)) or tables[name][-1])
+    counts = []
+    monkeypatch.setattr(lines, "_verified", lambda pairs, texts, verified=lines._verified: counts.append(pairs.count()) or verified(pairs, texts))
+    out = {r.doc_id: r.text for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(out[300 + i] == "" for i in range(20)) >= 19
+    assert counts[-1] <= 10 * len(rows)
+    assert not any(t.inputFiles() and os.path.exists(t.inputFiles()[0].removeprefix("file:")) for t in (*tables["lines"], *tables["compared-lines"], *tables["candidate-lines"]))

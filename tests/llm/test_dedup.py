@@ -7,7 +7,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
-from attesta.llm import components, lines, simhash
+from attesta.llm import common, components, lines, simhash
 
 
 class Sets:
@@ -208,3 +208,38 @@ def test_lines_less_alike_than_the_bound_are_few_pairs(spark, monkeypatch):
     assert sum(out[300 + i] == "" for i in range(20)) >= 19
     assert counts[-1] <= 10 * len(rows)
     assert not any(t.inputFiles() and os.path.exists(t.inputFiles()[0].removeprefix("file:")) for t in (*tables["lines"], *tables["compared-lines"], *tables["candidate-lines"]))
+
+
+def test_signatures_agree_as_counted_one_by_one(spark):
+    draw = random.Random(4)
+    pairs = [([draw.randrange(256) for _ in range(28)], draw.randrange(29)) for _ in range(300)]
+    pairs += [([at] * 28, same) for at in (0, 127, 128, 255) for same in (14, 15, 28)]
+    rows = []
+    for i, (x, same) in enumerate(pairs):
+        y = [v if k < same else draw.choice([v ^ 1, v ^ 128, v ^ 255, (v + 1) % 256]) for k, v in enumerate(x)]
+        packed = [tuple(int.from_bytes(bytes(v[7 * w : 7 * w + 7])) for w in range(4)) for v in (x, y)]
+        rows.append((i, *packed))
+    sketch = "struct<s0:long,s1:long,s2:long,s3:long>"
+    got = {r.i: r.likely for r in spark.createDataFrame(rows, f"i long, x {sketch}, y {sketch}").select("i", lines._agreeing().alias("likely")).collect()}
+    assert got == {i: same >= lines.AGREEING for i, (_, same) in enumerate(pairs)}
+
+
+def test_buckets_in_which_few_signatures_agree_meet_pair_by_pair(spark, monkeypatch):
+    draw = random.Random(5)
+    urls = ["https://www.example.com/shop/" + "".join(draw.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(30)) for _ in range(400)]
+    copies = [u[:-1] + "_" for u in urls[:50]]
+    across = []
+    monkeypatch.setattr(lines, "_across", lambda members, texts, find=lines._across: across.append(members.count()) or find(members, texts))
+    rows = list(enumerate(urls + copies))
+    out = {r.doc_id: r.text for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(out[i] == u for i, u in enumerate(urls)) and sum(out[400 + i] == "" for i in range(50)) >= 49
+    assert across == [0]
+
+
+def test_shuffle_files_go_with_the_query_that_made_them(spark):
+    local = spark.conf.get("spark.local.dir")
+    files = lambda: {os.path.join(d, f) for d, _, found in os.walk(local) for f in found if f.startswith("shuffle_")}
+    before, set_before = files(), spark.conf.get(common.SHUFFLES_GO, None)
+    table = common.stored(spark.range(1000).groupBy((F.col("id") % 100).alias("k")).count(), "counts")
+    assert table.count() == 100 and not {f for f in files() - before if os.path.getsize(f) > 1000}
+    assert spark.conf.get(common.SHUFFLES_GO, None) == set_before

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,6 +31,8 @@ MIN_DOCS, MIN_SHARE, MIN_LIFT = 5, 0.001, 8.0
 LEXICONS = 8
 #: Labelled rows that the classifier is fitted on, about (drawn by a hash of doc_id).
 FIT_ROWS = 20_000
+#: Texts of a batch that are strings at once.
+TEXTS_AT_ONCE = 256
 #: Rows of labels that a join may broadcast (two small values each).
 LABEL_ROWS = 1_000_000
 #: How often a label is taken to be wrong, at least.
@@ -228,12 +231,26 @@ def fit_linear(features: list[list[int]], target: np.ndarray, terms: int, rounds
     return w, float(b)
 
 
+def _texts(batch: pa.RecordBatch) -> Iterator[str]:
+    """The texts of a batch, of which TEXTS_AT_ONCE are strings at a time: what a worker once took it keeps."""
+    for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
+        for text in batch.column("text").slice(at, TEXTS_AT_ONCE).to_pylist():
+            yield text or ""
+    pa.default_memory_pool().release_unused()
+
+
 def _featurize(terms: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Featurizer(terms)
         for batch in batches:
-            found = [features(t or "") for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([f for f, _ in found], pa.list_(pa.int32())), pa.array([p for _, p in found], pa.int32())], ["doc_id", "places", "pattern"])
+            places, patterns, offsets = array("i"), array("i"), array("i", [0])
+            for text in _texts(batch):
+                found, pattern = features(text)
+                places.extend(found)
+                patterns.append(pattern)
+                offsets.append(len(places))
+            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(places, pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists, pa.array(patterns, pa.int32())], ["doc_id", "places", "pattern"])
 
     return run
 
@@ -281,7 +298,7 @@ def _score(model: ToxicityModel, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Featurizer(model.terms)
         for batch in batches:
-            scores = [model.score(features(t or "")[0]) for t in batch.column("text").to_pylist()]
+            scores = [model.score(features(text)[0]) for text in _texts(batch)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, name])
 
     return run

@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -303,3 +304,31 @@ def test_large_logits_stay_finite():
     assert np.isfinite(found).all() and abs(np.exp(found.astype(float)).sum() - 1) < 1e-4
     g, _, loss = gru.gradients(m, np.tile(h, (4, 1)), np.zeros((3, 4), int), draw.integers(0, gru.INPUTS, (3, 4)))
     assert np.isfinite(loss) and all(np.isfinite(v).all() for v in g.values())
+
+
+def test_logits_of_a_window_are_multiplied_by_nothing(monkeypatch):
+    draw = np.random.default_rng(6)
+    m = gru.Gru.start(draw.integers(1, 100, gru.INPUTS).astype(float))
+    ids, targets = draw.integers(0, gru.INPUTS, (2, 6, 4))
+    kept = []
+
+    def loss(logits, at, *others, found=gru._softmax_loss):
+        out = found(logits, at, *others)
+        kept.append((logits.copy(), at, out))
+        return out
+
+    monkeypatch.setattr(gru, "_softmax_loss", loss)
+    g, _, mean = gru.gradients(m, np.zeros((4, gru.HIDDEN), dtype=np.float32), ids, targets)
+    for logits, at, (_, total) in kept:  # rows are softmaxes less their picks, times their totals
+        assert np.allclose(logits.sum(axis=1), 0, atol=1e-3 * total.max()) and (logits[np.arange(len(at)), at] < 0).all()
+    assert np.isclose(g["cb"].sum(), 0, atol=1e-5) and mean > 0 and g["w"].shape == m.w.shape and g["wb"].shape == m.wb.shape
+
+
+def test_texts_are_few_strings_at_once(monkeypatch):
+    monkeypatch.setattr(toxicity, "TEXTS_AT_ONCE", 2)
+    texts = ["a stupid idiot", None, "", "you idiot", "fine words"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5)), pa.array(texts, pa.string())], ["doc_id", "text"])
+    assert list(toxicity._texts(batch)) == [t or "" for t in texts]
+    got = next(toxicity._featurize(["idiot", "fine"])(iter([batch])))
+    want = [toxicity.Featurizer(["idiot", "fine"])(t or "") for t in texts]
+    assert got.column("places").to_pylist() == [list(f) for f, _ in want] and got.column("pattern").to_pylist() == [p for _, p in want]

@@ -92,27 +92,37 @@ class Gru:
         most = (np.abs(c).sum(axis=axis).max() * reach + np.abs(b).max() for c, b, axis in ((self.c, self.cb, 0), (self.w, self.wb, 2)))
         return max(most) < 80
 
+    def output(self) -> tuple[np.ndarray, np.ndarray]:
+        """c and w, each with its biases as one more value of the state, which is 1."""
+        return np.concatenate((self.c, self.cb[None])), np.concatenate((self.w, self.wb[:, :, None]), axis=2)
+
     def log_probs(self, h: np.ndarray, targets: np.ndarray) -> np.ndarray:
         """Natural log of the probability of each target word, or of its open class."""
         out, cls, small = np.empty(len(h), dtype=h.dtype), _classes(targets), self.small_logits(h)
+        h, (c_, w_) = _with_ones(h), self.output()
         for at in range(0, len(h), CHUNK):
             part = slice(at, at + CHUNK)
-            logits = h[part] @ self.c
-            logits += self.cb
+            logits = h[part] @ c_
             out[part] = logits[np.arange(len(logits)), cls[part]] - _log_sum(logits, small)
         for c, i in _by_class(targets, np.flatnonzero(targets < WORDS)):
-            inner = h[i] @ self.w[c].T + self.wb[c]
+            inner = h[i] @ w_[c].T
             out[i] += inner[np.arange(len(i)), targets[i] % CLASS_WORDS] - _log_sum(inner, small)
         return out
 
 
+def _with_ones(h: np.ndarray) -> np.ndarray:
+    out = np.ones((len(h), HIDDEN + 1), dtype=h.dtype)
+    out[:, :HIDDEN] = h
+    return out
+
+
 def _classes(targets: np.ndarray) -> np.ndarray:
     return np.where(targets < WORDS, targets // CLASS_WORDS, targets - WORDS + WORDS // CLASS_WORDS)
 
 
 def _by_class(targets: np.ndarray, places: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """The places of listed words by their class, one product for each class."""
-    cls = targets[places] // CLASS_WORDS
+    cls = (targets[places] // CLASS_WORDS).astype(np.int16)  # short numbers are sorted by their digits
     order = np.argsort(cls, kind="stable")
     bounds = np.searchsorted(cls[order], np.arange(WORDS // CLASS_WORDS + 1))
     for c in range(WORDS // CLASS_WORDS):
@@ -122,10 +132,12 @@ def _by_class(targets: np.ndarray, places: np.ndarray) -> Iterator[tuple[int, np
 
 def _summed(ids: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
     """Sum of the rows of each id."""
+    ids = ids.astype(np.int16)
     order = np.argsort(ids, kind="stable")
-    found, first = np.unique(ids[order], return_index=True)
+    found = ids[order]
+    first = np.flatnonzero(np.diff(found, prepend=-1))
     out = np.zeros((size, rows.shape[1]), dtype=rows.dtype)
-    out[found] = np.add.reduceat(rows[order], first, axis=0)
+    out[found[first]] = np.add.reduceat(rows[order], first, axis=0)
     return out
 
 
@@ -144,14 +156,13 @@ def _log_sum(logits: np.ndarray, small: bool) -> np.ndarray:
     return np.log(total) + top
 
 
-def _softmax_loss(logits: np.ndarray, at: np.ndarray, n: int, small: bool) -> float:
-    """The loss of the picks `at`, one of each row; logits become its gradients, divided by n."""
+def _softmax_loss(logits: np.ndarray, at: np.ndarray, small: bool) -> tuple[float, np.ndarray]:
+    """The loss of the picks `at`, one of each row, and what each row is to be divided by: logits become their gradients times that."""
     rows = np.arange(len(at))
     picked = logits[rows, at]
     total, top = _exp_sum(logits, small)
-    logits *= (1 / (n * total))[:, None]
-    logits[rows, at] -= 1 / n
-    return float((np.log(total) + top - picked).sum(dtype=np.float64))
+    logits[rows, at] -= total
+    return float((np.log(total) + top - picked).sum(dtype=np.float64)), total
 
 
 def gradients(m: Gru, h0: np.ndarray, ids: np.ndarray, targets: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray, float]:
@@ -161,22 +172,26 @@ def gradients(m: Gru, h0: np.ndarray, ids: np.ndarray, targets: np.ndarray) -> t
     before, z, r = np.concatenate((h0[None], hs[:-1])), zr[:, 0], zr[:, 1]
     flat, y = hs.reshape(-1, HIDDEN), targets.reshape(-1)
     n, cls, loss, dflat, small = len(y), _classes(y), 0.0, np.empty_like(flat), m.small_logits(flat)
-    g = {k: np.zeros_like(getattr(m, k)) for k in ("c", "cb", "w", "wb")}
+    (c_, w_), ones = m.output(), _with_ones(flat)
+    gc, gw = np.zeros_like(c_), np.zeros_like(w_)
     for at in range(0, n, CHUNK):
         part = slice(at, at + CHUNK)
-        dl = flat[part] @ m.c
-        dl += m.cb
-        loss += _softmax_loss(dl, cls[part], n, small)
-        g["c"] += flat[part].T @ dl
-        g["cb"] += np.ones(len(dl), dtype=dl.dtype) @ dl
-        dflat[part] = dl @ m.c.T
+        hi = ones[part]
+        dl = hi @ c_
+        lost, total = _softmax_loss(dl, cls[part], small)
+        loss += lost
+        share = (1 / (n * total))[:, None]  # is taken by the state's few values, not by all logits
+        gc += (hi * share).T @ dl
+        np.multiply(dl @ m.c.T, share, out=dflat[part])
     for c, i in _by_class(y, np.flatnonzero(y < WORDS)):
-        hi = flat[i]
-        di = hi @ m.w[c].T
-        di += m.wb[c]
-        loss += _softmax_loss(di, y[i] % CLASS_WORDS, n, small)
-        g["w"][c], g["wb"][c] = di.T @ hi, di.sum(axis=0)
-        dflat[i] += di @ m.w[c]
+        hi = ones[i]
+        di = hi @ w_[c].T
+        lost, total = _softmax_loss(di, y[i] % CLASS_WORDS, small)
+        loss += lost
+        share = (1 / (n * total))[:, None]
+        gw[c] = di.T @ (hi * share)
+        dflat[i] += (di @ m.w[c]) * share
+    g = {"c": gc[:HIDDEN], "cb": gc[HIDDEN], "w": gw[:, :, :HIDDEN], "wb": gw[:, :, HIDDEN]}
     # what the gradient of each state is multiplied with, for all steps at once
     by_n = (1 - z) * (1 - nn * nn)
     by_z = (before - nn) * z * (1 - z)

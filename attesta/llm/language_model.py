@@ -19,7 +19,7 @@ from attesta.llm.toxicity import fold_of
 #: Words whose counts tasks hold, at most; words of others are looked up by a join. Distinct words of a task's partial counts.
 HEAD_WORDS, PARTIAL_WORDS = 100_000, 200_000
 #: Tokens of one shard of training, about; documents that are scored at once.
-SHARD_TOKENS, SCORED_AT_ONCE = 1_000_000, 5000
+SHARD_TOKENS, SCORED_AT_ONCE = 1_000_000, 10_000
 #: The end of a text is the word that no text holds; its id is 0.
 END_WORD = b""
 

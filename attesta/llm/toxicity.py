@@ -33,6 +33,8 @@ LEXICONS = 8
 FIT_ROWS = 20_000
 #: Texts of a batch that are strings at once.
 TEXTS_AT_ONCE = 256
+#: Rows of a batch of whole documents that goes to a worker.
+WORKER_ROWS = 1000
 #: Rows of labels that a join may broadcast (two small values each).
 LABEL_ROWS = 1_000_000
 #: How often a label is taken to be wrong, at least.
@@ -272,7 +274,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     terms = mined_terms(marked if not labels.isEmpty() else _seeded(texts))
     votes = texts.mapInArrow(_featurize(terms), "doc_id long, places array<int>, pattern int")
     votes = lookup_join(votes, labels, F.col("doc_id") == F.col("_labelled"), "left", rows=LABEL_ROWS)
-    votes = stored(votes.select("doc_id", "places", "pattern", F.coalesce("toxic", F.lit(-1)).alias("label")), "votes")
+    votes = stored(votes.select("doc_id", "places", "pattern", F.coalesce("toxic", F.lit(-1)).alias("label")), "votes", WORKER_ROWS)
     patterns = votes.groupBy("pattern", "label").agg(F.count("*").alias("n")).toPandas()
     bits = np.array([[p >> k & 1 for k in range(len(VOTERS))] for p in patterns["pattern"]], dtype=bool).reshape(-1, len(VOTERS))
     model = fit_label_model(bits, patterns["n"].to_numpy(float), patterns["label"].to_numpy(int))

@@ -4,6 +4,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import functions as F
 
@@ -243,3 +244,10 @@ def test_shuffle_files_go_with_the_query_that_made_them(spark):
     table = common.stored(spark.range(1000).groupBy((F.col("id") % 100).alias("k")).count(), "counts")
     assert table.count() == 100 and not {f for f in files() - before if os.path.getsize(f) > 1000}
     assert spark.conf.get(common.SHUFFLES_GO, None) == set_before
+
+
+def test_batches_of_a_stored_table_are_as_small_as_asked(spark):
+    sizes = lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], ["n"]) for b in batches)
+    before = spark.conf.get(common.BATCH_ROWS)
+    rows = [r.n for r in common.stored(spark.range(0, 1000, 1, 2).mapInArrow(sizes, "n long"), "sizes", batch_rows=70).collect()]
+    assert sum(rows) == 1000 and max(rows) == 70 and spark.conf.get(common.BATCH_ROWS) == before

@@ -5,6 +5,7 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import xxhash
 from pyspark.sql import functions as F
 
@@ -251,3 +252,9 @@ def test_batches_of_a_stored_table_are_as_small_as_asked(spark):
     before = spark.conf.get(common.BATCH_ROWS)
     rows = [r.n for r in common.stored(spark.range(0, 1000, 1, 2).mapInArrow(sizes, "n long"), "sizes", batch_rows=70).collect()]
     assert sum(rows) == 1000 and max(rows) == 70 and spark.conf.get(common.BATCH_ROWS) == before
+
+
+def test_tables_with_texts_are_packed(spark):
+    for table, codec in ((common.stored(spark.createDataFrame([("some text",)], "text string"), "texts"), "ZSTD"), (common.stored(spark.range(9), "ids"), "SNAPPY")):
+        files = [f.removeprefix("file:") for f in table.inputFiles()]
+        assert {pq.ParquetFile(f).metadata.row_group(0).column(0).compression for f in files if pq.ParquetFile(f).metadata.num_row_groups} == {codec}

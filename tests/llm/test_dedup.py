@@ -254,6 +254,29 @@ def test_batches_of_a_stored_table_are_as_small_as_asked(spark):
     assert sum(rows) == 1000 and max(rows) == 70 and spark.conf.get(common.BATCH_ROWS) == before
 
 
+def test_lines_little_alike_share_few_bands(spark, monkeypatch):
+    draw = random.Random(12)
+    rows = []
+    for i in range(2 * 600):  # pairs: of the odd ones each value differs from that before with probability 0.2, of all others nearly all
+        values = [v if i % 2 and draw.random() < 0.8 else draw.randrange(256) for v in (values if i % 2 else [0] * 28)]
+        rows.append((i, *(int.from_bytes(bytes(values[w::4][::-1])) for w in range(4))))
+    few = spark.createDataFrame(rows, "line_id long, s0 long, s1 long, s2 long, s3 long").select("line_id", F.struct("s0", "s1", "s2", "s3").alias("sketch"))
+    for lines_there, keys, least in ((1000, 14, 0.96), (lines.MANY_LINES, 28, 0.97)):
+        got = {r.line_id: set(r.k) for r in few.select("line_id", lines._band_keys(lines_there).alias("k")).collect()}
+        assert all(len(k) == keys for k in got.values())
+        assert sum(bool(got[i] & got[i + 1]) for i in range(0, 1200, 2)) >= least * 600
+        assert sum(len(got[i] & got[i + 3]) for i in range(0, 1196, 2)) == 0
+    draw = random.Random(12)
+    syllables = ["en", "er", "ch", "ein", "ung", "keit", "sch", "ver", "ge", "be", "auf", "lich", "heit", "zu", "und", "die", "der", "das", "ist", "st"]
+    texts = [" ".join("".join(draw.choice(syllables) for _ in range(draw.randrange(1, 4))) for _ in range(60)) for _ in range(500)]
+    members = []
+    monkeypatch.setattr(lines, "stored", lambda df, name, stored=lines.stored: members.append((name, stored(df, name))) or members[-1][1])
+    found = lines._lines(lines._keyed(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    monkeypatch.setattr(lines, "dropped", lambda *tables: None)
+    assert lines.line_links(found, lines.distinct_lines(found)).count() == 0
+    assert next(t.count() for name, t in members if name == "bucket-members") <= 150  # 241 with seven bands of four values
+
+
 def test_tables_with_texts_are_packed(spark):
     for table, codec in ((common.stored(spark.createDataFrame([("some text",)], "text string"), "texts"), "ZSTD"), (common.stored(spark.range(9), "ids"), "SNAPPY")):
         files = [f.removeprefix("file:") for f in table.inputFiles()]
